@@ -1,6 +1,7 @@
 """WARC archives: writing with revisits, and reading with boundary-chain verification.
 
-Archives are uncompressed WARC 1.1 files of bounded size in the shared folder.
+Archives are gzipped WARC 1.1 files of bounded size in the shared folder; offsets
+are those of the unpacked bytes.
 A reader can't trust the magic string, since payloads may hold it.  So tasks only
 emit candidates: every place where the magic stands, with the offset of its
 successor by its own Content-Length.  A candidate is a record if and only if the
@@ -13,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -27,7 +29,7 @@ MIN_REVISIT_BYTES = 0
 #: Bytes of a block of an archive; within a block chains are followed at once.
 BLOCK = 1 << 20
 #: Records of an archive file at most; a file is read by one task.
-FILE_ROWS = 10_000
+FILE_ROWS = 2_000
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -80,7 +82,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     same page_id are all responses.  Further columns are ignored.
     """
     out = plan_records(pages, min_bytes).select(record_text().alias("value")).write
-    out.option("maxRecordsPerFile", file_rows).text(path)
+    out.option("maxRecordsPerFile", file_rows).option("compression", "gzip").text(path)
     return path
 
 
@@ -113,6 +115,7 @@ def _scan(keep_payload: bool):
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for file, content in zip(batch["path"], batch["content"], strict=True):
+                content = zlib.decompress(content, wbits=31) if content[:2] == b"\x1f\x8b" else content
                 found, leave = _candidates(content), {}
                 for c in reversed(found):  # the first successor outside the block
                     near = c["next"] >= 0 and c["next"] // BLOCK == c["start"] // BLOCK
