@@ -78,24 +78,27 @@ PREFIXES = (4, 5, 6)
 
 
 def terms(data: np.ndarray) -> np.ndarray:
-    """Distinct hashes of the words of a text (letters and digits, lower case) and of their beginnings."""
+    """Distinct hashes of the words of a text (letters and digits, lower case) and of their beginnings.
+
+    The lowest bit tells: 0 for whole words, 1 for beginnings.
+    """
     out = []
     for block in blocks(data):
         block = _LETTERS[block]
         start, end = spans(block)
         if not len(start):
             continue
-        out.append(span_hashes(block, start, end))
+        out.append(span_hashes(block, start, end) & ~U(1))
         for k in PREFIXES:
             longer = end - start > k
-            out.append(mix64(span_hashes(block, start[longer], start[longer] + k) + U(k)))
+            out.append(mix64(span_hashes(block, start[longer], start[longer] + k) + U(k)) | U(1))
     return np.unique(np.concatenate(out)) if out else np.zeros(0, U)
 
 
 def word_term(word: str) -> np.uint64:
     """The term that ``terms`` makes of a whole word."""
     data = _LETTERS[text_bytes(word)]
-    return span_hashes(data, np.array([0]), np.array([len(data)]))[0]
+    return span_hashes(data, np.array([0]), np.array([len(data)]))[0] & ~U(1)
 
 
 def term_features(data: np.ndarray, bits: int = BITS) -> Features:
@@ -155,8 +158,8 @@ def ftrl(examples: list[tuple[np.ndarray, np.ndarray, float]], bits: int, alpha:
     return weights(z, n).astype(np.float32), float(-z0 / ((beta + np.sqrt(n0)) / alpha))
 
 
-def fit(sample: DataFrame, features: Callable[..., Features], label: Callable[[np.ndarray], float] | None = None, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0, epochs: int = 2) -> LinearModel:
-    """Fit on a bounded sample (order_key, text, y); ``label`` may replace y by a soft label.
+def fit(sample: DataFrame, features: Callable[..., Features], label: Callable[[np.ndarray, float], float] | None = None, bits: int = BITS, alpha: float = 0.3, beta: float = 1.0, l1: float = 0.5, l2: float = 1.0, epochs: int = 2) -> LinearModel:
+    """Fit on a bounded sample (order_key, text, y); ``label`` may turn text and y into a soft label.
 
     Features are made where the texts are; one task then takes the sample's
     features in order of order_key, so reruns agree.
@@ -168,7 +171,7 @@ def fit(sample: DataFrame, features: Callable[..., Features], label: Callable[[n
             for key, text, y in zip(batch["order_key"], batch["text"], batch["y"], strict=True):
                 data = text_bytes(text)
                 index, value = features(data, bits)
-                rows.append((key, float(y) if label is None else label(data), index.astype(np.int32).tobytes(), value.astype(np.float32).tobytes()))
+                rows.append((key, float(y) if label is None else label(data, float(y)), index.astype(np.int32).tobytes(), value.astype(np.float32).tobytes()))
             yield pd.DataFrame(rows, columns=["order_key", "y", "index", "value"])
 
     def train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

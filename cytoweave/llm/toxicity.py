@@ -7,8 +7,8 @@ documents, and which voters are correlated; correlated voters share their say.
 Its posteriors then label the training texts of a linear classifier, which scores
 every document by the words (and beginnings of words) in it.
 
-Labels are used for two things only: which terms make up the lexicons, and the
-share of toxic rows.
+Labels are used for three things only: which terms make up the lexicons, the
+share of toxic rows, and as one more voter, of stated accuracy, on training texts.
 """
 
 from __future__ import annotations
@@ -28,16 +28,20 @@ from .hashing import SPACE, U, text_bytes
 HELD_OUT = (5, 0)
 #: Labelled documents that the lexicons and the classifier are fitted on at most.
 TRAIN_ROWS = 16_000
-#: Terms of the learned lexicon at most, and lexicon voters they are dealt to.
+#: Terms of the learned lexicon at most; lexicon voters that its words and its word beginnings are dealt to.
 LEXICON_TERMS = 4_000
-LEXICON_VOTERS = 6
+WORD_VOTERS, BEGINNING_VOTERS = 4, 2
+#: Odds of toxic over other that a term of the lexicon has at least.
+MIN_ODDS = 30
 #: Gain in log likelihood (nats) that a term of the lexicon shows at least: far beyond chance over a million terms.
 MIN_GAIN = 15.0
 BITS = 20
 ACCEPT = 0.5
+#: How often a label is taken to be right when it votes.
+LABEL_ACCURACY = 0.98
 #: Common English insults: the lexicon that needs no labels.
 SEED_LEXICON = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "fool", "imbecile", "filth", "vermin")
-VOTERS = (*(f"lexicon_{k}" for k in range(LEXICON_VOTERS)), "seed", "seed_twice", "several_terms", "beginnings", "shouting", "exclaiming")
+VOTERS = (*(f"words_{k}" for k in range(WORD_VOTERS)), *(f"beginnings_{k}" for k in range(BEGINNING_VOTERS)), "seed", "seed_twice", "two_words", "word_and_beginning", "shouting", "exclaiming")
 
 
 @dataclass
@@ -56,7 +60,7 @@ class Lexicon:
 
 
 def learn_lexicon(sample: DataFrame, limit: int = LEXICON_TERMS) -> Lexicon:
-    """Terms that mark labelled toxic texts: 8 times the odds, and a gain in log likelihood beyond chance.
+    """Terms that mark labelled toxic texts: MIN_ODDS times the odds, and a gain in log likelihood beyond chance.
 
     ``sample`` is bounded; each distinct text counts once.  Each task counts its
     own terms first.
@@ -80,9 +84,11 @@ def learn_lexicon(sample: DataFrame, limit: int = LEXICON_TERMS) -> Lexicon:
     odds = (F.col("toxic") / toxic) / ((F.col("other") + 0.5) / (n - toxic))
     seen, share = F.col("toxic") + F.col("other"), toxic / n
     gain = F.col("toxic") * F.log(F.col("toxic") / (seen * share)) + F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (seen * (1 - share)))).otherwise(0.0)
-    rows = counted.filter("toxic >= 4").withColumn("gain", gain).filter((odds >= 8) & (F.col("gain") >= MIN_GAIN)).orderBy(F.desc("gain"), "term").limit(limit).select("term").collect()
+    rows = counted.filter("toxic >= 4").withColumn("gain", gain).filter((odds >= MIN_ODDS) & (F.col("gain") >= MIN_GAIN)).orderBy(F.desc("gain"), "term").limit(limit).select("term").collect()
     found = np.sort(np.array([r["term"] for r in rows], np.int64).view(U))
-    return Lexicon(found, (found % U(LEXICON_VOTERS)).astype(np.int64))
+    whole = (found & U(1)) == 0
+    voter = np.where(whole, (found >> U(1)) % U(WORD_VOTERS), U(WORD_VOTERS) + (found >> U(1)) % U(BEGINNING_VOTERS))
+    return Lexicon(found, voter.astype(np.int64))
 
 
 _SEED = np.sort(np.array([linear.word_term(w) for w in SEED_LEXICON], U))
@@ -96,8 +102,9 @@ def votes(data: np.ndarray, lexicon: Lexicon) -> int:
     upper = int(((data >= 65) & (data <= 90)).sum())
     lower = int(((data >= 97) & (data <= 122)).sum())
     n_words = max(1, int(SPACE[data].sum()) + 1)
-    fired = [k in set(hit.tolist()) for k in range(LEXICON_VOTERS)]
-    fired += [seeds >= 1, seeds >= 2, len(hit) >= 3, len(hit) >= 2, upper > lower, int((data == 33).sum()) > 0.2 * n_words]
+    whole = int((hit < WORD_VOTERS).sum())
+    fired = np.isin(np.arange(WORD_VOTERS + BEGINNING_VOTERS), hit).tolist()
+    fired += [seeds >= 1, seeds >= 2, whole >= 2, 1 <= whole < len(hit), upper > lower, int((data == 33).sum()) > 0.2 * n_words]
     return sum(1 << k for k, x in enumerate(fired) if x)
 
 
@@ -173,8 +180,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROW
     model = fit_label_model(counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(), prior or 1e-4)
     posterior = model.posterior
 
-    def soft(data: np.ndarray) -> float:
-        return float(posterior[votes(data, shared.value)])
+    def soft(data: np.ndarray, label: float) -> float:
+        p = min(max(float(posterior[votes(data, shared.value)]), 1e-9), 1 - 1e-9)
+        told = LABEL_ACCURACY if label >= 0.5 else 1 - LABEL_ACCURACY
+        return p * told / (p * told + (1 - p) * (1 - told))
 
     classifier = linear.fit(sample, linear.term_features, label=soft, bits=BITS, alpha=0.3, l1=1.0, l2=0.5, epochs=2)
     return ToxicityModel(lexicon, model, classifier)
