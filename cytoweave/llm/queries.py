@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, mixing, neardup, quality, toxicity, warc
+from . import chat, decontam, linededup, media, mixing, neardup, quality, toxicity, warc
 from .common import crc_remainder, scratch_path
 
 
@@ -31,6 +31,11 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_deleted")
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = media.write_store(_table(spark, sf_dir, "documents"), scratch_path(spark, "media"))
+    return media.media_digests(media.read_store(spark, path))
+
+
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     tricky = spark.createDataFrame([(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")], turns.schema)
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_mix_sources": op2_mix_sources,
         "op3_line_dedup": op3_line_dedup,
+        "op4_media": op4_media,
         "op5_chat_format": op5_chat_format,
         "op6_decontamination": op6_decontamination,
         "op7_warc": op7_warc,
