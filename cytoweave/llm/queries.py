@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, media, mixing, neardup, quality, toxicity, warc
+from . import chat, decontam, linededup, media, mixing, neardup, pii, quality, toxicity, warc
 from .common import crc_remainder, scratch_path
 
 
@@ -59,6 +59,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (crc_remainder(F.col("doc_id"), modulus) == held).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.span_digests(pii.detect_pii(docs, pii.fit_pii(docs)))
+
+
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_hash")
 
@@ -73,6 +78,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontamination": op6_decontamination,
         "op7_warc": op7_warc,
         "op8_quality": op8_quality,
+        "op9_pii": op9_pii,
         "op10_minhash": op10_minhash,
     }
 
