@@ -23,8 +23,8 @@ from .hashing import U, mix32, mix64, shingle_set, text_bytes, word_hashes
 #: Bands of rows: a pair of similarity 0.8 meets in no band with probability
 #: (1 - 0.8^4)^24 = 3e-6; at 0.9 it is below 1e-11.
 BANDS, ROWS = 24, 4
-#: Orders in which a bucket's leader is chosen; band k takes order k mod LEADERS.
-LEADERS = 3
+#: 64-bit words of a set's bitmap: a place for each shingle by its hash.
+BITMAP_WORDS = 16
 _CHUNK = 4096
 
 
@@ -53,8 +53,14 @@ def _band_values(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    places = np.zeros(64 * BITMAP_WORDS, np.uint8)
+    places[(shingles % U(64 * BITMAP_WORDS)).astype(np.int64)] = 1
+    return np.packbits(places).view(np.int64)
+
+
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class (digest of the shingle set) and band values."""
+    """doc_id, text_hash, n_shingles, class (digest of the shingle set), band values and bitmap."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -62,12 +68,12 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
             for text in batch["text"]:
                 found = shingle_set(word_hashes(text_bytes(text)), width)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None
-                out.append((len(found), digest, _band_values(circulant_signature(found, bands * rows), bands, rows) if len(found) else None))
-            made = pd.DataFrame(out, columns=["n_shingles", "class", "bands"])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": made["n_shingles"], "class": made["class"], "bands": made["bands"]})
+                out.append((len(found), digest, _band_values(circulant_signature(found, bands * rows), bands, rows) if len(found) else None, _bitmap(found) if len(found) else None))
+            made = pd.DataFrame(out, columns=["n_shingles", "class", "bands", "bits"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": made["n_shingles"], "class": made["class"], "bands": made["bands"], "bits": made["bits"]})
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return given.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, class string, bands array<long>")
+    return given.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, class string, bands array<long>, bits array<long>")
 
 
 def _text_hash(text: Column) -> Column:
@@ -103,27 +109,41 @@ def _similar(width: int, percent: int):
 def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of equal shingle sets, enough to connect all that are similar.
 
-    Classes that share a bucket are compared with the bucket's leader first.  Then
-    those that are still apart from others of their bucket are compared with all
-    of these.  So every pair of a bucket is either compared on full sets or
-    already connected, and a bucket of copies of one text costs one comparison a
-    copy.
+    Classes that share a bucket are compared with the bucket's leader first: the
+    one that meets most others in all its buckets, which in a group of edited
+    copies is the one with fewest edits.  Those that are then still apart from
+    others of their bucket are held against all of these: by a bound first (two
+    sets whose bitmaps differ in d places differ in d shingles at least), and what
+    the bound leaves by their full sets.  So every pair of a bucket is compared,
+    ruled out or already connected, and a group of copies of one text costs one
+    comparison a copy.
     """
     classes = signed.filter("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     placed = classes.select("class", "n", F.posexplode("bands").alias("band", "value"))
-    order = F.xxhash64(F.col("band") % LEADERS, "class")
-    buckets = placed.groupBy("band", "value").agg(F.count("*").alias("_size"), F.min(F.struct(order.alias("o"), F.col("class"), F.col("n"))).alias("leader")).filter("_size > 1").drop("_size")
-    members = materialise(placed.join(buckets, ["band", "value"]).select("band", "value", "class", "n", F.col("leader.class").alias("leader"), F.col("leader.n").alias("leader_n")), "members")
+    buckets = placed.groupBy("band", "value").agg(F.count("*").alias("met")).filter("met > 1")
+    shared = materialise(placed.join(buckets, ["band", "value"]).select("band", "value", "class", "n", "met"), "shared")
+    standing = shared.groupBy("class").agg(F.sum("met").alias("standing"))
+    leaders = shared.join(standing, "class").groupBy("band", "value").agg(F.max(F.struct("standing", "class", "n")).alias("leader"))
+    members = shared.join(leaders, ["band", "value"]).select("band", "value", "class", "n", F.col("leader.class").alias("leader"), F.col("leader.n").alias("leader_n"))
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    texts = _class_texts(docs, signed, members)
+    texts = _class_texts(docs, signed, shared)
     first = members.filter(F.col("class") != F.col("leader")).filter(near(F.col("n"), F.col("leader_n"))).select(*pair(F.col("class"), F.col("leader"))).distinct()
     compared = materialise(_compare(first, texts, width, percent), "compared")
     joined = connected_components(compared.filter("linked"))
-    own = members.join(joined, members["class"] == joined["node"], "left").select("band", "value", "class", "n", "leader", F.coalesce("component", "class").alias("component"))
-    heads = own.filter(F.col("class") == F.col("leader")).select("band", "value", F.col("component").alias("head"))
-    apart = own.join(heads, ["band", "value"]).filter(F.col("component") != F.col("head")).select("band", "value", F.col("class").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("p2"))
-    rest = own.join(apart, ["band", "value"]).filter((F.col("component") != F.col("p2")) & near(F.col("n"), F.col("n2"))).select(*pair(F.col("class"), F.col("c2"))).distinct()
+    own = members.join(joined, members["class"] == joined["node"], "left").select("band", "value", "class", "n", F.coalesce("component", "class").alias("component"), (F.col("class") == F.col("leader")).alias("leads"))
+    heads = own.filter("leads").select("band", "value", F.col("component").alias("head"))
+    away = materialise(own.join(heads, ["band", "value"]).withColumn("away", F.col("component") != F.col("head")).drop("leads", "head"), "away")
+    mixed = away.filter("away").select("band", "value").distinct()
+    bits = signed.filter("class is not null").groupBy("class").agg(F.first("bits").alias("bits"))
+    places = [f"w{k}" for k in range(BITMAP_WORDS)]
+    inside = away.join(mixed, ["band", "value"], "left_semi").join(bits, "class").select("band", "value", "class", "n", "component", "away", *[F.col("bits")[k].alias(w) for k, w in enumerate(places)])
+    left, right = inside.alias("x"), inside.filter("away").alias("y")
+    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in places), F.lit(0))
+    both, total = F.col("x.n") + F.col("y.n") - differ, F.col("x.n") + F.col("y.n")
+    possible = both * 100 >= (2 * total - both) * percent  # twice the largest intersection against twice the union
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component"))
+    rest = left.join(right, meet & near(F.col("x.n"), F.col("y.n")) & possible).select(*pair(F.col("x.class"), F.col("y.class"))).distinct()
     rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     more = materialise(_compare(rest, texts, width, percent), "compared")
     return compared.union(more).filter("linked").select("a", "b")
@@ -154,8 +174,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     are linked; component_id is the smallest doc_id that links reach.  Documents
     without words (null or empty text) are linked with nothing.  Repeated rows
     are copies like others, one row each; rows with a null doc_id take part, have
-    the component_id of their component (null if it has no doc_id) and are not
-    kept unless they are alone; of rows that share the smallest doc_id all are
+    the component_id of their component and are not kept, unless it has no doc_id:
+    then component_id is null and they are kept; of rows that share the smallest doc_id all are
     kept.  An empty table gives no rows; further columns are ignored.
     """
     signed = materialise(signatures(docs, width, bands, rows), "signatures")
