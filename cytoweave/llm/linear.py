@@ -182,6 +182,8 @@ def fit(sample: DataFrame, features: Callable[..., Features], label: Callable[[n
     made = sample.select("order_key", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"), F.col("y").cast("double").alias("y"))
     made = made.mapInPandas(featurise, "order_key long, y double, index binary, value binary")
     found = made.repartition(1).sortWithinPartitions("order_key", "y", F.xxhash64("index")).mapInPandas(train, "weights binary, bias double").first()
+    if found is None:  # no example at all
+        return LinearModel(np.zeros(1 << bits, np.float32), 0.0, features, bits)
     return LinearModel(np.frombuffer(bytes(found["weights"]), np.float32).copy(), float(found["bias"]), features, bits)
 
 

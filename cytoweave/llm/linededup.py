@@ -10,8 +10,9 @@ whose prefix is unique drop out, so later rounds touch repeated runs only.
 A run is worth deleting from ``min_words`` words on.  For each line the shortest
 such run that starts or ends with it is looked up: its interval is named by the
 ranks of its first and its last 2^j lines.  Where the interval holds an earlier
-occurrence, the run is a later copy.  Every longer repeated run is the union of
-such runs, so their union is exactly what the maximal repeated runs cover.
+occurrence, the run is a later copy.  Every line with words of a longer repeated
+run lies in such a run, so together they cover what the maximal repeated runs
+cover.
 """
 
 from __future__ import annotations
@@ -128,7 +129,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     earlier start (documents by doc_id, null last, then by a hash of the text;
     then by line), is deleted; of overlapping occurrences the first stays.
     Maximal deleted runs are in ``runs`` as first-last line numbers from 0.
-    Blank lines go only inside a deleted run.  A text of which all lines are later
+    Blank lines go only inside a run that is not longer than it must be, seen from
+    its start or its end.  A text of which all lines are later
     copies becomes empty; null texts stay null with 0 lines; the empty text has
     one empty line.  Repeated rows (same doc_id and text) count as one document
     and get the same result.  An empty table gives no rows.
