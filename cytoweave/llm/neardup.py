@@ -106,7 +106,7 @@ def _similar(width: int, percent: int):
     return confirm
 
 
-def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
+def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int, bands: int = BANDS) -> DataFrame:
     """Links (a, b) between classes of equal shingle sets, enough to connect all that are similar.
 
     Classes that share a bucket are compared with the bucket's leader first: the
@@ -135,14 +135,16 @@ def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int
     heads = own.filter("leads").select("band", "value", F.col("component").alias("head"))
     away = materialise(own.join(heads, ["band", "value"]).withColumn("away", F.col("component") != F.col("head")).drop("leads", "head"), "away")
     mixed = away.filter("away").select("band", "value").distinct()
-    bits = signed.filter("class is not null").groupBy("class").agg(F.first("bits").alias("bits"))
-    places = [f"w{k}" for k in range(BITMAP_WORDS)]
-    inside = away.join(mixed, ["band", "value"], "left_semi").join(bits, "class").select("band", "value", "class", "n", "component", "away", *[F.col("bits")[k].alias(w) for k, w in enumerate(places)])
+    sketch = signed.filter("class is not null").groupBy("class").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"))
+    places, values = [f"w{k}" for k in range(BITMAP_WORDS)], [f"v{k}" for k in range(bands)]
+    inside = away.join(mixed, ["band", "value"], "left_semi").join(sketch, "class").select("band", "value", "class", "n", "component", "away", *[F.col("bits")[k].alias(w) for k, w in enumerate(places)], *[F.col("bands")[k].alias(v) for k, v in enumerate(values)])
     left, right = inside.alias("x"), inside.filter("away").alias("y")
     differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in places), F.lit(0))
     both, total = F.col("x.n") + F.col("y.n") - differ, F.col("x.n") + F.col("y.n")
     possible = both * 100 >= (2 * total - both) * percent  # twice the largest intersection against twice the union
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component"))
+    # a pair is held against each other once: in the first band that it shares
+    once = F.col("x.band") == F.coalesce(*[F.when(F.col(f"x.{v}") == F.col(f"y.{v}"), k) for k, v in enumerate(values)])
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component")) & once
     rest = left.join(right, meet & near(F.col("x.n"), F.col("y.n")) & possible).select(*pair(F.col("x.class"), F.col("y.class"))).distinct()
     rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     more = materialise(_compare(rest, texts, width, percent), "compared")
@@ -179,7 +181,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     kept.  An empty table gives no rows; further columns are ignored.
     """
     signed = materialise(signatures(docs, width, bands, rows), "signatures")
-    links = similar_classes(docs, signed, width, percent)
+    links = similar_classes(docs, signed, width, percent, bands)
     joined = connected_components(links)
     rows_ = signed.select("doc_id", "text_hash", "n_shingles", "class").join(joined, F.col("class") == F.col("node"), "left")
     rows_ = rows_.withColumn("group", F.coalesce("component", "class"))
