@@ -11,9 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import augment, evaluate, growth, match, morph, norm, objects, sample, tiles, track, tune
+from .operators import augment, evaluate, growth, learn, match, morph, norm, objects, sample, tiles, track, tune
 from .sources import views
 from .sources.views import with_views
+from .streaming import live
 
 H = W = views.SIDE
 Query = Callable[[SparkSession, str], DataFrame]
@@ -590,6 +591,32 @@ def savgol(spark, d):
     return growth.savgol(v).select("series", "i", F.round("smooth", 4).alias("smooth"))
 
 
+@query("""SELECT user_id AS series, date_trunc('day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
+def activity_windows(spark, d):
+    e = views.table(spark, d, "events").withColumn("series", F.col("user_id"))
+    return live.activity(e).select("series", "start", "n", r6("mean").alias("mean"))
+
+
+@query("""WITH e AS (SELECT user_id AS series, ts, coalesce(date_diff('microsecond', lag(ts) OVER w, ts) >= 6 * 3600 * 1000000::BIGINT, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT series, ts, sum(fresh) OVER (PARTITION BY series ORDER BY ts RANGE UNBOUNDED PRECEDING) AS g FROM e)
+SELECT series, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM g GROUP BY series, g""")
+def activity_sessions(spark, d):
+    return live.sessions(views.table(spark, d, "events").withColumn("series", F.col("user_id")))
+
+
+def _link_rows(spark, d):
+    """Events of one user on consecutive days; the same kind of event is the same object."""
+    rows = learn.link_rows(views.tracks(spark, d).withColumnRenamed("kind", "label"))
+    u = F.conv(F.substring(sample.draw(3, F.col("series"), F.col("tp")), 1, 2), 16, 10).cast("int")
+    return rows.withColumn("gap", track.pair_distance()).withColumn("split", F.when(u < 154, "train").when(u < 205, "validation").otherwise("test"))
+
+
+@query()
+def link_classifier(spark, d):
+    rows, names = _link_rows(spark, d), ["d_x", "d_y", "gap"]
+    model = learn.forest(names, "same", 10, 4).fit(learn.with_balance(rows.filter("split = 'train'"), "same"))
+    return learn.performance(learn.probabilities(model, rows, names), "same").select("split", "tp", "fp", "fn", "tn", r6("balanced").alias("balanced"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
