@@ -131,7 +131,9 @@ def claim_hits(pairs: DataFrame, predictions: DataFrame, threshold: float) -> Da
             out.append((key[0], p.tb, int(hit is not None)))
         return pd.DataFrame(out, columns=["frame_id", "tb", "hit"])
 
-    return predictions.groupBy("frame_id").cogroup(pairs.groupBy("frame_id")).applyInPandas(claim, "frame_id long, tb long, hit int")
+    # new names for the columns of both sides, as they may stem from one table
+    left, right = predictions.toDF(*predictions.columns), pairs.toDF(*pairs.columns)
+    return left.groupBy("frame_id").cogroup(right.groupBy("frame_id")).applyInPandas(claim, "frame_id long, tb long, hit int")
 
 
 def dice(p: Column, t: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .operators import augment, evaluate, growth, learn, match, morph, norm, objects, sample, tiles, track, tune
+from .operators import augment, evaluate, growth, learn, match, morph, norm, objects, outlines, sample, segment, tiles, track, tune
 from .sources import views
 from .sources.views import with_views
 from .streaming import live
@@ -219,6 +219,41 @@ def augment_flip_shift_crop(spark, d):
     return augment.crop(px, 0, 0, H, W).select("frame_id", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), r6("v").alias("v"))
 
 
+@query()
+def segment_cells(spark, d):
+    """Two groups on the pixel values and their mirror image as prediction maps."""
+    px = views.pixels(spark, d)
+    one = px.select("frame_id", F.lit("small").alias("target"), "r", "c", F.col("v").alias("p"))
+    two = px.select("frame_id", F.lit("large").alias("target"), "r", "c", (F.col("v") + 0.05).alias("p"))
+    groups = [segment.GroupParams(("small",), None, 0.05, 0, 0, 0, 1, 6), segment.GroupParams(("large", "small"), "small", 0.05, 0, 0, 0, 3, None, 0.0)]
+    return segment.segment(one.union(two), groups, H, W, 0.5)
+
+
+@query()
+def fill_holes(spark, d):
+    return morph.fill_holes(views.masks(spark, d), H, W)
+
+
+@query()
+def outline_rays(spark, d):
+    m = views.masks(spark, d)
+    centres = objects.shape_features(m).select("frame_id", "cell", F.col("centroid_r").alias("centre_r"), F.col("centroid_c").alias("centre_c"))
+    rays = outlines.ray_radii(morph.edges(m, H, W), centres, 8)
+    return rays.select("frame_id", "ray", r6("radius").alias("radius"))
+
+
+@query()
+def claim_walk(spark, d):
+    """Precision and recall where predictions claim truths by falling confidence."""
+    q = views.quadrants(spark, d)
+    flipped = q.select("frame_id", "cell", F.col("c").alias("r"), F.col("r").alias("c"))
+    pairs = match.intersections(q, flipped, ["r", "c"]).withColumn("iou", match.iou())
+    preds = objects.mean_over(flipped, views.pixels(spark, d), name="p").select("frame_id", F.col("cell").alias("tb"), "p")
+    hits = match.claim_hits(pairs, preds, 0.3).join(preds, ["frame_id", "tb"])
+    curve = match.precision_recall(hits, ["frame_id"], F.lit(4), [F.desc("p"), F.col("tb")])
+    return match.average_precision(curve, ["frame_id"]).select("frame_id", r6("ap").alias("ap"))
+
+
 # -- pairing and evaluation -------------------------------------------------
 
 

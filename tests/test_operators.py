@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoweave.operators import augment, evaluate, growth, match, morph, norm, objects, outlines, sample, tiles, track
+from cytoweave.operators import augment, evaluate, growth, match, morph, norm, objects, outlines, sample, segment, tiles, track
 
 
 def mask(spark, pixels):
@@ -160,6 +160,24 @@ def test_outline_of_a_circle(spark):
     assert all(11 < x < 13 for x in fitted)
 
 
+def test_segmentation_drops_the_smaller_of_nested_objects(spark):
+    big = [(0, "big", r, c, 0.9) for r in range(2, 8) for c in range(2, 8)]
+    small = [(0, "small", r, c, 0.9) for r in range(3, 5) for c in range(3, 5)] + [(0, "small", 10, 10, 0.9)]
+    preds = spark.createDataFrame(big + small, "frame_id long, target string, r int, c int, p double")
+    groups = [segment.GroupParams(("small",)), segment.GroupParams(("big",), lower=5)]
+    got = {(x.grp, x.r, x.c) for x in segment.segment(preds, groups, 12, 12).collect()}
+    assert got == {(0, 10, 10)} | {(1, r, c) for r in range(2, 8) for c in range(2, 8)}
+    alone = mask(spark, square(1, 0, 0) + square(2, 6, 6))
+    assert {x.cell for x in segment.unmatched(alone, mask(spark, square(9, 0, 0)), 0.5).collect()} == {2}
+
+
+def test_claims_go_by_confidence(spark):
+    pairs = spark.createDataFrame([(0, 1, 1, 0.9), (0, 1, 2, 0.8), (0, 2, 2, 0.6)], "frame_id long, ta long, tb long, iou double")
+    preds = spark.createDataFrame([(0, 1, 0.5), (0, 2, 0.9), (0, 3, 0.7)], "frame_id long, tb long, p double")
+    got = {x.tb: x.hit for x in match.claim_hits(pairs, preds, 0.5).collect()}
+    assert got == {2: 1, 1: 0, 3: 0}
+
+
 def test_empty_inputs(spark):
     none = mask(spark, [(1, 0, 0)]).filter("false")
     for df in (morph.dilate(none, 8, 8), morph.erode(none), morph.edges(none, 8, 8), objects.areas(none), objects.shape_features(none), objects.flatten(none), morph.components(none)):
