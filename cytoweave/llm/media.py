@@ -29,7 +29,7 @@ from .hashing import U, mix64
 UNIT = 64
 MIN_CHUNK, MASK_BITS, MAX_CHUNK = 512, 11, 8192
 MAGIC = b"CWM1"
-#: Texts that the store's compression dictionary is trained on at most, and their characters.
+#: Texts that the store's compression dictionary is trained on, about, and their characters at most.
 DICTIONARY_TEXTS, DICTIONARY_CHARS = 800, 20_000
 _LEVEL = 6
 _LAST = (1 << 63) - 1
@@ -86,9 +86,11 @@ def _list_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _dictionary(docs: DataFrame) -> bytes:
     """A compression dictionary from a bounded sample; empty where there is too little."""
-    text = F.col("text").cast("string")
-    rows = docs.select(text.alias("text")).filter(F.length("text").between(1, DICTIONARY_CHARS)).orderBy(F.xxhash64("text")).limit(DICTIONARY_TEXTS).collect()
-    samples = [r["text"].encode("utf-8", "surrogatepass") for r in rows]
+    texts = docs.select(F.col("text").cast("string").alias("text")).filter(F.length("text").between(1, DICTIONARY_CHARS))
+    place = F.pmod(F.xxhash64("text"), F.lit(1 << 31))
+    share = min(1.0, DICTIONARY_TEXTS / max(1, texts.count()))
+    rows = texts.filter(place < int(share * (1 << 31))).limit(2 * DICTIONARY_TEXTS).collect()
+    samples = sorted(r["text"].encode("utf-8", "surrogatepass") for r in rows)
     try:
         return zstandard.train_dictionary(1 << 17, samples).as_bytes() if len(samples) >= 100 else b""
     except zstandard.ZstdError:
