@@ -166,7 +166,8 @@ def read_archives(spark, path: str, keep_payload: bool = True) -> DataFrame:
     blocks = light.filter("next >= 0").groupBy("file", "block").agg(F.collect_list("start").alias("starts"), F.collect_list("next").alias("nexts"))
     entered = entries.groupBy("file", "block").agg(F.collect_list("start").alias("entries"))
     real = blocks.join(entered, ["file", "block"]).select("file", "entries", "starts", "nexts").mapInPandas(_block_walk, "file string, start long")
-    return scanned.join(real, ["file", "start"]).drop("block", "next", "exit", "size")
+    # one row for each record on either side: never a side to broadcast, however well it is packed
+    return scanned.join(real.hint("merge"), ["file", "start"]).drop("block", "next", "exit", "size")
 
 
 def _block_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
