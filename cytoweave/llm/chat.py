@@ -176,3 +176,21 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     partition.
     """
     return formatted.mapInPandas(_digest, DIGESTS)
+
+
+ORACLE_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+s AS (
+  SELECT *, coalesce(role = 'assistant', false) AS loss,
+         CASE WHEN contains(text, CASE WHEN role = 'assistant' THEN '</s>' ELSE '[/INST]' END) OR regexp_matches(text, '[<\[]\\+/?(s>|INST\])')
+              THEN regexp_replace(text, '([<\[])(\\*)(/?)(s>|INST\])', '\1\2\\\3\4', 'g') ELSE text END AS shown
+  FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (loss), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (loss), '')) AS loss_sha256,
+       sum(length(shown) + length(coalesce(role, '..')) + CASE WHEN loss THEN 8 ELSE 14 END)::BIGINT AS formatted_chars
+FROM s GROUP BY conv_id
+"""

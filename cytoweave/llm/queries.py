@@ -87,4 +87,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_mix_sources": mixing.ORACLE_SQL,
         "op3_line_dedup": linededup.ORACLE_SQL,
+        "op5_chat_format": chat.ORACLE_SQL,
+        "op7_warc": warc.ORACLE_SQL,
     }

@@ -180,3 +180,17 @@ def _block_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 out.append(at)
                 at = follow[at]
             yield pd.DataFrame({"file": [file] * len(out), "start": out})
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+h AS (SELECT page_id, octet_length(b)::BIGINT AS n, sha1(b) AS x FROM p),
+d AS (
+  SELECT page_id, n, list_aggregate(list_transform(range(0, 32), lambda i:
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[((('0x' || x[(i // 4) * 5 + 1:(i // 4) * 5 + 5])::INT >> (15 - 5 * (i % 4))::INT) & 31) + 1]), 'string_agg', '') AS digest
+  FROM h),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS lead FROM d)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = lead THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> lead THEN lead END AS refers_to
+FROM f
+"""
