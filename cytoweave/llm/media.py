@@ -78,8 +78,15 @@ def _given(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)).alias("_d"), F.xxhash64(text).alias("_h"), text.cast("binary").alias("text"))
 
 
-def _list_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _slices(batches: Iterator[pd.DataFrame], rows: int = 256) -> Iterator[pd.DataFrame]:
+    """Batches in slices, so that what a task makes of texts never piles up."""
     for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.iloc[k : k + rows].reset_index(drop=True)
+
+
+def _list_chunks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in _slices(batches):
         digests = [[hashlib.sha256(c).digest() for c in _chunks(padded(t))] for t in batch["text"]]
         yield pd.DataFrame({"_d": batch["_d"], "_h": batch["_h"], "digests": digests})
 
@@ -128,12 +135,12 @@ def write_store(docs: DataFrame, path: str) -> str:
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _Codec(dictionary.value)
-        for batch in batches:
+        for batch in _slices(batches):
             yield batch.assign(text=[codec.pack(t) for t in batch["text"]])
 
     def store(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _Codec(dictionary.value)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for packed, marks in zip(batch["text"], batch["marks"], strict=True):
                 text = codec.unpack(packed)
@@ -153,11 +160,8 @@ def write_store(docs: DataFrame, path: str) -> str:
     return path
 
 
-def read_store(spark, path: str) -> DataFrame:
-    """(doc_id, n_bytes, lengths, payload) of each stored text, rebuilt from its chunk list.
-
-    Each chunk's SHA-256 is verified; a missing or wrong chunk is an error.
-    """
+def _read(spark, path: str, schema: str, finish=None) -> DataFrame:
+    """Rebuild payloads from the store; ``finish`` goes on with them in the same task."""
     store = spark.read.schema(STORE).parquet(f"{path}/chunks")
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]))
     bodies = store.filter("shared").select(F.explode("owned").alias("o")).select("o.digest", "o.body").groupBy("digest").agg(F.first("body").alias("body"))
@@ -166,7 +170,7 @@ def read_store(spark, path: str) -> DataFrame:
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _Codec(dictionary.value)
-        for batch in batches:
+        for batch in _slices(batches):
             payloads = []
             for digests, lengths, private, bodies in zip(batch["digests"], batch["lengths"], batch["private"], batch["bodies"], strict=True):
                 shared = {bytes(b["digest"]): b["body"] for b in bodies} if bodies is not None else {}
@@ -186,7 +190,20 @@ def read_store(spark, path: str) -> DataFrame:
     columns = ["doc_id", "n_bytes", "digests", "lengths", "private"]
     alone = store.filter("not shared").select(*columns, F.lit(None).cast("array<struct<digest:binary,body:binary>>").alias("bodies"))
     sharing = store.filter("shared").join(fetched, ["_d", "_h"]).select(*columns, "bodies")
-    return alone.union(sharing).mapInPandas(rebuild, "doc_id long, n_bytes long, lengths array<int>, payload binary")
+    return alone.union(sharing).mapInPandas(rebuild if finish is None else lambda batches: finish(rebuild(batches)), schema)
+
+
+def read_store(spark, path: str) -> DataFrame:
+    """(doc_id, n_bytes, lengths, payload) of each stored text, rebuilt from its chunk list.
+
+    Each chunk's SHA-256 is verified; a missing or wrong chunk is an error.
+    """
+    return _read(spark, path, "doc_id long, n_bytes long, lengths array<int>, payload binary")
+
+
+def store_digests(spark, path: str) -> DataFrame:
+    """Digests and features of each stored text, read back as ``read_store`` does."""
+    return _read(spark, path, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", _digest)
 
 
 def media_form(payload: bytes, lengths: list[int]) -> bytes:
@@ -223,18 +240,14 @@ def feature(payload: bytes, lengths: list[int]) -> str:
     return f"chunks={len(lengths)};mean={int(x.sum()) * 1000 // n};rms={int(np.sqrt(float((x * x).sum()) / n) * 1000)};turns={turns * 1000 // n}"
 
 
-def media_digests(stored: DataFrame) -> DataFrame:
-    """Digests and features of payloads that ``read_store`` has rebuilt."""
-
-    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for lengths, payload in zip(batch["lengths"], batch["payload"], strict=True):
-                sizes = [int(x) for x in lengths]
-                media = media_form(payload, sizes)
-                back = payload_of(media)
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, sizes)))
-            made = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
-            yield pd.concat([batch[["doc_id", "n_bytes"]].astype({"doc_id": "Int64"}).reset_index(drop=True), made], axis=1)
-
-    return stored.mapInPandas(digest, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Wrap each payload in its container, unwrap it, and digest what comes back."""
+    for batch in batches:
+        rows = []
+        for lengths, payload in zip(batch["lengths"], batch["payload"], strict=True):
+            sizes = [int(x) for x in lengths]
+            media = media_form(payload, sizes)
+            back = payload_of(media)
+            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, sizes)))
+        made = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+        yield pd.concat([batch[["doc_id", "n_bytes"]].astype({"doc_id": "Int64"}).reset_index(drop=True), made], axis=1)

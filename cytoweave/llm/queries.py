@@ -33,7 +33,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = media.write_store(_table(spark, sf_dir, "documents"), scratch_path(spark, "media"))
-    return media.media_digests(media.read_store(spark, path))
+    return media.store_digests(spark, path)
 
 
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

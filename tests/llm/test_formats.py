@@ -78,7 +78,9 @@ def test_store_rebuilds_every_payload(spark):
     rows = [(k, f"{k} " + long[k * 40 :], 1) for k in range(12)] + [(20, long, 1), (21, long, 1), (21, long, 1), (None, "é😀", 1), (30, "", 1), (31, None, 1), (32, "x" * 64, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, digests int")
     path = media.write_store(docs, scratch_path(spark, "media"))
-    got = media.media_digests(media.read_store(spark, path)).collect()
+    got = media.store_digests(spark, path).collect()
+    plain = {x.doc_id: bytes(x.payload) for x in media.read_store(spark, path).collect()}
+    assert plain[32] == b"x" * 64 and plain[30] == bytes(64)
     want = sorted((str(i), hashlib.sha256(p := media.padded((t or "").encode())).hexdigest(), len((t or "").encode()), len(p), zlib.crc32(p[-64:])) for i, t, _ in rows)
     assert sorted((str(x.doc_id), x.payload_sha256, x.n_bytes, x.payload_bytes, x.tail_crc32) for x in got) == want
     same = {(x.media_sha256, x.media_bytes, x.feature) for x in got if x.doc_id in (20, 21)}
