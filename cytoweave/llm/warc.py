@@ -87,6 +87,7 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
 
 
 _HEADER = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")
+_LENGTH, _DIGITS = b"\r\nContent-Length: ", re.compile(rb"([0-9]{1,18})\r\n")
 CANDIDATE = "file string, block long, start long, next long, exit long, size long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
@@ -96,16 +97,24 @@ def _urn(value: bytes | None) -> int | None:
 
 
 def _candidates(content: bytes) -> list[dict]:
-    """Each place of the magic, with its successor by its own length; next -1: no record."""
-    out, at = [], content.find(MAGIC)
+    """Each place of the magic, with its successor by its own length; next -1: no record.
+
+    A header may have any length.  Places before one header end share it and the
+    last Content-Length line before it, so neither is searched twice.  The file's
+    start is always a place.
+    """
+    out, at, head, stated = [], content.find(MAGIC), -1, None
+    if content and at != 0:
+        out.append({"start": 0, "next": -1, "fields": {}, "body": b""})
     while at >= 0:
         row = {"start": at, "next": -1, "fields": {}, "body": b""}
-        head = content.find(b"\r\n\r\n", at, at + 65536)
-        if head >= 0:
-            fields = dict(_HEADER.findall(content, at + len(MAGIC), head + 2))
-            size = fields.get(b"Content-Length", b"")
-            if size.isdigit() and content[(end := head + 4 + int(size)) : end + 4] == b"\r\n\r\n":
-                row |= {"next": end + 4, "fields": fields, "body": content[head + 4 : end]}
+        if head < at < len(content):
+            head = content.find(b"\r\n\r\n", at)
+            head = len(content) if head < 0 else head
+            line = content.rfind(_LENGTH, at, head + 2)
+            stated = _DIGITS.match(content, line + len(_LENGTH)) if line >= 0 else None
+        if stated and stated.start() - len(_LENGTH) >= at and content[(end := head + 4 + int(stated[1])) : end + 4] == b"\r\n\r\n":
+            row |= {"next": end + 4, "fields": dict(_HEADER.findall(content, at + len(MAGIC), head + 2)), "body": content[head + 4 : end]}
         out.append(row)
         at = content.find(MAGIC, at + 1)
     return out
@@ -151,18 +160,25 @@ def block_entries(candidates: DataFrame) -> DataFrame:
     return marked
 
 
-def read_archives(spark, path: str, keep_payload: bool = True) -> DataFrame:
+def read_archives(spark, path: str, keep_payload: bool = True, whole: bool = True) -> DataFrame:
     """Verified records of all archives under ``path``.
 
     One row for each record: file, start, record_type, page_id, url,
     payload_digest, payload_bytes, refers_to and, if asked for, payload.  Bytes
-    that look like a record inside a payload are not returned; a file that is cut
-    off yields the records before the cut.  No files, no rows.
+    that look like a record inside a payload are not returned.  A file whose chain
+    of records does not end at its size (cut off or damaged) is an error; without
+    ``whole`` it yields the records before that place.  No files, no rows.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     scanned = materialise(files.mapInPandas(_scan(keep_payload), CANDIDATE), "candidates")
     light = scanned.select("file", "block", "start", "next", "exit")
-    entries = block_entries(light).withColumn("block", F.floor(F.col("start") / BLOCK).cast("long"))
+    marked = block_entries(light)
+    if whole:
+        ends = marked.select("file", F.col("start").alias("size"))
+        broken = scanned.select("file", "size").distinct().join(ends, ["file", "size"], "left_anti").select("file").take(5)
+        if broken:
+            raise ValueError(f"the chain of records does not end at the file's size: {', '.join(x.file for x in broken)}")
+    entries = marked.withColumn("block", F.floor(F.col("start") / BLOCK).cast("long"))
     blocks = light.filter("next >= 0").groupBy("file", "block").agg(F.collect_list("start").alias("starts"), F.collect_list("next").alias("nexts"))
     entered = entries.groupBy("file", "block").agg(F.collect_list("start").alias("entries"))
     real = blocks.join(entered, ["file", "block"]).select("file", "entries", "starts", "nexts").mapInPandas(_block_walk, "file string, start long")
@@ -179,7 +195,8 @@ def _block_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while at in follow:
                 out.append(at)
                 at = follow[at]
-            yield pd.DataFrame({"file": [file] * len(out), "start": out})
+            if out:
+                yield pd.DataFrame({"file": [file] * len(out), "start": out})
 
 
 ORACLE_SQL = """

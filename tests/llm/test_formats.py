@@ -130,3 +130,26 @@ def test_chains_over_many_blocks(spark, monkeypatch):
     pages = spark.createDataFrame([(k, "u", f"{k} " * 400 + "WARC/1.1\r\n") for k in range(300)], "page_id long, url string, html string").coalesce(1)
     path = warc.write_archives(pages, scratch_path(spark, "warc"))
     assert sorted(x.page_id for x in warc.read_archives(spark, path, False).collect()) == list(range(300))
+
+
+def test_headers_of_any_length(spark):
+    url = "http://h/" + "a" * 100_000
+    rows = [(k, url if k in (3, 9) else f"http://h/{k}", "WARC/1.1\r\n" * 3 + f"page {k}") for k in range(20)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.read_archives(spark, warc.write_archives(pages, scratch_path(spark, "warc"))).collect()
+    assert sorted((x.page_id, x.url, bytes(x.payload).decode()) for x in got) == rows
+
+
+def test_chain_that_misses_the_end_is_an_error(spark, tmp_path):
+    record = lambda k: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
+    good = record(0) + record(1)
+    bad = {"cut": good[:-5], "shifted": b"?" + good, "longer": good + b"?", "torn": record(0) + b"?" + record(1), "none": b"no archive"}
+    for name, content in {"good": good, **bad}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.warc").write_bytes(content)
+    (tmp_path / "good" / "empty.warc").write_bytes(b"")
+    assert warc.read_archives(spark, str(tmp_path / "good")).count() == 2
+    for name, n in {"cut": 1, "shifted": 0, "longer": 2, "torn": 1, "none": 0}.items():
+        with pytest.raises(ValueError, match=rf"{name}\.warc"):
+            warc.read_archives(spark, str(tmp_path / name))
+        assert warc.read_archives(spark, str(tmp_path / name), whole=False).count() == n
