@@ -1,4 +1,4 @@
-"""Link and mother-bud classifiers with Spark ML."""
+"""Link classifiers with Spark ML."""
 
 from __future__ import annotations
 
