@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, linededup, media, mixing, neardup, pii, quality, toxicity, warc
-from .common import crc_remainder, scratch_path
+from .common import crc_remainder, materialise, scratch_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,8 +60,9 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pii.span_digests(pii.detect_pii(docs, pii.fit_pii(docs)))
+    # texts are searched once: fit and selection read what was proposed
+    proposed = materialise(pii.propose(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "candidates")
+    return pii.span_digests(pii.select_spans(proposed, pii.fit_pii(proposed)))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,7 +141,7 @@ TEXTS = [
 def test_base_spans_are_those_of_the_patterns(spark):
     rows = [(k, t, "s") for k, t in enumerate(TEXTS)] + [(None, TEXTS[5], "s"), (5, TEXTS[5], "s")]
     d = docs(spark, rows)
-    model = pii.fit_pii(d)
+    model = pii.fit_pii(pii.propose(d))
     got = pii.span_digests(pii.detect_pii(d, model)).collect()
     assert len(got) == len(rows)
     for x in got:
@@ -156,7 +156,7 @@ def test_trees_find_credentials_and_leave_prose(spark):
     secret = [(k, f"so the token = \"{hashlib.sha1(str(k).encode()).hexdigest()}\" it", "s") for k in range(60)]
     prose = [(100 + k, f"in {1900 + k} there were {k} of them, see 12-34-56-{k % 90 + 10}", "s") for k in range(60)]
     d = docs(spark, secret + prose)
-    model = pii.fit_pii(d)
+    model = pii.fit_pii(pii.propose(d))
     got = {x.doc_id: x.spans for x in pii.span_digests(pii.detect_pii(d, model)).collect()}
     assert all(got[k].startswith("secret:") for k in range(60))
     assert not any("secret" in got[100 + k] for k in range(60))
@@ -166,4 +166,69 @@ def test_trees_find_credentials_and_leave_prose(spark):
 
 def test_pii_of_nothing(spark):
     d = docs(spark, [])
-    assert pii.detect_pii(d, pii.fit_pii(d)).count() == 0
+    assert pii.detect_pii(d, pii.fit_pii(pii.propose(d))).count() == 0
+
+
+def brute_features(generator, m, before, after):
+    """The features of a candidate, as the operator's documentation names them."""
+    count = lambda value, *bounds: sum(value >= b for b in bounds)
+    has = lambda p, x=m: int(bool(re.search(p, x)))
+    lead = 0 if not before else 1 if has(r"[=:]\s*[\"'(\[<]?$", before) else 2 if re.search(r"\w\s*$", before, re.A) else 3
+    return {
+        "generator": generator,
+        "digits": count(len(re.sub("[^0-9]", "", m)), 1, 9, 13, 16, 20),
+        "length": count(len(m), 12, 20, 32, 64),
+        "letters": has("[a-z]") + 2 * has("[A-Z]") + 4 * has("[g-zG-Z]"),
+        "separators": has("[ .]") + 2 * has("-") + 4 * has("[()/+_]"),
+        "plus": int(m.startswith("+")),
+        "variety": count(len(set(m[:64])), 4, 8, 11, 16) if generator == 3 else 0,
+        "lead": lead,
+        "quoted": has("[\"']$", before) & has("^[\"']", after),
+        "domain": has(r"\.[A-Za-z]{2,}$"),
+    }
+
+
+def brute_spans(text, model):
+    """All spans straight from the definition: every base span, every candidate that the trees choose."""
+    base = base_spans(text)
+    out = [(pii.RANKS[k], a, b, k) for k, a, b in base]
+    for generator, pattern in ((1, r"[+(]?[0-9][0-9 ().-]{6,}[0-9]"), (2, r"[^\s@]{1,64}@[^\s@]{1,255}"), (3, r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}")):
+        for f in re.finditer(pattern, text):
+            a, b = f.span()
+            cell = brute_features(generator, f[0], text[:a][-24:], text[b:][:2])
+            if generator in model.thresholds and not any(x < b and a < y for _, x, y in base) and model.score(cell) >= model.thresholds[generator]:
+                kind = pii.ADDED[generator]
+                out.append((pii.RANKS[kind], a, b, kind))
+    return ",".join(f"{k}:{a}:{b}" for _, a, b, k in sorted(out))
+
+
+def test_added_spans_match_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    hexes = lambda k: hashlib.sha1(str(k).encode()).hexdigest()
+    parts = [lambda k: f'token = "{hexes(k)}"', lambda k: f"tel 555-{k % 900 + 100}-{k % 9000 + 1000}", lambda k: f"call {k % 900 + 100}.555.{k % 9000 + 1000}",
+             lambda k: f"mail a{k}@localhost", lambda k: f"a{k}@b.org", lambda k: f"on 12-34-56-{k % 90 + 10}", lambda k: "Donaudampfschifffahrtsgesellschaft", lambda k: f"{k}.1.2.3", lambda k: "4539 1488 0343 6467", lambda k: "é words \n here"]
+    rows = [(k, " ".join(rng.choice(parts)(rng.randrange(10_000)) for _ in range(rng.randrange(9))) + (f' see = "{hexes(k)}"' if k % 40 == 0 else ""), "s") for k in range(400)]
+    d = docs(spark, rows)
+    model = pii.fit_pii(pii.propose(d))
+    assert 3 in model.thresholds and 1 in model.thresholds
+    got = {x.doc_id: x for x in pii.span_digests(pii.detect_pii(d, model)).collect()}
+    want = {k: brute_spans(t, model) for k, t, _ in rows}
+    assert {k: x.spans for k, x in got.items()} == want
+    added = [w for w in ",".join(want.values()).split(",") if w.startswith(("secret", "number"))]
+    assert len(added) > 100 and sum(x.n_spans for x in got.values()) == sum(len(w.split(",")) for w in want.values() if w)
+    quoted = [k for k, t, _ in rows if 'see = "' in t]  # the format alone, no word that speaks for it
+    assert quoted and all("secret" in want[k] for k in quoted)
+
+
+def test_pii_is_linear_in_a_text(spark):
+    import time
+
+    text = " ".join(f'a{k}@b.com 1.2.3.{k % 256} token="{hashlib.sha1(str(k).encode()).hexdigest()}"' for k in range(7_000))
+    model = pii.BoostedTrees(prior=1.0, thresholds={3: 0.0})
+    start = time.perf_counter()
+    got = pii.span_digests(pii.detect_pii(docs(spark, [(1, text, "s")]), model)).first()
+    assert (got.n_email, got.n_ip, got.n_secret) == (7_000, 7_000, 7_000)
+    assert time.perf_counter() - start < 60
+    assert pii.redact(docs(spark, [(1, text, "s")]), model).first().text == " ".join(['[email] [ip] token="[secret]"'] * 7_000)
