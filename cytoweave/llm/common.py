@@ -15,11 +15,13 @@ WORD = r"[^\x20\x09-\x0D]+"
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where it is unset (a single-machine session, as in tests) is a
-    temporary folder made and set as checkpoint folder.
+    Only where it is unset on a single machine (a local master, as in tests) is a
+    temporary folder made and set as checkpoint folder; a cluster must name one.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
@@ -41,6 +43,36 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key is hot if it holds at least one in so many rows: so many keys at most are hot.
+HOT_SHARE = 2_000
+
+
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table``, which has one row for each key and in ``size`` the number of its rows.
+
+    Keys that hold at least one in HOT_SHARE of all rows are at most HOT_SHARE
+    many, however large the tables, so their part of ``table`` is broadcast and
+    their rows are not dealt by key.  The rest is merge-joined on the keys; hot
+    rows and rows with a null key, which meet nothing, are scattered there, so no
+    task gets all rows of one key.  ``how`` is inner or left.  Other columns of the
+    two must differ.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    marked, scatter, there, *copies = free_name(rows.select(*rows.columns, *[F.lit(0).alias(c) for c in table.columns if c not in rows.columns]), "_hot", "_scatter", "_there", *[f"_k{k}" for k in range(len(keys))])
+    values = [c for c in table.columns if c not in keys]
+    hot = table.filter(F.col(size) * HOT_SHARE >= total)
+    near = F.broadcast(hot.select(*[F.col(k).alias(c) for k, c in zip(keys, copies, strict=True)], F.struct(*values).alias(marked)))
+    met = rows.join(near, [F.col(k) == F.col(c) for k, c in zip(keys, copies, strict=True)], "left").drop(*copies)
+    nowhere = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
+    met = met.withColumn(scatter, F.when(F.col(marked).isNotNull() | nowhere, F.xxhash64(*rows.columns)).otherwise(F.lit(-1)))
+    cold = table.filter(F.col(size) * HOT_SHARE < total).select(*keys, F.lit(-1).cast("long").alias(scatter), F.struct(*values).alias(there))
+    found = met.join(cold.hint("merge"), [*keys, scatter], "left")
+    value = F.coalesce(F.col(marked), F.col(there))
+    if how == "inner":
+        found = found.filter(value.isNotNull())
+    return found.select(*[F.col(c) for c in rows.columns], *[value[c].alias(c) for c in values])
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs of bytes that are no ASCII white space); null: 0."""
     spaces = F.translate(text, "\t\n\x0b\x0c\r", "     ")

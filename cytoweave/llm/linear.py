@@ -187,20 +187,45 @@ def fit(sample: DataFrame, features: Callable[..., Features], label: Callable[[n
     return LinearModel(np.frombuffer(bytes(found["weights"]), np.float32).copy(), float(found["bias"]), features, bits)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learnable: Column, bound: int, seed: int) -> DataFrame:
-    """(order_key, text, y) of at most ``bound`` labelled ids, chosen by hash.
+def known_labels(labels: DataFrame, column: str, learnable: Column) -> DataFrame:
+    """(doc_id, y) of the rows that labels may be learned from; of repeated labels the larger counts.
 
-    ``learnable`` says from which rows labels may be learned.  Rows with a null
-    id or label are no labels; of repeated labels the larger counts.  The chosen
-    labels number at most ``bound``, so they are broadcast to the texts.
+    Rows with a null id or label are no labels.
     """
-    known = labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.max(column).cast("double").alias("y"))
-    keyed = known.withColumn("order_key", F.xxhash64(F.lit(seed), F.col("doc_id")))
-    # a first cut by hash leaves about twice the bound to be sorted, however many labels there are
-    share = min(1.0, (2.0 * bound + 100) / max(1, known.count()))
+    return labels.filter(F.col(column).isNotNull() & F.col("doc_id").isNotNull() & learnable).groupBy("doc_id").agg(F.max(column).cast("double").alias("y"))
+
+
+def _by_hash(rows: DataFrame, bound: int, seed: int) -> DataFrame:
+    """At most ``bound`` rows of the smallest hashes of doc_id, with the hash as order_key."""
+    keyed = rows.withColumn("order_key", F.xxhash64(F.lit(seed), F.col("doc_id")))
+    # a first cut by hash leaves about twice the bound to be sorted, however many rows there are
+    share = min(1.0, (2.0 * bound + 100) / max(1, rows.count()))
     low = F.col("order_key") <= F.lit(int(-(1 << 63) + share * ((1 << 64) - 1) * (1 - 1e-9)))
-    chosen = (keyed.filter(low) if share < 1 else keyed).orderBy("order_key", "doc_id").limit(bound)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("order_key", "text", "y")
+    return (keyed.filter(low) if share < 1 else keyed).orderBy("order_key", "doc_id").limit(bound)
+
+
+def _texts(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One text of each chosen id: that of the smallest hash."""
+    met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # repeated ids fall together before they are shuffled: a task hands on one text of each
+    one = met.groupBy("order_key", "doc_id").agg(F.min_by(F.struct("text", "y"), F.xxhash64("text")).alias("one"))
+    return one.select("order_key", "one.text", "one.y")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, learnable: Column, bound: int, seed: int) -> DataFrame:
+    """(order_key, text, y) of at most ``bound`` labelled ids, chosen by hash, one row for each.
+
+    ``learnable`` says from which rows labels may be learned.  Of repeated ids
+    the text of the smallest hash is taken.  The chosen labels number at most
+    ``bound``, so they are broadcast to the texts.
+    """
+    return _texts(docs, _by_hash(known_labels(labels, column, learnable), bound, seed))
+
+
+def unlabelled_sample(docs: DataFrame, labels: DataFrame, column: str, learnable: Column, bound: int, seed: int) -> DataFrame:
+    """As ``labelled_sample``, of ids without a known label that ``learnable`` holds for; y is null."""
+    free = docs.select("doc_id").filter(F.col("doc_id").isNotNull() & learnable).join(known_labels(labels, column, learnable), "doc_id", "left_anti").distinct()
+    return _texts(docs, _by_hash(free, bound, seed).withColumn("y", F.lit(None).cast("double")))
 
 
-__all__ = ["KEEP", "LinearModel", "fit", "ftrl", "labelled_sample", "style_features", "term_features", "terms", "word_term"]
+__all__ = ["KEEP", "LinearModel", "fit", "ftrl", "known_labels", "labelled_sample", "style_features", "term_features", "terms", "unlabelled_sample", "word_term"]
