@@ -10,7 +10,9 @@ A control string is ``<s>``, ``</s>``, ``[INST]`` or ``[/INST]``, or one of thes
 with backslashes after its first character.  Escaping adds one backslash to each
 control string inside a text, unescaping takes one away, so it is reversible for
 every text.  Texts are first rendered as they are; the parser reads the result
-back, and every turn that doesn't come back equal is escaped and parsed again.
+back, and every turn that doesn't come back equal, or whose text holds a control
+string of any kind, is escaped and parsed again, so no raw control string is left
+inside a text.
 """
 
 from __future__ import annotations
@@ -77,15 +79,13 @@ def parse(formatted: str) -> list[tuple[str | None, str, int, int]] | None:
 
 def round_trip(role: str | None, text: str) -> tuple[str, int, int]:
     """Render a turn, parse it, and escape until it comes back identical."""
-    shown = text
-    while True:
+    for shown in (text, escape(text)):
         segment, start, end = render_turn(role, shown)
         back = parse(segment)
-        if back is not None and len(back) == 1 and back[0][:2] == (role, text):
+        raw = shown is text and _CONTROL.search(text) is not None
+        if not raw and back is not None and len(back) == 1 and back[0][:2] == (role, text):
             return segment, start, end
-        if shown != text:
-            raise ValueError("a turn does not survive its escaped form")
-        shown = escape(text)
+    raise ValueError("a turn does not survive its escaped form")
 
 
 def _render(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,11 +143,13 @@ def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             out.append((conv, state["n"], state["turns"].hexdigest(), state["loss_chars"], state["loss"].hexdigest(), state["chars"]))
 
     for batch in batches:
-        for conv_id, segment, start, end in zip(batch["conv_id"], batch["segment"], batch["loss_start"], batch["loss_end"], strict=True):
+        for conv_id, position, segment, start, end in zip(batch["conv_id"], batch["position"], batch["segment"], batch["loss_start"], batch["loss_end"], strict=True):
             conv_id = None if pd.isna(conv_id) else int(conv_id)
             if conv_id != conv:
                 close()
                 conv, state = conv_id, {"n": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0}
+            if position != state["n"]:
+                raise ValueError("the segments of a conversation are not in order")
             for role, text, *_ in parse(segment):
                 state["n"] += 1
                 state["turns"].update(f"{role or ''}\n{text}\n".encode("utf-8", "surrogatepass"))
@@ -173,7 +175,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
     """Digests of each conversation, read back from ``format_conversations``.
 
     Takes its output as it is: the segments of a conversation in order in one
-    partition.
+    partition; segments that are out of order or missing are an error.
     """
     return formatted.mapInPandas(_digest, DIGESTS)
 
@@ -184,8 +186,7 @@ WITH c AS (
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
 s AS (
   SELECT *, coalesce(role = 'assistant', false) AS loss,
-         CASE WHEN contains(text, CASE WHEN role = 'assistant' THEN '</s>' ELSE '[/INST]' END) OR regexp_matches(text, '[<\[]\\+/?(s>|INST\])')
-              THEN regexp_replace(text, '([<\[])(\\*)(/?)(s>|INST\])', '\1\2\\\3\4', 'g') ELSE text END AS shown
+         regexp_replace(text, '([<\[])(\\*)(/?)(s>|INST\])', '\1\2\\\3\4', 'g') AS shown
   FROM c)
 SELECT conv_id, count(*) AS n_turns,
        sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
