@@ -21,15 +21,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 
 MAGIC = b"WARC/1.1\r\n"
 #: Payloads of at least so many bytes are stored once; later copies revisit.
 MIN_REVISIT_BYTES = 0
 #: Bytes of a block of an archive; within a block chains are followed at once.
 BLOCK = 1 << 20
-#: Records of an archive file at most; a file is read by one task.
-FILE_ROWS = 2_000
+#: Payload bytes of an archive file, about, and records of one at most; a file is read by one task.
+FILE_BYTES, FILE_ROWS = 16 << 20, 2_000
+#: Rows of candidates that a task hands on at once.
+ROWS_AT_ONCE = 256
 _B32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -39,14 +41,21 @@ def base32_of_hex(digest: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", _B32)
 
 
-def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """page_id, url, payload, digest, record_type and refers_to of each page."""
+def plan_records(pages: DataFrame, min_bytes: int = MIN_REVISIT_BYTES, files: int = 1) -> DataFrame:
+    """page_id, url, payload, payload_bytes, payload_digest, record_type and refers_to of each page, dealt at random over ``files`` partitions.
+
+    Revisits are found among digests; payloads are shuffled once, by page, and
+    meet them there.  A payload that a large share of all pages has is looked up
+    where the digests are (``join_hot``), so it is never dealt to one task.
+    """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
-    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_of_hex(F.sha1("payload")))
-    first = rows.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1").select(F.col("payload_digest").alias("_d"), "_first")
-    rows = rows.join(first, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= min_bytes), "left")
-    later = F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return rows.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(later, "revisit").otherwise("response").alias("record_type"), F.when(later, F.col("_first")).alias("refers_to"))
+    rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("payload_digest", base32_of_hex(F.sha1("payload"))).withColumn("_place", F.concat_ws(":", F.col("page_id").cast("string"), "payload_digest"))
+    light = rows.filter(F.col("payload_bytes") >= min_bytes).select("page_id", "payload_digest", "_place")
+    copies = light.groupBy("payload_digest").agg(F.min("page_id").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    again = join_hot(light, materialise(copies, "copies"), ["payload_digest"], "_n").filter(F.col("_first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first")))
+    again = again.select("_place", "_first").distinct()
+    met = rows.repartition(files, "_place").join(again.repartition(files, "_place").hint("merge"), "_place", "left")
+    return met.select("page_id", "url", "payload", "payload_bytes", "payload_digest", F.when(F.col("_first").isNotNull(), "revisit").otherwise("response").alias("record_type"), F.col("_first").alias("refers_to"))
 
 
 def record_text() -> Column:
@@ -71,7 +80,7 @@ def record_text() -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, file_rows: int = FILE_ROWS) -> str:
+def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYTES, file_bytes: int = FILE_BYTES, file_rows: int = FILE_ROWS) -> str:
     """Write one record for each page to archive files under ``path``.
 
     Of records with equal payloads of at least ``min_bytes`` bytes the one with
@@ -80,15 +89,22 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = MIN_REVISIT_BYT
     null url has no target line, rows with a null page_id are written under the
     name "none" (and revisit a copy that has a page_id).  Rows repeated with the
     same page_id are all responses.  Further columns are ignored.
+
+    Pages are dealt at random over as many files as ``file_bytes`` asks for all
+    payloads and urls together, so a file has about that size and at most
+    ``file_rows`` records; only a page that is larger than that makes a larger one.
     """
-    out = plan_records(pages, min_bytes).select(record_text().alias("value")).write
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit(""))) + F.octet_length(F.coalesce(F.col("url").cast("string"), F.lit("")))
+    total, n = pages.agg(F.sum(size.cast("long")), F.count("*")).first()
+    files = max(1, -(-int(total or 0) // file_bytes), -(-2 * n // file_rows))
+    out = plan_records(pages, min_bytes, files).select(record_text().alias("value")).write
     out.option("maxRecordsPerFile", file_rows).option("compression", "gzip").text(path)
     return path
 
 
 _HEADER = re.compile(rb"([A-Za-z-]+): ([^\r\n]*)\r\n")
 _LENGTH, _DIGITS = b"\r\nContent-Length: ", re.compile(rb"([0-9]{1,18})\r\n")
-CANDIDATE = "file string, block long, start long, next long, exit long, size long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+CANDIDATE = "file string, block long, start long, next long, exit long, entry boolean, size long, record_type string, page_id long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
 
 
 def _urn(value: bytes | None) -> int | None:
@@ -105,16 +121,16 @@ def _candidates(content: bytes) -> list[dict]:
     """
     out, at, head, stated = [], content.find(MAGIC), -1, None
     if content and at != 0:
-        out.append({"start": 0, "next": -1, "fields": {}, "body": b""})
+        out.append({"start": 0, "next": -1, "fields": {}, "from": 0, "to": 0})
     while at >= 0:
-        row = {"start": at, "next": -1, "fields": {}, "body": b""}
+        row = {"start": at, "next": -1, "fields": {}, "from": 0, "to": 0}
         if head < at < len(content):
             head = content.find(b"\r\n\r\n", at)
             head = len(content) if head < 0 else head
             line = content.rfind(_LENGTH, at, head + 2)
             stated = _DIGITS.match(content, line + len(_LENGTH)) if line >= 0 else None
         if stated and stated.start() - len(_LENGTH) >= at and content[(end := head + 4 + int(stated[1])) : end + 4] == b"\r\n\r\n":
-            row |= {"next": end + 4, "fields": dict(_HEADER.findall(content, at + len(MAGIC), head + 2)), "body": content[head + 4 : end]}
+            row |= {"next": end + 4, "fields": dict(_HEADER.findall(content, at + len(MAGIC), head + 2)), "from": head + 4, "to": end}
         out.append(row)
         at = content.find(MAGIC, at + 1)
     return out
@@ -129,31 +145,38 @@ def _scan(keep_payload: bool):
                 for c in reversed(found):  # the first successor outside the block
                     near = c["next"] >= 0 and c["next"] // BLOCK == c["start"] // BLOCK
                     leave[c["start"]] = c["exit"] = leave.get(c["next"], -1) if near and c["next"] < len(content) else c["next"]
-                rows = []
-                for c in found:
-                    f, body = c["fields"], c["body"]
-                    full = f.get(b"WARC-Type") == b"response"
-                    stated = f.get(b"WARC-Payload-Length", b"")
-                    digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if full else f.get(b"WARC-Payload-Digest", b"").decode("latin-1").removeprefix("sha1:")
-                    rows.append((file, c["start"] // BLOCK, c["start"], c["next"], c["exit"], len(content), f.get(b"WARC-Type", b"").decode("latin-1"), _urn(f.get(b"WARC-Record-ID")), f[b"WARC-Target-URI"].decode("utf-8", "replace") if b"WARC-Target-URI" in f else None, digest, len(body) if full else int(stated) if stated.isdigit() else None, _urn(f.get(b"WARC-Refers-To")), body if keep_payload else None))
-                yield pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATE.split(", ")]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
+                entries = {0, *leave.values()}  # only there can the chain come into a block
+                for k in range(0, len(found), ROWS_AT_ONCE):
+                    rows = [_row(file, content, c, c["start"] in entries, keep_payload) for c in found[k : k + ROWS_AT_ONCE]]
+                    yield pd.DataFrame(rows, columns=[x.split()[0] for x in CANDIDATE.split(", ")]).astype({"page_id": "Int64", "payload_bytes": "Int64", "refers_to": "Int64"})
 
     return scan
 
 
+def _row(file: str, content: bytes, c: dict, entry: bool, keep_payload: bool) -> tuple:
+    """A candidate as a row; its payload is cut out of the file here and nowhere kept."""
+    f, body = c["fields"], content[c["from"] : c["to"]]
+    full, stated = f.get(b"WARC-Type") == b"response", f.get(b"WARC-Payload-Length", b"")
+    digest = base64.b32encode(hashlib.sha1(body).digest()).decode() if full else f.get(b"WARC-Payload-Digest", b"").decode("latin-1").removeprefix("sha1:")
+    url = f[b"WARC-Target-URI"].decode("utf-8", "replace") if b"WARC-Target-URI" in f else None
+    length = len(body) if full else int(stated) if stated.isdigit() else None
+    return (file, c["start"] // BLOCK, c["start"], c["next"], c["exit"], entry, len(content), f.get(b"WARC-Type", b"").decode("latin-1"), _urn(f.get(b"WARC-Record-ID")), url, digest, length, _urn(f.get(b"WARC-Refers-To")), body if keep_payload else None)
+
+
 def block_entries(candidates: DataFrame) -> DataFrame:
     """Places where the chain from a file's start enters its blocks.
 
     Pointer jumping over block exits: each round marks where the marked places
     jump to and doubles the jumps, so it ends after the logarithm of the number
-    of blocks in the longest file.
+    of blocks in the longest file.  Only places that a chain may enter a block at
+    take part, a few for each block, and all joins are merge joins.
     """
-    jumps = candidates.filter("next >= 0").select("file", "start", F.col("exit").alias("to"))
+    jumps = candidates.filter("next >= 0 and entry").select("file", "start", F.col("exit").alias("to"))
     marked = candidates.select("file").distinct().withColumn("start", F.lit(0).cast("long"))
     while True:
-        ahead = marked.join(jumps, ["file", "start"]).select("file", F.col("to").alias("start"))
+        ahead = marked.join(jumps.hint("merge"), ["file", "start"]).select("file", F.col("to").alias("start"))
         grown = materialise(marked.union(ahead).filter("start >= 0").distinct(), "entries")
-        jumps = materialise(jumps.alias("a").join(jumps.alias("b"), (F.col("a.file") == F.col("b.file")) & (F.col("a.to") == F.col("b.start"))).select("a.file", "a.start", F.col("b.to").alias("to")), "jumps")
+        jumps = materialise(jumps.alias("a").join(jumps.alias("b").hint("merge"), (F.col("a.file") == F.col("b.file")) & (F.col("a.to") == F.col("b.start"))).select("a.file", "a.start", F.col("b.to").alias("to")), "jumps")
         marked = grown
         if jumps.isEmpty():
             break
@@ -171,19 +194,19 @@ def read_archives(spark, path: str, keep_payload: bool = True, whole: bool = Tru
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
     scanned = materialise(files.mapInPandas(_scan(keep_payload), CANDIDATE), "candidates")
-    light = scanned.select("file", "block", "start", "next", "exit")
+    light = scanned.select("file", "block", "start", "next", "exit", "entry")
     marked = block_entries(light)
     if whole:
         ends = marked.select("file", F.col("start").alias("size"))
-        broken = scanned.select("file", "size").distinct().join(ends, ["file", "size"], "left_anti").select("file").take(5)
+        broken = scanned.select("file", "size").distinct().join(ends.hint("merge"), ["file", "size"], "left_anti").select("file").take(5)
         if broken:
             raise ValueError(f"the chain of records does not end at the file's size: {', '.join(x.file for x in broken)}")
     entries = marked.withColumn("block", F.floor(F.col("start") / BLOCK).cast("long"))
     blocks = light.filter("next >= 0").groupBy("file", "block").agg(F.collect_list("start").alias("starts"), F.collect_list("next").alias("nexts"))
     entered = entries.groupBy("file", "block").agg(F.collect_list("start").alias("entries"))
-    real = blocks.join(entered, ["file", "block"]).select("file", "entries", "starts", "nexts").mapInPandas(_block_walk, "file string, start long")
+    real = blocks.join(entered.hint("merge"), ["file", "block"]).select("file", "entries", "starts", "nexts").mapInPandas(_block_walk, "file string, start long")
     # one row for each record on either side: never a side to broadcast, however well it is packed
-    return scanned.join(real.hint("merge"), ["file", "start"]).drop("block", "next", "exit", "size")
+    return scanned.join(real.hint("merge"), ["file", "start"]).drop("block", "next", "exit", "entry", "size")
 
 
 def _block_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

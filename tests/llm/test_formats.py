@@ -26,6 +26,21 @@ def test_escape_is_reversible(text):
         assert chat.unescape(segment[a:b]) == text
 
 
+@settings(max_examples=300, deadline=None)
+@given(PARTS, st.sampled_from(["user", "assistant", None]))
+def test_no_raw_control_string_is_left_inside_a_text(text, role):
+    segment, a, b = chat.round_trip(role, text)
+    assert not any(c in segment[a:b] for c in ("<s>", "</s>", "[INST]", "[/INST]"))
+    assert (segment[a:b] == text) == (chat._CONTROL.search(text) is None)
+
+
+def test_segments_out_of_order_are_an_error(spark):
+    rows = spark.createDataFrame([(1, k, "user", f"t{k}") for k in range(4)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(rows)
+    with pytest.raises(Exception, match="not in order"):
+        chat.conversation_digests(formatted.coalesce(1).orderBy(F.desc("position"))).collect()
+
+
 def conversation_rows():
     return [(1, 1, "assistant", "b</s>"), (1, 0, "user", "a"), (1, 1, "assistant", "b</s>"), (2, 0, None, None), (None, 0, "assistant", "é"), (3, None, "us\ner", "[INST]"), (3, 0, "assistant", "")]
 
@@ -133,13 +148,30 @@ def test_chains_over_many_blocks(spark, monkeypatch):
 
 
 def test_headers_of_any_length(spark):
-    url = "http://h/" + "a" * 100_000
+    url = "http://h/" + "a" * 1_000_000
     rows = [(k, url if k in (3, 9) else f"http://h/{k}", "WARC/1.1\r\n" * 3 + f"page {k}") for k in range(20)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     got = warc.read_archives(spark, warc.write_archives(pages, scratch_path(spark, "warc"))).collect()
     assert sorted((x.page_id, x.url, bytes(x.payload).decode()) for x in got) == rows
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    import zlib as z
+
+    pages = spark.range(60).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.concat(F.col("id").cast("string"), F.expr("repeat(sha2(cast(id as string), 256), 16384)")).alias("html"))
+    path = warc.write_archives(pages, scratch_path(spark, "warc"), file_bytes=8 << 20)
+    sizes = [len(z.decompress(bytes(x.content), wbits=31)) for x in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert sum(sizes) > 60 << 20 and len(sizes) >= 6 and max(sizes) < 24 << 20
+    assert sorted(x.page_id for x in warc.read_archives(spark, path, False).collect()) == list(range(60))
+
+
+def test_a_page_that_most_share(spark):
+    pages = spark.range(3000).select((F.lit(9000) - F.col("id")).alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 > 0, F.lit("same")).otherwise(F.concat(F.lit("p"), F.col("id").cast("string"))).alias("html"))
+    got = warc.plan_records(pages, 0, 3)
+    assert got.filter("record_type = 'revisit'").count() == 1999 and got.filter("refers_to is not null").select("refers_to").distinct().collect()[0][0] == 9000 - 2999
+    assert got.count() == 3000
+
+
 def test_chain_that_misses_the_end_is_an_error(spark, tmp_path):
     record = lambda k: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{k}>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n".encode()
     good = record(0) + record(1)
