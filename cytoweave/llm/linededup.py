@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, word_count
+from .common import join_hot, materialise, word_count
 
 #: Words of a repeated run from which on later copies are deleted.
 MIN_WORDS = 50
@@ -56,8 +56,8 @@ def _repeated_lines(docs: DataFrame) -> DataFrame:
     given = docs.select(*_keys(docs), F.posexplode(F.split(docs["text"].cast("string"), "\n", -1)).alias("i", "line"))
     lines = given.select(*_KEY, "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), word_count(F.col("line")).alias("words"))
     groups = lines.groupBy("h1", "h2").agg(F.count("*").alias("size")).filter("size > 1")
-    ranked = materialise(_prefix_sum(groups, [], ["h1", "h2"], F.shiftright("h1", 64 - _RANGE_BITS)).select("h1", "h2", F.col("_before").alias("name")), "names")
-    return lines.join(ranked, ["h1", "h2"]).select(*_KEY, "i", "words", "name").dropDuplicates([*_KEY, "i"])
+    ranked = materialise(_prefix_sum(groups, [], ["h1", "h2"], F.shiftright("h1", 64 - _RANGE_BITS)).select("h1", "h2", "size", F.col("_before").alias("name")), "names")
+    return join_hot(lines, ranked, ["h1", "h2"], "size").select(*_KEY, "i", "words", "name").dropDuplicates([*_KEY, "i"])
 
 
 def _double(names: DataFrame, step: int) -> DataFrame:
@@ -113,8 +113,9 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     if named is None:
         named = windows.select(*_KEY, "a", "b", "n", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
     place = F.struct(*_KEY, "a")
-    intervals = named.groupBy("n", "first", "last").agg(F.min(place).alias("earliest"), F.count("*").alias("_size")).filter("_size > 1").drop("_size")
-    later = named.join(intervals, ["n", "first", "last"]).filter(place > F.col("earliest")).select(*_KEY, "a", "b")
+    named = materialise(named, "named")
+    intervals = named.groupBy("n", "first", "last").agg(F.min(place).alias("earliest"), F.count("*").alias("_size")).filter("_size > 1")
+    later = join_hot(named, materialise(intervals, "intervals"), ["n", "first", "last"], "_size").filter(place > F.col("earliest")).select(*_KEY, "a", "b")
     order = Window.partitionBy(*_KEY).orderBy("a", "b")
     fresh = F.coalesce((F.col("a") > F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(0))
     runs = later.withColumn("_fresh", fresh).withColumn("_run", F.sum("_fresh").over(order)).groupBy(*_KEY, "_run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
