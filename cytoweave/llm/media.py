@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import join_hot, materialise
 from .hashing import U, mix64
 
 UNIT = 64
@@ -114,7 +114,7 @@ class _Codec:
         return self._unpack.decompress(packed)
 
 
-STORE = "doc_id long, _d long, _h long, n_bytes long, digests array<binary>, lengths array<int>, shared boolean, private binary, owned array<struct<digest:binary,body:binary>>"
+STORE = "doc_id long, _d long, _h long, n_bytes long, digests array<binary>, lengths array<int>, shared boolean, private binary, owned array<struct<digest:binary,body:binary,n:long>>"
 
 
 def write_store(docs: DataFrame, path: str) -> str:
@@ -131,7 +131,8 @@ def write_store(docs: DataFrame, path: str) -> str:
     dictionary = spark.sparkContext.broadcast(_dictionary(docs))
     listed = given.mapInPandas(_list_chunks, "_d long, _h long, digests array<binary>").select("_d", "_h", F.posexplode("digests").alias("seq", "digest"))
     shared = listed.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h", "seq")).alias("owner")).filter("n > 1")
-    marks = listed.join(shared, "digest").groupBy("_d", "_h").agg(F.collect_set(F.struct("seq", (F.struct("_d", "_h", "seq") == F.col("owner")).alias("owned"))).alias("marks"))
+    met = join_hot(listed, materialise(shared, "shared"), ["digest"], "n")
+    marks = met.groupBy("_d", "_h").agg(F.collect_set(F.struct("seq", "n", (F.struct("_d", "_h", "seq") == F.col("owner")).alias("owned"))).alias("marks"))
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _Codec(dictionary.value)
@@ -146,9 +147,9 @@ def write_store(docs: DataFrame, path: str) -> str:
                 text = codec.unpack(packed)
                 chunks = _chunks(padded(text))
                 digests = [hashlib.sha256(c).digest() for c in chunks]
-                seen = {m["seq"]: m["owned"] for m in marks} if marks is not None else {}
+                seen = {m["seq"]: (m["owned"], m["n"]) for m in marks} if marks is not None else {}
                 private = b"".join(c for k, c in enumerate(chunks) if k not in seen)
-                owned = [{"digest": digests[k], "body": codec.pack(chunks[k])} for k, own in sorted(seen.items()) if own]
+                owned = [{"digest": digests[k], "body": codec.pack(chunks[k]), "n": n} for k, (own, n) in sorted(seen.items()) if own]
                 rows.append((len(text), digests, [len(c) for c in chunks], bool(seen), codec.pack(private), owned))
             made = pd.DataFrame(rows, columns=["n_bytes", "digests", "lengths", "shared", "private", "owned"])
             yield pd.concat([batch[["doc_id", "_d", "_h"]].astype({"doc_id": "Int64"}).reset_index(drop=True), made], axis=1)
@@ -164,9 +165,9 @@ def _read(spark, path: str, schema: str, finish=None) -> DataFrame:
     """Rebuild payloads from the store; ``finish`` goes on with them in the same task."""
     store = spark.read.schema(STORE).parquet(f"{path}/chunks")
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]))
-    bodies = store.filter("shared").select(F.explode("owned").alias("o")).select("o.digest", "o.body").groupBy("digest").agg(F.first("body").alias("body"))
+    bodies = store.filter("shared").select(F.explode("owned").alias("o")).select("o.*").groupBy("digest").agg(F.first("body").alias("body"), F.max("n").alias("n"))
     wanted = store.filter("shared").select("_d", "_h", F.explode(F.array_distinct("digests")).alias("digest")).distinct()
-    fetched = wanted.join(bodies, "digest").groupBy("_d", "_h").agg(F.collect_list(F.struct("digest", "body")).alias("bodies"))
+    fetched = join_hot(wanted, bodies, ["digest"], "n").groupBy("_d", "_h").agg(F.collect_list(F.struct("digest", "body")).alias("bodies"))
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _Codec(dictionary.value)
