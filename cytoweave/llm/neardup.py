@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 from .components import connected_components
 from .hashing import U, mix32, mix64, shingle_set, text_bytes, word_hashes
 
@@ -120,11 +120,11 @@ def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int
     """
     classes = signed.filter("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     placed = classes.select("class", "n", F.posexplode("bands").alias("band", "value"))
-    buckets = placed.groupBy("band", "value").agg(F.count("*").alias("met")).filter("met > 1")
-    shared = materialise(placed.join(buckets, ["band", "value"]).select("band", "value", "class", "n", "met"), "shared")
+    buckets = materialise(placed.groupBy("band", "value").agg(F.count("*").alias("met")).filter("met > 1"), "buckets")
+    shared = materialise(join_hot(placed, buckets, ["band", "value"], "met").select("band", "value", "class", "n", "met"), "shared")
     standing = shared.groupBy("class").agg(F.sum("met").alias("standing"))
-    leaders = shared.join(standing, "class").groupBy("band", "value").agg(F.max(F.struct("standing", "class", "n")).alias("leader"))
-    members = shared.join(leaders, ["band", "value"]).select("band", "value", "class", "n", F.col("leader.class").alias("leader"), F.col("leader.n").alias("leader_n"))
+    leaders = materialise(shared.join(standing, "class").groupBy("band", "value").agg(F.max(F.struct("standing", "class", "n")).alias("leader"), F.count("*").alias("size")), "leaders")
+    members = join_hot(shared, leaders, ["band", "value"], "size").select("band", "value", "class", "n", F.col("leader.class").alias("leader"), F.col("leader.n").alias("leader_n"))
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     texts = _class_texts(docs, signed, shared)
@@ -132,8 +132,9 @@ def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int
     compared = materialise(_compare(first, texts, width, percent), "compared")
     joined = connected_components(compared.filter("linked"))
     own = members.join(joined, members["class"] == joined["node"], "left").select("band", "value", "class", "n", F.coalesce("component", "class").alias("component"), (F.col("class") == F.col("leader")).alias("leads"))
-    heads = own.filter("leads").select("band", "value", F.col("component").alias("head"))
-    away = materialise(own.join(heads, ["band", "value"]).withColumn("away", F.col("component") != F.col("head")).drop("leads", "head"), "away")
+    own = materialise(own, "own")
+    heads = own.filter("leads").select("band", "value", F.col("component").alias("head")).join(buckets, ["band", "value"])
+    away = materialise(join_hot(own, materialise(heads, "heads"), ["band", "value"], "met").drop("met").withColumn("away", F.col("component") != F.col("head")).drop("leads", "head"), "away")
     mixed = away.filter("away").select("band", "value").distinct()
     sketch = signed.filter("class is not null").groupBy("class").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     places, values = [f"w{k}" for k in range(BITMAP_WORDS)], [f"v{k}" for k in range(bands)]
@@ -183,10 +184,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     signed = materialise(signatures(docs, width, bands, rows), "signatures")
     links = similar_classes(docs, signed, width, percent, bands)
     joined = connected_components(links)
-    rows_ = signed.select("doc_id", "text_hash", "n_shingles", "class").join(joined, F.col("class") == F.col("node"), "left")
-    rows_ = rows_.withColumn("group", F.coalesce("component", "class"))
-    smallest = rows_.filter("group is not null").groupBy("group").agg(F.min("doc_id").alias("_smallest")).withColumnRenamed("group", "_group")
-    found = rows_.join(smallest, F.col("group") == F.col("_group"), "left")
+    sizes = signed.filter("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
+    grouped = materialise(sizes.join(joined, F.col("class") == F.col("node"), "left").select("class", "n", "least", F.coalesce("component", "class").alias("group")), "grouped")
+    smallest = materialise(grouped.groupBy("group").agg(F.min("least").alias("_smallest"), F.count("*").alias("_classes")), "smallest")
+    classes = materialise(join_hot(grouped, smallest, ["group"], "_classes").select("class", "n", "group", "_smallest"), "classes")
+    found = join_hot(signed.select("doc_id", "text_hash", "n_shingles", "class"), classes, ["class"], "n", "left")
     component = F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("_smallest"))
     return found.select("doc_id", "text_hash", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"))
 
