@@ -1,14 +1,17 @@
 """Toxicity by weak supervision.
 
-Many voters (lexicons and patterns) each say "toxic" or stay silent.  A
+Many voters (lexicons and patterns) each say "toxic" or stay silent; where a
+training label is known it is one more voter, which says "toxic" or "other".  A
 generative label model finds, from how often voters fire together over all
-documents and without labels, each voter's rate among toxic and among other
-documents, and which voters are correlated; correlated voters share their say.
-Its posteriors then label the training texts of a linear classifier, which scores
-every document by the words (and beginnings of words) in it.
+documents, each voter's rate among toxic and among other documents, the label's
+accuracy too, and which voters depend on each other: within either class voters
+form a tree of strongest mutual information, and each counts given its parent, so
+voters that always fire together count as one.  The model's posteriors are all
+that a linear classifier is trained on, on labelled and unlabelled texts; it
+scores every document by the words (and beginnings of words) in it.
 
 Labels are used for three things only: which terms make up the lexicons, the
-share of toxic rows, and as one more voter, of stated accuracy, on training texts.
+first guess of the share of toxic rows, and as votes.
 """
 
 from __future__ import annotations
@@ -22,12 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .common import crc_remainder
+from .common import crc_remainder, materialise
 from .hashing import SPACE, U, text_bytes
 
 HELD_OUT = (5, 0)
-#: Labelled documents that the lexicons and the classifier are fitted on at most.
-TRAIN_ROWS = 16_000
+#: Labelled documents that the lexicons and the classifier are fitted on at most, and further documents without label that the classifier is fitted on at most.
+TRAIN_ROWS, MORE_ROWS = 16_000, 8_000
 #: Terms of the learned lexicon at most; lexicon voters that its words and its word beginnings are dealt to.
 LEXICON_TERMS = 4_000
 WORD_VOTERS, BEGINNING_VOTERS = 4, 2
@@ -37,8 +40,6 @@ MIN_ODDS = 30
 MIN_GAIN = 15.0
 BITS = 20
 ACCEPT = 0.5
-#: How often a label is taken to be right when it votes.
-LABEL_ACCURACY = 0.98
 #: Common English insults: the lexicon that needs no labels.
 SEED_LEXICON = ("idiot", "moron", "stupid", "dumb", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "fool", "imbecile", "filth", "vermin")
 VOTERS = (*(f"words_{k}" for k in range(WORD_VOTERS)), *(f"beginnings_{k}" for k in range(BEGINNING_VOTERS)), "seed", "seed_twice", "two_words", "word_and_beginning", "shouting", "exclaiming")
@@ -108,47 +109,89 @@ def votes(data: np.ndarray, lexicon: Lexicon) -> int:
     return sum(1 << k for k, x in enumerate(fired) if x)
 
 
+#: What a label says: nothing, other, toxic.
+UNKNOWN, OTHER, TOXIC = 0, 1, 2
+
+
 @dataclass
 class LabelModel:
-    """Posterior of toxic for each pattern of votes, with what it rests on."""
+    """Posterior of toxic for each pattern of votes (rows) and label (columns), with what it rests on.
+
+    ``label_right`` is how often the label says so: of toxic, of other documents;
+    ``parent`` is each voter's parent in the tree (-1: none).
+    """
 
     posterior: np.ndarray
     rate_toxic: np.ndarray
     rate_other: np.ndarray
-    correlation: np.ndarray
-
-
-def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 30) -> LabelModel:
-    """Expectation maximisation over counts of vote patterns (at most 2^voters).
-
-    Every few rounds the correlations of voters given the label are taken from
-    the residuals; a voter's evidence is divided by one plus its correlations
-    with others, so voters that always fire together count as one.
+    label_right: tuple[float, float]
+    parent: np.ndarray
+
+
+def _tree(joint: list[np.ndarray], totals: list[float]) -> np.ndarray:
+    """Parents in the spanning tree of most mutual information between voters given the class."""
+    m = len(joint[0])
+    info = np.zeros((m, m))
+    for both, total in zip(joint, totals, strict=True):
+        total = max(total, 1e-9)
+        one = np.diag(both)
+        for vi in (0, 1):
+            for vj in (0, 1):
+                pi, pj = (one if vi else total - one) / total, (one if vj else total - one) / total
+                cell = both if vi and vj else one[:, None] - both if vi else one[None, :] - both if vj else total - one[:, None] - one[None, :] + both
+                p = np.clip(cell / total, 0, 1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    info += np.nan_to_num(np.where(p > 1e-12, p * np.log(p / np.maximum(pi[:, None] * pj[None, :], 1e-12)), 0.0)) * total
+    parent, inside = np.full(m, -1), [0]
+    while len(inside) < m:
+        outside = [k for k in range(m) if k not in inside]
+        k, p = max(((k, p) for k in outside for p in inside), key=lambda e: (info[e], -e[0], -e[1]))
+        parent[k] = p
+        inside.append(k)
+    return parent
+
+
+def fit_label_model(patterns: np.ndarray, labels: np.ndarray, counts: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
+    """Expectation maximisation over counts of (vote pattern, label), at most 3 * 2^voters.
+
+    The class-conditional tree is found anew in each round; its tables are
+    smoothed towards the voter's own rate.
     """
     m = len(VOTERS)
-    x = ((patterns[:, None] >> np.arange(m)) & 1).astype(float)
-    n = counts.astype(float)
-    prior = min(max(prior, 1e-4), 0.5)
-    a, b = np.full(m, 0.4), np.full(m, 0.02)
-    a[-2:], b[-2:] = 0.1, 0.1  # style voters: no view before the data
-    share, corr = np.ones(m), np.eye(m)
-
-    def evidence(v: np.ndarray) -> np.ndarray:
-        return (v * np.log(a / b) + (1 - v) * np.log((1 - a) / (1 - b))) @ share + np.log(prior / (1 - prior))
-
-    for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(evidence(x), -30, 30)))
-        w1, w0 = n * p, n * (1 - p)
-        a = np.clip((w1 @ x + 0.4) / (w1.sum() + 1), 1e-3, 0.999)
-        b = np.clip((w0 @ x + 0.01) / (w0.sum() + 1), 1e-5, 0.999)
-        if k % 5 == 4:
-            cov = sum(((x - mu) * w[:, None]).T @ (x - mu) for mu, w in ((a, w1), (b, w0))) / n.sum()
-            sd = np.sqrt(np.clip(np.diag(cov), 1e-9, None))
-            corr = np.clip(cov / np.outer(sd, sd), 0, 1)
-            strong = np.where(corr > 0.2, corr, 0)
-            share = 1 / (1 + strong.sum(axis=1) - np.diag(strong))
-    everything = ((np.arange(1 << m)[:, None] >> np.arange(m)) & 1).astype(float)
-    return LabelModel(1 / (1 + np.exp(-np.clip(evidence(everything), -30, 30))), a, b, corr)
+    bits = lambda p: ((p[:, None] >> np.arange(m)) & 1).astype(float)
+    x, n = bits(patterns), counts.astype(float)
+    share = min(max(prior, 1e-4), 0.5)
+    rates = [np.full(m, 0.02), np.full(m, 0.4)]
+    for r in rates:  # style voters: no view before the data
+        r[-2:] = 0.1
+    parent, given, right = np.full(m, -1), [np.stack([r, r]) for r in rates], [0.9, 0.9]
+
+    def evidence(v: np.ndarray, label: np.ndarray) -> np.ndarray:
+        up = np.where(parent >= 0, v[:, parent], 0).astype(int)
+        total = np.full(len(v), np.log(share / (1 - share)))
+        for sign, tables in ((-1, given[0]), (1, given[1])):
+            p = tables[up, np.arange(m)]
+            total += sign * (v * np.log(p) + (1 - v) * np.log(1 - p)).sum(axis=1)
+        told = np.array([0.0, np.log((1 - right[1]) / right[0]), np.log(right[1] / (1 - right[0]))])
+        return np.clip(total + told[label], -30, 30)
+
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-evidence(x, labels)))
+        weights = [n * (1 - p), n * p]
+        share = min(max(weights[1].sum() / max(n.sum(), 1e-9), 1e-4), 0.5)
+        joint = [(x * w[:, None]).T @ x for w in weights]
+        parent = _tree(joint, [w.sum() for w in weights])
+        for y, w in enumerate(weights):
+            rates[y] = np.clip((np.diag(joint[y]) + (0.4 if y else 0.01)) / (w.sum() + 1), 1e-5 if not y else 1e-3, 0.999)
+            one, up = np.diag(joint[y]), np.maximum(parent, 0)
+            fired = joint[y][np.arange(m), up]
+            on, off = (fired + 2 * rates[y]) / (one[up] + 2), (one - fired + 2 * rates[y]) / (w.sum() - one[up] + 2)
+            given[y] = np.clip(np.where(parent >= 0, np.stack([off, on]), rates[y]), 1e-5, 0.9999)
+            said = (w * (labels == (TOXIC if y else OTHER))).sum()
+            right[y] = float(np.clip((said + 9) / ((w * (labels != UNKNOWN)).sum() + 10), 0.5, 0.999))
+    everything = bits(np.arange(1 << m))
+    post = [1 / (1 + np.exp(-evidence(everything, np.full(len(everything), k)))) for k in (UNKNOWN, OTHER, TOXIC)]
+    return LabelModel(np.stack(post, axis=1), rates[1], rates[0], (right[1], right[0]), parent)
 
 
 @dataclass
@@ -158,34 +201,37 @@ class ToxicityModel:
     classifier: linear.LinearModel
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> ToxicityModel:
-    """Fit on labels of rows whose crc32(doc_id) mod 5 is not 0, at most ``train_rows``.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, more_rows: int = MORE_ROWS) -> ToxicityModel:
+    """Fit on labels of rows whose crc32(doc_id) mod 5 is not 0.
 
-    Votes are counted over all documents.
+    Lexicons come from at most ``train_rows`` labelled documents; votes are
+    counted over all documents; the classifier is trained on the posteriors of
+    the labelled ones and of at most ``more_rows`` others that aren't held out.
     """
     modulus, held = HELD_OUT
     spark = docs.sparkSession
-    sample = linear.labelled_sample(docs, labels, "toxic", crc_remainder(F.col("doc_id"), modulus) != held, train_rows, 1)
+    learnable = crc_remainder(F.col("doc_id"), modulus) != held
+    sample = materialise(linear.labelled_sample(docs, labels, "toxic", learnable, train_rows, 1), "labelled")
     lexicon = learn_lexicon(sample)
     shared = spark.sparkContext.broadcast(lexicon)
 
     def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            pattern, n = np.unique([votes(text_bytes(t), shared.value) for t in batch["text"]], return_counts=True)
-            yield pd.DataFrame({"pattern": pattern.astype(np.int64), "n": n.astype(np.int64)})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "pattern": np.array([votes(text_bytes(t), shared.value) for t in batch["text"]], np.int64)})
 
-    texts = docs.select(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    counted = texts.mapInPandas(vote, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
+    said = linear.known_labels(labels, "toxic", learnable).select(F.col("doc_id").cast("long").alias("_id"), F.when(F.col("y") >= 0.5, TOXIC).otherwise(OTHER).alias("label"))
+    voted = texts.mapInPandas(vote, "doc_id long, pattern long")
+    counted = voted.join(said, F.col("doc_id") == F.col("_id"), "left").groupBy("pattern", F.coalesce("label", F.lit(UNKNOWN)).alias("label")).agg(F.count("*").alias("n")).orderBy("pattern", "label").toPandas()
     prior = sample.agg(F.avg("y")).first()[0]
-    model = fit_label_model(counted["pattern"].to_numpy(np.int64), counted["n"].to_numpy(), prior or 1e-4)
+    model = fit_label_model(counted["pattern"].to_numpy(np.int64), counted["label"].to_numpy(np.int64), counted["n"].to_numpy(), prior or 1e-4)
     posterior = model.posterior
 
     def soft(data: np.ndarray, label: float) -> float:
-        p = min(max(float(posterior[votes(data, shared.value)]), 1e-9), 1 - 1e-9)
-        told = LABEL_ACCURACY if label >= 0.5 else 1 - LABEL_ACCURACY
-        return p * told / (p * told + (1 - p) * (1 - told))
+        return float(posterior[votes(data, shared.value), UNKNOWN if label != label else TOXIC if label >= 0.5 else OTHER])
 
-    classifier = linear.fit(sample, linear.term_features, label=soft, bits=BITS, alpha=0.3, l1=1.0, l2=0.5, epochs=2)
+    more = linear.unlabelled_sample(docs, labels, "toxic", learnable, more_rows, 2)
+    classifier = linear.fit(sample.unionByName(more), linear.term_features, label=soft, bits=BITS, alpha=0.3, l1=1.0, l2=0.5, epochs=2)
     return ToxicityModel(lexicon, model, classifier)
 
 

@@ -175,7 +175,7 @@ def test_toxicity_on_held_out_rows(spark):
     scored = toxicity.score_toxicity(d, model).cache()
     assert accuracy(scored, labels, "toxic", toxicity.ACCEPT, *toxicity.HELD_OUT) > 0.95
     assert scored.count() == d.count() and len({x.score for x in scored.filter("doc_id in (9000, 9001)").collect()}) == 1
-    assert model.label_model.posterior[0] < 0.5
+    assert model.label_model.posterior[0, toxicity.UNKNOWN] < 0.5
     assert toxicity.score_toxicity(d.filter("false"), model).count() == 0
 
 
@@ -186,11 +186,26 @@ def test_classifiers_without_labels(spark):
     assert toxicity.score_toxicity(d, toxicity.fit_toxicity(d, none)).count() == d.count()
 
 
-def test_correlated_voters_share_their_say():
-    m = len(toxicity.VOTERS)
-    patterns, counts = np.array([0, 0b11, 1 << 6]), np.array([900, 60, 40])
-    model = toxicity.fit_label_model(patterns, counts, 0.1)
-    assert model.posterior.shape == (1 << m,) and model.posterior[0] < 0.5 < model.posterior[0b11]
+def test_label_model_finds_rates_and_dependence():
+    """Rows drawn from a known model: rates, label accuracy and a copied voter are found without the truth."""
+    rng, m, n = np.random.default_rng(4), len(toxicity.VOTERS), 60_000
+    toxic = rng.random(n) < 0.15
+    hit, false = np.linspace(0.35, 0.8, m), np.linspace(0.002, 0.02, m)
+    x = rng.random((n, m)) < np.where(toxic[:, None], hit, false)
+    x[:, 1] = x[:, 0]  # one voter is another's copy
+    label = np.where(rng.random(n) < 0.3, np.where(toxic ^ (rng.random(n) < 0.06), toxicity.TOXIC, toxicity.OTHER), toxicity.UNKNOWN)
+    rows, counts = np.unique(np.stack([(x * (1 << np.arange(m))).sum(axis=1), label], axis=1), axis=0, return_counts=True)
+    model = toxicity.fit_label_model(rows[:, 0], rows[:, 1], counts, 0.3)
+    rates = np.where(np.arange(m) == 1, hit[0], hit)
+    assert np.abs(model.rate_toxic - rates).max() < 0.03 and np.abs(model.rate_other[2:] - false[2:]).max() < 0.01
+    assert abs(model.label_right[0] - 0.94) < 0.02 and abs(model.label_right[1] - 0.94) < 0.02
+    assert model.parent[1] == 0 or model.parent[0] == 1
+    # the posterior of each pattern is that of the true model, in which a copy says nothing new
+    free = np.delete(np.arange(m), 1)
+    logit = np.log(0.15 / 0.85) + (x[:, free] * np.log(hit[free] / false[free]) + ~x[:, free] * np.log((1 - hit[free]) / (1 - false[free]))).sum(axis=1)
+    told = np.select([label == toxicity.TOXIC, label == toxicity.OTHER], [np.log(0.94 / 0.06), np.log(0.06 / 0.94)], 0.0)
+    got = model.posterior[(x * (1 << np.arange(m))).sum(axis=1), label]
+    assert np.abs(got - 1 / (1 + np.exp(-(logit + told)))).mean() < 0.01
 
 
 def test_sample_is_bounded(spark):
