@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fold
+
 
 def intersections(a: DataFrame, b: DataFrame, place: Sequence[str], key: Sequence[str] = ("frame_id",)) -> DataFrame:
     """(key, ta, tb, n, area_a, area_b): pairs of objects that share places, with counts.
@@ -39,22 +41,29 @@ def box_overlaps(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def greedy_match(pairs: DataFrame, key: Sequence[str] = ("frame_id",)) -> DataFrame:
-    """Best pairs first, each side used once: (key, ta, tb, iou).
+    """Best pairs first, each side used once: (key, ta, tb, iou); of equals the lowest ta, then tb.
 
-    Frames are matched apart; a frame's pairs are one group.
+    Pairs of a frame stand in order in one partition and are walked once; only a
+    frame's claimed objects are kept at hand.
     """
-    schema = ", ".join(f"{k} {dict(pairs.dtypes)[k]}" for k in key) + ", ta long, tb long, iou double"
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen_a, seen_b, out = set(), set(), []
-        for row in pdf.sort_values(["iou", "ta", "tb"], ascending=[False, True, True]).itertuples(index=False):
-            if row.iou > 0 and row.ta not in seen_a and row.tb not in seen_b:
-                seen_a.add(row.ta)
-                seen_b.add(row.tb)
-                out.append((*[getattr(row, k) for k in key], row.ta, row.tb, row.iou))
-        return pd.DataFrame(out, columns=[*key, "ta", "tb", "iou"])
-
-    return pairs.select(*key, F.col("ta").cast("long").alias("ta"), F.col("tb").cast("long").alias("tb"), F.col("iou").cast("double").alias("iou")).groupBy(*key).applyInPandas(match, schema)
+    names = dict(pairs.dtypes)
+    schema = ", ".join(f"{k} {names[k]}" for k in key) + ", ta long, tb long, iou double"
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, seen_a, seen_b = None, set(), set()
+        for batch in batches:
+            keep = []
+            for k, (frame, ta, tb) in enumerate(zip(zip(*[batch[c] for c in key], strict=True), batch["ta"], batch["tb"], strict=True)):
+                if frame != now:
+                    now, seen_a, seen_b = frame, set(), set()
+                if ta not in seen_a and tb not in seen_b:
+                    seen_a.add(ta)
+                    seen_b.add(tb)
+                    keep.append(k)
+            yield batch.iloc[keep]
+
+    rows = pairs.select(*key, F.col("ta").cast("long").alias("ta"), F.col("tb").cast("long").alias("tb"), F.col("iou").cast("double").alias("iou")).filter("iou > 0")
+    return fold.deal(rows, key, [F.desc("iou"), "ta", "tb"]).mapInPandas(walk, schema)
 
 
 def mutual_best(pairs: DataFrame, key: Sequence[str] = ("frame_id",)) -> DataFrame:
@@ -70,21 +79,33 @@ def drop_adjacent_duplicates(pairs: DataFrame, cells: DataFrame, threshold: floa
 
 
 def assign(score: np.ndarray) -> list[int]:
-    """Column of each row in the one-to-one assignment of largest total (Hungarian, rows <= columns padded); -1: none."""
+    """Column of each row in the one-to-one assignment of largest total; -1: none.
+
+    If the best columns of the rows differ (or the best rows of the columns), they
+    are the assignment; only otherwise augmenting paths are searched, over the
+    shorter side.
+    """
     n, m = score.shape
     if not n or not m:
         return [-1] * n
-    size = max(n, m)
-    cost = np.zeros((size + 1, size + 1))
-    cost[1 : n + 1, 1 : m + 1] = -score
-    u, v, match, way = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1, int), np.zeros(size + 1, int)
-    for i in range(1, size + 1):
+    if n > m:
+        out = [-1] * n
+        for col, row in enumerate(assign(score.T)):
+            if row >= 0:
+                out[row] = col
+        return out
+    best = score.argmax(axis=1).tolist()
+    if len(set(best)) == n:
+        return best
+    cost = -score
+    u, v = np.zeros(n + 1), np.zeros(m + 1)
+    match, way = np.zeros(m + 1, int), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
         match[0], j0 = i, 0
-        low, used = np.full(size + 1, np.inf), np.zeros(size + 1, bool)
-        while True:
+        low, used = np.full(m + 1, np.inf), np.zeros(m + 1, bool)
+        while match[j0]:
             used[j0] = True
-            i0 = match[j0]
-            reduced = cost[i0, 1:] - u[i0] - v[1:]
+            reduced = cost[match[j0] - 1] - u[match[j0]] - v[1:]
             better = ~used[1:] & (reduced < low[1:])
             low[1:][better], way[1:][better] = reduced[better], j0
             j1 = int(np.where(used[1:], np.inf, low[1:]).argmin()) + 1
@@ -93,13 +114,11 @@ def assign(score: np.ndarray) -> list[int]:
             v[used] -= delta
             low[~used] -= delta
             j0 = j1
-            if match[j0] == 0:
-                break
         while j0:
             match[j0], j0 = match[way[j0]], way[j0]
     out = [-1] * n
     for j in range(1, m + 1):
-        if 1 <= match[j] <= n:
+        if match[j]:
             out[match[j] - 1] = j - 1
     return out
 
@@ -120,20 +139,32 @@ def average_precision(curve: DataFrame, key: Sequence[str]) -> DataFrame:
 
 
 def claim_hits(pairs: DataFrame, predictions: DataFrame, threshold: float) -> DataFrame:
-    """(frame_id, tb, hit): predictions by falling confidence take their best unclaimed truth above the threshold."""
-
-    def claim(key: tuple, preds: pd.DataFrame, met: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        near = {t: g.sort_values(["iou", "ta"], ascending=[False, True]) for t, g in met.groupby("tb")}
-        for p in preds.sort_values(["p", "tb"], ascending=[False, True]).itertuples(index=False):
-            hit = next((t for t, v in zip(near[p.tb]["ta"], near[p.tb]["iou"], strict=True) if v > threshold and t not in taken), None) if p.tb in near else None
-            taken.add(hit)
-            out.append((key[0], p.tb, int(hit is not None)))
-        return pd.DataFrame(out, columns=["frame_id", "tb", "hit"])
-
-    # new names for the columns of both sides, as they may stem from one table
-    left, right = predictions.toDF(*predictions.columns), pairs.toDF(*pairs.columns)
-    return left.groupBy("frame_id").cogroup(right.groupBy("frame_id")).applyInPandas(claim, "frame_id long, tb long, hit int")
+    """(frame_id, tb, hit): predictions by falling confidence take their best unclaimed truth above the threshold.
+
+    Each prediction brings its truths along; a frame's rows are walked in order
+    and only the claimed truths are kept at hand.
+    """
+    met = pairs.filter(F.col("iou") > threshold).select("frame_id", "tb", "ta", "iou")
+    rows = predictions.select("frame_id", "tb", "p").join(met, ["frame_id", "tb"], "left").select(F.col("frame_id").cast("long").alias("frame_id"), F.col("tb").cast("long").alias("tb"), "p", F.coalesce(F.col("ta").cast("long"), F.lit(-1)).alias("ta"), "iou")
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        frame, pred, hit, taken = None, None, 0, set()
+        for batch in batches:
+            out = []
+            for f, t, truth in zip(batch["frame_id"], batch["tb"], batch["ta"], strict=True):
+                if (f, t) != (frame, pred):
+                    if pred is not None:
+                        out.append((frame, pred, hit))
+                    taken = taken if f == frame else set()
+                    frame, pred, hit = f, t, 0
+                if not hit and truth >= 0 and truth not in taken:
+                    hit = 1
+                    taken.add(truth)
+            yield pd.DataFrame(out, columns=["frame_id", "tb", "hit"])
+        if pred is not None:
+            yield pd.DataFrame([(frame, pred, hit)], columns=["frame_id", "tb", "hit"])
+
+    return fold.deal(rows, ["frame_id"], [F.desc("p"), "tb", F.desc("iou"), "ta"]).mapInPandas(walk, "frame_id long, tb long, hit int")
 
 
 def dice(p: Column, t: Column) -> Column:

@@ -6,13 +6,15 @@ operators scale with the number of pixels.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import fold
+
 CROSS = ((0, 0), (-1, 0), (1, 0), (0, -1), (0, 1))
 SQUARE = tuple((dr, dc) for dr in (-1, 0, 1) for dc in (-1, 0, 1))
 KEYS = ("frame_id", "cell")
@@ -96,57 +98,98 @@ def border(h: int, w: int) -> Column:
     return F.col("r").isin(0, h - 1) | F.col("c").isin(0, w - 1)
 
 
-def _label(r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:
-    """Component of each pixel, 1.. in raster order, by union-find."""
-    place = {p: k for k, p in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-    parent = list(range(len(place)))
-
-    def root(k: int) -> int:
-        while parent[k] != k:
-            parent[k] = parent[parent[k]]
-            k = parent[k]
-        return k
-
-    ahead = ((0, 1), (1, 0), (1, 1), (1, -1)) if eight else ((0, 1), (1, 0))
-    for (y, x), k in place.items():
-        for dy, dx in ahead:
-            other = place.get((y + dy, x + dx))
-            if other is not None:
-                a, b = root(k), root(other)
-                parent[max(a, b)] = min(a, b)
-    roots = np.array([root(place[p]) for p in zip(r.tolist(), c.tolist(), strict=True)])
-    order: dict[int, int] = {}
-    for k in np.lexsort((c, r)):
-        order.setdefault(int(roots[k]), len(order) + 1)
-    return np.array([order[int(k)] for k in roots], np.int32)
+def label_pixels(group: np.ndarray, r: np.ndarray, c: np.ndarray, eight: bool) -> np.ndarray:
+    """Component of each pixel, counted from 1 in raster order within its group; rows sorted by (group, r, c).
+
+    Pixels are hooked to the smallest neighbour and paths are halved, for all
+    groups at once.
+    """
+    n = len(r)
+    if not n:
+        return np.zeros(0, np.int32)
+    wide, high = int(c.max() - c.min()) + 3, int(r.max() - r.min()) + 3
+    code = (group.astype(np.int64) * high + (r - r.min() + 1)) * wide + (c - c.min() + 1)
+    left, right = [], []
+    for dr, dc in ((0, 1), (1, 0), (1, 1), (1, -1)) if eight else ((0, 1), (1, 0)):
+        at = np.searchsorted(code, code + dr * wide + dc)
+        there = code[np.minimum(at, n - 1)] == code + dr * wide + dc
+        left.append(np.flatnonzero(there))
+        right.append(at[there])
+    a, b = np.concatenate(left), np.concatenate(right)
+    top = np.arange(n)
+    while len(a):
+        lo, hi = np.minimum(top[a], top[b]), np.maximum(top[a], top[b])
+        np.minimum.at(top, hi, lo)
+        while not np.array_equal(top, above := top[top]):
+            top = above
+        apart = top[a] != top[b]
+        a, b = a[apart], b[apart]
+    roots, rank = np.unique(top, return_inverse=True)
+    first = np.searchsorted(roots, fold.starts(group))  # the first pixel of a group is a root
+    per_group = np.searchsorted(fold.starts(group), np.arange(n), side="right") - 1
+    return (rank - first[per_group] + 1).astype(np.int32)
 
 
 def components(mask: DataFrame, connectivity: int = 2) -> DataFrame:
     """(frame_id, cell, r, c): connected components of each frame (connectivity 1: four, 2: eight neighbours)."""
 
     def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.drop_duplicates(["r", "c"]).sort_values(["r", "c"])
-        return pdf.assign(cell=_label(pdf["r"].to_numpy(), pdf["c"].to_numpy(), connectivity == 2))[["frame_id", "cell", "r", "c"]]
-
-    return mask.select("frame_id", "r", "c").groupBy("frame_id").applyInPandas(label, "frame_id long, cell int, r int, c int")
+        pdf = pdf.drop_duplicates(ignore_index=True)
+        group = pd.factorize(pdf["frame_id"])[0]
+        return pdf.assign(cell=label_pixels(group, pdf["r"].to_numpy(), pdf["c"].to_numpy(), connectivity == 2))[["frame_id", "cell", "r", "c"]]
+
+    return fold.in_groups(mask.select("frame_id", "r", "c"), ["frame_id"], ["r", "c"], label, "frame_id long, cell int, r int, c int")
+
+
+def _fill(masks: np.ndarray) -> np.ndarray:
+    """Masks (object, r, c) with the background parts that don't touch the border filled."""
+    g, r, c = np.nonzero(~masks)
+    part = label_pixels(g, r, c, False).astype(np.int64)
+    code = g * (masks.shape[1] * masks.shape[2] + 1) + part
+    rim = (r == 0) | (r == masks.shape[1] - 1) | (c == 0) | (c == masks.shape[2] - 1)
+    hole = ~np.isin(code, np.unique(code[rim]))
+    out = masks.copy()
+    out[g[hole], r[hole], c[hole]] = True
+    return out
+
+
+def _by_object(pdf: pd.DataFrame, h: int, w: int, change: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+    """``change`` of the dense masks of a block's objects, some at a time."""
+    pdf = pdf.reset_index(drop=True)
+    first = fold.starts(pdf["frame_id"].to_numpy(), pdf["cell"].to_numpy())
+    which = np.searchsorted(first, np.arange(len(pdf)), side="right") - 1
+    step, parts = max(1, (1 << 22) // (h * w)), []
+    for k in range(0, len(first), step):
+        rows = (which >= k) & (which < k + step)
+        masks = np.zeros((min(step, len(first) - k), h, w), bool)
+        masks[which[rows] - k, pdf["r"][rows], pdf["c"][rows]] = True
+        g, r, c = np.nonzero(change(masks))
+        at = first[g + k]
+        parts.append(pd.DataFrame({"frame_id": pdf["frame_id"].to_numpy()[at], "cell": pdf["cell"].to_numpy()[at], "r": r.astype(np.int32), "c": c.astype(np.int32)}))
+    return pd.concat(parts, ignore_index=True)
 
 
 def fill_holes(mask: DataFrame, h: int, w: int) -> DataFrame:
     """Each object with its holes: background parts (four neighbours) that don't touch the border."""
+    return fold.in_groups(mask.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], [], lambda pdf: _by_object(pdf, h, w, _fill), "frame_id long, cell int, r int, c int")
+
+
+def fill_bordered(mask: DataFrame, h: int, w: int) -> DataFrame:
+    """Objects that the frame cuts off, filled: the border acts as an edge.
+
+    No object is taken to meet opposing borders, so holes are filled twice, with
+    the top, bottom and left sides set and then with the top, bottom and right.
+    """
+
+    def fill(masks: np.ndarray) -> np.ndarray:
+        walled = np.pad(masks, ((0, 0), (1, 1), (1, 1)))
+        walled[:, [0, -1], :] = True
+        walled[:, :, 0] = True
+        walled = _fill(walled)
+        walled[:, :, 0], walled[:, :, -1] = False, True
+        return _fill(walled)[:, 1:-1, 1:-1]
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = np.zeros((h, w), bool)
-        grid[pdf["r"], pdf["c"]] = True
-        r, c = np.nonzero(~grid)
-        if len(r):
-            part = _label(r, c, False)
-            outside = set(part[(r == 0) | (r == h - 1) | (c == 0) | (c == w - 1)].tolist())
-            hole = ~np.isin(part, list(outside))
-            grid[r[hole], c[hole]] = True
-        r, c = np.nonzero(grid)
-        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "cell": pdf["cell"].iloc[0], "r": r.astype(np.int32), "c": c.astype(np.int32)})
-
-    return mask.groupBy("frame_id", "cell").applyInPandas(fill, "frame_id long, cell int, r int, c int")
+    return fold.in_groups(mask.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], [], lambda pdf: _by_object(pdf, h, w, fill), "frame_id long, cell int, r int, c int")
 
 
 def crop_to_box(mask: DataFrame, pad: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fold
 from .match import assign
+from .tables import stored
 
 
 def with_steps(objects: DataFrame) -> DataFrame:
@@ -40,66 +42,112 @@ def blend(main: Column, backup: Column, low: float = 0.1, high: float = 0.9) ->
     return F.when((main > low) & (main < high), F.greatest(main, backup)).otherwise(main)
 
 
-def link_frames(window: list[dict[int, tuple]], now: list[tuple], score: Callable[[tuple, tuple], float], max_label: int, threshold: float, compat_restart: bool = False) -> tuple[list[int], int]:
+Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
+
+def link_frames(window: list[tuple[np.ndarray, np.ndarray]], now: np.ndarray, score: Score, max_label: int, threshold: float, compat_restart: bool = False, reduce: np.ufunc = np.maximum) -> tuple[np.ndarray, int]:
     """Labels of the objects of one frame: best total score against the frames of the window.
 
-    ``window``: label -> features of each earlier frame.  A label's score is its
-    best over the window.  Links above the threshold keep the label, all other
-    objects get new ones.
+    ``window``: labels and features of each earlier frame.  A label's score is
+    that of its frames put together by ``reduce`` (maximum unless told otherwise;
+    np.minimum and np.add are others).  Links above the threshold keep the label,
+    all other objects get new ones.
     """
-    known = sorted({label for frame in window for label in frame})
-    if not now:
-        return [], max_label
-    labels = [0] * len(now)
-    if known:
-        table = np.array([[max((score(frame[k], o) for frame in window if k in frame), default=0.0) for o in now] for k in known])
-        for row, col in enumerate(assign(table)):
-            if col >= 0 and table[row, col] > threshold:
-                labels[col] = known[row]
-        restart = max_label + 1
-    else:
-        restart = max_label if compat_restart and max_label else max_label + 1
-    for k in range(len(now)):
-        if not labels[k]:
-            labels[k] = restart
-            restart += 1
-    return labels, max(max_label, restart if not known and compat_restart and max_label else restart - 1)
-
-
-def gaussian_score(scale: Sequence[float]) -> Callable[[tuple, tuple], float]:
-    """exp(-half the squared distance in units of ``scale``)."""
-    return lambda a, b: math.exp(-0.5 * sum(((p - q) / s) ** 2 for p, q, s in zip(a, b, scale, strict=True)))
-
-
-def track(objects: DataFrame, features: Sequence[str] = ("x", "y"), scale: Sequence[float] = (50.0, 20000.0), depth: int = 3, threshold: float = 0.5, compat_restart: bool = False) -> DataFrame:
+    n = len(now)
+    labels = np.zeros(n, np.int64)
+    if not n:
+        return labels, max_label
+    window = [frame for frame in window if len(frame[0])]
+    restart = max_label + 1
+    if window:
+        known, row = np.unique(np.concatenate([frame[0] for frame in window]), return_inverse=True)
+        every = score(np.concatenate([frame[1] for frame in window]), now)
+        order = np.argsort(row, kind="stable")
+        table = reduce.reduceat(every[order], np.searchsorted(row[order], np.arange(len(known))), axis=0)
+        for k, col in enumerate(assign(table)):
+            if col >= 0 and table[k, col] > threshold:
+                labels[col] = known[k]
+    elif compat_restart and max_label:
+        restart = max_label
+    fresh = np.flatnonzero(labels == 0)
+    labels[fresh] = restart + np.arange(len(fresh))
+    if compat_restart and max_label and not window:
+        return labels, restart + len(fresh)
+    return labels, max(max_label, restart + len(fresh) - 1)
+
+
+def gaussian_score(scale: Sequence[float]) -> Score:
+    """exp(-half the squared distance in units of ``scale``) of each pair of rows."""
+    unit = np.asarray(scale, float)
+    return lambda a, b: np.exp(-0.5 * (((a[:, None, :] - b[None, :, :]) / unit) ** 2).sum(axis=2))
+
+
+def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Whole frames, one after the other, of batches sorted by (series, tp)."""
+    kept: list[pd.DataFrame] = []
+    for batch in batches:
+        first = [*fold.starts(batch["series"].to_numpy(), batch["tp"].to_numpy()), len(batch)]
+        for a, b in zip(first, first[1:], strict=False):
+            part = batch.iloc[a:b]
+            if kept and (kept[-1]["series"].iloc[-1] != part["series"].iloc[0] or kept[-1]["tp"].iloc[-1] != part["tp"].iloc[0]):
+                yield pd.concat(kept) if len(kept) > 1 else kept[0]
+                kept = []
+            kept.append(part)
+    if kept:
+        yield pd.concat(kept) if len(kept) > 1 else kept[0]
+
+
+def _gathered(parts: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
+    """Small frames put together, so that a batch holds many."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+def track(objects: DataFrame, features: Sequence[str] = ("x", "y"), scale: Sequence[float] = (50.0, 20000.0), depth: int = 3, threshold: float = 0.5, compat_restart: bool = False, reduce: np.ufunc = np.maximum) -> DataFrame:
     """(series, tp, cell, label): objects linked frame by frame; labels count from 1 in each series.
 
-    A series is one group, folded in order of time; only the frames of the window
-    are kept at hand.
+    The rows of a series stand in order of time in one partition and stream
+    through; only the frames of the window are kept at hand, however long the
+    series is.
     """
-    score = gaussian_score(scale)
+    score, names = gaussian_score(scale), list(features)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        window, top, out = [], 0, []
-        for tp, frame in pdf.sort_values(["tp", "cell"]).groupby("tp", sort=True):
-            now = list(frame[list(features)].itertuples(index=False, name=None))
-            labels, top = link_frames(window[-depth:], now, score, top, threshold, compat_restart)
-            window = [*window, dict(zip(labels, now, strict=True))][-depth:]
-            out.append(pd.DataFrame({"series": frame["series"], "tp": tp, "cell": frame["cell"], "label": labels}))
-        return pd.concat(out)
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, window, top = None, [], 0
+        for frame in _frames(batches):
+            if frame["series"].iloc[0] != series:
+                series, window, top = frame["series"].iloc[0], [], 0
+            now = frame[names].to_numpy(float)
+            labels, top = link_frames(window, now, score, top, threshold, compat_restart, reduce)
+            window = [*window, (labels, now)][-depth:]
+            yield pd.DataFrame({"series": frame["series"].to_numpy(), "tp": frame["tp"].to_numpy(), "cell": frame["cell"].to_numpy(), "label": labels})
 
-    return objects.select("series", "tp", "cell", *features).groupBy("series").applyInPandas(fold, "series long, tp int, cell int, label int")
+    rows = objects.select(F.col("series").cast("long").alias("series"), F.col("tp").cast("int").alias("tp"), F.col("cell").cast("int").alias("cell"), *names)
+    return fold.deal(rows, ["series"], ["tp", "cell"]).mapInPandas(lambda batches: _gathered(step(batches)), "series long, tp int, cell int, label int")
 
 
 def balance(prev: Sequence[float], now: Sequence[float], growth: float = 0.1, tolerance: float = 20.0) -> list[tuple[int, int, int, int]]:
-    """Runs of ``prev`` and ``now`` (start, end, start, end) whose totals balance after growth, in order."""
+    """Runs of ``prev`` and ``now`` (start, end, start, end) whose totals balance after growth, in order.
+
+    The side with the smaller total so far (told before growth) takes its next
+    object, and the walk ends where that side has none left.
+    """
     out, i, j, a, b, p, q = [], 0, 0, 0, 0, 0.0, 0.0
     while i < len(prev) or j < len(now):
-        if (p * math.exp(growth) < q and i < len(prev)) or j >= len(now):
+        if p < q:
             if i >= len(prev):
                 break
             p, i = p + prev[i], i + 1
         else:
+            if j >= len(now):
+                break
             q, j = q + now[j], j + 1
         if p and q and abs(p * math.exp(growth) - q) <= tolerance:
             out.append((a, i, b, j))
@@ -107,34 +155,47 @@ def balance(prev: Sequence[float], now: Sequence[float], growth: float = 0.1, to
     return out
 
 
+def channel_labels(before: list[tuple[int, float]], sizes: list[float], top: int, growth: float, tolerance: float) -> tuple[list[int], list[int], int]:
+    """(labels, mothers, highest label) of one frame's objects in order of place."""
+    labels, mothers, done = [0] * len(sizes), [0] * len(sizes), 0
+    for a, i, b, j in balance([s for _, s in before], sizes, growth, tolerance):
+        new = list(range(b, j))
+        if i - a == 1 and j - b in (1, 2):
+            labels[b] = before[a][0]
+            new = new[1:]
+        for k in new:
+            top += 1
+            labels[k] = top
+            if len(new) == 1 and i - a == 1 and j - b == 2:
+                mothers[k] = before[a][0]
+        done = j
+    for k in range(done, len(sizes)):
+        top += 1
+        labels[k] = top
+    return labels, mothers, top
+
+
 def channel_track(objects: DataFrame, place: str = "y", size: str = "x", growth: float = 0.1, tolerance: float = 20.0) -> DataFrame:
     """(series, tp, cell, label, mother) in a channel: objects keep their order, sizes balance.
 
     One to one keeps the label; one to two is a division, the first object keeps
-    the label and the second is its daughter; anything else gets new labels.
+    the label and the second is its daughter (mother is told at that frame);
+    anything else gets new labels, in order of place.  Rows stream through in
+    order; only the frame before is kept at hand.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        before, top, out = [], 0, []
-        for tp, frame in pdf.groupby("tp", sort=True):
-            frame = frame.sort_values([place, "cell"], ascending=[False, True])
+    def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        series, before, top = None, [], 0
+        for frame in _frames(batches):
+            if frame["series"].iloc[0] != series:
+                series, before, top = frame["series"].iloc[0], [], 0
             sizes = frame[size].tolist()
-            labels, mothers = [0] * len(sizes), [0] * len(sizes)
-            for a, i, b, j in balance([s for _, s in before], sizes, growth, tolerance):
-                if i - a == 1 and j - b in (1, 2):
-                    labels[b] = before[a][0]
-                    if j - b == 2:
-                        top += 1
-                        labels[b + 1], mothers[b + 1] = top, before[a][0]
-            for k, label in enumerate(labels):
-                if not label:
-                    top += 1
-                    labels[k] = top
+            labels, mothers, top = channel_labels(before, sizes, top, growth, tolerance)
             before = list(zip(labels, sizes, strict=True))
-            out.append(pd.DataFrame({"series": frame["series"], "tp": tp, "cell": frame["cell"], "label": labels, "mother": mothers}))
-        return pd.concat(out)
+            yield pd.DataFrame({"series": frame["series"].to_numpy(), "tp": frame["tp"].to_numpy(), "cell": frame["cell"].to_numpy(), "label": labels, "mother": mothers})
 
-    return objects.select("series", "tp", "cell", place, size).groupBy("series").applyInPandas(fold, "series long, tp int, cell int, label int, mother int")
+    rows = objects.select(F.col("series").cast("long").alias("series"), F.col("tp").cast("int").alias("tp"), F.col("cell").cast("int").alias("cell"), place, size)
+    return fold.deal(rows, ["series"], ["tp", F.desc(place), "cell"]).mapInPandas(lambda batches: _gathered(step(batches)), "series long, tp int, cell int, label int, mother int")
 
 
 def lineage_scores(pairs: DataFrame, presence: DataFrame) -> DataFrame:
@@ -173,16 +234,23 @@ def assign_mothers(pairs: DataFrame, presence: DataFrame, min_budness: float = 0
     return seen.select("series", "tp", "label").join(best, ["series", "tp", "label"], "left").withColumn("mother", F.coalesce("mother", F.lit(0)))
 
 
-def descendants(edges: DataFrame, roots: DataFrame, max_depth: int = 50) -> DataFrame:
-    """(root, label, generation): all descendants of each root over (daughter, mother) edges."""
-    level = roots.select(F.col("label").alias("root"), "label", F.lit(0).alias("generation"))
-    found = level
-    for k in range(1, max_depth):
-        level = level.join(edges, level["label"] == edges["mother"]).select("root", F.col("daughter").alias("label"), F.lit(k).alias("generation"))
+def descendants(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(root, label, generation): all descendants of each root over (daughter, mother) edges, to any depth.
+
+    Each generation is written to the checkpoint folder before the next one is
+    looked up, so none is made twice.  A label that would be its own ancestor is
+    an error.
+    """
+    level = roots.select(F.col("label").alias("root"), "label").distinct()
+    links, found, k = edges.select("daughter", "mother").distinct(), level.withColumn("generation", F.lit(0)), 0
+    while True:
+        k += 1
+        level = stored(level.join(links, F.col("label") == F.col("mother")).select("root", F.col("daughter").alias("label")).distinct())
         if level.isEmpty():
-            break
-        found = found.union(level)
-    return found
+            return found
+        if not level.filter("root = label").isEmpty():
+            raise ValueError("a label is its own ancestor")
+        found = found.union(level.withColumn("generation", F.lit(k)))
 
 
 def bud_windows(lineage: DataFrame, last_tp: DataFrame) -> DataFrame:

@@ -93,9 +93,15 @@ def test_tracking_rules(spark):
     got = track.track(spark.createDataFrame(same, "series long, tp int, cell int, x double, y double")).collect()
     assert {(x.tp, x.cell): x.label for x in got} == {(0, 1): 1, (0, 2): 2, (1, 1): 1, (1, 2): 2}
     score = track.gaussian_score((1.0, 1.0))
-    assert track.link_frames([{}], [(0, 0)] * 3, score, 5, 0.5) == ([6, 7, 8], 8)
-    assert track.link_frames([{}], [(0, 0)] * 3, score, 5, 0.5, True) == ([5, 6, 7], 8)
-    assert track.link_frames([{1: (0, 0)}], [], score, 5, 0.5) == ([], 5)
+    empty, three = (np.zeros(0, int), np.zeros((0, 2))), np.zeros((3, 2))
+    plain = lambda x: (x[0].tolist(), x[1])
+    assert plain(track.link_frames([empty], three, score, 5, 0.5)) == ([6, 7, 8], 8)
+    assert plain(track.link_frames([empty], three, score, 5, 0.5, True)) == ([5, 6, 7], 8)
+    assert plain(track.link_frames([(np.array([1]), np.zeros((1, 2)))], three[:0], score, 5, 0.5)) == ([], 5)
+    # one label seen twice at other places: the better, the worse or the sum of both counts
+    window, now = [(np.array([4]), np.array([[0.0, 0.0]])), (np.array([4]), np.array([[3.0, 0.0]]))], np.array([[0.0, 0.0]])
+    assert plain(track.link_frames(window, now, score, 4, 0.5)) == ([4], 4)
+    assert plain(track.link_frames(window, now, score, 4, 0.5, reduce=np.minimum)) == ([5], 5)
 
 
 def test_mother_needs_three_frames_and_takes_the_lowest_of_equals(spark):
@@ -108,6 +114,17 @@ def test_mother_needs_three_frames_and_takes_the_lowest_of_equals(spark):
 def test_channel_balance():
     assert track.balance([100.0], [110.0]) == [(0, 1, 0, 1)]
     assert track.balance([200.0], [110.0, 110.0]) == [(0, 1, 0, 2)]
+    # the walk ends where the side that is behind has nothing left
+    assert track.balance([10.0], [100.0, 5.0]) == [] and track.balance([10.0, 90.0], [100.0]) == [(0, 2, 0, 1)]
+
+
+def test_channel_labels_by_hand():
+    assert track.channel_labels([], [100.0, 50.0], 0, 0.1, 20.0) == ([1, 2], [0, 0], 2)
+    assert track.channel_labels([(1, 100.0), (2, 50.0)], [110.0, 55.0], 2, 0.1, 5.0) == ([1, 2], [0, 0], 2)
+    # a division: the first keeps the label, the second is its daughter
+    assert track.channel_labels([(1, 100.0)], [55.0, 55.5], 1, 0.1, 5.0) == ([1, 2], [0, 1], 2)
+    # one into three is no division: all are new; what is left over is new as well
+    assert track.channel_labels([(1, 100.0)], [37.0, 37.0, 36.5, 90.0], 1, 0.1, 5.0) == ([2, 3, 4, 5], [0, 0, 0, 0], 5)
 
 
 def test_gp_finds_a_slope(spark):

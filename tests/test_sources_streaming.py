@@ -68,6 +68,31 @@ def test_stream_equals_batch_and_drops_late_frames(spark, tmp_path):
     assert {x.tp for x in out if x.error == "late"} == {3}
 
 
+def test_states_resume_a_series(spark):
+    rng = np.random.default_rng(5)
+    rows = [(s, tp, cell, float(cell * 200 + rng.normal(0, 10)), 0.0) for s in (1, 2) for tp in range(8) for cell in range(1, 4)]
+    o = spark.createDataFrame(rows, "series long, tp int, cell int, x double, y double")
+    key = lambda df: {(x.series, x.tp, x.cell): x.label for x in df.collect() if x.tp is not None}
+    first = live.track_with_states(o.filter("tp < 5")).cache()
+    rest = live.track_with_states(o.filter("tp >= 5"), start=first.filter("state is not null").select("series", "state"))
+    assert key(first) | key(rest) == key(track.track(o))
+    bad = o.withColumn("x", F.when((F.col("series") == 2) & (F.col("tp") == 3), F.lit(float("nan"))).otherwise(F.col("x")))
+    got = {(x.series, x.tp): x.error for x in live.track_with_states(bad).collect() if x.tp is not None}
+    assert "finite" in got[(2, 3)] and [k for k, e in got.items() if e] == [(2, 3)]
+    assert {x.label for x in live.track_with_states(bad).filter("series = 2 and tp = 4").collect()} == {1, 2, 3}
+
+
+def test_pixels_to_tracks_stream(spark, tmp_path):
+    rows = [(1, tp, r, c, 1.0 if (r - 2) ** 2 + (c - 2 - tp) ** 2 <= 1 or (r == 8 and c == 8) else 0.0) for tp in range(4) for r in range(10) for c in range(10)]
+    px = spark.createDataFrame(rows, "series long, tp int, r int, c int, v double")
+    px.coalesce(1).write.parquet(str(tmp_path / "px"))
+    s = live.segment_and_track_stream(spark.readStream.schema(px.schema).parquet(str(tmp_path / "px")), least=2)
+    q = s.writeStream.format("memory").queryName("cells").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = spark.table("cells").collect()
+    assert len(got) == 4 * 5 and {x.label for x in got} == {1} and {x.error for x in got} == {None}
+
+
 def test_watermarked_windows_stream(spark, tmp_path):
     e = spark.createDataFrame([(1, "2024-01-01 00:10:00", 1.0), (1, "2024-01-01 23:00:00", 3.0), (1, "2024-01-04 00:00:00", 5.0)], "series int, t string, value double").withColumn("ts", F.to_timestamp("t"))
     e.select("series", "ts", "value").write.parquet(str(tmp_path / "e"))
