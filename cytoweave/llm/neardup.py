@@ -25,6 +25,8 @@ from .hashing import U, mix32, mix64, shingle_set, text_bytes, word_hashes
 BANDS, ROWS = 24, 4
 #: 64-bit words of a set's bitmap: a place for each shingle by its hash.
 BITMAP_WORDS = 16
+#: Members of a bucket that one slice holds, about.
+SLICE = 256
 _CHUNK = 4096
 
 
@@ -135,17 +137,19 @@ def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int
     own = materialise(own, "own")
     heads = own.filter("leads").select("band", "value", F.col("component").alias("head")).join(buckets, ["band", "value"])
     away = materialise(join_hot(own, materialise(heads, "heads"), ["band", "value"], "met").drop("met").withColumn("away", F.col("component") != F.col("head")).drop("leads", "head"), "away")
-    mixed = away.filter("away").select("band", "value").distinct()
+    mixed = away.groupBy("band", "value").agg(F.count("*").alias("size"), F.bool_or("away").alias("_any")).filter("_any").drop("_any")
     sketch = signed.filter("class is not null").groupBy("class").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"))
     places, values = [f"w{k}" for k in range(BITMAP_WORDS)], [f"v{k}" for k in range(bands)]
-    inside = away.join(mixed, ["band", "value"], "left_semi").join(sketch, "class").select("band", "value", "class", "n", "component", "away", *[F.col("bits")[k].alias(w) for k, w in enumerate(places)], *[F.col("bands")[k].alias(v) for k, v in enumerate(values)])
-    left, right = inside.alias("x"), inside.filter("away").alias("y")
+    inside = join_hot(away, materialise(mixed, "mixed"), ["band", "value"], "size").join(sketch, "class").select("band", "value", "class", "n", "component", "away", F.ceil(F.col("size") / SLICE).cast("int").alias("slices"), *[F.col("bits")[k].alias(w) for k, w in enumerate(places)], *[F.col("bands")[k].alias(v) for k, v in enumerate(values)])
+    # a bucket's members are cut into slices, each of which meets all that stay apart: no task holds a whole hot bucket
+    left = inside.withColumn("slice", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")).alias("x")
+    right = inside.filter("away").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
     differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in places), F.lit(0))
     both, total = F.col("x.n") + F.col("y.n") - differ, F.col("x.n") + F.col("y.n")
     possible = both * 100 >= (2 * total - both) * percent  # twice the largest intersection against twice the union
     # a pair is held against each other once: in the first band that it shares
     once = F.col("x.band") == F.coalesce(*[F.when(F.col(f"x.{v}") == F.col(f"y.{v}"), k) for k, v in enumerate(values)])
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.component") != F.col("y.component")) & once
+    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.component") != F.col("y.component")) & once
     rest = left.join(right, meet & near(F.col("x.n"), F.col("y.n")) & possible).select(*pair(F.col("x.class"), F.col("y.class"))).distinct()
     rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
     more = materialise(_compare(rest, texts, width, percent), "compared")
