@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import fold, morph
 from .sample import draw
+from .tables import stored
 
 
 def shift(px: DataFrame, dr: int, dc: int, h: int, w: int) -> DataFrame:
@@ -82,3 +87,67 @@ def rotate(px: DataFrame, degrees: float, h: int, w: int) -> DataFrame:
     t = grid.select("r", "c", F.explode(F.array(*taps)).alias("t")).select("r", "c", "t.sr", "t.sc", "t.k")
     src = px.select("frame_id", F.col("r").alias("sr"), F.col("c").alias("sc"), "v")
     return src.join(F.broadcast(t), ["sr", "sc"]).groupBy("frame_id", "r", "c").agg(F.sum(F.col("v") * F.col("k")).alias("v"))
+
+
+Step = Callable[[DataFrame], DataFrame]
+
+
+def augment(px: DataFrame, steps: Sequence[tuple[str, float | None, Step]], seed: int, p_noop: float = 0.15, draws: int = 1) -> DataFrame:
+    """(frame_id, draw, steps, r, c, v): ``draws`` augmented versions of each frame and which steps it went through.
+
+    steps: name, probability and function of a pixel table, in order; a
+    probability of None is 1 - p_noop ^ (1 / n), n being the number of these, so a
+    version stays as it is with probability p_noop.  Whether a step fires is told
+    by a hash of seed, step, frame and draw, so reruns agree.  A version is a frame
+    of its own while steps run (frame_id is then a struct); each step's result is
+    written, so none is made twice.
+    """
+    open_ = sum(p is None for _, p, _ in steps)
+    versions = px.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).select(F.struct("frame_id", "draw").alias("frame_id"), "r", "c", "v")
+    log = versions.select("frame_id").distinct().withColumn("steps", F.expr("cast(array() as array<string>)"))
+    for name, p, step in steps:
+        chance = 1 - p_noop ** (1 / open_) if p is None else p
+        u = F.conv(F.substring(draw(f"{seed}:{name}", F.col("frame_id.frame_id"), F.col("frame_id.draw")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+        fires = u < chance
+        versions = stored(step(versions.filter(fires)).select("frame_id", "r", "c", "v").union(versions.filter(~fires)))
+        log = log.withColumn("steps", F.when(fires, F.array_append("steps", name)).otherwise(F.col("steps")))
+    return versions.join(log, "frame_id").select("frame_id.frame_id", "frame_id.draw", "steps", "r", "c", "v")
+
+
+def cell_shift(px: DataFrame, cells: DataFrame, h: int, w: int) -> DataFrame:
+    """Frames moved so that the middle of a cell's bounding box comes to the frame's middle, and cropped.
+
+    cells: (frame_id, r0, c0, r1, c1) of one picked cell a frame, ends exclusive;
+    frames without one stay.
+    """
+    move = cells.select("frame_id", (F.lit(h // 2) - F.floor((F.col("r0") + F.col("r1")) / 2)).alias("_dr"), (F.lit(w // 2) - F.floor((F.col("c0") + F.col("c1")) / 2)).alias("_dc"))
+    met = px.join(move, "frame_id", "left")
+    r, c = (F.col("r") + F.coalesce("_dr", F.lit(0))).cast("int"), (F.col("c") + F.coalesce("_dc", F.lit(0))).cast("int")
+    return met.withColumn("r", r).withColumn("c", c).drop("_dr", "_dc").filter(F.col("r").between(0, h - 1) & F.col("c").between(0, w - 1))
+
+
+def smooth_labels(outlines: DataFrame, h: int, w: int, a: float, b: float, c: float) -> DataFrame:
+    """(frame_id, cell, r, c, v): each object's outline filled, blurred and cut at half height; v is 1 on its new edge, else 0.
+
+    The blur's sigma is log(max((n - c) / a, 1)) / b of the n outline pixels.
+    """
+
+    def blur(masks: np.ndarray, sigma: np.ndarray) -> np.ndarray:
+        out = masks.astype(float)
+        for k, s in enumerate(sigma):
+            if s > 0:
+                for axis, size in ((0, h), (1, w)):
+                    at = np.arange(size)
+                    weight = np.exp(-0.5 * ((at[:, None] - at[None, :]) / s) ** 2)
+                    weight /= np.exp(-0.5 * (np.arange(-4 * size, 4 * size + 1) / s) ** 2).sum()
+                    out[k] = np.moveaxis(np.tensordot(weight, out[k], (1, axis)), 0, axis)
+        return out
+
+    def change(masks: np.ndarray) -> np.ndarray:
+        n = masks.sum(axis=(1, 2))
+        smooth = blur(morph.fill_masks(masks), np.log(np.maximum((n - c) / a, 1.0)) / b)
+        return smooth > 0.5 * np.maximum(smooth.max(axis=(1, 2), keepdims=True), 1e-12)
+
+    filled = fold.in_groups(outlines.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], [], lambda pdf: morph.by_object(pdf, h, w, change), "frame_id long, cell int, r int, c int")
+    filled = stored(filled)
+    return filled.join(morph.edges(filled, h, w).withColumn("_e", F.lit(1)), ["frame_id", "cell", "r", "c"], "left").select("frame_id", "cell", "r", "c", F.coalesce("_e", F.lit(0)).alias("v"))

@@ -81,12 +81,86 @@ def link_accuracy(pred: DataFrame, truth: DataFrame) -> DataFrame:
     return met.groupBy("series").agg(F.avg((F.col("p") == F.col("t")).cast("double")).alias("accuracy"), F.count(F.when(F.col("p") != F.col("t"), 1)).alias("wrong"))
 
 
+def link_sweep(labels: DataFrame, truth: DataFrame, params: Sequence[str]) -> DataFrame:
+    """(params, accuracy, wrong) of labelings under several parameters against one truth, in one job.
+
+    labels: (params, series, step, label, pos); truth: (series, step, label, pos).
+    """
+    before = labels.select(*params, "series", (F.col("step") + 1).alias("step"), "label", F.col("pos").alias("_p"))
+    p = labels.join(before, [*params, "series", "step", "label"], "left").select(*params, "series", "step", "pos", F.coalesce("_p", F.lit(-1)).alias("_p"))
+    t = link_index(truth).select("series", "step", "pos", F.col("prev").alias("_t"))
+    return p.join(t, ["series", "step", "pos"]).groupBy(*params).agg(F.avg((F.col("_p") == F.col("_t")).cast("double")).alias("accuracy"), F.count(F.when(F.col("_p") != F.col("_t"), 1)).alias("wrong"))
+
+
 def histogram(values: DataFrame, column: str, lo: float, hi: float, bins: int, keys: Sequence[str] = ()) -> DataFrame:
     """Counts in equal bins, the last one closed; what lies outside is left out."""
     k = F.least(F.floor((F.col(column) - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
     return values.filter(F.col(column).between(lo, hi)).groupBy(*keys, k.alias("bin")).agg(F.count("*").alias("n"))
 
 
+def histogram_2d(values: DataFrame, x: str, y: str, weight: str, lo: float, hi: float, bins: int) -> DataFrame:
+    """(bin_x, bin_y, w): summed weights in equal bins of two columns, the last one closed."""
+    place = lambda c: F.least(F.floor((F.col(c) - lo) / ((hi - lo) / bins)), F.lit(bins - 1)).cast("int")
+    inside = values.filter(F.col(x).between(lo, hi) & F.col(y).between(lo, hi))
+    return inside.groupBy(place(x).alias("bin_x"), place(y).alias("bin_y")).agg(F.sum(weight).alias("w"))
+
+
+def objects_per_split(pairs: DataFrame, splits: Sequence[str], split: str = "split", labels: str = "labels") -> DataFrame:
+    """(split, n): labels of all pairs of each split; splits without pairs count 0."""
+    n = pairs.groupBy(split).agg(F.sum(F.coalesce(F.when(F.size(labels) >= 0, F.size(labels)), F.lit(0))).alias("n"))
+    names = pairs.sparkSession.createDataFrame([(x,) for x in splits], f"{split} string")
+    return names.join(n, split, "left").select(split, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def validation_summary(frames: DataFrame, best: DataFrame, ap: DataFrame, split: str = "split") -> DataFrame:
+    """(split, iou_mean, iou_min, ap): means over the frames of a split, and over all splits (null).
+
+    frames: (frame_id, split); best: (frame_id, iou), one row for each true object,
+    0 if it has no match; ap: (frame_id, ap).  A frame without true objects has a
+    least IoU of 1 and no mean.
+    """
+    each = best.groupBy("frame_id").agg(F.avg("iou").alias("_mean"), F.least(F.min("iou"), F.lit(1.0)).alias("_min"))
+    met = frames.select("frame_id", split).join(each, "frame_id", "left").join(ap.select("frame_id", "ap"), "frame_id", "left")
+    return met.rollup(split).agg(F.avg("_mean").alias("iou_mean"), F.avg(F.coalesce("_min", F.lit(1.0))).alias("iou_min"), F.avg(F.coalesce("ap", F.lit(0.0))).alias("ap"))
+
+
+def metrics(scored: DataFrame, truth: Column, pred: Column, split: str = "split") -> DataFrame:
+    """accuracy, balanced accuracy, precision, recall, F1, F0.5 and F2 of each split."""
+    counts = rates(confusion_counts(scored, truth, pred, [split])).withColumnRenamed("f", "f1")
+    p, r = F.col("precision"), F.col("recall")
+    f = lambda b: F.try_divide((1 + b * b) * p * r, b * b * p + r)
+    return counts.select(split, "accuracy", "balanced", "precision", "recall", "f1", f(0.5).alias("f05"), f(2.0).alias("f2"))
+
+
+def volume_matrix(volumes: DataFrame, times: Sequence[int], label: str = "label", value: str = "vol") -> DataFrame:
+    """One row for each (series, label) and one column for each asked time; null where it isn't seen."""
+    return volumes.groupBy("series", label).pivot("tp", list(times)).agg(F.first(value))
+
+
+def best_per_group(stats: DataFrame, keys: Sequence[str], score: str = "iou", order: str = "sigma") -> DataFrame:
+    """The row of the highest score of each group (the lowest ``order`` of equals), all columns."""
+    others = [c for c in stats.columns if c not in keys]
+    top = stats.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(F.col(score), -F.col(order))).alias("b"))
+    return top.select(*keys, "b.*")
+
+
+def search_bounds(stats: DataFrame, group: str = "grp", value: str = "p_edge", best: str = "is_best") -> DataFrame:
+    """(group, upper): middle of the others' 0.95 quantile and the best ones' 0.25 quantile; where only one kind exists at all, the mean."""
+    q = lambda x, at: F.percentile(F.when(x, F.col(value)), F.lit(at))
+    kinds = stats.agg(F.bool_and(best).alias("_all"), F.bool_or(best).alias("_any"))
+    by = stats.groupBy(group).agg(q(~F.col(best), 0.95).alias("_lo"), q(F.col(best), 0.25).alias("_hi"), F.avg(value).alias("_mean"))
+    mixed = F.col("_any") & ~F.col("_all")
+    middle = F.coalesce((F.col("_lo") + F.col("_hi")) / 2, "_lo", "_hi")  # a mean leaves out what is missing
+    return by.crossJoin(F.broadcast(kinds)).select(group, F.when(mixed, middle).otherwise(F.col("_mean")).alias("upper"))
+
+
+def group_order(groups: DataFrame, include_budonly: bool = True) -> DataFrame:
+    """(name, place): groups by upper bound, then lower bound, both falling; no upper bound comes first."""
+    kept = groups if include_budonly else groups.filter(~F.col("budonly"))
+    w = Window.orderBy(F.col("upper").desc_nulls_first(), F.desc("lower"), "position")
+    return kept.select("name", F.row_number().over(w).alias("place"))
+
+
 def main_label(volumes: DataFrame, label: str = "label") -> DataFrame:
     """The label seen longest in each series (the lowest of equals)."""
     return volumes.groupBy("series", label).agg(F.count("*").alias("n")).groupBy("series").agg(F.max(F.struct("n", (-F.col(label)).alias("m"))).alias("b")).select("series", (-F.col("b.m")).alias(label), F.col("b.n").alias("frames"))

@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import fold
+
 
 def local_slope(volumes: DataFrame, half: int = 3, log: bool = False) -> DataFrame:
     """Least-squares slope of volume over time in a centred window of rows; null below 3 points."""
@@ -27,8 +29,14 @@ def _matern52_slope(d: np.ndarray, scale: float) -> np.ndarray:
     return -(5.0 * d / (3 * scale**2)) * (1 + u) * np.exp(-u)
 
 
-def gp_fit(t: np.ndarray, v: np.ndarray, scales=(1.0, 2.0, 4.0, 8.0, 16.0), noises=(0.01, 0.1, 0.5)) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Smooth and slope with standard deviations, of the most likely pair of length and noise.
+def _matern52_bend(d: np.ndarray, scale: float) -> np.ndarray:
+    """Second derivative by the first argument."""
+    u = np.sqrt(5.0) * np.abs(d) / scale
+    return -(5.0 / (3 * scale**2)) * (1 + u - u * u) * np.exp(-u)
+
+
+def gp_fit(t: np.ndarray, v: np.ndarray, scales=(1.0, 2.0, 4.0, 8.0, 16.0), noises=(0.01, 0.1, 0.5)) -> tuple[np.ndarray, ...]:
+    """Smooth, slope and second derivative with standard deviations, of the most likely pair of length and noise.
 
     The signal's variance has a closed form, so the search is over a grid.
     """
@@ -49,21 +57,57 @@ def gp_fit(t: np.ndarray, v: np.ndarray, scales=(1.0, 2.0, 4.0, 8.0, 16.0), nois
     half_k, half_g = np.linalg.solve(low, k.T), np.linalg.solve(low, g.T)
     std = np.sqrt(np.clip(var * (1 - (half_k**2).sum(0)), 0, None)) * spread
     slope_std = np.sqrt(np.clip(var * (5 / (3 * scale**2) - (half_g**2).sum(0)), 0, None)) * spread
-    return k @ a * spread + centre, std, g @ a * spread, slope_std
+    b = _matern52_bend(d, scale)
+    half_b = np.linalg.solve(low, b.T)
+    bend_std = np.sqrt(np.clip(var * (25 / scale**4 - (half_b**2).sum(0)), 0, None)) * spread
+    return k @ a * spread + centre, std, g @ a * spread, slope_std, b @ a * spread, bend_std
+
+
+#: Points of a series that are fitted at once; longer series are fitted in parts that overlap by a quarter.
+GP_POINTS = 512
+
+
+def _gp_parts(t: np.ndarray, v: np.ndarray) -> list[np.ndarray]:
+    """``gp_fit`` over a series of any length; a long one in overlapping parts, each giving its middle."""
+    n, lap = len(t), GP_POINTS // 4
+    if n <= GP_POINTS:
+        return list(gp_fit(t, v))
+    out = [np.zeros(n) for _ in range(6)]
+    for a in range(0, n, GP_POINTS - lap):
+        b = min(n, a + GP_POINTS)
+        start = max(0, b - GP_POINTS) if b == n else a
+        lead = 0 if a == 0 else lap // 2
+        for whole, part in zip(out, gp_fit(t[start:b], v[start:b]), strict=True):
+            whole[a + lead : b] = part[a + lead - start :]
+        if b == n:
+            break
+    return out
 
 
 def gp_growth(volumes: DataFrame, log: bool = False) -> DataFrame:
-    """svol, svol_std, gr, gr_std of each point; series below 3 points give none."""
+    """svol, svol_std, gr, gr_std, d2v and d2v_std of each point; series below 3 points give none.
+
+    With ``log`` all are of the volume's logarithm.
+    """
+    names = ["svol", "svol_std", "gr", "gr_std", "d2v", "d2v_std"]
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=["vol"]).sort_values("tp")
-        if len(pdf) < 3:
-            return pd.DataFrame(columns=["series", "tp", "vol", "svol", "svol_std", "gr", "gr_std"])
-        v = np.log(np.clip(pdf["vol"], 1e-9, None)) if log else pdf["vol"]
-        s, sd, g, gd = gp_fit(pdf["tp"].to_numpy(float), v.to_numpy(float))
-        return pdf[["series", "tp", "vol"]].assign(svol=s, svol_std=sd, gr=g, gr_std=gd)
-
-    return volumes.select("series", "tp", "vol").groupBy("series").applyInPandas(fit, "series long, tp int, vol double, svol double, svol_std double, gr double, gr_std double")
+        first = [*fold.starts(pdf["series"].to_numpy()), len(pdf)]
+        out = []
+        for a, b in zip(first, first[1:], strict=False):
+            part = pdf.iloc[a:b]
+            if len(part) >= 3:
+                v = np.log(np.clip(part["vol"].to_numpy(float), 1e-9, None)) if log else part["vol"].to_numpy(float)
+                out.append(part.assign(**dict(zip(names, _gp_parts(part["tp"].to_numpy(float), v), strict=True))))
+        return pd.concat(out) if out else pd.DataFrame(columns=["series", "tp", "vol", *names])
+
+    rows = volumes.filter("vol is not null").select(F.col("series").cast("long").alias("series"), F.col("tp").cast("int").alias("tp"), F.col("vol").cast("double").alias("vol"))
+    return fold.in_groups(rows, ["series"], ["tp"], fit, "series long, tp int, vol double, " + ", ".join(f"{x} double" for x in names))
+
+
+def append_growth(fitted: DataFrame, path: str, kind: str) -> None:
+    """Add fits to the growth table at ``path``, partitioned by kind (as mothers and daughters) and kept as Parquet."""
+    fitted.withColumn("kind", F.lit(kind)).write.mode("append").partitionBy("kind").parquet(path)
 
 
 def crossing(pairs: DataFrame, distance: Column, ofs: int = 2, lb: int = 2, ub: int = 15) -> DataFrame:

@@ -12,15 +12,17 @@ from pyspark.sql import functions as F
 from . import fold
 
 
-def intersections(a: DataFrame, b: DataFrame, place: Sequence[str], key: Sequence[str] = ("frame_id",)) -> DataFrame:
+def intersections(a: DataFrame, b: DataFrame, place: Sequence[str], key: Sequence[str] = ("frame_id",), ordered: bool = False) -> DataFrame:
     """(key, ta, tb, n, area_a, area_b): pairs of objects that share places, with counts.
 
     Only objects that meet in a place make a row; the join is on the place, so no
-    pair is enumerated that doesn't share one.
+    pair is enumerated that doesn't share one.  ``ordered`` joins ta < tb only, for
+    a table with itself.
     """
     on = [*key, *place]
     left, right = a.select(*on, F.col("cell").alias("ta")), b.select(*on, F.col("cell").alias("tb"))
-    n = left.join(right, on).groupBy(*key, "ta", "tb").agg(F.count("*").alias("n"))
+    met = left.join(right, on)
+    n = (met.filter("ta < tb") if ordered else met).groupBy(*key, "ta", "tb").agg(F.count("*").alias("n"))
     area = lambda df, cell, name: df.groupBy(*key, cell).agg(F.count("*").alias(name))
     return n.join(area(left, "ta", "area_a"), [*key, "ta"]).join(area(right, "tb", "area_b"), [*key, "tb"])
 
@@ -176,3 +178,14 @@ def cross_entropy(p: Column, t: Column, eps: float = 1e-7) -> Column:
     """Mean binary cross-entropy of clipped probabilities, an aggregate."""
     q = F.least(F.greatest(p, F.lit(eps)), F.lit(1 - eps))
     return F.avg(-(t * F.log(q) + (1 - t) * F.log(1 - q)))
+
+
+def nearest_focus(cells: DataFrame, focuses: Sequence[float], focus: str = "focus") -> DataFrame:
+    """Each object with the nearest of a few focus positions (the first of equals) in ``focus``."""
+    options = F.array(*[F.struct(F.abs(F.col(focus) - f).alias("d"), F.lit(k).alias("k"), F.lit(f).alias("f")) for k, f in enumerate(focuses)])
+    return cells.withColumn(focus, F.array_min(options)["f"])
+
+
+def mother_lookup(cells: DataFrame, mothers: DataFrame, keys: Sequence[str] = ("position", "trap", "label")) -> DataFrame:
+    """Each object with its ``mother``, null where the map (keys, mother) has none for it."""
+    return cells.join(mothers.select(*keys, "mother").dropDuplicates(list(keys)), list(keys), "left")

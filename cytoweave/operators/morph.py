@@ -141,7 +141,7 @@ def components(mask: DataFrame, connectivity: int = 2) -> DataFrame:
     return fold.in_groups(mask.select("frame_id", "r", "c"), ["frame_id"], ["r", "c"], label, "frame_id long, cell int, r int, c int")
 
 
-def _fill(masks: np.ndarray) -> np.ndarray:
+def fill_masks(masks: np.ndarray) -> np.ndarray:
     """Masks (object, r, c) with the background parts that don't touch the border filled."""
     g, r, c = np.nonzero(~masks)
     part = label_pixels(g, r, c, False).astype(np.int64)
@@ -153,7 +153,7 @@ def _fill(masks: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_object(pdf: pd.DataFrame, h: int, w: int, change: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
+def by_object(pdf: pd.DataFrame, h: int, w: int, change: Callable[[np.ndarray], np.ndarray]) -> pd.DataFrame:
     """``change`` of the dense masks of a block's objects, some at a time."""
     pdf = pdf.reset_index(drop=True)
     first = fold.starts(pdf["frame_id"].to_numpy(), pdf["cell"].to_numpy())
@@ -171,7 +171,7 @@ def _by_object(pdf: pd.DataFrame, h: int, w: int, change: Callable[[np.ndarray],
 
 def fill_holes(mask: DataFrame, h: int, w: int) -> DataFrame:
     """Each object with its holes: background parts (four neighbours) that don't touch the border."""
-    return fold.in_groups(mask.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], [], lambda pdf: _by_object(pdf, h, w, _fill), "frame_id long, cell int, r int, c int")
+    return fold.in_groups(mask.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], [], lambda pdf: by_object(pdf, h, w, fill_masks), "frame_id long, cell int, r int, c int")
 
 
 def fill_bordered(mask: DataFrame, h: int, w: int) -> DataFrame:
@@ -185,11 +185,11 @@ def fill_bordered(mask: DataFrame, h: int, w: int) -> DataFrame:
         walled = np.pad(masks, ((0, 0), (1, 1), (1, 1)))
         walled[:, [0, -1], :] = True
         walled[:, :, 0] = True
-        walled = _fill(walled)
+        walled = fill_masks(walled)
         walled[:, :, 0], walled[:, :, -1] = False, True
-        return _fill(walled)[:, 1:-1, 1:-1]
+        return fill_masks(walled)[:, 1:-1, 1:-1]
 
-    return fold.in_groups(mask.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], [], lambda pdf: _by_object(pdf, h, w, fill), "frame_id long, cell int, r int, c int")
+    return fold.in_groups(mask.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], [], lambda pdf: by_object(pdf, h, w, fill), "frame_id long, cell int, r int, c int")
 
 
 def crop_to_box(mask: DataFrame, pad: int = 0, keys: Sequence[str] = KEYS) -> DataFrame:

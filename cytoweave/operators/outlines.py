@@ -6,9 +6,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import morph, objects
+
 
 def to_polar(px: DataFrame, centres: DataFrame) -> DataFrame:
     """Adds rho and phi of each pixel about its object's centre."""
@@ -19,15 +21,38 @@ def to_polar(px: DataFrame, centres: DataFrame) -> DataFrame:
 def ray_radii(outline: DataFrame, centres: DataFrame, rays: int) -> DataFrame:
     """(frame_id, cell, ray, radius): mean distance of outline pixels nearest each of ``rays`` directions.
 
-    A direction without any pixel takes the mean of the directions beside it.
+    A direction without any pixel is interpolated between the next directions with
+    one on either side, all the way round.
     """
     p = to_polar(outline, centres).withColumn("ray", F.pmod(F.rint(F.col("phi") / (2 * math.pi / rays)), F.lit(float(rays))).cast("int"))
     hit = p.groupBy("frame_id", "cell", "ray").agg(F.avg("rho").alias("radius"))
     every = hit.select("frame_id", "cell").distinct().withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))))
     met = every.join(hit, ["frame_id", "cell", "ray"], "left")
-    beside = hit.select("frame_id", "cell", F.explode(F.array(F.pmod(F.col("ray") + 1, F.lit(rays)), F.pmod(F.col("ray") - 1, F.lit(rays)))).alias("ray"), "radius").groupBy("frame_id", "cell", "ray").agg(F.avg("radius").alias("near"))
-    mean = hit.groupBy("frame_id", "cell").agg(F.avg("radius").alias("mean"))
-    return met.join(beside, ["frame_id", "cell", "ray"], "left").join(mean, ["frame_id", "cell"]).select("frame_id", "cell", "ray", F.coalesce("radius", "near", "mean").alias("radius"))
+    # the circle is laid out three times, so that each gap has both neighbours
+    turns = met.withColumn("_turn", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("_at", F.col("ray") + F.col("_turn") * rays)
+    w = Window.partitionBy("frame_id", "cell").orderBy("_at")
+    known = F.when(F.col("radius").isNotNull(), F.struct("_at", "radius"))
+    turns = turns.withColumn("_b", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_a", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    part = (F.col("_at") - F.col("_b._at")) / (F.col("_a._at") - F.col("_b._at"))
+    filled = F.coalesce("radius", F.col("_b.radius") + part * (F.col("_a.radius") - F.col("_b.radius")))
+    return turns.filter("_turn = 0").select("frame_id", "cell", "ray", filled.alias("radius"))
+
+
+#: Rays of an object by its major axis: below the first bound, below the second, beyond.
+RAYS, RAY_BOUNDS = (4, 6, 8), (5.0, 20.0)
+
+
+def knots(mask: DataFrame, h: int, w: int) -> DataFrame:
+    """(frame_id, cell, centre_r, centre_c, radii, angles): outlines of objects, with more rays for longer ones."""
+    f = objects.shape_features(mask).select("frame_id", "cell", F.col("centroid_r").alias("centre_r"), F.col("centroid_c").alias("centre_c"), "major")
+    edge = morph.edges(mask, h, w).union(mask.filter(morph.border(h, w)).select("frame_id", "cell", "r", "c")).distinct()
+    out = None
+    for n, low, high in zip(RAYS, (0.0, *RAY_BOUNDS), (*RAY_BOUNDS, math.inf), strict=True):
+        some = f.filter((F.col("major") >= low) & (F.col("major") < high)).select("frame_id", "cell", "centre_r", "centre_c")
+        radii = ray_radii(edge, some, n).groupBy("frame_id", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("ray", "radius"))), lambda x: x["radius"]).alias("radii"))
+        part = some.join(radii, ["frame_id", "cell"]).withColumn("angles", F.array(*[F.lit(2 * math.pi * k / n) for k in range(n)]))
+        out = part if out is None else out.union(part)
+    return out
 
 
 def spline_basis(angles: np.ndarray, at: np.ndarray) -> np.ndarray:

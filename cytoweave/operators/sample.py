@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -42,13 +43,41 @@ def every_kth(rows: DataFrame, fraction: float, keys: Sequence[str], order: Sequ
     return rows.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter((F.col("_k") - 1) % k == 0).drop("_k")
 
 
-def bootstrap(rows: DataFrame, n_boot: int, seed: int, *keys: str) -> DataFrame:
-    """Poisson bootstrap by hash: each row 0 to 3 times in each of ``n_boot`` resamples."""
+def poisson_cuts(rate: float, resolution: int) -> list[int]:
+    """Distribution of Poisson(rate) in ``resolution``-ths, until the resolution is used up."""
+    p, total, out, k = math.exp(-rate), 0.0, [], 0
+    while not out or out[-1] < resolution - 1:
+        total += p
+        out.append(min(int(round(total * resolution)), resolution))
+        k += 1
+        p *= rate / k
+        if p * resolution < 0.25:
+            break
+    return out
+
+
+def bootstrap(rows: DataFrame, n_boot: int, seed: int, *keys: str, fraction: float = 0.9) -> DataFrame:
+    """Bootstrap by hash: ``fraction`` of the rows drawn with replacement in each of ``n_boot`` resamples.
+
+    Draws are Poisson: the copies of a row are independent of all others, so no
+    resample is ever gathered; its size is ``fraction`` of the rows on average.
+    ``copies`` counts a row's draws and ``boot`` its resample; each copy is an
+    example of its own (``draws``).
+    """
     boots = rows.withColumn("boot", F.explode(F.sequence(F.lit(1), F.lit(n_boot))))
-    u = F.conv(F.substring(draw(seed, F.col("boot"), *[F.col(k) for k in keys]), 1, 6), 16, 10).cast("long")
-    # Poisson(1) by its distribution in 2^24ths
-    n = F.when(u < 6171993, 0).when(u < 12343986, 1).when(u < 15429982, 2).otherwise(3)
-    return boots.withColumn("copies", n).filter("copies > 0")
+    u = F.conv(F.substring(draw(seed, F.col("boot"), *[F.col(k) for k in keys]), 1, 7), 16, 10).cast("long")
+    n = sum((F.when(u >= cut, 1).otherwise(0) for cut in poisson_cuts(fraction, 1 << 28)), F.lit(0))
+    return boots.withColumn("copies", n.cast("int")).filter("copies > 0")
+
+
+def draws(resampled: DataFrame) -> DataFrame:
+    """One row for each copy, numbered by ``draw``, so that repeats count apart."""
+    return resampled.withColumn("draw", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+
+
+def with_weights(rows: DataFrame, weight: str = "weight") -> DataFrame:
+    """Sample weights; rows without one, or a table without the column, weigh 1."""
+    return rows.withColumn(weight, F.coalesce(F.col(weight).cast("double"), F.lit(1.0)) if weight in rows.columns else F.lit(1.0))
 
 
 def standard_error(values: DataFrame, key: str, value: str) -> DataFrame:

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import match, morph, norm, objects
+from . import fold, match, morph, norm, objects, outlines
+from .tables import stored
 
 
 @dataclass(frozen=True)
@@ -63,6 +65,88 @@ def segment(preds: DataFrame, groups: Sequence[GroupParams], h: int, w: int, con
     return remove_duplicates(masks, containment)
 
 
+def padded_size(n: int, least: int = 64, step: int = 16) -> int:
+    """The size that a model takes for n rows or columns: at least ``least``, a multiple of ``step``."""
+    return max(least, -(-n // step) * step)
+
+
+def predict(px: DataFrame, predictor: Callable[[np.ndarray], dict[str, np.ndarray]], h: int, w: int, frames_at_once: int = 64) -> DataFrame:
+    """(frame_id, target, r, c, p): maps of a user's predictor for frames (frame_id, r, c, v) of h by w.
+
+    The predictor takes frames (n, H, W), normalised by robust range and padded
+    with their medians to sizes that its layers take, centred, and gives a map of
+    that shape for each target name; the padding is cut off again.
+    """
+    high, wide = padded_size(h), padded_size(w)
+    top, left = (high - h) // 2, (wide - w) // 2
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = fold.starts(pdf["frame_id"].to_numpy())
+        names, which = pdf["frame_id"].to_numpy()[first], np.searchsorted(first, np.arange(len(pdf)), side="right") - 1
+        out = []
+        for k in range(0, len(first), frames_at_once):
+            rows = (which >= k) & (which < k + frames_at_once)
+            img = np.zeros((min(frames_at_once, len(first) - k), h, w))
+            img[which[rows] - k, pdf["r"][rows], pdf["c"][rows]] = pdf["v"][rows]
+            full = np.broadcast_to(np.median(img, axis=(1, 2))[:, None, None], (len(img), high, wide)).copy()
+            full[:, top : top + h, left : left + w] = img
+            g, r, c = np.indices(img.shape)
+            for target, p in predictor(full).items():
+                out.append(pd.DataFrame({"frame_id": names[k + g.ravel()], "target": target, "r": r.ravel().astype(np.int32), "c": c.ravel().astype(np.int32), "p": np.asarray(p, float)[:, top : top + h, left : left + w].ravel()}))
+        return pd.concat(out, ignore_index=True)
+
+    rows = norm.robust_norm(px.select("frame_id", "r", "c", "v"))
+    return fold.in_groups(rows, ["frame_id"], [], run, "frame_id long, target string, r int, c int, p double")
+
+
+@dataclass(frozen=True)
+class Segmented:
+    """Objects of all frames: masks (frame_id, cell, r, c), outlines with radii, edge pixels of these, volumes."""
+
+    masks: DataFrame
+    outlines: DataFrame
+    edges: DataFrame
+    volumes: DataFrame | None
+
+
+def segment_full(preds: DataFrame, groups: Sequence[GroupParams], h: int, w: int, containment: float = 0.8, refine_outlines: bool = False, return_volume: bool = False) -> Segmented:
+    """Instances of all groups numbered from 1 in each frame, with outlines, optional refinement and volumes.
+
+    Outlines are periodic splines through ray hits; refinement fits their radii to
+    the groups' edge maps; masks then are what the drawn outlines enclose.
+    """
+    found = segment(preds, groups, h, w, containment)
+    number = F.dense_rank().over(Window.partitionBy("frame_id").orderBy("grp", "cell"))
+    masks = stored(found.select("frame_id", "grp", number.alias("_n"), "r", "c").withColumnRenamed("_n", "cell"))
+    shown = outlines.knots(masks, h, w)
+    if refine_outlines:
+        edge_of = preds.sparkSession.createDataFrame([(k, p.edge) for k, p in enumerate(groups) if p.edge], "grp int, target string")
+        near = morph.dilate(morph.edges(masks, h, w), h, w, 2).join(masks.select("frame_id", "cell", "grp").distinct(), ["frame_id", "cell"]).join(F.broadcast(edge_of), "grp").join(preds, ["frame_id", "target", "r", "c"])
+        better = outlines.refine(near.select("frame_id", "cell", "r", "c", "p"), shown).withColumnRenamed("radii", "_better")
+        shown = shown.join(better, ["frame_id", "cell"], "left").withColumn("radii", F.coalesce("_better", "radii")).drop("_better")
+    shown = stored(shown)
+    edges = stored(outlines.rasterise(shown, h, w))
+    filled = morph.fill_holes(edges, h, w) if refine_outlines else masks.select("frame_id", "cell", "r", "c")
+    return Segmented(filled, shown, edges, objects.conical_volume(filled, h, w) if return_volume else None)
+
+
+def segment_batch(preds: DataFrame, groups: Sequence[GroupParams], h: int, w: int, containment: float = 0.8) -> DataFrame:
+    """The older form: (frame_id, grp, cell, r, c), of each pair of containing objects of adjacent groups the loser goes, all at once."""
+    parts = [segment_group(preds, p, h, w).select("frame_id", F.lit(k).alias("grp"), "cell", "r", "c") for k, p in enumerate(groups)]
+    masks = parts[0]
+    for part in parts[1:]:
+        masks = masks.union(part)
+    low, up = masks.select("frame_id", "grp", "cell", "r", "c"), masks.select("frame_id", (F.col("grp") - 1).alias("grp"), "cell", "r", "c")
+    pairs = match.intersections(low, up, ["r", "c"], ("frame_id", "grp")).withColumn("containment", match.containment())
+    scored = pairs.select("frame_id", F.col("grp").alias("grp_a"), (F.col("grp") + 1).alias("grp_b"), "ta", "tb", F.col("area_a").alias("score_a"), F.col("area_b").alias("score_b"), "containment")
+    return match.drop_adjacent_duplicates(scored, masks, containment)
+
+
+def radial_regions(px: DataFrame, threshold: float, h: int, w: int) -> DataFrame:
+    """(frame_id, cell, r, c): drawn spline outlines of the components above the threshold."""
+    return outlines.rasterise(outlines.knots(morph.components(px.filter(F.col("v") > threshold)), h, w), h, w)
+
+
 def remove_duplicates(masks: DataFrame, threshold: float) -> DataFrame:
     """Of objects of adjacent groups that contain each other beyond the threshold the smaller goes; on a tie the upper.
 

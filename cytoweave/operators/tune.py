@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import itertools
+import math
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import match
 from .evaluate import trial_scores
 
 
@@ -34,6 +37,159 @@ def coordinate_search(stats: DataFrame, truths: int, axes: dict[str, list[float]
     return best, top
 
 
+def stat_table(masks: DataFrame, scores: DataFrame, truth: DataFrame) -> DataFrame:
+    """(example, grp, cell, area, p_edge, containment, assignment, iou, best_assignment) of unfiltered objects.
+
+    masks: (frame_id, grp, cell, r, c); scores: (frame_id, grp, cell, p_edge);
+    truth: (frame_id, cell, r, c).  Of overlapping objects of adjacent groups the
+    one of the smaller edge score is contained (the lower group's on ties), by the
+    share of the smaller object; the last pair in order of (group, lower, upper)
+    counts.  ``assignment`` is the true object of largest IoU (the lowest of
+    equals, 0 without any), ``best_assignment`` that of greedy one-to-one matching
+    (-1: none).
+    """
+    key = ["frame_id", "grp", "cell"]
+    low, up = masks.select(*key, "r", "c"), masks.select("frame_id", (F.col("grp") - 1).alias("grp"), "cell", "r", "c")
+    pairs = match.intersections(low, up, ["r", "c"], ("frame_id", "grp")).withColumn("v", match.containment())
+    score = lambda cell, name, shift: scores.select("frame_id", (F.col("grp") - shift).alias("grp"), F.col("cell").alias(cell), F.col("p_edge").alias(name))
+    met = pairs.join(score("ta", "_a", 0), ["frame_id", "grp", "ta"]).join(score("tb", "_b", 1), ["frame_id", "grp", "tb"])
+    upper = F.col("_a") > F.col("_b")
+    lost = met.select("frame_id", F.when(upper, F.col("grp") + 1).otherwise(F.col("grp")).alias("_g"), F.when(upper, F.col("tb")).otherwise(F.col("ta")).alias("cell"), F.struct("grp", "ta", "tb").alias("_o"), "v")
+    lost = lost.groupBy("frame_id", F.col("_g").alias("grp"), "cell").agg(F.max_by("v", "_o").alias("containment"))
+    # objects of all groups meet the truth under one number of their own
+    one = masks.select("frame_id", F.struct("grp", "cell").alias("cell"), "r", "c")
+    hits = match.intersections(one, truth, ["r", "c"]).withColumn("iou", match.iou())
+    best = hits.groupBy("frame_id", F.col("ta.grp").alias("grp"), F.col("ta.cell").alias("cell")).agg(F.max_by(F.struct(F.col("tb").alias("assignment"), "iou"), F.struct("iou", -F.col("tb"))).alias("_m"))
+    number = masks.select(*key).distinct().withColumn("_p", F.row_number().over(Window.partitionBy("frame_id").orderBy("grp", "cell")))
+    numbered = hits.select("frame_id", F.col("ta.grp").alias("grp"), F.col("ta.cell").alias("cell"), F.col("tb"), "iou").join(number, key).select("frame_id", F.col("_p").alias("ta"), "tb", "iou")
+    greedy = match.greedy_match(numbered).select("frame_id", F.col("ta").cast("int").alias("_p"), F.col("tb").cast("int").alias("best_assignment"))
+    out = masks.groupBy(*key).agg(F.count("*").alias("area")).join(scores.select(*key, "p_edge"), key).join(lost, key, "left").join(best, key, "left").join(number, key).join(greedy, ["frame_id", "_p"], "left")
+    return out.select(
+        F.col("frame_id").alias("example"),
+        "grp",
+        "cell",
+        "area",
+        "p_edge",
+        F.coalesce("containment", F.lit(0.0)).alias("containment"),
+        F.coalesce("_m.assignment", F.lit(0)).alias("assignment"),
+        F.coalesce("_m.iou", F.lit(0.0)).alias("iou"),
+        F.coalesce("best_assignment", F.lit(-1)).alias("best_assignment"),
+    )
+
+
+_PARAMS = ("lower", "upper", "p_edge_min", "max_containment")
+
+
+def _scored(stats: DataFrame, trials: list[dict[str, float]], truths: int, score: str) -> tuple[dict[str, float], float]:
+    """The best of some trials (the first of equals), all scored in one job."""
+    g = stats.sparkSession.createDataFrame([(k, *(float(t[x]) for x in _PARAMS)) for k, t in enumerate(trials)], "param int, " + ", ".join(f"{x} double" for x in _PARAMS))
+    rows = trial_scores(stats, g, truths).select("param", score).collect()
+    found = max(rows, key=lambda r: (r[score] if r[score] is not None else -1.0, -r["param"]))
+    return trials[found["param"]], found[score] or 0.0
+
+
+def joint_search(stats: DataFrame, truths: int, axes: dict[str, list[float]], start: dict[str, float], score: str = "f1") -> tuple[dict[str, float], float]:
+    """Best parameters by three rounds: each axis from ``start``, each pair of axes from these, all mixtures of what was best.
+
+    Every round's trials are one job, whatever the number of axes.
+    """
+    by_axis = [{**start, k: v} for k, values in axes.items() for v in values]
+    g = stats.sparkSession.createDataFrame([(k, *(float(t[x]) for x in _PARAMS)) for k, t in enumerate(by_axis)], "param int, " + ", ".join(f"{x} double" for x in _PARAMS))
+    value = {r["param"]: r[score] if r[score] is not None else -1.0 for r in trial_scores(stats, g, truths).select("param", score).collect()}
+    found, at = {}, 0
+    for k, values in axes.items():
+        found[k] = values[max(range(len(values)), key=lambda i: (value[at + i], -i))]
+        at += len(values)
+    base, kept = {**start, **found}, {k: [v] for k, v in found.items()}
+    pairs = [(a, b, x, y) for a, b in itertools.combinations(axes, 2) for x in axes[a] for y in axes[b]]
+    g = stats.sparkSession.createDataFrame([(k, *(float({**base, a: x, b: y}[n]) for n in _PARAMS)) for k, (a, b, x, y) in enumerate(pairs)], "param int, " + ", ".join(f"{x} double" for x in _PARAMS))
+    value = {r["param"]: r[score] if r[score] is not None else -1.0 for r in trial_scores(stats, g, truths).select("param", score).collect()}
+    for names, group in itertools.groupby(range(len(pairs)), key=lambda i: pairs[i][:2]):
+        top = max(group, key=lambda i: (value[i], -i))
+        for name, v in zip(names, pairs[top][2:], strict=True):
+            if v not in kept[name]:
+                kept[name].append(v)
+    return _scored(stats, [{**base, **dict(zip(kept, v, strict=True))} for v in itertools.product(*kept.values())], truths, score)
+
+
+def base_grid_search(tables: dict[int, DataFrame], truths: int, axes: dict[str, list[float]], start: dict[str, float], score: str = "f1") -> tuple[int, dict[str, float], float]:
+    """Of several base parameter sets, each with its stat table, the one whose filters score best (the first of equals)."""
+    best = None
+    for k, stats in tables.items():
+        found, top = coordinate_search(stats, truths, axes, start, 2, score)
+        if best is None or top > best[2]:
+            best = (k, found, top)
+    return best
+
+
+def refit(best: DataFrame, tables: DataFrame, truths: int, axes: dict[str, list[float]], start: dict[str, float], score: str = "f1") -> tuple[dict[str, float], float]:
+    """Filters searched anew on the objects that each group's best base set gives.
+
+    best: (grp, base); tables: stat tables of all base sets with a column base.
+    """
+    return joint_search(tables.join(F.broadcast(best), ["grp", "base"], "left_semi"), truths, axes, start, score)
+
+
+def best_per_base(scores: DataFrame, score: str = "f1") -> DataFrame:
+    """(grp, base) of the highest score of each group, the lowest base of equals."""
+    return scores.groupBy("grp").agg(F.max_by("base", F.struct(F.col(score), -F.col("base"))).alias("base"))
+
+
+def two_cuts(pairs: DataFrame, thresholds: DataFrame, padding: float) -> DataFrame:
+    """(lower_cut, upper_cut, cost): the two size thresholds that leave least overlap within three groups.
+
+    pairs: (area_lo, area_hi, frac); thresholds: (t), a small table.  A pair counts
+    once for each group that both of its objects fall in, groups being widened by
+    the padding.  Of equal costs the lowest cuts win.
+    """
+    t = thresholds.alias("a").join(thresholds.alias("b"), F.col("a.t") < F.col("b.t")).select(F.col("a.t").alias("lower_cut"), F.col("b.t").alias("upper_cut"))
+    lo, hi, a, b = F.col("area_lo"), F.col("area_hi"), F.col("lower_cut"), F.col("upper_cut")
+    times = (hi < a + padding).cast("int") + ((lo >= a - padding) & (hi < b + padding)).cast("int") + (lo >= b - padding).cast("int")
+    cost = pairs.crossJoin(F.broadcast(t)).groupBy("lower_cut", "upper_cut").agg(F.round(F.sum(F.col("frac") * times), 6).alias("cost"))
+    return cost.agg(F.min(F.struct("cost", "lower_cut", "upper_cut")).alias("b")).select("b.lower_cut", "b.upper_cut", "b.cost")
+
+
+def best_split(costs: DataFrame) -> DataFrame:
+    """(t, cost) of the least cost of ``overlap_threshold``, the lowest t of equals."""
+    return costs.agg(F.min(F.struct("cost", "t")).alias("b")).select("b.t", "b.cost")
+
+
+def best_level(sizes: DataFrame, smallest: int = 1, median_share: float = 0.0) -> DataFrame:
+    """(level): the deepest erosion at which every object keeps ``smallest`` pixels and the median ``median_share`` of its first value; 0 if none.
+
+    sizes: (cell, e, n) for the levels e = 0, 1, ...
+    """
+    by = erosion_level(sizes, smallest)
+    first = by.filter("e = 0").select(F.col("median").alias("_first"))
+    good = by.crossJoin(F.broadcast(first)).filter(F.col("keeps") & (F.col("median") >= F.col("_first") * median_share))
+    return good.agg(F.coalesce(F.max("e"), F.lit(0)).cast("int").alias("level"))
+
+
+def fit_smoothing(best: DataFrame, size: str = "n_edge", sigma: str = "sigma") -> tuple[float, float, float]:
+    """(a, b, c) of sigma = log(max((n - c) / a, 1)) / b, fitted to the best sigmas of objects.
+
+    exp(b sigma) a + c = n is fitted by Gauss-Newton; the sums of its normal
+    equations are one aggregate a step, so objects stay where they are.  Starts
+    from the straight line through log(n) over sigma.
+    """
+    line = best.filter(F.col(size) > 1).agg(F.regr_slope(F.log(size), F.col(sigma)).alias("s"), F.regr_intercept(F.log(size), F.col(sigma)).alias("i")).first()
+    if line is None or line["s"] is None:
+        raise ValueError("too few objects to fit a smoothing model")
+    a, b, c = math.exp(line["i"]), max(line["s"], 1e-3), 0.0
+    x, y = F.col(sigma), F.col(size)
+    for _ in range(30):
+        e = F.exp(F.lit(b) * x)
+        part = (e, F.lit(a) * x * e, F.lit(1.0))
+        off = y - (F.lit(a) * e + F.lit(c))
+        sums = best.agg(*[F.sum(p * q).alias(f"h{i}{j}") for i, p in enumerate(part) for j, q in enumerate(part)], *[F.sum(p * off).alias(f"g{i}") for i, p in enumerate(part)]).first()
+        h = np.array([[sums[f"h{i}{j}"] for j in range(3)] for i in range(3)], float) + 1e-9 * np.eye(3)
+        move = np.linalg.lstsq(h, np.array([sums[f"g{i}"] for i in range(3)], float), rcond=None)[0]
+        a, b, c = a + move[0], b + move[1], c + move[2]
+        if np.abs(move).max() < 1e-9:
+            break
+    return float(a), float(b), float(c)
+
+
 def overlap_threshold(pairs: DataFrame, thresholds: DataFrame, padding: float) -> DataFrame:
     """(t, cost) of each size threshold: summed overlap of pairs that fall in one of its two groups.
 
@@ -45,6 +201,6 @@ def overlap_threshold(pairs: DataFrame, thresholds: DataFrame, padding: float) -
 
 
 def erosion_level(sizes: DataFrame, smallest: int = 1) -> DataFrame:
-    """(level): the deepest erosion at which every object keeps ``smallest`` pixels; sizes: (cell, e, n)."""
+    """(e, least, median, keeps) of each erosion level: whether every object keeps ``smallest`` pixels; sizes: (cell, e, n)."""
     ok = sizes.groupBy("e").agg(F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"))
     return ok.withColumn("keeps", F.col("least") >= smallest)

@@ -6,36 +6,16 @@ rounded to 6 places on both sides.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import augment, evaluate, growth, learn, match, morph, norm, objects, outlines, sample, segment, tiles, track, tune
-from .sources import views
+from .registry import QUERIES, SQL, Query, query, r6
+from .sources import images, views
 from .sources.views import with_views
 from .streaming import live
 
 H = W = views.SIDE
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def register(fn: Query) -> Query:
-        _QUERIES[fn.__name__] = fn
-        if sql is not None:
-            _SQL[fn.__name__] = sql
-        return fn
-
-    return register
-
-
-def r6(c: Column | str) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, 6)
-
-
 # -- normalisation ----------------------------------------------------------
 
 
@@ -149,11 +129,13 @@ def flatten_targets(spark, d):
     return objects.flatten(views.quadrants(spark, d))
 
 
-@query(f"""{with_views('qd')}, m AS (SELECT frame_id, r, c FROM qd WHERE cell = 1), d1 AS ({_DILATE.format('m')}), d2 AS ({_DILATE.format('d1')})
-SELECT DISTINCT d2.frame_id, d2.r, d2.c FROM d2 JOIN qd b ON b.frame_id = d2.frame_id AND b.r = d2.r AND b.c = d2.c AND b.cell = 2""")
+@query(f"""{with_views('qd')}, d AS (SELECT DISTINCT frame_id, cell, r + dr AS r, c + dc AS c FROM qd, (SELECT x.k AS dr, y.k AS dc FROM (SELECT unnest(range(-2, 3)) AS k) x, (SELECT unnest(range(-2, 3)) AS k) y WHERE abs(x.k) + abs(y.k) <= 2) WHERE r + dr BETWEEN 0 AND 7 AND c + dc BETWEEN 0 AND 7)
+SELECT DISTINCT d.frame_id, d.r, d.c FROM d JOIN qd b ON b.frame_id = d.frame_id AND b.r = d.r AND b.c = d.c AND b.cell > d.cell""")
 def bud_neck(spark, d):
+    """Each object is the mother of all with a higher number."""
     q = views.quadrants(spark, d)
-    pairs = q.select("frame_id").distinct().select("frame_id", F.lit(1).alias("mother"), F.lit(2).alias("bud"))
+    cells = q.select("frame_id", "cell").distinct()
+    pairs = cells.select("frame_id", F.col("cell").alias("mother")).join(cells.select("frame_id", F.col("cell").alias("bud")), "frame_id").filter("mother < bud")
     return objects.bud_neck(q, pairs, H, W)
 
 
@@ -188,11 +170,12 @@ def coords_json(spark, d):
     return objects.coordinates(views.quadrants(spark, d))
 
 
-@query(f"""{with_views('px')}, m AS (SELECT frame_id, quantile_cont(v, 0.5) AS m FROM px GROUP BY 1), g AS (SELECT frame_id, m, dr, dc FROM m, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc))
-SELECT g.frame_id, 0 AS centre, (dr + 2)::INT AS r, (dc + 2)::INT AS c, round(coalesce(v, m), 6) AS v FROM g LEFT JOIN px ON px.frame_id = g.frame_id AND px.r = 1 + dr AND px.c = 6 + dc""")
+@query(f"""{with_views('px')}, m AS (SELECT frame_id, quantile_cont(v, 0.5) AS m FROM px GROUP BY 1), t AS (SELECT frame_id, r, c FROM px QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY v DESC, r, c) = 1), g AS (SELECT m.frame_id, m, t.r AS tr, t.c AS tc, dr, dc FROM m JOIN t USING (frame_id), (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc))
+SELECT g.frame_id, 0 AS centre, (dr + 2)::INT AS r, (dc + 2)::INT AS c, round(coalesce(v, m), 6) AS v FROM g LEFT JOIN px ON px.frame_id = g.frame_id AND px.r = tr + dr AND px.c = tc + dc""")
 def trap_tiles(spark, d):
     px = views.pixels(spark, d)
-    centres = views.frames(spark, d).select("frame_id", F.lit(0).alias("centre"), F.lit(1).alias("r"), F.lit(6).alias("c"))
+    top = px.groupBy("frame_id").agg(F.max(F.struct("v", (-F.col("r")).alias("r"), (-F.col("c")).alias("c"))).alias("t"))
+    centres = top.select("frame_id", F.lit(0).alias("centre"), (-F.col("t.r")).alias("r"), (-F.col("t.c")).alias("c"))
     return tiles.windows(px, centres, 2).select("frame_id", "centre", "r", "c", r6("v").alias("v"))
 
 
@@ -229,17 +212,6 @@ def segment_cells(spark, d):
     return segment.segment(one.union(two), groups, H, W, 0.5)
 
 
-@query()
-def fill_holes(spark, d):
-    return morph.fill_holes(views.masks(spark, d), H, W)
-
-
-@query()
-def outline_rays(spark, d):
-    m = views.masks(spark, d)
-    centres = objects.shape_features(m).select("frame_id", "cell", F.col("centroid_r").alias("centre_r"), F.col("centroid_c").alias("centre_c"))
-    rays = outlines.ray_radii(morph.edges(m, H, W), centres, 8)
-    return rays.select("frame_id", "ray", r6("radius").alias("radius"))
 
 
 @query()
@@ -261,7 +233,7 @@ def claim_walk(spark, d):
 SELECT ta, tb, n, round(n / (x.area + y.area - n), 6) AS iou, round(greatest(n / x.area, n / y.area), 6) AS containment FROM n JOIN s x ON ta = x.obj JOIN s y ON tb = y.obj""")
 def iou_matrix(spark, d):
     s = views.sets(spark, d).select(F.col("obj").alias("cell"), "px")
-    p = match.intersections(s, s, ["px"], ()).filter("ta < tb")
+    p = match.intersections(s, s, ["px"], (), ordered=True)
     return p.select("ta", "tb", "n", r6(match.iou()).alias("iou"), r6(match.containment()).alias("containment"))
 
 
@@ -275,13 +247,6 @@ def containment_adjacent(spark, d):
     return p.filter("containment > 0.3").select("frame_id", "ta", "tb", r6("containment").alias("containment"))
 
 
-@query()
-def greedy_match(spark, d):
-    q = views.quadrants(spark, d)
-    flipped = q.select("frame_id", "cell", F.col("c").alias("r"), F.col("r").alias("c"))
-    p = match.intersections(q, flipped, ["r", "c"]).withColumn("iou", match.iou())
-    return match.greedy_match(p).select("frame_id", "ta", "tb", r6("iou").alias("iou"))
-
 
 @query(f"""{with_views('qd')}, p AS (SELECT a.frame_id, a.cell AS ta, b.cell AS tb, count(*) AS n FROM qd a JOIN qd b ON a.frame_id = b.frame_id AND a.r = b.c AND a.c = b.r GROUP BY 1, 2, 3), s AS (SELECT frame_id, cell, count(*) AS area FROM qd GROUP BY 1, 2),
 j AS (SELECT p.frame_id, ta, tb, n / (x.area + y.area - n) AS iou FROM p JOIN s x ON x.frame_id = p.frame_id AND x.cell = ta JOIN s y ON y.frame_id = p.frame_id AND y.cell = tb)
@@ -408,11 +373,11 @@ def mother_assign(spark, d):
     return track.assign_mothers(*_lineage_inputs(spark, d))
 
 
-@query("""WITH RECURSIVE e AS (SELECT c_custkey AS daughter, c_custkey // 3 AS mother FROM customer WHERE c_custkey // 3 > 0), t AS (SELECT c_custkey AS root, c_custkey AS label, 0 AS generation FROM customer WHERE c_custkey BETWEEN 1 AND 2 UNION ALL SELECT t.root, e.daughter, generation + 1 FROM t JOIN e ON e.mother = t.label) SELECT * FROM t""")
+@query("""WITH RECURSIVE e AS (SELECT c_custkey AS daughter, c_custkey // 3 AS mother FROM customer WHERE c_custkey // 3 > 0), t AS (SELECT c_custkey AS root, c_custkey AS label, 0 AS generation FROM customer WHERE c_custkey // 3 = 0 UNION ALL SELECT t.root, e.daughter, generation + 1 FROM t JOIN e ON e.mother = t.label) SELECT * FROM t""")
 def lineage_descendants(spark, d):
     c = views.table(spark, d, "customer").select("c_custkey")
     edges_ = c.select(F.col("c_custkey").alias("daughter"), F.expr("c_custkey div 3").alias("mother")).filter("mother > 0")
-    return track.descendants(edges_, c.filter("c_custkey between 1 and 2").select(F.col("c_custkey").alias("label")))
+    return track.descendants(edges_, c.filter("c_custkey div 3 = 0").select(F.col("c_custkey").alias("label")))
 
 
 _SLOPE = "sl AS (SELECT *, CASE WHEN count(vol) OVER w >= 3 THEN regr_slope(vol, tp) OVER w END AS gr FROM vo WINDOW w AS (PARTITION BY series ORDER BY tp ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING))"
@@ -507,18 +472,20 @@ def count_histogram(spark, d):
 # -- sources as tables, samples, tuning -------------------------------------
 
 
-@query(r"""WITH p AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)/(.*)$', 1) AS prefix, CASE WHEN url LIKE 'https%' THEN 'a' ELSE 'b' END AS side FROM pages)
-SELECT prefix[9:] AS host, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b FROM (SELECT page_id, regexp_replace(prefix, '^http://', 'https://') AS prefix, side FROM p) GROUP BY 1 HAVING count(*) FILTER (side = 'a') > 0 AND count(*) FILTER (side = 'b') > 0""")
+@query("""WITH f AS (SELECT '/img/' || (page_id // 3) AS prefix, CASE page_id % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' END AS kind, '/img/' || (page_id // 3) || '_' || CASE page_id % 3 WHEN 0 THEN 'A' WHEN 1 THEN 'b' ELSE 'other' END || '.png' AS path FROM pages)
+SELECT prefix, max(path) FILTER (kind = 'a') AS a, max(path) FILTER (kind = 'b') AS b FROM f GROUP BY 1 HAVING count(*) FILTER (kind = 'a') = 1 AND count(*) FILTER (kind = 'b') = 1""")
 def pair_images(spark, d):
-    p = views.table(spark, d, "pages")
-    host = F.regexp_replace(F.regexp_extract("url", "^(https?://[^/]+)/(.*)$", 1), "^https?://", "")
-    g = p.select(host.alias("host"), F.when(F.col("url").startswith("https"), "a").otherwise("b").alias("side"))
-    return g.groupBy("host").agg(F.count(F.when(F.col("side") == "a", 1)).alias("a"), F.count(F.when(F.col("side") == "b", 1)).alias("b")).filter("a > 0 and b > 0")
+    """Files named after pages; two of three kinds make a pair."""
+    k = F.col("page_id")
+    side = F.when(k % 3 == 0, "A").when(k % 3 == 1, "b").otherwise("other")
+    files = views.table(spark, d, "pages").select(F.concat(F.lit("/img/"), F.floor(k / 3).cast("string"), F.lit("_"), side, F.lit(".png")).alias("path"))
+    return images.pair_files(files, ["a", "b"], strict=False)
 
 
-@query("""SELECT d.doc_id, d.source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
+@query("""SELECT doc_id::VARCHAR AS prefix, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def new_pairs(spark, d):
-    return views.table(spark, d, "documents").select("doc_id", "source").join(views.table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    found = views.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("prefix"), "source")
+    return images.new_pairs(found, views.table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("prefix")))
 
 
 @query("""WITH g AS (SELECT DISTINCT source, lang FROM documents), k AS (SELECT *, row_number() OVER (ORDER BY md5('1:' || source || ':' || lang), source, lang) AS k, count(*) OVER () AS n FROM g)
@@ -538,7 +505,7 @@ def systematic_sample(spark, d):
     return sample.every_kth(views.table(spark, d, "documents").select("doc_id", "source"), 0.3, ["source"], ["doc_id"])
 
 
-@query("""WITH b AS (SELECT doc_id, n_chars, b AS boot, ('0x' || substr(md5('7:' || b || ':' || doc_id), 1, 6))::BIGINT AS u FROM documents, range(1, 11) t(b)), c AS (SELECT *, CASE WHEN u < 6171993 THEN 0 WHEN u < 12343986 THEN 1 WHEN u < 15429982 THEN 2 ELSE 3 END AS copies FROM b), m AS (SELECT boot, sum(copies * n_chars) / sum(copies) AS m FROM c WHERE copies > 0 GROUP BY 1)
+@query(f"""WITH b AS (SELECT doc_id, n_chars, b AS boot, ('0x' || substr(md5('7:' || b || ':' || doc_id), 1, 7))::BIGINT AS u FROM documents, range(1, 11) t(b)), c AS (SELECT *, {" + ".join(f"(u >= {cut})::INT" for cut in sample.poisson_cuts(0.9, 1 << 28))} AS copies FROM b), m AS (SELECT boot, sum(copies * n_chars) / sum(copies) AS m FROM c WHERE copies > 0 GROUP BY 1)
 SELECT 'n_chars' AS name, round(avg(m), 4) AS mean, round(stddev_pop(m) / sqrt(count(m)), 4) AS se FROM m""")
 def bootstrap_score(spark, d):
     b = sample.bootstrap(views.table(spark, d, "documents").select("doc_id", "n_chars"), 10, 7, "doc_id")
@@ -600,7 +567,7 @@ p AS (SELECT least(x.area, y.area) AS lo, greatest(x.area, y.area) AS hi, n / le
 SELECT t::DOUBLE AS t, round(sum(CASE WHEN hi < t + 5 OR lo >= t - 5 THEN frac ELSE 0 END), 6) AS cost FROM p, range(400, 800, 20) g(t) GROUP BY 1""")
 def threshold_split_search(spark, d):
     s = views.sets(spark, d).select(F.col("obj").alias("cell"), "px")
-    p = match.intersections(s, s, ["px"], ()).filter("ta < tb")
+    p = match.intersections(s, s, ["px"], (), ordered=True)
     lo = F.least("area_a", "area_b")
     pairs = p.select(lo.alias("area_lo"), F.greatest("area_a", "area_b").alias("area_hi"), (F.col("n") / lo).alias("frac"))
     return tune.overlap_threshold(pairs, spark.range(400, 800, 20).select(F.col("id").cast("double").alias("t")), 5)
@@ -620,11 +587,6 @@ def erosion_level(spark, d):
     return tune.erosion_level(sizes)
 
 
-@query()
-def savgol(spark, d):
-    v = views.volumes(spark, d).select("series", (F.row_number().over(Window.partitionBy("series").orderBy("tp")) - 1).alias("i"), F.col("vol").alias("v"))
-    return growth.savgol(v).select("series", "i", F.round("smooth", 4).alias("smooth"))
-
 
 @query("""SELECT user_id AS series, date_trunc('day', ts) AS start, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1, 2""")
 def activity_windows(spark, d):
@@ -652,9 +614,12 @@ def link_classifier(spark, d):
     return learn.performance(learn.probabilities(model, rows, names), "same").select("split", "tp", "fp", "fn", "tn", r6("balanced").alias("balanced"))
 
 
+from . import queries_cells, queries_tables  # noqa: E402, F401  (they register their own)
+
+
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)

@@ -9,6 +9,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -140,6 +141,26 @@ def encode_tiles(px: DataFrame, bits: int = 16, fill: int = 0) -> DataFrame:
     return px.groupBy("frame_id").applyInPandas(encode, "frame_id long, content binary")
 
 
+def write_tiles(px: DataFrame, folder: str, bits: int = 16, fill: int = 0) -> DataFrame:
+    """Write each frame as ``<frame_id>.png`` under ``folder``: (frame_id, path, size) of the files.
+
+    The folder is any place that executors share.  A task that runs again writes
+    the same bytes under the same name.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            paths = [f"{root}/{k}.png" for k in b["frame_id"]]
+            for path, content in zip(paths, b["content"], strict=True):
+                with store.open_output_stream(path) as out:
+                    out.write(content)
+            yield pd.DataFrame({"frame_id": b["frame_id"], "path": paths, "size": [len(c) for c in b["content"]]})
+
+    return encode_tiles(px, bits, fill).mapInPandas(write, "frame_id long, path string, size long")
+
+
 def pair_files(files: DataFrame, kinds: Sequence[str], strict: bool = True) -> DataFrame:
     """(prefix, <kind>...): files named prefix_kind.png side by side.
 
