@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import word_count
+from .common import materialise, word_count
 
 #: Weights of the sources by code point, null last, repeating.
 WEIGHTS = (3, 1, 2)
@@ -66,7 +66,8 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs:
     ignored.  Reruns agree, whatever the partitioning.
     """
     text_key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    keyed = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_key.alias("order_key")).withColumn("_range", F.substring("order_key", 1, RANGE_DIGITS))
+    # texts are read and counted once; what follows reads keys and sizes only
+    keyed = materialise(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), text_key.alias("order_key")), "keyed").withColumn("_range", F.substring("order_key", 1, RANGE_DIGITS))
     ranges = keyed.groupBy("source", "_range").agg(F.sum("size").alias("_in_range"))
     sizes = ranges.groupBy("source").agg(F.sum("_in_range").alias("source_size"))
     before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
