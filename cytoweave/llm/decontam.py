@@ -155,3 +155,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RAT
     for items in _blocks(benchmark):
         docs = docs.filter(F.size(_hits(docs, F.col("text"), items, rate)) == 0)
     return docs.select(*columns)
+
+
+#: Places of the pieces, then the smallest distance of the item to any stretch of the
+#: text around them whose length differs by the budget at most.
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT item_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS p FROM benchmark WHERE text IS NOT NULL),
+i AS (SELECT item_id, p, length(p) AS m, floor(length(p) * 0.05)::INT AS e FROM b WHERE p <> ''),
+c AS (SELECT item_id, p, m, e, k, m * k // (e + 1) AS off, p[m * k // (e + 1) + 1:m * (k + 1) // (e + 1)] AS piece FROM (SELECT *, unnest(range(e + 1)) AS k FROM i)),
+h AS (SELECT DISTINCT doc_id, item_id, p, m, e, t, off, piece FROM d JOIN c ON contains(t, piece) WHERE piece <> ''),
+s AS (SELECT doc_id, item_id, p, m, e, t, off, unnest(list_filter(range(1, length(t) - length(piece) + 2), lambda x: t[x:x + length(piece) - 1] = piece)) AS pos FROM h),
+w AS (SELECT DISTINCT doc_id, item_id, p, m, e, t, pos - off AS s0 FROM s),
+z AS (SELECT doc_id, item_id, e, min(levenshtein(p, t[greatest(s0 + a, 1):s0 + b + m - 1])) AS distance FROM w, (SELECT unnest(range(-60, 61)) AS a), (SELECT unnest(range(-60, 61)) AS b)
+      WHERE abs(a) <= e AND abs(b) <= e AND abs(b - a) <= e GROUP BY ALL)
+SELECT doc_id, item_id, distance::INT AS distance FROM z WHERE distance <= e
+"""

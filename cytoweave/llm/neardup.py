@@ -204,3 +204,24 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     """
     gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_text_hash(docs["text"]) == F.col("_hash")), "left_anti")
+
+
+#: The query on two-word shingles.  Pairs come from an exact filter, without MinHash:
+#: sets of similarity 0.8 share one of the rarest n - ceil(0.8 n) + 1 members of either.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+h AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]] ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS hs FROM w),
+s AS (SELECT doc_id, len(hs) AS n, md5(array_to_string(list_sort(hs), chr(10))) AS class, hs FROM h),
+c AS (SELECT class, any_value(n) AS n, any_value(hs) AS hs FROM s WHERE n > 0 GROUP BY 1),
+x AS (SELECT class, n, unnest(hs) AS g FROM c),
+f AS (SELECT g, count(*) AS k FROM x GROUP BY 1),
+o AS (SELECT x.class, x.n, x.g, row_number() OVER (PARTITION BY x.class ORDER BY k, x.g) AS r FROM x JOIN f USING (g)),
+p AS (SELECT class, n, g FROM o WHERE r <= n - ceil(0.8 * n) + 1),
+q AS (SELECT DISTINCT a.class AS a, b.class AS b FROM p a JOIN p b ON a.g = b.g AND a.class < b.class AND least(a.n, b.n) * 100 >= greatest(a.n, b.n) * 80),
+l AS (SELECT q.a, q.b FROM q JOIN c x ON x.class = q.a JOIN c y ON y.class = q.b WHERE 100 * len(list_intersect(x.hs, y.hs)) >= 80 * (x.n + y.n - len(list_intersect(x.hs, y.hs)))),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+t AS (SELECT class AS a, class AS b FROM c UNION SELECT t.a, e.b FROM t JOIN e ON e.a = t.b),
+g AS (SELECT t.a AS class, min(s.doc_id) AS component_id FROM t JOIN s ON s.class = t.b AND s.n > 0 GROUP BY 1)
+SELECT s.doc_id, s.n AS n_shingles, CASE WHEN s.n = 0 THEN s.doc_id ELSE g.component_id END AS component_id, s.doc_id = CASE WHEN s.n = 0 THEN s.doc_id ELSE g.component_id END AS kept
+FROM s LEFT JOIN g ON s.class = g.class AND s.n > 0
+"""

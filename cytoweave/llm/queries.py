@@ -89,5 +89,7 @@ def oracle_sql() -> dict[str, str]:
         "op2_mix_sources": mixing.ORACLE_SQL,
         "op3_line_dedup": linededup.ORACLE_SQL,
         "op5_chat_format": chat.ORACLE_SQL,
+        "op6_decontamination": decontam.ORACLE_SQL,
         "op7_warc": warc.ORACLE_SQL,
+        "op10_minhash": neardup.ORACLE_SQL,
     }
