@@ -26,13 +26,41 @@ def minmax_norm(px: DataFrame, keys: Sequence[str] = ("frame_id",)) -> DataFrame
     return px.withColumn("v", F.coalesce(F.try_divide(F.col("v") - lo, hi - lo), F.lit(0.0)))
 
 
-def robust_norm(px: DataFrame, keys: Sequence[str] = ("frame_id",), q: float = 0.04) -> DataFrame:
+def quantiles(rows: DataFrame, keys: Sequence[str], levels: Sequence[float], buckets: int = 256) -> DataFrame:
+    """(keys, _q): exact quantiles of ``v``, linear between ranks, of groups of any size.
+
+    A sketch of each group cuts its values into buckets of about equal shares;
+    counts tell which buckets hold the wanted ranks, and only these are counted by
+    value and ranked.  So no task sorts or holds more than such a bucket's distinct
+    values, however large the group is and however often a value repeats.
+    """
+    values = rows.filter(F.col("v").isNotNull()).select(*keys, F.col("v").cast("double").alias("v"))
+    cuts = values.groupBy(*keys).agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("_cuts"))
+    placed = values.join(cuts, list(keys)).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("v")))).drop("_cuts")
+    sizes = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy(*keys)
+    starts = sizes.withColumn("_end", F.sum("_k").over(w.orderBy("_b"))).withColumn("_n", F.sum("_k").over(w))
+    wanted = starts.withColumn("_at", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(levels)]))).withColumn("_pos", F.col("_at.q") * (F.col("_n") - 1))
+    wanted = wanted.withColumn("_rank", F.explode(F.array_distinct(F.array(F.floor("_pos"), F.ceil("_pos")))))
+    wanted = wanted.filter((F.col("_rank") >= F.col("_end") - F.col("_k")) & (F.col("_rank") < F.col("_end")))
+    asked = wanted.select(*keys, "_b", F.col("_at.i").alias("_i"), "_pos", "_rank", (F.col("_end") - F.col("_k")).alias("_start"))
+    counted = placed.join(asked.select(*keys, "_b").distinct(), [*keys, "_b"], "left_semi").groupBy(*keys, "_b", "v").agg(F.count("*").alias("_m"))
+    upto = counted.withColumn("_upto", F.sum("_m").over(Window.partitionBy(*keys, "_b").orderBy("v")))
+    met = asked.join(upto, [*keys, "_b"]).filter((F.col("_rank") >= F.col("_start") + F.col("_upto") - F.col("_m")) & (F.col("_rank") < F.col("_start") + F.col("_upto")))
+    weight = F.when(F.floor("_pos") == F.ceil("_pos"), 1.0).when(F.col("_rank") == F.floor("_pos"), F.ceil("_pos") - F.col("_pos")).otherwise(F.col("_pos") - F.floor("_pos"))
+    each = met.groupBy(*keys, "_i").agg(F.sum(F.col("v") * weight).alias("_v"))
+    return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_q"))
+
+
+def robust_norm(px: DataFrame, keys: Sequence[str] = ("frame_id",), q: float = 0.04, large: bool = False) -> DataFrame:
     """(v - median) * (1 - q) / (range between the q/2 and 1 - q/2 quantiles); a flat group gives 0.
 
-    Quantiles are aggregates that join back on the group's key, so a group of any
-    size is never sorted in one window.
+    Quantiles are aggregates that join back on the group's key.  As they stand they
+    hold a group's distinct values in one buffer, which suits frames; ``large``
+    takes ``quantiles`` for few groups of any size.
     """
-    level = px.groupBy(*keys).agg(F.percentile("v", F.array(F.lit(q / 2), F.lit(0.5), F.lit(1 - q / 2))).alias("_q"))
+    levels = (q / 2, 0.5, 1 - q / 2)
+    level = quantiles(px, keys, levels) if large else px.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(x) for x in levels])).alias("_q"))
     met = px.join(level, list(keys))
     scaled = F.try_divide((F.col("v") - F.col("_q")[1]) * (1 - q), F.col("_q")[2] - F.col("_q")[0])
     return met.withColumn("v", F.coalesce(scaled, F.lit(0.0))).drop("_q")

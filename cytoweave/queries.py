@@ -34,7 +34,7 @@ def norm_robust(spark, d):
 SELECT l_orderkey, l_returnflag, l_linestatus, l_extendedprice, round((l_extendedprice - q[2]) * 0.96 / nullif(q[3] - q[1], 0), 6) AS v FROM lineitem JOIN q USING (l_returnflag, l_linestatus)""")
 def norm_robust_group(spark, d):
     rows = views.table(spark, d, "lineitem").select("l_orderkey", "l_returnflag", "l_linestatus", "l_extendedprice", F.col("l_extendedprice").alias("v"))
-    return norm.robust_norm(rows, ("l_returnflag", "l_linestatus")).select("l_orderkey", "l_returnflag", "l_linestatus", "l_extendedprice", r6("v").alias("v"))
+    return norm.robust_norm(rows, ("l_returnflag", "l_linestatus"), large=True).select("l_orderkey", "l_returnflag", "l_linestatus", "l_extendedprice", r6("v").alias("v"))
 
 
 @query(f"""{with_views('px')} SELECT a.frame_id, a.r, a.c, round(greatest(a.v, 0) * (1 - greatest(coalesce(b.v, 0), 0)), 6) AS v FROM px a LEFT JOIN px b ON a.frame_id = b.frame_id AND a.r = b.c AND a.c = b.r""")

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoweave.operators import augment, buds, evaluate, fold, growth, match, morph, objects, outlines, sample, segment, sets, track, tune
+from cytoweave.operators import augment, buds, evaluate, fold, growth, match, morph, norm, objects, outlines, sample, segment, sets, track, tune
 from cytoweave.sources import catalog, images
 
 MASK = "frame_id long, cell int, r int, c int"
@@ -231,6 +231,15 @@ def test_augmentation_logs_its_steps(spark):
     assert {tuple(map(str, x)) for x in got.collect()} == {tuple(map(str, x)) for x in again.collect()}
 
 
+def test_quantiles_of_large_groups(spark):
+    rng = np.random.default_rng(3)
+    rows = [(g, float(x)) for g, n in ((1, 1), (2, 2), (3, 5000), (4, 700)) for x in (rng.normal(size=n) if g != 4 else rng.integers(0, 3, n))]
+    df = spark.createDataFrame([*rows, (3, None)], "g int, v double")
+    levels = (0.0, 0.02, 0.5, 0.98, 1.0)
+    got = {x.g: x._q for x in norm.quantiles(df, ["g"], levels, 16).collect()}
+    assert all(np.allclose(got[g], np.quantile([v for k, v in rows if k == g], levels)) for g in (1, 2, 3, 4))
+
+
 def test_small_table_operators(spark):
     c = spark.createDataFrame([(1, 3.0), (2, 5.0), (3, None)], "id int, focus double")
     assert [x.focus for x in match.nearest_focus(c, [2.0, 4.0, 6.0]).orderBy("id").collect()][:2] == [2.0, 4.0]
