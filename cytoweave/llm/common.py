@@ -64,8 +64,10 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, how:
     near = F.broadcast(hot.select(*[F.col(k).alias(c) for k, c in zip(keys, copies, strict=True)], F.struct(*values).alias(marked)))
     met = rows.join(near, [F.col(k) == F.col(c) for k, c in zip(keys, copies, strict=True)], "left").drop(*copies)
     nowhere = F.greatest(*[F.col(k).isNull().cast("int") for k in keys], F.lit(0)) == 1
-    met = met.withColumn(scatter, F.when(F.col(marked).isNotNull() | nowhere, F.xxhash64(*rows.columns)).otherwise(F.lit(-1)))
-    cold = table.filter(F.col(size) * HOT_SHARE < total).select(*keys, F.lit(-1).cast("long").alias(scatter), F.struct(*values).alias(there))
+    met = met.withColumn(scatter, F.when(F.col(marked).isNotNull() | nowhere, F.xxhash64(*rows.columns)).otherwise(F.lit(0)))
+    # 0 on this side, but no constant: a constant would be folded out of the join's keys, and hot rows be dealt by the others
+    zero = F.pmod(F.col(size), F.lit(1)).cast("long")
+    cold = table.filter(F.col(size) * HOT_SHARE < total).select(*keys, zero.alias(scatter), F.struct(*values).alias(there))
     found = met.join(cold.hint("merge"), [*keys, scatter], "left")
     value = F.coalesce(F.col(marked), F.col(there))
     if how == "inner":

@@ -14,6 +14,9 @@ def test_hot_join_is_a_join(spark, monkeypatch, how):
     got = common.join_hot(rows, table, ["a", "b"], "size", how)
     want = rows.join(table, ["a", "b"], how).select(*got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    # hot rows are dealt by more than their key
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "_scatter" in next(x for x in plan.splitlines() if "SortMergeJoin" in x)
     assert table.filter(F.col("size") * 5 >= table.agg(F.sum("size")).first()[0]).count() >= 1
 
 
