@@ -159,13 +159,13 @@ def remove_duplicates(masks: DataFrame, threshold: float) -> DataFrame:
 
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
         gone = set()
-        for x in pdf.sort_values(["grp", "ta", "tb"]).itertuples(index=False):
-            a, b = (x.grp, x.ta), (x.grp + 1, x.tb)
+        for x in pdf.itertuples(index=False):
+            a, b = (x.frame_id, x.grp, x.ta), (x.frame_id, x.grp + 1, x.tb)
             if a not in gone and b not in gone:
                 gone.add(a if x.area_a < x.area_b else b)
-        return pd.DataFrame([(pdf["frame_id"].iloc[0], g, c) for g, c in sorted(gone)], columns=["frame_id", "grp", "cell"])
+        return pd.DataFrame(sorted(gone), columns=["frame_id", "grp", "cell"])
 
-    lost = pairs.groupBy("frame_id").applyInPandas(walk, "frame_id long, grp int, cell int")
+    lost = fold.in_groups(pairs.select("frame_id", "grp", "ta", "tb", "area_a", "area_b"), ["frame_id"], ["grp", "ta", "tb"], walk, "frame_id long, grp int, cell int")
     return masks.join(lost, ["frame_id", "grp", "cell"], "left_anti")
 
 
@@ -174,14 +174,14 @@ def unmatched(masks: DataFrame, reference: DataFrame, threshold: float) -> DataF
     pairs = match.intersections(masks, reference, ["r", "c"]).withColumn("iou", match.iou()).filter(F.col("iou") > threshold)
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for x in pdf.sort_values(["ta", "tb"]).itertuples(index=False):
-            if x.ta not in out and x.tb not in used:
-                used.add(x.tb)
-                out.append(x.ta)
-        return pd.DataFrame({"frame_id": pdf["frame_id"].iloc[0], "cell": out})
-
-    found = pairs.groupBy("frame_id").applyInPandas(claim, "frame_id long, cell int")
+        used, found = set(), set()
+        for f, a, b in zip(pdf["frame_id"], pdf["ta"], pdf["tb"], strict=True):
+            if (f, a) not in found and (f, b) not in used:
+                used.add((f, b))
+                found.add((f, a))
+        return pd.DataFrame(sorted(found), columns=["frame_id", "cell"])
+
+    found = fold.in_groups(pairs.select("frame_id", "ta", "tb"), ["frame_id"], ["ta", "tb"], claim, "frame_id long, cell int")
     return masks.join(found, ["frame_id", "cell"], "left_anti")
 
 

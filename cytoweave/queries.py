@@ -214,17 +214,6 @@ def segment_cells(spark, d):
 
 
 
-@query()
-def claim_walk(spark, d):
-    """Precision and recall where predictions claim truths by falling confidence."""
-    q = views.quadrants(spark, d)
-    flipped = q.select("frame_id", "cell", F.col("c").alias("r"), F.col("r").alias("c"))
-    pairs = match.intersections(q, flipped, ["r", "c"]).withColumn("iou", match.iou())
-    preds = objects.mean_over(flipped, views.pixels(spark, d), name="p").select("frame_id", F.col("cell").alias("tb"), "p")
-    hits = match.claim_hits(pairs, preds, 0.3).join(preds, ["frame_id", "tb"])
-    curve = match.precision_recall(hits, ["frame_id"], F.lit(4), [F.desc("p"), F.col("tb")])
-    return match.average_precision(curve, ["frame_id"]).select("frame_id", r6("ap").alias("ap"))
-
 
 # -- pairing and evaluation -------------------------------------------------
 

@@ -109,7 +109,13 @@ def fill_holes(spark, d):
     return morph.fill_holes(views.masks(spark, d), H, W)
 
 
-@query()
+_BG = f"{_GRID}, f AS (SELECT DISTINCT frame_id FROM mk), bg AS (SELECT frame_id, r, c FROM f, gr EXCEPT SELECT frame_id, r, c FROM mk)"
+
+
+# walls on three sides leave the fourth to come in from: first the right, then the left side
+@query(f"""{with_views('mk')}, {_BG}, o1 AS (SELECT frame_id, r, c FROM bg WHERE c = 7 UNION SELECT bg.frame_id, bg.r, bg.c FROM o1 JOIN bg ON bg.frame_id = o1.frame_id AND abs(bg.r - o1.r) + abs(bg.c - o1.c) = 1),
+e1 AS MATERIALIZED (SELECT * FROM o1), o2 AS (SELECT frame_id, r, c FROM e1 WHERE c = 0 UNION SELECT e1.frame_id, e1.r, e1.c FROM o2 JOIN e1 ON e1.frame_id = o2.frame_id AND abs(e1.r - o2.r) + abs(e1.c - o2.c) = 1)
+SELECT f.frame_id, 1 AS cell, r, c FROM f, gr WHERE NOT EXISTS (SELECT 1 FROM o2 WHERE o2.frame_id = f.frame_id AND o2.r = gr.r AND o2.c = gr.c)""")
 def fill_bordered(spark, d):
     return morph.fill_bordered(views.masks(spark, d), H, W)
 
@@ -208,13 +214,39 @@ def greedy_match(spark, d):
     return match.greedy_match(p).select("frame_id", "ta", "tb", r6("iou").alias("iou"))
 
 
-@query()
+def _claims(by: str, order: str, n: int = 4) -> str:
+    """Each of n sides in turn takes the first partner in order that none before it took: t1..tn."""
+    out = []
+    for k in range(1, n + 1):
+        free = "".join(f" AND NOT EXISTS (SELECT 1 FROM t{i} WHERE t{i}.frame_id = ca.frame_id AND t{i}.other = ca.other)" for i in range(1, k))
+        out.append(f"t{k} AS (SELECT frame_id, {by} AS side, other FROM ca WHERE {by} = {k}{free} QUALIFY row_number() OVER (PARTITION BY frame_id ORDER BY {order}) = 1)")
+    return ", ".join(out) + ", tk AS (" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, n + 1)) + ")"
+
+
+@query(f"""{with_views('qd')}, {_PAIRED.format('c', 'r')}, ca AS (SELECT frame_id, ta, tb AS other FROM j WHERE iou > 0.4), {_claims('ta', 'other')}
+SELECT frame_id, cell FROM s WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.frame_id = s.frame_id AND tk.side = s.cell)""")
 def unmatched_objects(spark, d):
     q = views.quadrants(spark, d)
     flipped = q.select("frame_id", "cell", F.col("c").alias("r"), F.col("r").alias("c"))
     return segment.unmatched(q, flipped, 0.4).select("frame_id", "cell").distinct()
 
 
+@query(f"""{with_views('qd')}, {_PAIRED.format('c', 'r')}, pr AS (SELECT qd.frame_id, cell AS tb, avg(v) AS p FROM qd JOIN px ON px.frame_id = qd.frame_id AND px.r = qd.c AND px.c = qd.r GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY frame_id ORDER BY p DESC, tb) AS rk FROM pr), ca AS (SELECT frame_id, rk, ta AS other, iou FROM j JOIN rk USING (frame_id, tb) WHERE iou > 0.3), {_claims('rk', 'iou DESC, other')},
+cu AS (SELECT rk.frame_id, rk.rk, sum((tk.other IS NOT NULL)::INT) OVER w AS tp FROM rk LEFT JOIN tk ON tk.frame_id = rk.frame_id AND tk.side = rk.rk WINDOW w AS (PARTITION BY rk.frame_id ORDER BY rk.rk ROWS UNBOUNDED PRECEDING)),
+ap AS (SELECT frame_id, max(tp / rk) OVER (PARTITION BY frame_id ORDER BY rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) * (tp - coalesce(lag(tp) OVER (PARTITION BY frame_id ORDER BY rk), 0)) / 4 AS a FROM cu)
+SELECT frame_id, round(sum(a), 6) AS ap FROM ap GROUP BY 1""")
+def claim_walk(spark, d):
+    """Precision and recall where predictions claim truths by falling confidence."""
+    q = views.quadrants(spark, d)
+    flipped = q.select("frame_id", "cell", F.col("c").alias("r"), F.col("r").alias("c"))
+    pairs = match.intersections(q, flipped, ["r", "c"]).withColumn("iou", match.iou())
+    preds = objects.mean_over(flipped, views.pixels(spark, d), name="p").select("frame_id", F.col("cell").alias("tb"), "p")
+    hits = match.claim_hits(pairs, preds, 0.3).join(preds, ["frame_id", "tb"])
+    curve = match.precision_recall(hits, ["frame_id"], F.lit(4), [F.desc("p"), F.col("tb")])
+    return match.average_precision(curve, ["frame_id"]).select("frame_id", r6("ap").alias("ap"))
+
+
 _COMPONENTS = """l AS (SELECT frame_id, r, c, r * 8 + c AS id FROM mk UNION SELECT m.frame_id, m.r, m.c, l.id FROM l JOIN mk m ON m.frame_id = l.frame_id AND abs(m.r - l.r) <= 1 AND abs(m.c - l.c) <= 1 AND l.id < m.r * 8 + m.c),
 m AS (SELECT frame_id, r, c, min(id) AS id FROM l GROUP BY ALL), cp AS (SELECT frame_id, r, c, (dense_rank() OVER (PARTITION BY frame_id ORDER BY id))::INT AS cell FROM m)"""
 
