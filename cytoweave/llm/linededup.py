@@ -108,12 +108,11 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         here = windows.filter(F.col("level") == level)
         head = names.filter("name is not null").select(*_KEY, F.col("i").alias("a"), F.col("name").alias("first"))
         tail = names.filter("name is not null").select(*_KEY, (F.col("i") + (1 << level) - 1).alias("b"), F.col("name").alias("last"))
-        found = here.join(head, [*_KEY, "a"]).join(tail, [*_KEY, "b"]).select(*_KEY, "a", "b", "n", "first", "last")
+        found = materialise(here.join(head, [*_KEY, "a"]).join(tail, [*_KEY, "b"]).select(*_KEY, "a", "b", "n", "first", "last"), "named")
         named = found if named is None else named.union(found)
     if named is None:
         named = windows.select(*_KEY, "a", "b", "n", F.lit(0).cast("long").alias("first"), F.lit(0).cast("long").alias("last"))
     place = F.struct(*_KEY, "a")
-    named = materialise(named, "named")
     intervals = named.groupBy("n", "first", "last").agg(F.min(place).alias("earliest"), F.count("*").alias("_size")).filter("_size > 1")
     later = join_hot(named, materialise(intervals, "intervals"), ["n", "first", "last"], "_size").filter(place > F.col("earliest")).select(*_KEY, "a", "b")
     order = Window.partitionBy(*_KEY).orderBy("a", "b")
