@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, linededup, media, mixing, neardup, pii, quality, toxicity, warc
+from . import bpe, chat, decontam, infill, linededup, media, mixing, neardup, negatives, pii, quality, toxicity, warc
 from .common import crc_remainder, materialise, scratch_path
 
 
@@ -69,6 +69,24 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=2, percent=80).drop("text_hash")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine_negatives(_table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(infill.restore(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = bpe.share_ranks(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    tokens = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    return bpe.token_digests(bpe.decode(tokens, ranks, public_tokenizers.PATTERN))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -81,6 +99,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality": op8_quality,
         "op9_pii": op9_pii,
         "op10_minhash": op10_minhash,
+        "op11_hard_negatives": op11_hard_negatives,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_byte_bpe": op13_byte_bpe,
     }
 
 
@@ -92,4 +113,6 @@ def oracle_sql() -> dict[str, str]:
         "op6_decontamination": decontam.ORACLE_SQL,
         "op7_warc": warc.ORACLE_SQL,
         "op10_minhash": neardup.ORACLE_SQL,
+        "op11_hard_negatives": negatives.ORACLE_SQL,
+        "op12_fill_in_middle": infill.ORACLE_SQL,
     }
