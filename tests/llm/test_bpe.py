@@ -4,6 +4,7 @@ import hashlib
 import random
 import time
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -36,23 +37,22 @@ def own(ranks):
 def test_matches_the_other_encoder(text, own, other):
     ids = own.encode(text).tolist()
     assert ids == other.encode_ordinary(text)
-    assert own.decode(ids).decode() == text
+    assert own.decode(np.array(ids, int)).decode() == text
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 70_000), st.integers(0, 50)), max_size=200), st.integers(1, 6))
-def test_queue_gives_the_lowest_rank_leftmost(entries, every):
+def test_queue_gives_the_lowest_rank_and_its_bucket(entries, every):
     queue, held = bpe.RankQueue(70_001), []
-    for k, entry in enumerate(entries):
-        queue.push(*entry)
-        held.append(entry)
-        if k % every == 0:
-            assert queue.pop() == min(held)
-            held.remove(min(held))
-    while held:
-        assert queue.pop() == min(held)
-        held.remove(min(held))
-    assert queue.pop() is None and not any(map(any, queue.levels))
+    for k, entry in enumerate([*entries, *[None] * (len(entries) + 1)]):
+        if entry:
+            queue.push(*entry)
+            held.append(entry)
+        if held and (not entry or k % every == 0):
+            rank = min(held)[0]
+            assert queue.pop() == (rank, [p for r, p in held if r == rank])
+            held = [x for x in held if x[0] != rank]
+    assert not queue.top and not any(queue.words) and not queue.buckets
 
 
 def test_odd_vocabularies_take_the_leftmost_of_equal_ranks():
@@ -68,10 +68,23 @@ def test_odd_vocabularies_take_the_leftmost_of_equal_ranks():
             k = min(found)[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    rng, queue = random.Random(4), bpe.RankQueue(401)
-    for _ in range(500):
-        piece = bytes(rng.choice(b"aab") for _ in range(rng.randint(1, 14)))
-        assert bpe.merge(piece, ranks, queue) == plain(piece)
+    rng, queue, merger = random.Random(4), bpe.RankQueue(401), bpe.Merger(ranks)
+    pieces = [bytes(rng.choice(b"aab") for _ in range(rng.randint(1, 14))) for _ in range(500)]
+    pieces = [p for p in pieces if p not in ranks]
+    assert [bpe.merge(p, ranks, queue) for p in pieces] == list(map(plain, pieces))
+    ids, counts = merger.merge_all(pieces)
+    assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == list(map(plain, pieces))
+
+
+def test_many_pretokens_at_once(ranks, other, monkeypatch):
+    monkeypatch.setattr(bpe, "FEW", 0)
+    monkeypatch.setattr(bpe, "REMEMBERED", 500)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice(["an", "the", "er", " ", " ", "\n", "ß", "é", "1", "!", "aaaa", "日", "x" * 70]) for _ in range(rng.randint(0, 60))) for _ in range(800)]
+    monkeypatch.setattr(bpe, "_BLOCK", 100)
+    tokenizer = bpe.Tokenizer(ranks, public_tokenizers.PATTERN)
+    for _ in range(2):
+        assert [x.tolist() for x in tokenizer.encode_all(texts)] == [other.encode_ordinary(t) for t in texts]
 
 
 def test_very_long_pretokens(own, other):
@@ -80,7 +93,7 @@ def test_very_long_pretokens(own, other):
     start = time.perf_counter()
     ids = own.encode(long)
     assert time.perf_counter() - start < 30
-    assert own.decode(ids.tolist()).decode() == long
+    assert own.decode(ids).decode() == long
     for text in (long[:30_000], "a" * 20_001, " " * 5_000 + "x", "=" * 7_777):
         assert own.encode(text).tolist() == other.encode_ordinary(text)
 
