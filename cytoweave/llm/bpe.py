@@ -238,23 +238,20 @@ class Tokenizer:
         if not fresh:
             return
         self._bytes += sum(map(len, fresh))
-        counts, parts, rest = np.ones(len(fresh), np.int64), {}, []
-        for k, piece in enumerate(fresh):
-            whole = self._ranks.get(piece)
-            if whole is None:
-                rest.append(k)
-            else:
-                parts[k] = [whole]
+        whole = np.fromiter((self._ranks.get(piece, -1) for piece in fresh), np.int32, len(fresh))
+        rest = np.flatnonzero(whole < 0)
+        pieces = [fresh[k] for k in rest]
         if len(rest) < FEW:
-            for k in rest:
-                parts[k] = merge(fresh[k], self._ranks, self._merger.queue)
+            made = [merge(piece, self._ranks, self._merger.queue) for piece in pieces]
+            ids, sizes = np.array([i for m in made for i in m], np.int32), np.array([len(m) for m in made], np.int64)
         else:
-            ids, sizes = self._merger.merge_all([fresh[k] for k in rest])
-            parts |= dict(zip(rest, np.split(ids, np.cumsum(sizes)[:-1]), strict=True))
-        for k, ids in parts.items():
-            counts[k] = len(ids)
+            ids, sizes = self._merger.merge_all(pieces)
+        counts = np.ones(len(fresh), np.int64)
+        counts[rest] = sizes
+        owner = np.concatenate([np.flatnonzero(whole >= 0), np.repeat(rest, sizes)])
+        ids = np.concatenate([whole[whole >= 0], ids])[np.argsort(owner, kind="stable")]
         starts = np.cumsum(counts) - counts + len(self._ids)
-        self._ids = np.concatenate([self._ids, *[np.asarray(parts[k], np.int32) for k in range(len(fresh))]])
+        self._ids = np.concatenate([self._ids, ids.astype(np.int32)])
         self._starts, self._counts = np.append(self._starts, starts), np.append(self._counts, counts)
 
     def _numbers(self, text: str) -> np.ndarray:
@@ -328,7 +325,9 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
         tokenizer = _tokenizer(ranks, pattern)
         return pd.Series(tokenizer.encode_all(column.tolist()), dtype=object)
 
-    return docs.withColumn("ids", _column(ids, "array<int>")(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    # called nondeterministic, so that Spark doesn't encode anew for each use of the ids
+    made = _column(ids, "array<int>").asNondeterministic()
+    return docs.withColumn("ids", made(F.coalesce(docs["text"].cast("string"), F.lit(""))))
 
 
 def decode(tokens: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
