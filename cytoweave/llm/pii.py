@@ -183,29 +183,30 @@ def _features(generator: int, c: Column) -> dict[str, Column]:
     }
 
 
-_CANDIDATE = ", ".join(["s:int", "e:int", "known:boolean", "positive:boolean", *[f"{f}:int" for f in FEATURES]])
+_CANDIDATE = ", ".join(["s:int", "e:int", "known:boolean", "inside:boolean", "positive:boolean", *[f"{f}:int" for f in FEATURES]])
 _NO_CANDIDATES = f"cast(array() as array<struct<{_CANDIDATE}>>)"
 
 
 def _candidates_of(generator: int, found: Column, spans: Column) -> Column:
-    """Candidates with whether they overlap a base span, whether anything speaks for them, and their features."""
+    """Candidates with whether they overlap a base span, lie inside one, whether anything speaks for them, and their features."""
 
     def shaped(starts: Column, tops: Column) -> Callable[[Column], Column]:
-        def known(c: Column) -> Column:
-            # spans by start: those that start before the candidate's end are a prefix, found by bisection
+        def reach(last: Column) -> Column:
+            """The furthest end of the spans that start at ``last`` or before; these are a prefix, found by bisection."""
             halve = lambda r, _: F.when(r["a"] >= r["b"], r).otherwise(
-                _let(((r["a"] + r["b"]) / 2).cast("int"), lambda k: F.when(F.get(starts, k) < c["e"], F.struct((k + 1).alias("a"), r["b"].alias("b"))).otherwise(F.struct(r["a"].alias("a"), k.alias("b")))),
+                _let(((r["a"] + r["b"]) / 2).cast("int"), lambda k: F.when(F.get(starts, k) <= last, F.struct((k + 1).alias("a"), r["b"].alias("b"))).otherwise(F.struct(r["a"].alias("a"), k.alias("b")))),
             )
             steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int"))
             before = F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.size(starts).alias("b")), halve)["a"]
-            return F.when(F.size(starts) == 0, False).otherwise(_let(before, lambda k: (k > 0) & (F.get(tops, k - 1) > c["s"])))
+            return F.when(F.size(starts) == 0, 0).otherwise(_let(before, lambda k: F.when(k > 0, F.get(tops, k - 1)).otherwise(0)))
 
         def shape(c: Column) -> Column:
             fields = [v.cast("int").alias(k) for k, v in _features(generator, c).items()]
             speaks = c["before"].rlike(EVIDENCE[generator])
             if generator == 1:
                 speaks = speaks | _let(_digits(c["m"]), _luhn)
-            return _let(known(c), lambda k: F.struct(c["s"].alias("s"), c["e"].alias("e"), k.alias("known"), (k | speaks).alias("positive"), *fields))
+            inside = lambda k: k & (reach(c["s"]) >= c["e"])
+            return _let(reach(c["e"] - 1) > c["s"], lambda k: F.struct(c["s"].alias("s"), c["e"].alias("e"), k.alias("known"), inside(k).alias("inside"), (k | speaks).alias("positive"), *fields))
 
         return shape
 
@@ -248,11 +249,11 @@ class BoostedTrees:
         return total
 
     def chosen(self, c: Column) -> Column:
-        """Whether a candidate is no base span and reaches its kind's threshold."""
+        """Whether a candidate reaches beyond every base span and its kind's threshold."""
         least = F.lit(None).cast("double")
         for generator, value in self.thresholds.items():
             least = F.when(c["generator"] == generator, value).otherwise(least)
-        return ~c["known"] & F.coalesce(self.column(c) >= least, F.lit(False))
+        return ~c["inside"] & F.coalesce(self.column(c) >= least, F.lit(False))
 
 
 def _leaf(tree, cell: dict[str, int]) -> float:
@@ -312,9 +313,9 @@ def boost(cells: list[dict], rounds: int = ROUNDS) -> BoostedTrees:
     """Fit on cells with ``half`` 0, set thresholds on cells with ``half`` 1.
 
     A cell is a dict of FEATURES, half, known, n and positive.  Known candidates
-    (base spans) are positive examples of the fit.  A kind's threshold is set on
-    the others only, since only these can be added; a kind for which no threshold
-    holds adds nothing.
+    (overlapping a base span) are positive examples of the fit.  A kind's threshold
+    is set on the others only, whose evidence is not a base span; a kind for which
+    no threshold holds adds nothing.
     """
     train, held = [c for c in cells if c["half"] == 0], [c for c in cells if c["half"] == 1]
     n, hits = sum(c["n"] for c in train), sum(c["positive"] for c in train)
@@ -366,7 +367,9 @@ def detect_pii(docs: DataFrame, model: BoostedTrees) -> DataFrame:
     """All columns of ``docs`` and ``pii``: (rank, s, e, kind) of each span, by kind and start.
 
     Kinds are those of the base patterns, then secret (token-like), number and
-    address for candidates that the trees select; these overlap no base span.
+    address for candidates that the trees select; these lie inside no base span,
+    but may hold or cross one (a token that holds a run of digits with a valid
+    checksum is both a card and a secret).
     Places are code points, the end exclusive.  Null text is the empty text and
     has no spans; rows are independent of each other, so repeated rows get equal
     spans; an empty table gives no rows.  Columns named _base, _c or _half are
@@ -378,7 +381,8 @@ def detect_pii(docs: DataFrame, model: BoostedTrees) -> DataFrame:
 def redact(docs: DataFrame, model: BoostedTrees) -> DataFrame:
     """``docs`` with what the spans of ``detect_pii`` cover replaced by a kind in brackets.
 
-    Overlapping spans are one place, named by the first of them.
+    Overlapping spans are one place, named by the first of them (of those that
+    start together by the longest).
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
 
@@ -393,7 +397,7 @@ def redact(docs: DataFrame, model: BoostedTrees) -> DataFrame:
 
         return _let(F.split(text, ""), lambda chars: _let(tops, lambda ends: pieces(chars, ends)))
 
-    by_place = F.array_sort(F.transform("pii", lambda c: F.struct(c["s"].alias("s"), c["e"].alias("e"), c["kind"].alias("kind"))))
+    by_place = F.array_sort(F.transform("pii", lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("far"), c["kind"].alias("kind"), c["e"].alias("e"))))
     return detect_pii(docs, model).withColumn("text", F.when(F.size("pii") == 0, text).otherwise(_let(by_place, cut)))
 
 

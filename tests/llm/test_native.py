@@ -196,7 +196,7 @@ def brute_spans(text, model):
         for f in re.finditer(pattern, text):
             a, b = f.span()
             cell = brute_features(generator, f[0], text[:a][-24:], text[b:][:2])
-            if generator in model.thresholds and not any(x < b and a < y for _, x, y in base) and model.score(cell) >= model.thresholds[generator]:
+            if generator in model.thresholds and not any(x <= a and b <= y for _, x, y in base) and model.score(cell) >= model.thresholds[generator]:
                 kind = pii.ADDED[generator]
                 out.append((pii.RANKS[kind], a, b, kind))
     return ",".join(f"{k}:{a}:{b}" for _, a, b, k in sorted(out))
@@ -222,6 +222,18 @@ def test_added_spans_match_brute_force(spark):
     assert quoted and all("secret" in want[k] for k in quoted)
 
 
+def test_secrets_that_hold_a_card_are_whole(spark):
+    """A run of digits inside a token passes Luhn's check: nothing of the token stays."""
+    texts = ['token="ab4539148803436467Z9qqqqqqqq"', 'key: xyzxyzxyzxyz4539148803436467', '4539148803436467-abcdefghij and 4539 1488 0343 6467', "a@bcdefghijklmnopqrstuvwxyz.org"]
+    d = docs(spark, [(k, t, "s") for k, t in enumerate(texts)])
+    model = pii.BoostedTrees(prior=1.0, thresholds={3: 0.0})
+    got = {x.doc_id: x for x in pii.span_digests(pii.detect_pii(d, model)).collect()}
+    assert {k: x.spans for k, x in got.items()} == {k: brute_spans(t, model) for k, t in enumerate(texts)}
+    assert [(got[k].n_card, got[k].n_secret) for k in range(4)] == [(1, 1), (1, 1), (2, 1), (0, 0)]
+    text = {x.doc_id: x.text for x in pii.redact(d, model).collect()}
+    assert [text[k] for k in range(4)] == ['token="[secret]"', "key: [secret]", "[secret] and [card]", "[email]"]
+
+
 def test_pii_is_linear_in_a_text(spark):
     import time
 
