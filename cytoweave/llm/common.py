@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +48,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 HOT_SHARE = 2_000
 
 
-def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined with ``table``, which has one row for each key and in ``size`` the number of its rows.
 
     Keys that hold at least one in HOT_SHARE of all rows are at most HOT_SHARE
@@ -55,9 +56,11 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, how:
     their rows are not dealt by key.  The rest is merge-joined on the keys; hot
     rows and rows with a null key, which meet nothing, are scattered there, so no
     task gets all rows of one key.  ``how`` is inner or left.  Other columns of the
-    two must differ.
+    two must differ.  ``total``, the sum of ``size``, saves a job where it is known;
+    ``table`` is read once more for the hot keys.
     """
-    total = table.agg(F.sum(size)).first()[0] or 0
+    if total is None:
+        total = table.agg(F.sum(size)).first()[0] or 0
     marked, scatter, there, *copies = free_name(rows.select(*rows.columns, *[F.lit(0).alias(c) for c in table.columns if c not in rows.columns]), "_hot", "_scatter", "_there", *[f"_k{k}" for k in range(len(keys))])
     values = [c for c in table.columns if c not in keys]
     hot = table.filter(F.col(size) * HOT_SHARE >= total)
@@ -75,6 +78,11 @@ def join_hot(rows: DataFrame, table: DataFrame, keys: list[str], size: str, how:
     return found.select(*[F.col(c) for c in rows.columns], *[value[c].alias(c) for c in values])
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is evaluated once."""
+    return F.transform(F.array(value), body)[0]
+
+
 def word_count(text: Column) -> Column:
     """Number of words (runs of bytes that are no ASCII white space); null: 0."""
     spaces = F.translate(text, "\t\n\x0b\x0c\r", "     ")

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise, word_count
+from .common import free_name, join_hot, let, materialise, word_count
 
 #: Words of a repeated run from which on later copies are deleted.
 MIN_WORDS = 50
@@ -61,14 +61,14 @@ def _repeated_lines(docs: DataFrame) -> DataFrame:
 
 
 def _double(names: DataFrame, step: int) -> DataFrame:
-    """Names of runs of 2 * step lines from names of runs of step lines; null: unique or cut off."""
-    doc = Window.partitionBy(*_KEY, "seg").orderBy("i")
-    paired = names.withColumn("_next", F.lead("name", step).over(doc))
-    groups = paired.filter("name is not null and _next is not null").groupBy("name", "_next").agg(F.count("*").alias("size")).filter("size > 1")
+    """Names of runs of 2 * step lines from names of runs of step lines; unique ones and those cut off drop out."""
+    ahead = Window.partitionBy(*_KEY, "seg").orderBy("i").rangeBetween(step, step)
+    paired = names.withColumn("_next", F.first("name").over(ahead)).filter("_next is not null")
+    groups = paired.groupBy("name", "_next").agg(F.count("*").alias("size")).filter("size > 1")
     # the suffixes of a group have the ranks from its name on; its parts follow by their next ranks
     ranked = _prefix_sum(groups, ["name"], ["_next"], F.shiftright("_next", _NEXT_BITS))
-    ranked = ranked.select(F.col("name").alias("_n"), F.col("_next").alias("_m"), (F.col("name") + F.col("_before")).alias("_new"))
-    return paired.join(ranked, (F.col("name") == F.col("_n")) & (F.col("_next") == F.col("_m")), "left").select(*_KEY, "seg", "i", F.col("_new").alias("name"))
+    ranked = materialise(ranked.select("name", "_next", "size", (F.col("name") + F.col("_before")).alias("_new")), "ranked")
+    return join_hot(paired, ranked, ["name", "_next"], "size").select(*_KEY, "seg", "i", F.col("_new").alias("name"))
 
 
 def _windows(lines: DataFrame, min_words: int) -> DataFrame:
@@ -106,8 +106,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         if level:
             names = materialise(_double(names, 1 << (level - 1)), "names")
         here = windows.filter(F.col("level") == level)
-        head = names.filter("name is not null").select(*_KEY, F.col("i").alias("a"), F.col("name").alias("first"))
-        tail = names.filter("name is not null").select(*_KEY, (F.col("i") + (1 << level) - 1).alias("b"), F.col("name").alias("last"))
+        head = names.select(*_KEY, F.col("i").alias("a"), F.col("name").alias("first"))
+        tail = names.select(*_KEY, (F.col("i") + (1 << level) - 1).alias("b"), F.col("name").alias("last"))
         found = materialise(here.join(head, [*_KEY, "a"]).join(tail, [*_KEY, "b"]).select(*_KEY, "a", "b", "n", "first", "last"), "named")
         named = found if named is None else named.union(found)
     if named is None:
@@ -133,17 +133,22 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     its start or its end.  A text of which all lines are later
     copies becomes empty; null texts stay null with 0 lines; the empty text has
     one empty line.  Repeated rows (same doc_id and text) count as one document
-    and get the same result.  An empty table gives no rows.
+    and get the same result.  Columns of ``docs`` that bear a name of the result
+    are replaced.  An empty table gives no rows.
     """
-    runs = repeated_runs(docs, min_words)
-    keyed = docs.select("*", *[c.alias(f"__{n}") for c, n in zip(_keys(docs), _KEY, strict=True)])
-    met = keyed.join(runs, (F.col("__" + _KEY[0]) == F.col(_KEY[0])) & (F.col("__" + _KEY[1]) == F.col(_KEY[1])), "left")
+    found = repeated_runs(docs, min_words)
+    kd, kh, own = free_name(docs, "_d", "_h", "_runs")
+    keyed = docs.select("*", *[c.alias(n) for c, n in zip(_keys(docs), (kd, kh), strict=True)])
+    met = keyed.join(found.toDF(kd, kh, own), [kd, kh], "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
-    kept = F.filter(lines, lambda _, i: ~F.exists("runs", lambda r: (i >= r["a"]) & (i <= r["b"])))
-    deleted = F.coalesce(F.aggregate("runs", F.lit(0), lambda s, r: s + (r["b"] - r["a"] + 1)), F.lit(0))
-    text = F.when(F.col("runs").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    shown = F.coalesce(F.array_join(F.transform("runs", lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))), ","), F.lit(""))
-    others = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_deleted", "runs")]
+    gone = F.flatten(F.transform(own, lambda r: F.sequence(r["a"], r["b"])))
+    rest = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), gone)
+    kept = let(lines, lambda ls: F.array_join(F.transform(rest(ls), lambda i: F.get(ls, i)), "\n"))
+    deleted = F.coalesce(F.aggregate(own, F.lit(0), lambda s, r: s + (r["b"] - r["a"] + 1)), F.lit(0))
+    text = F.when(F.col(own).isNull(), F.col("text")).otherwise(kept)
+    shown = F.coalesce(F.array_join(F.transform(own, lambda r: F.concat_ws("-", r["a"].cast("string"), r["b"].cast("string"))), ","), F.lit(""))
+    made = ("text", "n_lines", "n_deleted", "runs")
+    others = [F.col(c) for c in docs.columns if c.lower() not in made]
     return met.select(*others, text.alias("text"), F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), deleted.cast("long").alias("n_deleted"), shown.alias("runs"))
 
 

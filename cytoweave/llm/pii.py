@@ -20,7 +20,7 @@ other half sets a threshold for each kind.  The fitted trees are CASE expression
 
 Everything of a text is one row, and the work is near linear in the text's length:
 matches are cut out once, their places are running sums by blocks, and overlaps
-are looked up by bisection.  What a lambda uses is bound first (``_let``), since a
+are looked up by bisection.  What a lambda uses is bound first (``let``), since a
 column inside a lambda may be evaluated anew for each element.
 """
 
@@ -33,6 +33,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let
+
 _MARK = "\x01"
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds of the spans that the trees add, by generator.
@@ -67,11 +69,6 @@ PRECISION = 0.9
 _AROUND = 24
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is evaluated once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _running(values: Column, zero: Column, op: Callable[[Column, Column], Column]) -> Column:
     """Running totals of an array of integers, by blocks of about the root of its size."""
 
@@ -84,13 +81,13 @@ def _running(values: Column, zero: Column, op: Callable[[Column, Column], Column
 
     def blocks(v: Column) -> Column:
         size = F.ceil(F.sqrt(F.size(v))).cast("int")
-        return _let(size, lambda n: F.transform(F.sequence(F.lit(1), F.size(v), n), lambda k: scan(F.slice(v, k, n))))
+        return let(size, lambda n: F.transform(F.sequence(F.lit(1), F.size(v), n), lambda k: scan(F.slice(v, k, n))))
 
     def joined(b: Column) -> Column:
         ends = scan(F.transform(b, lambda x: F.get(x, F.size(x) - 1)))
-        return _let(ends, lambda e: F.flatten(F.transform(b, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: op(F.get(e, i - 1), y))))))
+        return let(ends, lambda e: F.flatten(F.transform(b, lambda x, i: F.when(i == 0, x).otherwise(F.transform(x, lambda y: op(F.get(e, i - 1), y))))))
 
-    return _let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(_let(blocks(v), joined)))
+    return let(values, lambda v: F.when(F.size(v) == 0, v).otherwise(let(blocks(v), joined)))
 
 
 def _plus(a: Column, b: Column) -> Column:
@@ -117,9 +114,9 @@ def _find(text: Column, pattern: str) -> Column:
                 F.left(F.get(p, i + 1), F.lit(2)).alias("after"),
             )
 
-        return _let(ends, lambda e: F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), match(e)))
+        return let(ends, lambda e: F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), match(e)))
 
-    return _let(parts, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(F.expr(_NONE)))
+    return let(parts, lambda p: F.when(F.size(p) > 1, placed(p)).otherwise(F.expr(_NONE)))
 
 
 _NONE = "cast(array() as array<struct<s:int,e:int,m:string,before:string,after:string>>)"
@@ -141,7 +138,7 @@ def _valid(kind: str, m: Column) -> Column:
 
         return F.forall(F.split(m, r"\."), low)
     if kind == "card":
-        return _let(_digits(m), _luhn)
+        return let(_digits(m), _luhn)
     if kind == "phone":
         return F.length(_digits(m)).between(9, 15)
     return F.lit(True)
@@ -194,27 +191,27 @@ def _candidates_of(generator: int, found: Column, spans: Column) -> Column:
         def reach(last: Column) -> Column:
             """The furthest end of the spans that start at ``last`` or before; these are a prefix, found by bisection."""
             halve = lambda r, _: F.when(r["a"] >= r["b"], r).otherwise(
-                _let(((r["a"] + r["b"]) / 2).cast("int"), lambda k: F.when(F.get(starts, k) <= last, F.struct((k + 1).alias("a"), r["b"].alias("b"))).otherwise(F.struct(r["a"].alias("a"), k.alias("b")))),
+                let(((r["a"] + r["b"]) / 2).cast("int"), lambda k: F.when(F.get(starts, k) <= last, F.struct((k + 1).alias("a"), r["b"].alias("b"))).otherwise(F.struct(r["a"].alias("a"), k.alias("b")))),
             )
             steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(starts) + 1)).cast("int"))
             before = F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.size(starts).alias("b")), halve)["a"]
-            return F.when(F.size(starts) == 0, 0).otherwise(_let(before, lambda k: F.when(k > 0, F.get(tops, k - 1)).otherwise(0)))
+            return F.when(F.size(starts) == 0, 0).otherwise(let(before, lambda k: F.when(k > 0, F.get(tops, k - 1)).otherwise(0)))
 
         def shape(c: Column) -> Column:
             fields = [v.cast("int").alias(k) for k, v in _features(generator, c).items()]
             speaks = c["before"].rlike(EVIDENCE[generator])
             if generator == 1:
-                speaks = speaks | _let(_digits(c["m"]), _luhn)
+                speaks = speaks | let(_digits(c["m"]), _luhn)
             inside = lambda k: k & (reach(c["s"]) >= c["e"])
-            return _let(reach(c["e"] - 1) > c["s"], lambda k: F.struct(c["s"].alias("s"), c["e"].alias("e"), k.alias("known"), inside(k).alias("inside"), (k | speaks).alias("positive"), *fields))
+            return let(reach(c["e"] - 1) > c["s"], lambda k: F.struct(c["s"].alias("s"), c["e"].alias("e"), k.alias("known"), inside(k).alias("inside"), (k | speaks).alias("positive"), *fields))
 
         return shape
 
     def bound(b: Column) -> Column:
         tops = _running(F.transform(b, lambda x: x["e"]), F.lit(0), lambda x, y: F.greatest(x, y))
-        return _let(F.transform(b, lambda x: x["s"]), lambda starts: _let(tops, lambda t: F.transform(found, shaped(starts, t))))
+        return let(F.transform(b, lambda x: x["s"]), lambda starts: let(tops, lambda t: F.transform(found, shaped(starts, t))))
 
-    return _let(F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), bound)
+    return let(F.array_sort(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e")))), bound)
 
 
 def propose(docs: DataFrame) -> DataFrame:
@@ -227,7 +224,7 @@ def propose(docs: DataFrame) -> DataFrame:
     # a generated row is a border: what is made of the base spans doesn't search for them again
     given = docs.select("*", F.explode(F.array(base)).alias("_base"))
     of = lambda g: lambda found: _candidates_of(g, found, F.col("_base"))
-    made = [F.when(wanted[g], _let(_find(text, p), of(g))).otherwise(F.expr(_NO_CANDIDATES)) for g, p in GENERATORS.items()]
+    made = [F.when(wanted[g], let(_find(text, p), of(g))).otherwise(F.expr(_NO_CANDIDATES)) for g, p in GENERATORS.items()]
     return given.select("*", F.pmod(F.xxhash64(text), F.lit(2)).cast("int").alias("_half"), F.concat(*made).alias("_c"))
 
 
@@ -391,14 +388,14 @@ def redact(docs: DataFrame, model: BoostedTrees) -> DataFrame:
 
         def pieces(chars: Column, ends: Column) -> Column:
             between = lambda a, b: F.array_join(F.slice(chars, a + 1, b - a), "")
-            piece = lambda c, i: _let(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)), lambda p: F.when(c["s"] >= p, F.concat(between(p, c["s"]), F.lit("["), c["kind"], F.lit("]"))).otherwise(""))
+            piece = lambda c, i: let(F.when(i == 0, 0).otherwise(F.get(ends, i - 1)), lambda p: F.when(c["s"] >= p, F.concat(between(p, c["s"]), F.lit("["), c["kind"], F.lit("]"))).otherwise(""))
             last = F.get(ends, F.size(ends) - 1)
-            return F.concat(F.array_join(F.transform(spans, piece), ""), _let(last, lambda p: between(p, F.greatest(p, F.size(chars)))))
+            return F.concat(F.array_join(F.transform(spans, piece), ""), let(last, lambda p: between(p, F.greatest(p, F.size(chars)))))
 
-        return _let(F.split(text, ""), lambda chars: _let(tops, lambda ends: pieces(chars, ends)))
+        return let(F.split(text, ""), lambda chars: let(tops, lambda ends: pieces(chars, ends)))
 
     by_place = F.array_sort(F.transform("pii", lambda c: F.struct(c["s"].alias("s"), (-c["e"]).alias("far"), c["kind"].alias("kind"), c["e"].alias("e"))))
-    return detect_pii(docs, model).withColumn("text", F.when(F.size("pii") == 0, text).otherwise(_let(by_place, cut)))
+    return detect_pii(docs, model).withColumn("text", F.when(F.size("pii") == 0, text).otherwise(let(by_place, cut)))
 
 
 def span_digests(found: DataFrame) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from cytoweave.llm import linededup, mixing, pii
 
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_lines int, taken string"
+CLASHING = ("n_lines", "taken", "runs", "_d", "_h", "_runs", "_id", "_hash", "i", "name", "seg", "class", "bands", "band", "token", "component")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def docs(spark, rows):
-    """Rows (doc_id, text, source); the last two columns clash with names that operators add."""
-    return spark.createDataFrame([(i, t, "en", s, 0, 7, "x") for i, t, s in rows], SCHEMA)
+    """Rows (doc_id, text, source); the last columns clash with names that operators use."""
+    return spark.createDataFrame([(i, t, "en", s, 0, *["x"] * len(CLASHING)) for i, t, s in rows], SCHEMA)
 
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -106,7 +107,37 @@ def test_line_dedup_is_the_union_of_repeated_runs(spark, least):
 def test_line_dedup_of_nothing(spark):
     assert linededup.dedup_lines(docs(spark, [])).count() == 0
     alone = linededup.dedup_lines(docs(spark, [(1, "one two\nthree", "s")])).first()
-    assert alone.text == "one two\nthree" and alone.taken == "x"
+    assert alone.text == "one two\nthree" and all(alone[c] == "x" for c in CLASHING if c not in ("n_lines", "runs"))
+
+
+def test_line_dedup_of_many_lines_and_runs(spark):
+    import time
+
+    # 100,000 lines, in which 10,000 short passages of another text alternate with lines of its own
+    shared = [f"passage {k} of {k * k} words that are found elsewhere" for k in range(10_000)]
+    long = "\n".join(x for k in range(10_000) for x in (shared[k], *[f"own {k} {j} line" for j in range(9)]))
+    start = time.perf_counter()
+    got = {x.doc_id: x for x in linededup.dedup_lines(docs(spark, [(1, "\n".join(shared), "s"), (2, long, "s")]), 5).collect()}
+    assert time.perf_counter() - start < 90
+    assert (got[1].n_deleted, got[2].n_lines, got[2].n_deleted) == (0, 100_000, 10_000)
+    assert got[2].text == "\n".join(f"own {k} {j} line" for k in range(10_000) for j in range(9))
+
+
+def test_line_dedup_spreads_its_rows(spark):
+    """Suffixes that are alone, and pairs of lines that most texts share, go to no single task."""
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        common = ["license line one two three", "license line four five six"]
+        rows = [(k, "\n".join([*common, f"own {k % 700} a", f"own {k % 700} b", f"only {k}"]), "s") for k in range(1_500)]
+        lines = linededup._repeated_lines(docs(spark, rows))
+        names = lines.withColumn("seg", F.lit(0)).select("_d", "_h", "seg", "i", "name")
+        sizes = [r[1] for r in linededup._double(names, 1).groupBy(F.spark_partition_id()).count().collect()]
+        assert len(sizes) >= 14 and max(sizes) < 2.5 * sum(sizes) / 16
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
 
 
 BASE = {
