@@ -6,8 +6,11 @@ grouped and joined by Spark: a chunk that occurs once stays inside its payload's
 store row, one that occurs more often is kept by its first payload only.  Ordered
 chunk lists then rebuild each payload, and every chunk is verified on the way.
 
-The media form of a payload is a container: magic, chunk count, (length, SHA-256)
-of each chunk in order, then the samples, one byte each.
+The media form of a payload is a container: a header (magic, chunk count, length
+and SHA-256 of each chunk in order), then the samples, one byte each.  The header
+is stored as it is and is the ordered chunk list; the samples are stored by chunks.
+Reading joins the stored header with the stored chunks, and digests of the media
+form are taken of these bytes.
 """
 
 from __future__ import annotations
@@ -114,14 +117,14 @@ class _Codec:
         return self._unpack.decompress(packed)
 
 
-STORE = "doc_id long, _d long, _h long, n_bytes long, digests array<binary>, lengths array<int>, shared boolean, private binary, owned array<struct<digest:binary,body:binary,n:long>>"
+STORE = "doc_id long, _d long, _h long, n_bytes long, header binary, shared boolean, private binary, owned array<struct<digest:binary,body:binary,n:long>>"
 
 
 def write_store(docs: DataFrame, path: str) -> str:
     """Write the chunk store of all texts under ``path``.
 
-    One row for each text: its ordered chunk list, its private chunks as one
-    compressed body, and the bodies of the shared chunks that it owns.  A chunk
+    One row for each text: its container's header, which is the ordered chunk
+    list, its private chunks as one compressed body, and the bodies of the shared chunks that it owns.  A chunk
     is shared if it occurs more than once anywhere; its owner is the first text
     by doc_id (null last) and hash.  Null text is the empty text; repeated rows
     are stored once each and share all their chunks.
@@ -150,8 +153,8 @@ def write_store(docs: DataFrame, path: str) -> str:
                 seen = {m["seq"]: (m["owned"], m["n"]) for m in marks} if marks is not None else {}
                 private = b"".join(c for k, c in enumerate(chunks) if k not in seen)
                 owned = [{"digest": digests[k], "body": codec.pack(chunks[k]), "n": n} for k, (own, n) in sorted(seen.items()) if own]
-                rows.append((len(text), digests, [len(c) for c in chunks], bool(seen), codec.pack(private), owned))
-            made = pd.DataFrame(rows, columns=["n_bytes", "digests", "lengths", "shared", "private", "owned"])
+                rows.append((len(text), header(chunks, digests), bool(seen), codec.pack(private), owned))
+            made = pd.DataFrame(rows, columns=["n_bytes", "header", "shared", "private", "owned"])
             yield pd.concat([batch[["doc_id", "_d", "_h"]].astype({"doc_id": "Int64"}).reset_index(drop=True), made], axis=1)
 
     packed = given.mapInPandas(pack, "doc_id long, _d long, _h long, text binary")
@@ -166,40 +169,45 @@ def _read(spark, path: str, schema: str, finish=None) -> DataFrame:
     store = spark.read.schema(STORE).parquet(f"{path}/chunks")
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]))
     bodies = store.filter("shared").select(F.explode("owned").alias("o")).select("o.*").groupBy("digest").agg(F.first("body").alias("body"), F.max("n").alias("n"))
-    wanted = store.filter("shared").select("_d", "_h", F.explode(F.array_distinct("digests")).alias("digest")).distinct()
-    fetched = join_hot(wanted, bodies, ["digest"], "n").groupBy("_d", "_h").agg(F.collect_list(F.struct("digest", "body")).alias("bodies"))
+    entry = lambda k: F.substring("header", 13 + 36 * k, F.lit(32))
+    chunks = ((F.octet_length("header") - 8) / 36).cast("int")
+    listed = F.when(chunks > 0, F.transform(F.sequence(F.lit(0), chunks - 1), entry))
+    wanted = store.filter("shared").select("_d", "_h", F.explode(F.array_distinct(listed)).alias("digest")).distinct()
+    total = store.filter("shared").agg(F.sum(F.aggregate("owned", F.lit(0).cast("long"), lambda s, o: s + o["n"]))).first()[0] or 0
+    fetched = join_hot(wanted, bodies, ["digest"], "n", total=total).groupBy("_d", "_h").agg(F.collect_list(F.struct("digest", "body")).alias("bodies"))
 
     def rebuild(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         codec = _Codec(dictionary.value)
         for batch in _slices(batches):
             payloads = []
-            for digests, lengths, private, bodies in zip(batch["digests"], batch["lengths"], batch["private"], batch["bodies"], strict=True):
+            for head, private, bodies in zip(batch["header"], batch["private"], batch["bodies"], strict=True):
                 shared = {bytes(b["digest"]): b["body"] for b in bodies} if bodies is not None else {}
                 own, at, parts = codec.unpack(private), 0, []
-                for digest, size in zip(digests, lengths, strict=True):
-                    digest = bytes(digest)
+                for size, digest in chunk_list(head):
                     if digest in shared:
                         part = codec.unpack(shared[digest])
                     else:
                         part, at = own[at : at + size], at + size
-                    if hashlib.sha256(part).digest() != digest:
+                    if len(part) != size or hashlib.sha256(part).digest() != digest:
                         raise ValueError("a chunk does not match its digest")
                     parts.append(part)
                 payloads.append(b"".join(parts))
-            yield batch[["doc_id", "n_bytes", "lengths"]].assign(doc_id=batch["doc_id"].astype("Int64"), payload=payloads)
+            yield batch[["doc_id", "n_bytes", "header"]].assign(doc_id=batch["doc_id"].astype("Int64"), payload=payloads)
 
-    columns = ["doc_id", "n_bytes", "digests", "lengths", "private"]
+    columns = ["doc_id", "n_bytes", "header", "private"]
     alone = store.filter("not shared").select(*columns, F.lit(None).cast("array<struct<digest:binary,body:binary>>").alias("bodies"))
     sharing = store.filter("shared").join(fetched, ["_d", "_h"]).select(*columns, "bodies")
     return alone.union(sharing).mapInPandas(rebuild if finish is None else lambda batches: finish(rebuild(batches)), schema)
 
 
 def read_store(spark, path: str) -> DataFrame:
-    """(doc_id, n_bytes, lengths, payload) of each stored text, rebuilt from its chunk list.
+    """(doc_id, n_bytes, header, payload) of each stored text, rebuilt from its header's chunk list.
+
+    The media form is header and payload in a row.
 
     Each chunk's SHA-256 is verified; a missing or wrong chunk is an error.
     """
-    return _read(spark, path, "doc_id long, n_bytes long, lengths array<int>, payload binary")
+    return _read(spark, path, "doc_id long, n_bytes long, header binary, payload binary")
 
 
 def store_digests(spark, path: str) -> DataFrame:
@@ -207,29 +215,17 @@ def store_digests(spark, path: str) -> DataFrame:
     return _read(spark, path, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", _digest)
 
 
-def media_form(payload: bytes, lengths: list[int]) -> bytes:
-    """The container of a payload with its chunk list."""
-    out, at = [MAGIC, struct.pack("<I", len(lengths))], 0
-    for size in lengths:
-        out.append(struct.pack("<I", size) + hashlib.sha256(payload[at : at + size]).digest())
-        at += size
-    return b"".join(out) + payload
+def header(chunks: list[bytes], digests: list[bytes]) -> bytes:
+    """The head of a payload's container."""
+    return b"".join([MAGIC, struct.pack("<I", len(chunks)), *[struct.pack("<I", len(c)) + d for c, d in zip(chunks, digests, strict=True)]])
 
 
-def payload_of(media: bytes) -> bytes:
-    """The payload in a container, verified."""
-    (n,) = struct.unpack_from("<I", media, 4)
-    at, payload = 8 + 36 * n, []
-    if media[:4] != MAGIC:
-        raise ValueError("no media container")
-    for k in range(n):
-        (size,) = struct.unpack_from("<I", media, 8 + 36 * k)
-        part = media[at : at + size]
-        if hashlib.sha256(part).digest() != media[12 + 36 * k : 44 + 36 * k]:
-            raise ValueError("a chunk does not match its digest")
-        payload.append(part)
-        at += size
-    return b"".join(payload)
+def chunk_list(head: bytes) -> list[tuple[int, bytes]]:
+    """(length, SHA-256) of each chunk of a header."""
+    (n,) = struct.unpack_from("<I", head, 4)
+    if head[:4] != MAGIC or len(head) != 8 + 36 * n:
+        raise ValueError("no media header")
+    return list(struct.iter_unpack("<I32s", head[8:]))
 
 
 def feature(payload: bytes, lengths: list[int]) -> str:
@@ -242,13 +238,13 @@ def feature(payload: bytes, lengths: list[int]) -> str:
 
 
 def _digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Wrap each payload in its container, unwrap it, and digest what comes back."""
+    """Digests of each media form and of the payload in it, as they were read."""
     for batch in batches:
         rows = []
-        for lengths, payload in zip(batch["lengths"], batch["payload"], strict=True):
-            sizes = [int(x) for x in lengths]
-            media = media_form(payload, sizes)
-            back = payload_of(media)
-            rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, sizes)))
+        for head, payload in zip(batch["header"], batch["payload"], strict=True):
+            media = hashlib.sha256(head)
+            media.update(payload)
+            sizes = [size for size, _ in chunk_list(head)]
+            rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(head) + len(payload), media.hexdigest(), feature(payload, sizes)))
         made = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
         yield pd.concat([batch[["doc_id", "n_bytes"]].astype({"doc_id": "Int64"}).reset_index(drop=True), made], axis=1)

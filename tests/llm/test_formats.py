@@ -5,6 +5,7 @@ import hashlib
 import random
 import zlib
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -100,20 +101,43 @@ def test_store_rebuilds_every_payload(spark):
     assert sorted((str(x.doc_id), x.payload_sha256, x.n_bytes, x.payload_bytes, x.tail_crc32) for x in got) == want
     same = {(x.media_sha256, x.media_bytes, x.feature) for x in got if x.doc_id in (20, 21)}
     assert len(same) == 1
-    stored = spark.read.parquet(f"{path}/chunks")
-    owned = stored.select(F.explode("owned.digest").alias("d")).distinct().count()
-    everything = stored.select(F.explode("digests").alias("d"))
-    assert 0 < owned < everything.count() and everything.distinct().count() >= owned
+    # media columns straight from the store's files: headers as they stand there, then the chunks that they list
+    stored = spark.read.parquet(f"{path}/chunks").collect()
+    codec = media._Codec(bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]))
+    shared = {bytes(o["digest"]): codec.unpack(bytes(o["body"])) for r in stored for o in r["owned"]}
+    assert shared and sum(len(r["owned"]) for r in stored) < sum(len(media.chunk_list(bytes(r["header"]))) for r in stored)
+    forms = []
+    for r in stored:
+        own, payload = codec.unpack(bytes(r["private"])), b""
+        for size, digest in media.chunk_list(bytes(r["header"])):
+            part = shared.get(digest) or own[:size]
+            own = own if digest in shared else own[size:]
+            assert hashlib.sha256(part).digest() == digest and len(part) == size
+            payload += part
+        assert not own
+        x = np.frombuffer(payload, np.uint8).astype(int)
+        turns = sum((b > a and b > c) or (b < a and b < c) for a, b, c in zip(payload, payload[1:], payload[2:]))
+        shown = f"chunks={len(media.chunk_list(bytes(r['header'])))};mean={x.sum() * 1000 // len(x)};rms={int(1000 * (int((x * x).sum()) / len(x)) ** 0.5)};turns={turns * 1000 // len(x)}"
+        media_form = bytes(r["header"]) + payload
+        forms.append((str(r["doc_id"]), len(media_form), hashlib.sha256(media_form).hexdigest(), shown))
+    assert sorted(forms) == sorted((str(x.doc_id), x.media_bytes, x.media_sha256, x.feature) for x in got)
     empty = media.write_store(docs.filter("false"), scratch_path(spark, "media"))
     assert media.read_store(spark, empty).count() == 0
 
 
-def test_a_wrong_chunk_is_an_error():
-    form = bytearray(media.media_form(b"a" * 128, [64, 64]))
-    assert media.payload_of(bytes(form)) == b"a" * 128
-    form[-1] ^= 1
+def test_wrong_chunks_and_headers_are_errors(spark):
     with pytest.raises(ValueError):
-        media.payload_of(bytes(form))
+        media.chunk_list(b"CWM2" + bytes(4))
+    docs = spark.createDataFrame([(1, "some text"), (2, "other text")], "doc_id long, text string")
+    path = media.write_store(docs, scratch_path(spark, "media"))
+    stored = spark.read.schema(media.STORE).parquet(f"{path}/chunks")
+    wrong = stored.withColumn("header", F.when(F.col("doc_id") == 1, F.concat(F.expr("substring(header, 1, 12)"), F.unhex(F.lit("00" * 32)))).otherwise(F.col("header")))
+    bad = scratch_path(spark, "media")
+    wrong.write.parquet(f"{bad}/chunks")
+    spark.read.parquet(f"{path}/dictionary").write.parquet(f"{bad}/dictionary")
+    assert media.store_digests(spark, path).count() == 2
+    with pytest.raises(Exception, match="does not match"):
+        media.store_digests(spark, bad).collect()
 
 
 def test_archives_reject_records_inside_payloads(spark):
