@@ -16,16 +16,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise
+from .common import free_name, join_hot, materialise
 from .components import connected_components
 from .hashing import U, mix32, mix64, shingle_set, text_bytes, word_hashes
 
 #: Bands of rows: a pair of similarity 0.8 meets in no band with probability
 #: (1 - 0.8^4)^24 = 3e-6; at 0.9 it is below 1e-11.
 BANDS, ROWS = 24, 4
-#: 64-bit words of a set's bitmap: a place for each shingle by its hash.
-BITMAP_WORDS = 16
-#: Members of a bucket that one slice holds, about.
+#: Counters that shingles are tallied in: their order by rarity needs no more.
+TALLY_BITS = 18
+#: Rows of a shingle that one slice holds, about.
 SLICE = 256
 _CHUNK = 4096
 
@@ -55,14 +55,8 @@ def _band_values(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _bitmap(shingles: np.ndarray) -> np.ndarray:
-    places = np.zeros(64 * BITMAP_WORDS, np.uint8)
-    places[(shingles % U(64 * BITMAP_WORDS)).astype(np.int64)] = 1
-    return np.packbits(places).view(np.int64)
-
-
 def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class (digest of the shingle set), band values and bitmap."""
+    """doc_id, text_hash, n_shingles, class (digest of the shingle set) and band values."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -70,12 +64,12 @@ def signatures(docs: DataFrame, width: int, bands: int = BANDS, rows: int = ROWS
             for text in batch["text"]:
                 found = shingle_set(word_hashes(text_bytes(text)), width)
                 digest = hashlib.blake2b(found.tobytes(), digest_size=16).hexdigest() if len(found) else None
-                out.append((len(found), digest, _band_values(circulant_signature(found, bands * rows), bands, rows) if len(found) else None, _bitmap(found) if len(found) else None))
-            made = pd.DataFrame(out, columns=["n_shingles", "class", "bands", "bits"])
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": made["n_shingles"], "class": made["class"], "bands": made["bands"], "bits": made["bits"]})
+                out.append((len(found), digest, _band_values(circulant_signature(found, bands * rows), bands, rows) if len(found) else None))
+            made = pd.DataFrame(out, columns=["n_shingles", "class", "bands"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": made["n_shingles"], "class": made["class"], "bands": made["bands"]})
 
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash(F.col("text")).alias("text_hash"), F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("text"))
-    return given.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, class string, bands array<long>, bits array<long>")
+    return given.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, class string, bands array<long>")
 
 
 def _text_hash(text: Column) -> Column:
@@ -108,17 +102,16 @@ def _similar(width: int, percent: int):
     return confirm
 
 
-def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int, bands: int = BANDS) -> DataFrame:
+def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Links (a, b) between classes of equal shingle sets, enough to connect all that are similar.
 
     Classes that share a bucket are compared with the bucket's leader first: the
     one that meets most others in all its buckets, which in a group of edited
-    copies is the one with fewest edits.  Those that are then still apart from
-    others of their bucket are held against all of these: by a bound first (two
-    sets whose bitmaps differ in d places differ in d shingles at least), and what
-    the bound leaves by their full sets.  So every pair of a bucket is compared,
-    ruled out or already connected, and a group of copies of one text costs one
-    comparison a copy.
+    copies is the one with fewest edits.  So a group of copies of one text costs
+    one comparison a copy.  Of buckets whose classes are then not all connected,
+    the classes meet by ``_rare_pairs``, an exact filter, and pairs that it leaves
+    are compared by their full sets: every pair of a bucket is compared, ruled out
+    or already connected.
     """
     classes = signed.filter("class is not null").groupBy("class").agg(F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
     placed = classes.select("class", "n", F.posexplode("bands").alias("band", "value"))
@@ -128,34 +121,77 @@ def similar_classes(docs: DataFrame, signed: DataFrame, width: int, percent: int
     leaders = materialise(shared.join(standing, "class").groupBy("band", "value").agg(F.max(F.struct("standing", "class", "n")).alias("leader"), F.count("*").alias("size")), "leaders")
     members = join_hot(shared, leaders, ["band", "value"], "size").select("band", "value", "class", "n", F.col("leader.class").alias("leader"), F.col("leader.n").alias("leader_n"))
     near = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
-    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     texts = _class_texts(docs, signed, shared)
-    first = members.filter(F.col("class") != F.col("leader")).filter(near(F.col("n"), F.col("leader_n"))).select(*pair(F.col("class"), F.col("leader"))).distinct()
+    first = members.filter(F.col("class") != F.col("leader")).filter(near(F.col("n"), F.col("leader_n"))).select(*_pair(F.col("class"), F.col("leader"))).distinct()
     compared = materialise(_compare(first, texts, width, percent), "compared")
     joined = connected_components(compared.filter("linked"))
-    own = members.join(joined, members["class"] == joined["node"], "left").select("band", "value", "class", "n", F.coalesce("component", "class").alias("component"), (F.col("class") == F.col("leader")).alias("leads"))
-    own = materialise(own, "own")
-    heads = own.filter("leads").select("band", "value", F.col("component").alias("head")).join(buckets, ["band", "value"])
-    away = materialise(join_hot(own, materialise(heads, "heads"), ["band", "value"], "met").drop("met").withColumn("away", F.col("component") != F.col("head")).drop("leads", "head"), "away")
-    mixed = away.groupBy("band", "value").agg(F.count("*").alias("size"), F.bool_or("away").alias("_any")).filter("_any").drop("_any")
-    sketch = signed.filter("class is not null").groupBy("class").agg(F.first("bits").alias("bits"), F.first("bands").alias("bands"))
-    places, values = [f"w{k}" for k in range(BITMAP_WORDS)], [f"v{k}" for k in range(bands)]
-    inside = join_hot(away, materialise(mixed, "mixed"), ["band", "value"], "size").join(sketch, "class").select("band", "value", "class", "n", "component", "away", F.ceil(F.col("size") / SLICE).cast("int").alias("slices"), *[F.col("bits")[k].alias(w) for k, w in enumerate(places)], *[F.col("bands")[k].alias(v) for k, v in enumerate(values)])
-    # a bucket's members are cut into slices, each of which meets all that stay apart: no task holds a whole hot bucket
-    left = inside.withColumn("slice", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")).alias("x")
-    right = inside.filter("away").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
-    differ = sum((F.bit_count(F.col(f"x.{w}").bitwiseXOR(F.col(f"y.{w}"))) for w in places), F.lit(0))
-    both, total = F.col("x.n") + F.col("y.n") - differ, F.col("x.n") + F.col("y.n")
-    possible = both * 100 >= (2 * total - both) * percent  # twice the largest intersection against twice the union
-    # a pair is held against each other once: in the first band that it shares
-    once = F.col("x.band") == F.coalesce(*[F.when(F.col(f"x.{v}") == F.col(f"y.{v}"), k) for k, v in enumerate(values)])
-    meet = (F.col("x.band") == F.col("y.band")) & (F.col("x.value") == F.col("y.value")) & (F.col("x.slice") == F.col("y.slice")) & (F.col("x.component") != F.col("y.component")) & once
-    rest = left.join(right, meet & near(F.col("x.n"), F.col("y.n")) & possible).select(*pair(F.col("x.class"), F.col("y.class"))).distinct()
-    rest = rest.join(compared.select("a", "b"), ["a", "b"], "left_anti")
+    own = materialise(shared.join(joined, F.col("class") == F.col("node"), "left").select("band", "value", "class", F.coalesce("component", "class").alias("component")), "own")
+    parts = own.groupBy("band", "value").agg(F.min("component").alias("_one"), F.max("component").alias("_other"), F.count("*").alias("size")).filter("_one <> _other").select("band", "value", "size")
+    apart = join_hot(own, materialise(parts, "parts"), ["band", "value"], "size").select("class", "component").distinct()
+    rest = _rare_pairs(materialise(texts.join(apart, "class"), "apart"), width, percent).join(compared.select("a", "b"), ["a", "b"], "left_anti")
     more = materialise(_compare(rest, texts, width, percent), "compared")
     return compared.union(more).filter("linked").select("a", "b")
 
 
+def _pair(a: Column, b: Column) -> tuple[Column, Column]:
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def _rare_pairs(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): pairs of classes of different components that may be similar; no similar pair is missing.
+
+    texts: (class, component, text).  Shingles have one order, the rarest first
+    (by a tally of fixed size over all these texts).  Two similar sets share one
+    of the first n - ceil(t n) + 1 shingles of the larger and of the first
+    n - ceil(2 t n / (1 + t)) + 1 of the smaller, and the first one that they share
+    leaves room for enough others behind it.  A shingle's rows of the component
+    that has most of them meet those of other components only, so a group of
+    copies that is connected already makes no pair; frequent shingles are cut into
+    slices.
+    """
+    cells = 1 << TALLY_BITS
+
+    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(cells, np.int64)
+        for batch in batches:
+            for text in batch["text"]:
+                found = shingle_set(word_hashes(text_bytes(text)), width)
+                counts += np.bincount((found >> U(64 - TALLY_BITS)).astype(np.int64), minlength=cells)
+        some = np.flatnonzero(counts)
+        yield pd.DataFrame({"cell": some, "n": counts[some]})
+
+    rows = texts.select("text").mapInPandas(tally, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros(cells, np.int64)
+    counts[[r["cell"] for r in rows]] = [r["n"] for r in rows]
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for name, component, text in zip(batch["class"], batch["component"], batch["text"], strict=True):
+                found = shingle_set(word_hashes(text_bytes(text)), width)
+                n = len(found)
+                most, least = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+                found = found[np.lexsort((found, shared.value[(found >> U(64 - TALLY_BITS)).astype(np.int64)]))][:most]
+                out.append(pd.DataFrame({"token": found.view(np.int64), "class": name, "component": component, "n": n, "at": np.arange(len(found)), "early": np.arange(len(found)) < least}))
+            if out:
+                yield pd.concat(out)
+
+    tokens = materialise(texts.select("class", "component", "text").mapInPandas(rarest, "token long, class string, component string, n long, at int, early boolean"), "tokens")
+    by = tokens.groupBy("token", "component").agg(F.count("*").alias("k"))
+    met = by.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.sum("k").alias("size"), F.count("*").alias("components")).filter("components > 1").drop("components")
+    here = join_hot(tokens, materialise(met, "met"), ["token"], "size").withColumn("slices", F.ceil(F.col("size") / SLICE).cast("int"))
+    here = materialise(here.select("token", "class", "component", "n", "at", "early", "slices", (F.col("component") != F.col("main")).alias("away")), "here")
+    left = here.withColumn("slice", F.pmod(F.xxhash64("class"), F.col("slices")).cast("int")).alias("x")
+    right = here.filter("away").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))).alias("y")
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    small = (x("early") & (x("n") <= y("n"))) | (y("early") & (y("n") <= x("n")))
+    room = F.least(x("n") - x("at"), y("n") - y("at")) * (100 + percent) >= percent * (x("n") + y("n"))
+    near = F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent
+    meet = (x("token") == y("token")) & (x("slice") == y("slice")) & (x("component") != y("component"))
+    return left.join(right, meet & small & room & near).select(*_pair(x("class"), y("class"))).distinct()
+
+
 def _class_texts(docs: DataFrame, signed: DataFrame, members: DataFrame) -> DataFrame:
     """(class, text) of one document of each class that shares a bucket with another."""
     wanted = members.select("class").distinct()
@@ -186,7 +222,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     kept.  An empty table gives no rows; further columns are ignored.
     """
     signed = materialise(signatures(docs, width, bands, rows), "signatures")
-    links = similar_classes(docs, signed, width, percent, bands)
+    links = similar_classes(docs, signed, width, percent)
     joined = connected_components(links)
     sizes = signed.filter("class is not null").groupBy("class").agg(F.count("*").alias("n"), F.min("doc_id").alias("least"))
     grouped = materialise(sizes.join(joined, F.col("class") == F.col("node"), "left").select("class", "n", "least", F.coalesce("component", "class").alias("group")), "grouped")
@@ -202,8 +238,9 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
 
     Rows that repeat the kept doc_id stay.
     """
-    gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (_text_hash(docs["text"]) == F.col("_hash")), "left_anti")
+    own, hash_ = free_name(docs, "_id", "_hash")
+    gone = near_duplicates(docs, width, percent).filter("not kept").select(F.col("doc_id").alias(own), F.col("text_hash").alias(hash_)).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col(own)) & (_text_hash(docs["text"]) == F.col(hash_)), "left_anti")
 
 
 #: The query on two-word shingles.  Pairs come from an exact filter, without MinHash:

@@ -10,11 +10,12 @@ from cytoweave.llm import decontam, linear, neardup, quality, toxicity
 from cytoweave.llm.common import crc_remainder
 from cytoweave.llm.hashing import shingle_set, text_bytes, word_hashes
 
-SCHEMA = "doc_id long, text string, class string, component string, taken int"
+CLASHING = ("class", "component", "taken", "_id", "_hash", "text_hash", "kept", "band", "token", "a", "b", "node")
+SCHEMA = "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHING)
 
 
 def docs(spark, rows):
-    return spark.createDataFrame([(i, t, "c", "d", 1) for i, t in rows], SCHEMA)
+    return spark.createDataFrame([(i, t, *["c"] * len(CLASHING)) for i, t in rows], SCHEMA)
 
 
 def brute_components(rows, width, percent):
@@ -64,6 +65,22 @@ def test_near_duplicates_equal_brute_force(spark, width):
     assert neardup.near_duplicates(docs(spark, []), width).count() == 0
 
 
+def test_rare_pairs_miss_no_similar_pair(spark):
+    """Templates with own parts, edited copies and their neighbours: what the filter leaves holds all similar pairs."""
+    rng = random.Random(8)
+    template = [f"common{k}" for k in range(60)]
+    rows = []
+    for k in range(150):
+        own = rng.choice([2, 6, 8, 10, 20])
+        rows.append(" ".join([f"own{k % 90}x{j}" for j in range(own)] + template[: rng.choice([30, 58, 60])]))
+    made = spark.createDataFrame([(f"c{k}", f"g{k % 7 if k < 50 else k}", t) for k, t in enumerate(rows)], "class string, component string, text string")
+    got = {(r.a, r.b) for r in neardup._rare_pairs(made, 2, 80).collect()}
+    sets = [{tuple(w[j : j + 2]) for j in range(len(w) - 1)} for w in (t.split() for t in rows)]
+    group = [k % 7 if k < 50 else k for k in range(len(rows))]
+    want = {tuple(sorted((f"c{a}", f"c{b}"))) for a in range(len(rows)) for b in range(a) if group[a] != group[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert got >= want and len(want) > 50 and len(got) < 0.5 * len(rows) ** 2 / 2
+
+
 def test_signatures_estimate_jaccard():
     rng = np.random.default_rng(1)
     a = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
