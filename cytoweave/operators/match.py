@@ -99,6 +99,9 @@ def assign(score: np.ndarray) -> list[int]:
     best = score.argmax(axis=1).tolist()
     if len(set(best)) == n:
         return best
+    back = score.argmax(axis=0).tolist()
+    if n == m and len(set(back)) == n:
+        return np.argsort(back).tolist()
     cost = -score
     u, v = np.zeros(n + 1), np.zeros(m + 1)
     match, way = np.zeros(m + 1, int), np.zeros(m + 1, int)

@@ -26,6 +26,14 @@ def minmax_norm(px: DataFrame, keys: Sequence[str] = ("frame_id",)) -> DataFrame
     return px.withColumn("v", F.coalesce(F.try_divide(F.col("v") - lo, hi - lo), F.lit(0.0)))
 
 
+def _bucket(cuts: str, value: Column, buckets: int) -> Column:
+    """How many of the sorted cuts are below the value, by bisection."""
+    middle = lambda r: F.shiftright(r["a"] + r["b"], 1)
+    halve = lambda r, _: F.when(r["a"] >= r["b"], r).when(F.get(F.col(cuts), middle(r)) < value, F.struct((middle(r) + 1).alias("a"), r["b"].alias("b"))).otherwise(F.struct(r["a"].alias("a"), middle(r).alias("b")))
+    steps = F.sequence(F.lit(0), F.lit(buckets.bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.size(cuts).alias("b")), halve)["a"]
+
+
 def quantiles(rows: DataFrame, keys: Sequence[str], levels: Sequence[float], buckets: int = 256) -> DataFrame:
     """(keys, _q): exact quantiles of ``v``, linear between ranks, of groups of any size.
 
@@ -36,7 +44,7 @@ def quantiles(rows: DataFrame, keys: Sequence[str], levels: Sequence[float], buc
     """
     values = rows.filter(F.col("v").isNotNull()).select(*keys, F.col("v").cast("double").alias("v"))
     cuts = values.groupBy(*keys).agg(F.percentile_approx("v", [k / buckets for k in range(1, buckets)], 10 * buckets).alias("_cuts"))
-    placed = values.join(cuts, list(keys)).withColumn("_b", F.size(F.filter("_cuts", lambda x: x < F.col("v")))).drop("_cuts")
+    placed = values.join(cuts, list(keys)).withColumn("_b", _bucket("_cuts", F.col("v"), buckets)).drop("_cuts")
     sizes = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_k"))
     w = Window.partitionBy(*keys)
     starts = sizes.withColumn("_end", F.sum("_k").over(w.orderBy("_b"))).withColumn("_n", F.sum("_k").over(w))

@@ -82,32 +82,29 @@ def gaussian_score(scale: Sequence[float]) -> Score:
     return lambda a, b: np.exp(-0.5 * (((a[:, None, :] - b[None, :, :]) / unit) ** 2).sum(axis=2))
 
 
-def _frames(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Whole frames, one after the other, of batches sorted by (series, tp)."""
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches of rows sorted by (series, tp), cut so that no frame lies in two of them."""
     kept: list[pd.DataFrame] = []
     for batch in batches:
-        first = [*fold.starts(batch["series"].to_numpy(), batch["tp"].to_numpy()), len(batch)]
-        for a, b in zip(first, first[1:], strict=False):
-            part = batch.iloc[a:b]
-            if kept and (kept[-1]["series"].iloc[-1] != part["series"].iloc[0] or kept[-1]["tp"].iloc[-1] != part["tp"].iloc[0]):
-                yield pd.concat(kept) if len(kept) > 1 else kept[0]
-                kept = []
-            kept.append(part)
+        if not len(batch):
+            continue
+        series, tp = batch["series"].to_numpy(), batch["tp"].to_numpy()
+        last = np.flatnonzero((series != series[-1]) | (tp != tp[-1]))
+        cut = int(last[-1]) + 1 if len(last) else 0
+        fresh = kept and (kept[-1]["series"].iloc[-1] != series[0] or kept[-1]["tp"].iloc[-1] != tp[0])
+        if cut or fresh:
+            yield pd.concat([*kept, batch.iloc[:cut]], ignore_index=True)
+            kept = []
+        kept.append(batch.iloc[cut:])
     if kept:
-        yield pd.concat(kept) if len(kept) > 1 else kept[0]
+        yield pd.concat(kept, ignore_index=True)
 
 
-def _gathered(parts: Iterator[pd.DataFrame], rows: int = 10_000) -> Iterator[pd.DataFrame]:
-    """Small frames put together, so that a batch holds many."""
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += len(part)
-        if n >= rows:
-            yield pd.concat(held)
-            held, n = [], 0
-    if held:
-        yield pd.concat(held)
+def _by_frame(batches: Iterator[pd.DataFrame], value: Sequence[str]) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[int]]]:
+    """Blocks of whole frames with their values as one array and where each frame begins and ends."""
+    for block in _blocks(batches):
+        first = fold.starts(block["series"].to_numpy(), block["tp"].to_numpy())
+        yield block, block[list(value)].to_numpy(float), [*first.tolist(), len(block)]
 
 
 def track(objects: DataFrame, features: Sequence[str] = ("x", "y"), scale: Sequence[float] = (50.0, 20000.0), depth: int = 3, threshold: float = 0.5, compat_restart: bool = False, reduce: np.ufunc = np.maximum) -> DataFrame:
@@ -120,39 +117,43 @@ def track(objects: DataFrame, features: Sequence[str] = ("x", "y"), scale: Seque
     score, names = gaussian_score(scale), list(features)
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, window, top = None, [], 0
-        for frame in _frames(batches):
-            if frame["series"].iloc[0] != series:
-                series, window, top = frame["series"].iloc[0], [], 0
-            now = frame[names].to_numpy(float)
-            labels, top = link_frames(window, now, score, top, threshold, compat_restart, reduce)
-            window = [*window, (labels, now)][-depth:]
-            yield pd.DataFrame({"series": frame["series"].to_numpy(), "tp": frame["tp"].to_numpy(), "cell": frame["cell"].to_numpy(), "label": labels})
+        now, window, top = None, [], 0
+        for block, values, first in _by_frame(batches, names):
+            series, labels = block["series"].to_numpy(), np.zeros(len(block), np.int64)
+            for a, b in zip(first, first[1:], strict=False):
+                if series[a] != now:
+                    now, window, top = series[a], [], 0
+                labels[a:b], top = link_frames(window, values[a:b], score, top, threshold, compat_restart, reduce)
+                window = [*window, (labels[a:b], values[a:b])][-depth:]
+            yield block[["series", "tp", "cell"]].assign(label=labels)
 
     rows = objects.select(F.col("series").cast("long").alias("series"), F.col("tp").cast("int").alias("tp"), F.col("cell").cast("int").alias("cell"), *names)
-    return fold.deal(rows, ["series"], ["tp", "cell"]).mapInPandas(lambda batches: _gathered(step(batches)), "series long, tp int, cell int, label int")
+    return fold.deal(rows, ["series"], ["tp", "cell"]).mapInPandas(step, "series long, tp int, cell int, label int")
 
 
 def balance(prev: Sequence[float], now: Sequence[float], growth: float = 0.1, tolerance: float = 20.0) -> list[tuple[int, int, int, int]]:
     """Runs of ``prev`` and ``now`` (start, end, start, end) whose totals balance after growth, in order.
 
-    The side with the smaller total so far (told before growth) takes its next
-    object, and the walk ends where that side has none left.
+    Objects of both sides are passed in order of the total before them on their own
+    side, those of ``now`` first of equals, as far as the other side's total
+    reaches.  A run ends at the first point with something on either side where
+    the grown total of ``prev`` is within the tolerance of that of ``now``; the
+    next run begins there with totals of its own.
     """
-    out, i, j, a, b, p, q = [], 0, 0, 0, 0, 0.0, 0.0
-    while i < len(prev) or j < len(now):
-        if p < q:
-            if i >= len(prev):
-                break
-            p, i = p + prev[i], i + 1
-        else:
-            if j >= len(now):
-                break
-            q, j = q + now[j], j + 1
-        if p and q and abs(p * math.exp(growth) - q) <= tolerance:
-            out.append((a, i, b, j))
-            a, b, p, q = i, j, 0.0, 0.0
-    return out
+    rate, out, a, b = math.exp(growth), [], 0, 0
+    while True:
+        p, q = (np.concatenate([[0.0], np.cumsum(side)]) for side in (prev[a:], now[b:]))
+        before = np.concatenate([q[:-1], p[:-1]])
+        from_prev = np.arange(len(before)) >= len(q) - 1
+        due = np.where(from_prev, before < q[-1], before <= p[-1])
+        passed = from_prev[due][np.argsort(before[due], kind="stable")]
+        i, j = np.cumsum(passed), np.cumsum(~passed)
+        even = (p[i] > 0) & (q[j] > 0) & (np.abs(p[i] * rate - q[j]) <= tolerance)
+        if not even.any():
+            return out
+        k = int(even.argmax())
+        out.append((a, a + int(i[k]), b, b + int(j[k])))
+        _, a, _, b = out[-1]
 
 
 def channel_labels(before: list[tuple[int, float]], sizes: list[float], top: int, growth: float, tolerance: float) -> tuple[list[int], list[int], int]:
@@ -185,17 +186,21 @@ def channel_track(objects: DataFrame, place: str = "y", size: str = "x", growth:
     """
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        series, before, top = None, [], 0
-        for frame in _frames(batches):
-            if frame["series"].iloc[0] != series:
-                series, before, top = frame["series"].iloc[0], [], 0
-            sizes = frame[size].tolist()
-            labels, mothers, top = channel_labels(before, sizes, top, growth, tolerance)
-            before = list(zip(labels, sizes, strict=True))
-            yield pd.DataFrame({"series": frame["series"].to_numpy(), "tp": frame["tp"].to_numpy(), "cell": frame["cell"].to_numpy(), "label": labels, "mother": mothers})
+        now, before, top = None, [], 0
+        for block, values, first in _by_frame(batches, [size]):
+            series, labels, mothers = block["series"].to_numpy(), [], []
+            for a, b in zip(first, first[1:], strict=False):
+                if series[a] != now:
+                    now, before, top = series[a], [], 0
+                sizes = values[a:b, 0].tolist()
+                own, of, top = channel_labels(before, sizes, top, growth, tolerance)
+                before = list(zip(own, sizes, strict=True))
+                labels += own
+                mothers += of
+            yield block[["series", "tp", "cell"]].assign(label=labels, mother=mothers)
 
     rows = objects.select(F.col("series").cast("long").alias("series"), F.col("tp").cast("int").alias("tp"), F.col("cell").cast("int").alias("cell"), place, size)
-    return fold.deal(rows, ["series"], ["tp", F.desc(place), "cell"]).mapInPandas(lambda batches: _gathered(step(batches)), "series long, tp int, cell int, label int, mother int")
+    return fold.deal(rows, ["series"], ["tp", F.desc(place), "cell"]).mapInPandas(step, "series long, tp int, cell int, label int, mother int")
 
 
 def lineage_scores(pairs: DataFrame, presence: DataFrame) -> DataFrame:
