@@ -141,6 +141,17 @@ def components(mask: DataFrame, connectivity: int = 2) -> DataFrame:
     return fold.in_groups(mask.select("frame_id", "r", "c"), ["frame_id"], ["r", "c"], label, "frame_id long, cell int, r int, c int")
 
 
+def parts(mask: DataFrame) -> DataFrame:
+    """(frame_id, cell, part, r, c): connected parts (eight neighbours) of each object, which may overlap others."""
+
+    def label(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(ignore_index=True)
+        group = np.searchsorted(fold.starts(pdf["frame_id"].to_numpy(), pdf["cell"].to_numpy()), np.arange(len(pdf)), side="right") - 1
+        return pdf.assign(part=label_pixels(group, pdf["r"].to_numpy(), pdf["c"].to_numpy(), True))[["frame_id", "cell", "part", "r", "c"]]
+
+    return fold.in_groups(mask.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], ["r", "c"], label, "frame_id long, cell int, part int, r int, c int")
+
+
 def fill_masks(masks: np.ndarray) -> np.ndarray:
     """Masks (object, r, c) with the background parts that don't touch the border filled."""
     g, r, c = np.nonzero(~masks)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import fold, match, morph, norm, objects, outlines
@@ -121,9 +121,9 @@ def segment_full(preds: DataFrame, groups: Sequence[GroupParams], h: int, w: int
     shown = outlines.knots(masks, h, w)
     if refine_outlines:
         edge_of = preds.sparkSession.createDataFrame([(k, p.edge) for k, p in enumerate(groups) if p.edge], "grp int, target string")
-        near = morph.dilate(morph.edges(masks, h, w), h, w, 2).join(masks.select("frame_id", "cell", "grp").distinct(), ["frame_id", "cell"]).join(F.broadcast(edge_of), "grp").join(preds, ["frame_id", "target", "r", "c"])
-        better = outlines.refine(near.select("frame_id", "cell", "r", "c", "p"), shown).withColumnRenamed("radii", "_better")
-        shown = shown.join(better, ["frame_id", "cell"], "left").withColumn("radii", F.coalesce("_better", "radii")).drop("_better")
+        edge_px = preds.join(F.broadcast(edge_of), "target").select("frame_id", "grp", "r", "c", "p")
+        group = masks.select("frame_id", "cell", "grp").distinct()
+        shown = outlines.refine(edge_px, shown.join(group, ["frame_id", "cell"])).select(*shown.columns)
     shown = stored(shown)
     edges = stored(outlines.rasterise(shown, h, w))
     filled = morph.fill_holes(edges, h, w) if refine_outlines else masks.select("frame_id", "cell", "r", "c")
@@ -142,6 +142,55 @@ def segment_batch(preds: DataFrame, groups: Sequence[GroupParams], h: int, w: in
     return match.drop_adjacent_duplicates(scored, masks, containment)
 
 
+def threshold_masks(interior: DataFrame, h: int, w: int, threshold: float = 0.9, overlap: DataFrame | None = None, overlap_threshold: float = 0.9, dilate: bool = True) -> DataFrame:
+    """(frame_id, cell, r, c): components above the threshold, each merged with the overlap map where they meet.
+
+    A component (dilated once if asked) and the overlap pixels of its frame are
+    closed together; of the connected parts that this gives, the one of largest
+    intersection over union with the component takes its place (the first of
+    equals; if closing leaves nothing, the component stays).  So objects may share
+    overlap pixels.
+    """
+    seeds = morph.components(interior.filter(F.col("v") > threshold))
+    if dilate:
+        seeds = morph.dilate(seeds, h, w)
+    if overlap is None:
+        return seeds
+    seeds = stored(seeds)
+    shared = overlap.filter(F.col("v") > overlap_threshold).select("frame_id", "r", "c")
+    both = seeds.union(seeds.select("frame_id", "cell").distinct().join(shared, "frame_id").select("frame_id", "cell", "r", "c")).distinct()
+    found = stored(morph.parts(morph.close(both, h, w)))
+    here = found.join(seeds.withColumn("_in", F.lit(1)), ["frame_id", "cell", "r", "c"], "left")
+    sizes = here.groupBy("frame_id", "cell", "part").agg(F.count("*").alias("_n"), F.count("_in").alias("_both")).join(objects.areas(seeds).withColumnRenamed("area", "_a"), ["frame_id", "cell"])
+    share = F.col("_both") / (F.col("_n") + F.col("_a") - F.col("_both"))
+    best = sizes.groupBy("frame_id", "cell").agg(F.max_by("part", F.struct(share, -F.col("part"))).alias("part"))
+    merged = found.join(best, ["frame_id", "cell", "part"], "left_semi").select("frame_id", "cell", "r", "c")
+    return merged.union(seeds.join(best, ["frame_id", "cell"], "left_anti").select("frame_id", "cell", "r", "c"))
+
+
+def threshold_segmentation(interior: DataFrame, h: int, w: int, bud: DataFrame | None = None, overlap: DataFrame | None = None, edge: DataFrame | None = None, thresholds: tuple[float, float, float] = (0.9, 0.9, 0.9), bud_overlap: bool = False, is_bud: float | None = 0.5, radial: bool = False) -> DataFrame:
+    """(frame_id, cell, r, c): outlines of threshold masks, drawn as splines through ray hits if ``radial``.
+
+    Maps are (frame_id, r, c, v); thresholds are those of interior, overlap and
+    buds.  ``edge`` dampens the interior.  Objects that match a bud go: those whose
+    containment (IoU if ``radial``) exceeds ``is_bud``, each bud taking one; without ``is_bud`` buds dampen
+    the interior instead.  Objects are numbered from 1, interior ones first.
+    """
+    if bud is not None and is_bud is None:
+        interior = norm.dampen_edges(interior, bud)
+    if edge is not None:
+        interior = norm.dampen_edges(interior, edge)
+    masks = threshold_masks(interior, h, w, thresholds[0], overlap, thresholds[1]).withColumn("grp", F.lit(0))
+    if bud is not None:
+        buds = stored(threshold_masks(bud, h, w, thresholds[2], overlap if bud_overlap else None, thresholds[1], False))
+        if is_bud is not None:
+            masks = unmatched(masks, buds, is_bud, match.iou() if radial else match.containment()).select("frame_id", "cell", "r", "c", "grp")
+        masks = masks.union(buds.withColumn("grp", F.lit(1)))
+    number = F.dense_rank().over(Window.partitionBy("frame_id").orderBy("grp", "cell"))
+    found = masks.select("frame_id", number.alias("cell"), "r", "c")
+    return outlines.rasterise(outlines.knots(found, h, w), h, w) if radial else morph.edges(found, h, w)
+
+
 def radial_regions(px: DataFrame, threshold: float, h: int, w: int) -> DataFrame:
     """(frame_id, cell, r, c): drawn spline outlines of the components above the threshold."""
     return outlines.rasterise(outlines.knots(morph.components(px.filter(F.col("v") > threshold)), h, w), h, w)
@@ -169,9 +218,12 @@ def remove_duplicates(masks: DataFrame, threshold: float) -> DataFrame:
     return masks.join(lost, ["frame_id", "grp", "cell"], "left_anti")
 
 
-def unmatched(masks: DataFrame, reference: DataFrame, threshold: float) -> DataFrame:
-    """Objects that no reference object matches beyond the threshold of intersection over union, each used once in order."""
-    pairs = match.intersections(masks, reference, ["r", "c"]).withColumn("iou", match.iou()).filter(F.col("iou") > threshold)
+def unmatched(masks: DataFrame, reference: DataFrame, threshold: float, measure: Column | None = None) -> DataFrame:
+    """Objects that no reference object matches beyond the threshold (IoU unless told otherwise).
+
+    Objects take in order the best reference that is left, so each is used once.
+    """
+    pairs = match.intersections(masks, reference, ["r", "c"]).withColumn("iou", match.iou() if measure is None else measure).filter(F.col("iou") > threshold)
 
     def claim(pdf: pd.DataFrame) -> pd.DataFrame:
         used, found = set(), set()
@@ -181,7 +233,7 @@ def unmatched(masks: DataFrame, reference: DataFrame, threshold: float) -> DataF
                 found.add((f, a))
         return pd.DataFrame(sorted(found), columns=["frame_id", "cell"])
 
-    found = fold.in_groups(pairs.select("frame_id", "ta", "tb"), ["frame_id"], ["ta", "tb"], claim, "frame_id long, cell int")
+    found = fold.in_groups(pairs.select("frame_id", "ta", "tb", "iou"), ["frame_id"], ["ta", F.desc("iou"), "tb"], claim, "frame_id long, cell int")
     return masks.join(found, ["frame_id", "cell"], "left_anti")
 
 

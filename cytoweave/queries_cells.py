@@ -223,7 +223,7 @@ def _claims(by: str, order: str, n: int = 4) -> str:
     return ", ".join(out) + ", tk AS (" + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(1, n + 1)) + ")"
 
 
-@query(f"""{with_views('qd')}, {_PAIRED.format('c', 'r')}, ca AS (SELECT frame_id, ta, tb AS other FROM j WHERE iou > 0.4), {_claims('ta', 'other')}
+@query(f"""{with_views('qd')}, {_PAIRED.format('c', 'r')}, ca AS (SELECT frame_id, ta, tb AS other, iou FROM j WHERE iou > 0.4), {_claims('ta', 'iou DESC, other')}
 SELECT frame_id, cell FROM s WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.frame_id = s.frame_id AND tk.side = s.cell)""")
 def unmatched_objects(spark, d):
     q = views.quadrants(spark, d)
@@ -310,6 +310,57 @@ def outline_rays(spark, d):
     return rays.select("frame_id", "ray", r6("radius").alias("radius"))
 
 
+_CAST = f"""e AS ({_edges('qd')}), b5 AS (SELECT k, exp(-2 * k * k) / sum(exp(-2 * k * k)) OVER () AS w FROM (SELECT unnest(range(-2, 3)) AS k)),
+sm AS (SELECT least(greatest(t.r + a.k, 0), 7) AS s, t.r AS t, sum(w) AS w FROM (SELECT unnest(range(0, 8))::INT AS r) t, b5 a GROUP BY ALL),
+so AS (SELECT frame_id, cell, y.t AS r, x.t AS c, sum(y.w * x.w) AS v FROM e JOIN sm y ON e.r = y.s JOIN sm x ON e.c = x.s GROUP BY ALL HAVING sum(y.w * x.w) > 0.01),
+m AS (SELECT frame_id, cell, avg(r) AS cr, avg(c) AS cc, round(2 * covar_pop(r, c), 9) AS lean, round(var_pop(r) - var_pop(c), 9) AS tall, (var_pop(r) + var_pop(c)) / 2 + 1/12 AS hf, sqrt(((var_pop(r) - var_pop(c)) / 2) ** 2 + covar_pop(r, c) ** 2) AS rt, sqrt((max(r) + 1 - min(r)) ** 2 + (max(c) + 1 - min(c)) ** 2) AS reach FROM qd GROUP BY 1, 2),
+ob AS (SELECT *, CASE WHEN 4 * sqrt(hf + rt) < 5 THEN 4 WHEN 4 * sqrt(hf + rt) < 20 THEN 6 ELSE 8 END AS rays, CASE WHEN lean = 0 AND tall = 0 THEN pi() / 4 ELSE 0.5 * atan2(lean, tall) END + pi() AS turn FROM m),
+ov AS (SELECT *, turn - 2 * pi() / rays * floor(turn / (2 * pi() / rays)) AS over FROM ob),
+ry AS (SELECT *, unnest(range(0, rays))::INT AS ray, CASE WHEN 2 * pi() / rays - over < 1e-9 THEN 0 ELSE over END - pi() AS first FROM ov),
+ra AS (SELECT *, first + ray * 2 * pi() / rays AS angle FROM ry),
+ks AS (SELECT frame_id, cell, ray, cr, cc, angle, unnest(range(0, greatest(round_even(2 * reach, 0), 1)::INT)) AS k FROM ra),
+pt AS (SELECT frame_id, cell, ray, round_even(round(cr + 0.5 * k * cos(angle), 9), 0)::INT AS r, round_even(round(cc + 0.5 * k * sin(angle), 9), 0)::INT AS c FROM ks),
+ht AS (SELECT frame_id, cell, ray, sum(r * v) / sum(v) AS hr, sum(c * v) / sum(v) AS hc FROM pt JOIN so USING (frame_id, cell, r, c) GROUP BY 1, 2, 3),
+rd AS (SELECT ra.frame_id, ra.cell, ra.ray, rays, sqrt((hr - cr) ** 2 + (hc - cc) ** 2) AS radius FROM ra LEFT JOIN ht USING (frame_id, cell, ray)),
+tu AS (SELECT *, ray + rays * k AS place FROM rd, (SELECT unnest([-1, 0, 1]) AS k)),
+ne AS (SELECT *, last_value(CASE WHEN radius IS NOT NULL THEN place END IGNORE NULLS) OVER b AS a0, last_value(radius IGNORE NULLS) OVER b AS r0, first_value(CASE WHEN radius IS NOT NULL THEN place END IGNORE NULLS) OVER a AS a1, first_value(radius IGNORE NULLS) OVER a AS r1
+  FROM tu WINDOW b AS (PARTITION BY frame_id, cell ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY frame_id, cell ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
+
+
+@query(f"{with_views('qd')}, {_CAST} SELECT frame_id, cell, ray, round(coalesce(radius, r0 + (place - a0) / (a1 - a0) * (r1 - r0), 0.1), 6) AS radius FROM ne WHERE place BETWEEN 0 AND rays - 1")
+def ray_casts(spark, d):
+    """Rays over the blurred outlines of the objects of each frame."""
+    q = views.quadrants(spark, d)
+    rays = outlines.cast_rays(morph.edges(q, H, W), outlines.ray_objects(q), H, W)
+    return rays.select("frame_id", "cell", "ray", r6("radius").alias("radius"))
+
+
+_PARTS = """la AS (SELECT frame_id, cell, r, c, r * 8 + c AS id FROM cl UNION SELECT m.frame_id, m.cell, m.r, m.c, la.id FROM la JOIN cl m ON m.frame_id = la.frame_id AND m.cell = la.cell AND abs(m.r - la.r) <= 1 AND abs(m.c - la.c) <= 1 AND la.id < m.r * 8 + m.c),
+pa AS (SELECT frame_id, cell, r, c, min(id) AS part FROM la GROUP BY ALL),
+sz AS (SELECT pa.frame_id, pa.cell, part, count(*) AS n, count(sd.r) AS shared FROM pa LEFT JOIN sd ON sd.frame_id = pa.frame_id AND sd.cell = pa.cell AND sd.r = pa.r AND sd.c = pa.c GROUP BY 1, 2, 3),
+be AS (SELECT frame_id, cell, part FROM sz JOIN (SELECT frame_id, cell, count(*) AS a FROM sd GROUP BY 1, 2) USING (frame_id, cell) QUALIFY row_number() OVER (PARTITION BY frame_id, cell ORDER BY shared / (n + a - shared) DESC, part) = 1),
+tm AS (SELECT frame_id, cell, r, c FROM pa JOIN be USING (frame_id, cell, part) UNION ALL SELECT frame_id, cell, r, c FROM sd ANTI JOIN be USING (frame_id, cell))"""
+_MERGED = f"""hi AS (SELECT frame_id, r, c FROM px WHERE v > 0.18), l AS (SELECT frame_id, r, c, r * 8 + c AS id FROM hi UNION SELECT m.frame_id, m.r, m.c, l.id FROM l JOIN hi m ON m.frame_id = l.frame_id AND abs(m.r - l.r) <= 1 AND abs(m.c - l.c) <= 1 AND l.id < m.r * 8 + m.c),
+m AS (SELECT frame_id, r, c, min(id) AS id FROM l GROUP BY ALL), s0 AS (SELECT frame_id, r, c, (dense_rank() OVER (PARTITION BY frame_id ORDER BY id))::INT AS cell FROM m), sd AS ({_dilated('s0')}),
+ot AS (SELECT frame_id, c AS r, r AS c FROM px WHERE v > 0.2), bt AS (SELECT frame_id, cell, r, c FROM sd UNION SELECT x.frame_id, x.cell, ot.r, ot.c FROM (SELECT DISTINCT frame_id, cell FROM sd) x JOIN ot USING (frame_id)),
+bd AS ({_dilated('bt')}), cl AS MATERIALIZED ({_eroded('bd')}), {_PARTS}"""
+
+
+@query(f"{with_views('px')}, {_MERGED} SELECT * FROM tm")
+def threshold_masks(spark, d):
+    """Components of pixel values, merged with the mirror image as overlap map."""
+    px = views.pixels(spark, d).select("frame_id", "r", "c", "v")
+    over = px.select("frame_id", F.col("c").alias("r"), F.col("r").alias("c"), "v")
+    return segment.threshold_masks(px, H, W, 0.18, over, 0.2).select("frame_id", "cell", "r", "c")
+
+
+@query(f"{with_views('px')}, {_MERGED}, e AS ({_edges('tm')}) SELECT frame_id, (dense_rank() OVER (PARTITION BY frame_id ORDER BY cell))::INT AS cell, r, c FROM e")
+def threshold_outlines(spark, d):
+    px = views.pixels(spark, d).select("frame_id", "r", "c", "v")
+    over = px.select("frame_id", F.col("c").alias("r"), F.col("r").alias("c"), "v")
+    return segment.threshold_segmentation(px, H, W, overlap=over, thresholds=(0.18, 0.2, 0.9))
+
+
 @query()
 def radial_regions(spark, d):
     return segment.radial_regions(views.pixels(spark, d).select("frame_id", "r", "c", "v"), views.THRESHOLD, H, W)
