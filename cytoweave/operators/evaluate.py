@@ -166,16 +166,18 @@ def main_label(volumes: DataFrame, label: str = "label") -> DataFrame:
     return volumes.groupBy("series", label).agg(F.count("*").alias("n")).groupBy("series").agg(F.max(F.struct("n", (-F.col(label)).alias("m"))).alias("b")).select("series", (-F.col("b.m")).alias(label), F.col("b.n").alias("frames"))
 
 
-def trial_scores(stats: DataFrame, grid: DataFrame, truths: int, iou_threshold: float = 0.5) -> DataFrame:
+def trial_scores(stats: DataFrame, grid: DataFrame, truths: int, iou_threshold: float = 0.5, on_base: bool = False) -> DataFrame:
     """(param, tp, n, precision, recall, f1, f05, f2, mean_iou) of each trial of a parameter grid, in one job.
 
     stats: (example, cell, area, p_edge, containment, assignment, iou); grid:
     (param, lower, upper, p_edge_min, max_containment), a small table.  A trial
     keeps objects with lower <= area <= upper, p_edge >= p_edge_min and containment
-    <= max_containment.
+    <= max_containment.  ``on_base``: both have a column base, and a trial is made on
+    the objects of its base only.
     """
     g = F.broadcast(grid)
-    kept = stats.join(g, stats["area"].between(g["lower"], g["upper"]) & (stats["p_edge"] >= g["p_edge_min"]) & (stats["containment"] <= g["max_containment"]))
+    same = stats["base"] == g["base"] if on_base else F.lit(True)
+    kept = stats.join(g, same & stats["area"].between(g["lower"], g["upper"]) & (stats["p_edge"] >= g["p_edge_min"]) & (stats["containment"] <= g["max_containment"]))
     hit = kept.withColumn("hit", F.col("iou") >= iou_threshold)
     best = hit.filter("hit").groupBy("param", "example", "assignment").agg(F.max("iou").alias("best")).groupBy("param").agg(F.count("*").alias("tp"), F.avg("best").alias("mean_iou"))
     n = kept.groupBy("param").agg(F.count("*").alias("n"))

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import match
+from . import match, morph, norm, objects, segment
 from .evaluate import trial_scores
+from .tables import stored
 
 
 def grid(spark: SparkSession, **values: list[float]) -> DataFrame:
@@ -112,6 +114,73 @@ def joint_search(stats: DataFrame, truths: int, axes: dict[str, list[float]], st
     return _scored(stats, [{**base, **dict(zip(kept, v, strict=True))} for v in itertools.product(*kept.values())], truths, score)
 
 
+def segment_sets(preds: DataFrame, sets: Sequence[segment.GroupParams], h: int, w: int) -> DataFrame:
+    """(base, frame_id, cell, r, c): one group's objects by each of several parameter sets, in one job.
+
+    Parameters are a small table that frames meet once, so a trial is a (set,
+    frame) pair like any other frame.  Sets share members, edge map and connectivity.
+    """
+    first = sets[0]
+    if any((p.members, p.edge, p.connectivity) != (first.members, first.edge, first.connectivity) for p in sets):
+        raise ValueError("parameter sets must share members, edge map and connectivity")
+    table = preds.sparkSession.createDataFrame([(k, float(p.threshold or 0.5), p.closing, p.opening, p.grow, float(p.lower), math.inf if p.upper is None else float(p.upper), p.edge_min) for k, p in enumerate(sets)], "base int, threshold double, closing int, opening int, grow int, lower double, upper double, edge_min double")
+    inside = norm.group_prediction(preds, first.members).withColumnRenamed("p", "v")
+    edge = preds.filter(F.col("target") == first.edge).select("frame_id", "r", "c", F.col("p").alias("v")) if first.edge else None
+    if edge is not None:
+        inside = norm.dampen_edges(inside, edge)
+    # a trial's frame: the frames of all sets side by side
+    trial = (F.col("frame_id") * len(sets) + F.col("base")).alias("frame_id")
+    of = lambda df: df.withColumn("base", F.pmod("frame_id", F.lit(len(sets))).cast("int"))
+    cells = morph.components(inside.join(F.broadcast(table)).filter(F.col("v") > F.col("threshold")).select(trial, "r", "c"), first.connectivity)
+    places = ["frame_id", "cell", "r", "c"]
+
+    def repeat(cells: DataFrame, times: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        for k in range(max(getattr(p, times) for p in sets)):
+            told = of(cells).join(F.broadcast(table.select("base", times)), "base")
+            cells = step(told.filter(F.col(times) > k).select(*places)).select(*places).union(told.filter(F.col(times) <= k).select(*places))
+        return cells
+
+    widen, narrow = (lambda x: morph.dilate(x, h, w)), morph.erode
+    for times, steps in (("closing", (widen, narrow)), ("opening", (narrow, widen)), ("grow", (widen,))):
+        for step in steps:
+            cells = repeat(cells, times, step)
+    cells = stored(cells)
+    kept = of(objects.areas(cells)).join(F.broadcast(table), "base").filter((F.col("area") >= F.col("lower")) & (F.col("area") < F.col("upper")))
+    if edge is not None:
+        trials = edge.join(F.broadcast(table.select("base"))).select(trial, "r", "c", "v")
+        scores = objects.edge_scores(morph.edges(cells, h, w), trials, h, w)
+        kept = kept.join(scores, ["frame_id", "cell"], "left").filter(F.col("edge_min").isNull() | (F.col("edge_score") > F.col("edge_min")))
+    found = of(cells.join(kept.select("frame_id", "cell"), ["frame_id", "cell"], "left_semi"))
+    return found.select("base", F.expr(f"(frame_id - base) div {len(sets)}").alias("frame_id"), "cell", "r", "c")
+
+
+def score_sets(preds: DataFrame, truth: DataFrame, sets: Sequence[segment.GroupParams], filters: DataFrame, h: int, w: int) -> DataFrame:
+    """(base, param, tp, n, precision, recall, f1, f05, f2, mean_iou) of every filter on every parameter set, in one job.
+
+    truth: (frame_id, cell, r, c); filters: (param, lower, upper, p_edge_min,
+    max_containment), a small table.
+    """
+    found = segment_sets(preds, sets, h, w)
+    n = len(sets)
+    masks = stored(found.select((F.col("frame_id") * n + F.col("base")).alias("frame_id"), F.lit(0).alias("grp"), "cell", "r", "c"))
+    edge = preds.filter(F.col("target") == sets[0].edge).select("frame_id", "r", "c", F.col("p").alias("v")) if sets[0].edge else preds.limit(0).select("frame_id", "r", "c", F.col("p").alias("v"))
+    bases = F.broadcast(preds.sparkSession.range(n).select(F.col("id").cast("int").alias("base")))
+    every = lambda df, *more: df.join(bases).select((F.col("frame_id") * n + F.col("base")).alias("frame_id"), *more)
+    scores = masks.select("frame_id", "grp", "cell").distinct().join(objects.edge_scores(morph.edges(masks, h, w), every(edge, "r", "c", "v"), h, w).withColumnRenamed("edge_score", "p_edge"), ["frame_id", "cell"], "left").fillna(0.0, ["p_edge"])
+    stats = stat_table(masks, scores.select("frame_id", "grp", "cell", "p_edge"), every(truth, "cell", "r", "c")).withColumn("base", F.pmod("example", F.lit(n)).cast("int"))
+    # a set's filters are parameters of its own, so that one join tries them all
+    trials = F.broadcast(filters.join(bases).select("base", "param", "lower", "upper", "p_edge_min", "max_containment"))
+    truths = truth.select("frame_id", "cell").distinct().count()
+    keyed = trials.withColumn("param", F.struct("base", "param"))
+    return trial_scores(stats, keyed, truths, on_base=True).select("param.base", "param.param", "tp", "n", "precision", "recall", "f1", "f05", "f2", "mean_iou")
+
+
+def best_set(scores: DataFrame, score: str = "f1") -> tuple[int, int, float]:
+    """(base, param, score) of the highest score, the lowest base and then the lowest param of equals."""
+    top = scores.agg(F.max(F.struct(F.coalesce(F.col(score), F.lit(-1.0)).alias("s"), (-F.col("base")).alias("b"), (-F.col("param")).alias("p"))).alias("t")).first()["t"]
+    return -top["b"], -top["p"], top["s"]
+
+
 def base_grid_search(tables: dict[int, DataFrame], truths: int, axes: dict[str, list[float]], start: dict[str, float], score: str = "f1") -> tuple[int, dict[str, float], float]:
     """Of several base parameter sets, each with its stat table, the one whose filters score best (the first of equals)."""
     best = None
