@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 _WORD = 256
 _BIT = [1 << k for k in range(_WORD)]
 #: Pre-tokens that a task remembers, and their bytes, before it begins anew.
-REMEMBERED, REMEMBERED_BYTES = 1 << 19, 32 << 20
+REMEMBERED, REMEMBERED_BYTES = 1 << 18, 16 << 20
 #: So many pre-tokens are merged one by one.
 FEW = 64
 _BLOCK = 1 << 20
@@ -261,25 +262,24 @@ class Tokenizer:
             found = (m.group() for m in self._pattern.finditer(text))
         return np.fromiter(map(self._known.__getitem__, found), np.int32)
 
-    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
-        out, at = [], 0
+    def encode_all(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """Ids of each text, a block of texts at a time."""
+        at = 0
         while at < len(texts):
             if len(self._known) > REMEMBERED or self._bytes > REMEMBERED_BYTES:
                 self._forget()
             block, size = [], 0
-            while at < len(texts) and size < _BLOCK * 8:  # a block of texts, so that what is held stays small
+            while at < len(texts) and size < _BLOCK * 4:  # a block of texts, so that what is held stays small
                 block.append(self._numbers(texts[at]))
                 size, at = size + len(texts[at]), at + 1
             self._learn()
             for numbers in block:
                 counts = self._counts[numbers]
                 place = np.repeat(self._starts[numbers] - np.cumsum(counts) + counts, counts)
-                out.append(self._ids[place + np.arange(len(place))])
-        return out
+                yield self._ids[place + np.arange(len(place))]
 
     def encode(self, text: str) -> np.ndarray:
-        return self.encode_all([text])[0]
+        return next(self.encode_all([text]))
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self._tokens.__getitem__, ids.tolist()))
@@ -323,7 +323,7 @@ def encode(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
 
     def ids(column):
         tokenizer = _tokenizer(ranks, pattern)
-        return pd.Series(tokenizer.encode_all(column.tolist()), dtype=object)
+        return pd.Series(list(tokenizer.encode_all(column.tolist())), dtype=object)
 
     # called nondeterministic, so that Spark doesn't encode anew for each use of the ids
     made = _column(ids, "array<int>").asNondeterministic()
@@ -340,10 +340,20 @@ def decode(tokens: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
     return tokens.withColumn("decoded", _column(back, "binary")("ids"))
 
 
-def _digest(column):
-    return column.map(lambda x: hashlib.sha256(np.asarray(x, "<u4").tobytes()).hexdigest())
+def token_digests(docs: DataFrame, ranks: Broadcast, pattern: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit integers) and decoded_sha256 of each text.
 
+    Texts are encoded and their ids decoded as ``encode`` and ``decode`` do, in one
+    Python process for each task, which hands on nothing but the digests.
+    """
 
-def token_digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit integers) and decoded_sha256."""
-    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _column(_digest, "string")("ids").alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    def digests(column):
+        tokenizer = _tokenizer(ranks, pattern)
+        rows = []
+        for ids in tokenizer.encode_all(column.tolist()):
+            rows.append((len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(tokenizer.decode(ids)).hexdigest()))
+        return pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"])
+
+    digests.__annotations__ = {"column": pd.Series, "return": pd.DataFrame}
+    made = F.pandas_udf(digests, "n_tokens long, ids_sha256 string, decoded_sha256 string").asNondeterministic()
+    return docs.select("doc_id", made(F.coalesce(docs["text"].cast("string"), F.lit(""))).alias("d")).select("doc_id", "d.*")
