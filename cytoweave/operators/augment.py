@@ -51,6 +51,30 @@ def substack(px: DataFrame, keep: list[int], mean: bool = False) -> DataFrame:
     return kept.withColumn("z", place.cast("int"))
 
 
+def section_choices(sections: int, keep: int) -> list[list[int]]:
+    """All choices of ``keep`` of the sections between any two of which at most one is left out, in order."""
+    every = ([z for z in range(sections) if m >> z & 1] for m in range(1, 1 << sections) if m.bit_count() == keep)
+    return [zs for zs in every if all(b - a <= 2 for a, b in zip(zs, zs[1:], strict=False))]
+
+
+def choose_sections(px: DataFrame, sections: int, keep: int, seed: int, mean: bool = False) -> DataFrame:
+    """Each frame with ``keep`` of its sections, renumbered, or their mean.
+
+    The choice is told by a hash of seed and frame, so reruns agree.  Fewer
+    sections than asked for are an error.
+    """
+    choices = section_choices(sections, keep)
+    if not choices:
+        raise ValueError("a frame has fewer sections than asked for")
+    listed = F.array(*[F.array(*[F.lit(z) for z in zs]) for zs in choices])
+    at = F.conv(F.substring(draw(f"{seed}:sections", F.col("frame_id")), 1, 8), 16, 10).cast("long") % len(choices)
+    place = F.array_position(F.get(listed, at.cast("int")), F.col("z"))
+    kept = px.withColumn("_p", place).filter("_p > 0")
+    if mean:
+        return kept.groupBy("frame_id", "r", "c").agg(F.avg("v").alias("v"))
+    return kept.withColumn("z", (F.col("_p") - 1).cast("int")).drop("_p")
+
+
 def gamma(px: DataFrame, g: float, q: float = 0.04) -> DataFrame:
     """Values between the outer quantiles bent by a power, others kept."""
     level = px.groupBy("frame_id").agg(F.percentile("v", F.array(F.lit(q / 2), F.lit(1 - q / 2))).alias("_q"))

@@ -13,17 +13,17 @@ from . import learn, objects, track
 FEATURES = ("p_bud", "size_ratio", "neck_mean", "neck_ratio", "adjacency")
 
 
-def joining_strips(pairs: DataFrame, h: int, w: int) -> DataFrame:
+def joining_strips(pairs: DataFrame, h: int, w: int, narrowest: float = 2.0) -> DataFrame:
     """(frame_id, mother, bud, r, c): pixels of the rectangle from each mother's centre to the bud's.
 
     pairs: (frame_id, mother, bud, m_r, m_c, d_r, d_c, minor).  The rectangle is
-    max(2, a quarter of the bud's minor axis) wide.  Only the places of its
+    max(``narrowest``, a quarter of the bud's minor axis) wide.  Only the places of its
     bounding box are made; a place is inside if its offset from a corner lies
     within both sides.  Pairs with one centre have none.
     """
     hr, hc = F.col("d_r") - F.col("m_r"), F.col("d_c") - F.col("m_c")
     long = F.sqrt(hr * hr + hc * hc)
-    wide = F.greatest(F.lit(2.0), F.col("minor") * 0.25)
+    wide = F.greatest(F.lit(narrowest), F.col("minor") * 0.25)
     p = pairs.withColumn("_hr", hr).withColumn("_hc", hc).withColumn("_len", long).filter("_len > 0")
     p = p.withColumn("_wr", F.try_divide(-wide * F.col("_hc"), F.col("_len"))).withColumn("_wc", F.try_divide(wide * F.col("_hr"), F.col("_len")))
     p = p.withColumn("_r0", F.col("m_r") - F.col("_wr") / 2).withColumn("_c0", F.col("m_c") - F.col("_wc") / 2)
@@ -32,7 +32,9 @@ def joining_strips(pairs: DataFrame, h: int, w: int) -> DataFrame:
     p = p.withColumn("r", places("_r0", "_hr", "_wr", h)).withColumn("c", places("_c0", "_hc", "_wc", w))
     dr, dc = F.col("r") - F.col("_r0"), F.col("c") - F.col("_c0")
     along, across = dr * F.col("_hr") + dc * F.col("_hc"), dr * F.col("_wr") + dc * F.col("_wc")
-    inside = along.between(0.0, F.col("_len") * F.col("_len")) & across.between(0.0, F.col("_wr") * F.col("_wr") + F.col("_wc") * F.col("_wc"))
+    # rounded, as what lies on a side may come out a tiny bit off it
+    within = lambda x, to: F.round(x, 9).between(0.0, F.round(to, 9))
+    inside = within(along, F.col("_len") * F.col("_len")) & within(across, F.col("_wr") * F.col("_wr") + F.col("_wc") * F.col("_wc"))
     return p.filter(inside).select("frame_id", "mother", "bud", "r", "c")
 
 

@@ -60,15 +60,19 @@ def quantiles(rows: DataFrame, keys: Sequence[str], levels: Sequence[float], buc
     return each.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))), lambda x: x["_v"]).alias("_q"))
 
 
-def robust_norm(px: DataFrame, keys: Sequence[str] = ("frame_id",), q: float = 0.04, large: bool = False) -> DataFrame:
+def robust_norm(px: DataFrame, keys: Sequence[str] = ("frame_id",), q: float = 0.04, large: bool = False, approximate: bool = False) -> DataFrame:
     """(v - median) * (1 - q) / (range between the q/2 and 1 - q/2 quantiles); a flat group gives 0.
 
     Quantiles are aggregates that join back on the group's key.  As they stand they
     hold a group's distinct values in one buffer, which suits frames; ``large``
-    takes ``quantiles`` for few groups of any size.
+    takes ``quantiles`` for few groups of any size.  ``approximate`` takes sketches of
+    fixed size instead, whose quantiles are values of the group.
     """
     levels = (q / 2, 0.5, 1 - q / 2)
-    level = quantiles(px, keys, levels) if large else px.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(x) for x in levels])).alias("_q"))
+    if approximate:
+        level = px.groupBy(*keys).agg(F.percentile_approx("v", list(levels), 10_000).alias("_q"))
+    else:
+        level = quantiles(px, keys, levels) if large else px.groupBy(*keys).agg(F.percentile("v", F.array(*[F.lit(x) for x in levels])).alias("_q"))
     met = px.join(level, list(keys))
     scaled = F.try_divide((F.col("v") - F.col("_q")[1]) * (1 - q), F.col("_q")[2] - F.col("_q")[0])
     return met.withColumn("v", F.coalesce(scaled, F.lit(0.0))).drop("_q")

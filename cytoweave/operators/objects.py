@@ -234,3 +234,32 @@ def area_volume(area: Column) -> Column:
 def coordinates(mask: DataFrame) -> DataFrame:
     """Sorted 1-based coordinates of each object."""
     return mask.groupBy("frame_id", "cell").agg(F.to_json(F.array_sort(F.collect_list(F.array(F.col("r") + 1, F.col("c") + 1)))).alias("coords"))
+
+
+def legacy_targets(mask: DataFrame, pairs: DataFrame, h: int, w: int, small: float = 0.7) -> DataFrame:
+    """(target, frame_id, r, c): the older six channels of frames of filled objects.
+
+    edge, filled, interior (filled once, no edge), overlap; budring: edges of a
+    mother or its bud in the strip that joins their centres, closed and dilated;
+    bud: buds of less than ``small`` of their mother's area.  pairs: (frame_id,
+    mother, bud).
+    """
+    from . import buds
+
+    rim = morph.edges(mask, h, w)
+    places = ["frame_id", "r", "c"]
+    counts = mask.groupBy(*places).agg(F.count("*").alias("_n"))
+    edge = rim.select(*places).distinct()
+    f = shape_features(mask).select("frame_id", "cell", "area", "centroid_r", "centroid_c", "minor")
+    of = lambda side, tag: f.select("frame_id", F.col("cell").alias(side), F.col("area").alias(f"{tag}_area"), F.col("centroid_r").alias(f"{tag}_r"), F.col("centroid_c").alias(f"{tag}_c"), *(["minor"] if tag == "d" else []))
+    met = pairs.join(of("mother", "m"), ["frame_id", "mother"]).join(of("bud", "d"), ["frame_id", "bud"])
+    strip = buds.joining_strips(met, h, w, 0.0)
+    junction = strip.join(rim, places).filter("cell = mother or cell = bud").select("frame_id", F.struct("mother", "bud").alias("cell"), "r", "c").distinct()
+    ring = morph.dilate(morph.close(junction, h, w), h, w).select(*places).distinct()
+    young = mask.join(met.filter(F.col("d_area") / F.col("m_area") < small).select("frame_id", F.col("bud").alias("cell")).distinct(), ["frame_id", "cell"], "left_semi").select(*places).distinct()
+    parts = {"edge": edge, "filled": counts, "interior": counts.filter("_n = 1").join(edge, places, "left_anti"), "overlap": counts.filter("_n > 1"), "budring": ring, "bud": young}
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("target"), *places)
+        out = part if out is None else out.union(part)
+    return out

@@ -43,6 +43,8 @@ def blend(main: Column, backup: Column, low: float = 0.1, high: float = 0.9) ->
 
 
 Score = Callable[[np.ndarray, np.ndarray], np.ndarray]
+#: Ways to put a label's scores over several frames together, by name.
+REDUCERS = {"max": np.maximum, "min": np.minimum, "sum": np.add}
 
 
 def link_frames(window: list[tuple[np.ndarray, np.ndarray]], now: np.ndarray, score: Score, max_label: int, threshold: float, compat_restart: bool = False, reduce: np.ufunc = np.maximum) -> tuple[np.ndarray, int]:
@@ -107,7 +109,7 @@ def _by_frame(batches: Iterator[pd.DataFrame], value: Sequence[str]) -> Iterator
         yield block, block[list(value)].to_numpy(float), [*first.tolist(), len(block)]
 
 
-def track(objects: DataFrame, features: Sequence[str] = ("x", "y"), scale: Sequence[float] = (50.0, 20000.0), depth: int = 3, threshold: float = 0.5, compat_restart: bool = False, reduce: np.ufunc = np.maximum) -> DataFrame:
+def track(objects: DataFrame, features: Sequence[str] = ("x", "y"), scale: Sequence[float] = (50.0, 20000.0), depth: int = 3, threshold: float = 0.5, compat_restart: bool = False, reduce: np.ufunc | str = np.maximum) -> DataFrame:
     """(series, tp, cell, label): objects linked frame by frame; labels count from 1 in each series.
 
     The rows of a series stand in order of time in one partition and stream
@@ -115,6 +117,7 @@ def track(objects: DataFrame, features: Sequence[str] = ("x", "y"), scale: Seque
     series is.
     """
     score, names = gaussian_score(scale), list(features)
+    reduce = REDUCERS[reduce] if isinstance(reduce, str) else reduce
 
     def step(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, window, top = None, [], 0

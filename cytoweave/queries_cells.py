@@ -378,7 +378,7 @@ g AS (SELECT *, 4 * sqrt(greatest((vr + vc) / 2 - sqrt(((vr - vc) / 2) ** 2 + rc
 pb AS (SELECT frame_id, cell, avg(abs(v)) AS p_bud FROM qd JOIN px USING (frame_id, r, c) GROUP BY 1, 2),
 pr AS (SELECT m.frame_id, m.cell AS mother, d.cell AS bud, m.area AS ma, d.area AS da, m.y AS my, m.x AS mx, d.y - m.y AS hr, d.x - m.x AS hc, greatest(2, d.minor * 0.25) AS wide, p_bud FROM g m JOIN g d ON m.frame_id = d.frame_id AND m.cell <> d.cell JOIN pb ON pb.frame_id = d.frame_id AND pb.cell = d.cell),
 pw AS (SELECT *, sqrt(hr * hr + hc * hc) AS len FROM pr), px2 AS (SELECT *, -wide * hc / len AS wr, wide * hr / len AS wc FROM pw WHERE len > 0),
-st AS (SELECT p.frame_id, mother, bud, gr.r, gr.c FROM px2 p, gr WHERE (gr.r - (my - wr / 2)) * hr + (gr.c - (mx - wc / 2)) * hc BETWEEN 0 AND len * len AND (gr.r - (my - wr / 2)) * wr + (gr.c - (mx - wc / 2)) * wc BETWEEN 0 AND wr * wr + wc * wc),
+st AS (SELECT p.frame_id, mother, bud, gr.r, gr.c FROM px2 p, gr WHERE round((gr.r - (my - wr / 2)) * hr + (gr.c - (mx - wc / 2)) * hc, 9) BETWEEN 0 AND round(len * len, 9) AND round((gr.r - (my - wr / 2)) * wr + (gr.c - (mx - wc / 2)) * wc, 9) BETWEEN 0 AND round(wr * wr + wc * wc, 9)),
 nk AS (SELECT st.frame_id, mother, bud, count(*) AS n, coalesce(avg(least(abs(v) * 3, 1)) FILTER (least(abs(v) * 3, 1) > 0.2), 0) AS neck_mean, coalesce(sum(least(abs(v) * 3, 1)) FILTER (least(abs(v) * 3, 1) > 0.2), 0) AS s FROM st JOIN px USING (frame_id, r, c) GROUP BY 1, 2, 3),
 co AS (SELECT frame_id, mother, bud, count(*) AS k FROM (SELECT DISTINCT st.* FROM st JOIN qd ON qd.frame_id = st.frame_id AND qd.r = st.r AND qd.c = st.c AND qd.cell IN (mother, bud)) GROUP BY 1, 2, 3),
 ft AS (SELECT frame_id, mother, bud, round(p_bud, 6) AS p_bud, round(ma / da, 6) AS size_ratio, round(neck_mean, 6) AS neck_mean, round(s / sqrt(da), 6) AS neck_ratio, round(coalesce(k, 0) / n, 6) AS adjacency FROM pr LEFT JOIN nk USING (frame_id, mother, bud) LEFT JOIN co USING (frame_id, mother, bud))"""
