@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -35,6 +36,18 @@ def pad(px: DataFrame, h: int, w: int, dr: int, dc: int) -> DataFrame:
     return grid.join(moved, ["frame_id", "r", "c"], "left").select("frame_id", "r", "c", F.coalesce("v", "_m").alias("v"))
 
 
+def rough_crop(px: DataFrame, labels: DataFrame, h: int, w: int, out_h: int, out_w: int, scaling: float = 1.0, margin: float = 1.7) -> tuple[DataFrame, DataFrame]:
+    """(image, labels) about the frame's middle, large enough for a turn and a rescaling to out_h by out_w to stay inside.
+
+    A side is ``margin`` times the asked one by ``scaling``, rounded up.  Where that
+    is beyond the frame, places of the image get its median and labels stay empty;
+    objects without a pixel in the window are gone.  labels: (frame_id, cell, r, c).
+    """
+    big_h, big_w = math.ceil(out_h * margin / scaling), math.ceil(out_w * margin / scaling)
+    dr, dc = -((h - big_h) // 2), -((w - big_w) // 2)
+    return pad(px, big_h, big_w, dr, dc), shift(labels, dr, dc, big_h, big_w)
+
+
 def move_stacks(px: DataFrame, dz: int, n: int) -> DataFrame:
     """Each section takes the values of the section dz before, edges repeated: rows (frame_id, z, r, c, v)."""
     at = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))

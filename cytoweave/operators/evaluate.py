@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import sample
+
 
 def confusion_counts(pairs: DataFrame, truth: Column, pred: Column, keys: Sequence[str] = (), rollup: bool = False, compat_swapped: bool = False) -> DataFrame:
     """tp, fp, fn, tn of each group (with subtotals if asked); ``compat_swapped`` exchanges fp and fn."""
@@ -105,10 +107,13 @@ def histogram_2d(values: DataFrame, x: str, y: str, weight: str, lo: float, hi:
     return inside.groupBy(place(x).alias("bin_x"), place(y).alias("bin_y")).agg(F.sum(weight).alias("w"))
 
 
-def objects_per_split(pairs: DataFrame, splits: Sequence[str], split: str = "split", labels: str = "labels") -> DataFrame:
-    """(split, n): labels of all pairs of each split; splits without pairs count 0."""
+def objects_per_split(pairs: DataFrame, splits: Sequence[str] | DataFrame, split: str = "split", labels: str = "labels") -> DataFrame:
+    """(split, n): labels of all pairs of each split; splits without pairs count 0.
+
+    splits: their names, or a table with a column of them.
+    """
     n = pairs.groupBy(split).agg(F.sum(F.coalesce(F.when(F.size(labels) >= 0, F.size(labels)), F.lit(0))).alias("n"))
-    names = pairs.sparkSession.createDataFrame([(x,) for x in splits], f"{split} string")
+    names = splits.select(split).distinct() if isinstance(splits, DataFrame) else pairs.sparkSession.createDataFrame([(x,) for x in splits], f"{split} string")
     return names.join(n, split, "left").select(split, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
@@ -166,6 +171,38 @@ def main_label(volumes: DataFrame, label: str = "label") -> DataFrame:
     return volumes.groupBy("series", label).agg(F.count("*").alias("n")).groupBy("series").agg(F.max(F.struct("n", (-F.col(label)).alias("m"))).alias("b")).select("series", (-F.col("b.m")).alias(label), F.col("b.n").alias("frames"))
 
 
+def _passes(stats: DataFrame, grid: DataFrame) -> Column:
+    """Whether an object passes a trial's filters."""
+    return stats["area"].between(grid["lower"], grid["upper"]) & (stats["p_edge"] >= grid["p_edge_min"]) & (stats["containment"] <= grid["max_containment"])
+
+
+def bootstrap_trials(stats: DataFrame, grid: DataFrame, truths: DataFrame, n_boot: int = 10, seed: int = 1, iou_threshold: float = 0.5) -> DataFrame:
+    """(param, precision, recall, f1, f05, f2, mean_iou, f1_se): trials' mean scores over resamples of whole examples, in one job.
+
+    stats and grid as ``trial_scores`` takes them; truths: (example, truths), the
+    number of true objects of each example.  A trial is made once: a resample
+    weighs each example's counts by the times it drew it, so none is gathered.  A
+    trial that keeps or hits nothing in a resample scores 0 there, and has no mean
+    IoU.  f1_se is the standard error of f1 over the resamples.
+    """
+    g = F.broadcast(grid)
+    kept = stats.join(g, _passes(stats, g))
+    best = kept.filter(F.col("iou") >= iou_threshold).groupBy("param", "example", "assignment").agg(F.max("iou").alias("_best"))
+    hits = best.groupBy("param", "example").agg(F.count("*").alias("_tp"), F.sum("_best").alias("_iou"))
+    each = kept.groupBy("param", "example").agg(F.count("*").alias("_n")).join(hits, ["param", "example"], "left").fillna(0, ["_tp", "_iou"])
+    drawn = sample.bootstrap(truths.select("example", "truths"), n_boot, seed, "example")
+    owed = drawn.groupBy("boot").agg(F.sum(F.col("copies") * F.col("truths")).alias("_truths"))
+    total = lambda c, name: F.sum(F.col("copies") * F.col(c)).alias(name)
+    got = each.join(drawn.select("example", "boot", "copies"), "example").groupBy("param", "boot").agg(total("_n", "n"), total("_tp", "tp"), total("_iou", "iou"))
+    # every trial with every resample, both a handful of rows
+    s = grid.select("param").join(F.broadcast(owed)).join(got, ["param", "boot"], "left").fillna(0, ["n", "tp"])
+    p, r = F.coalesce(F.try_divide("tp", "n"), F.lit(0.0)), F.coalesce(F.try_divide("tp", "_truths"), F.lit(0.0))
+    f = lambda b: F.coalesce(F.try_divide((1 + b * b) * F.col("precision") * F.col("recall"), b * b * F.col("precision") + F.col("recall")), F.lit(0.0))
+    s = s.withColumn("precision", p).withColumn("recall", r).withColumn("f1", f(1.0)).withColumn("f05", f(0.5)).withColumn("f2", f(2.0)).withColumn("mean_iou", F.try_divide("iou", "tp"))
+    means = [F.avg(c).alias(c) for c in ("precision", "recall", "f1", "f05", "f2", "mean_iou")]
+    return s.groupBy("param").agg(*means, (F.stddev_pop("f1") / F.sqrt(F.count("f1"))).alias("f1_se"))
+
+
 def trial_scores(stats: DataFrame, grid: DataFrame, truths: int, iou_threshold: float = 0.5, on_base: bool = False) -> DataFrame:
     """(param, tp, n, precision, recall, f1, f05, f2, mean_iou) of each trial of a parameter grid, in one job.
 
@@ -177,7 +214,7 @@ def trial_scores(stats: DataFrame, grid: DataFrame, truths: int, iou_threshold:
     """
     g = F.broadcast(grid)
     same = stats["base"] == g["base"] if on_base else F.lit(True)
-    kept = stats.join(g, same & stats["area"].between(g["lower"], g["upper"]) & (stats["p_edge"] >= g["p_edge_min"]) & (stats["containment"] <= g["max_containment"]))
+    kept = stats.join(g, same & _passes(stats, g))
     hit = kept.withColumn("hit", F.col("iou") >= iou_threshold)
     best = hit.filter("hit").groupBy("param", "example", "assignment").agg(F.max("iou").alias("best")).groupBy("param").agg(F.count("*").alias("tp"), F.avg("best").alias("mean_iou"))
     n = kept.groupBy("param").agg(F.count("*").alias("n"))

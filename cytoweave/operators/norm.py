@@ -110,11 +110,9 @@ def smoothing_sigma(n_edge: Column, a: float, b: float, c: float) -> Column:
 
 
 def unit_norm(cells: DataFrame, px_size: float) -> DataFrame:
-    """Lengths divided by the pixel size, areas by its square, if present."""
-    for name in ("centroid_r", "centroid_c", "major", "minor", "perimeter", "diameter"):
-        if name in cells.columns:
-            cells = cells.withColumn(name, F.col(name) / px_size)
-    return cells.withColumn("area", F.col("area") / (px_size * px_size)) if "area" in cells.columns else cells
+    """Lengths divided by the pixel size, areas by its square, volumes by its cube, if present."""
+    power = {"area": 2, "volume": 3} | dict.fromkeys(("centroid_r", "centroid_c", "major", "minor", "perimeter", "diameter"), 1)
+    return cells.withColumns({n: F.col(n) / px_size**k for n, k in power.items() if n in cells.columns})
 
 
 def rescale_outlines(outlines: DataFrame, factor: float) -> DataFrame:

@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import numbered
+
 
 def draw(seed: int | str, *keys: Column) -> Column:
     """A portable hash of a seed and keys as 32 hexadecimal digits."""
@@ -16,11 +18,10 @@ def draw(seed: int | str, *keys: Column) -> Column:
 
 def group_split(rows: DataFrame, group: Sequence[str], val_size: float = 0.2, test_size: float = 0.2, seed: int = 1) -> DataFrame:
     """Adds ``split``; all rows of a group fall together.  Distinct groups are shuffled by hash and cut by count."""
-    groups = rows.select(*group).distinct()
-    order = Window.orderBy(draw(seed, *[F.col(g) for g in group]), *group)
-    n = F.count("*").over(Window.partitionBy(F.lit(0)))
-    ranked = groups.withColumn("_k", F.row_number().over(order)).withColumn("_n", n)
-    split = F.when(F.col("_k") <= F.floor(F.col("_n") * (1 - val_size - test_size)), "train").when(F.col("_k") <= F.floor(F.col("_n") * (1 - test_size)), "validation").otherwise("test")
+    groups = rows.select(*group).distinct().withColumn("_draw", draw(seed, *[F.col(g) for g in group]))
+    ranked = numbered(groups, "_draw", *group, name="_k")
+    n = F.lit(ranked.count())
+    split = F.when(F.col("_k") <= F.floor(n * (1 - val_size - test_size)), "train").when(F.col("_k") <= F.floor(n * (1 - test_size)), "validation").otherwise("test")
     return rows.join(ranked.select(*group, split.alias("split")), list(group))
 
 

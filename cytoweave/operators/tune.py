@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import match, morph, norm, objects, segment
-from .evaluate import trial_scores
+from .evaluate import bootstrap_trials, trial_scores
 from .tables import stored
 
 
@@ -82,36 +82,49 @@ def stat_table(masks: DataFrame, scores: DataFrame, truth: DataFrame) -> DataFra
 _PARAMS = ("lower", "upper", "p_edge_min", "max_containment")
 
 
-def _scored(stats: DataFrame, trials: list[dict[str, float]], truths: int, score: str) -> tuple[dict[str, float], float]:
-    """The best of some trials (the first of equals), all scored in one job."""
+def _values(stats: DataFrame, trials: list[dict[str, float]], truths: int | DataFrame, score: str, n_boot: int, seed: int) -> list[float]:
+    """Scores of trials, all made in one job, -1 where undefined; with ``n_boot`` means over resamples."""
     g = stats.sparkSession.createDataFrame([(k, *(float(t[x]) for x in _PARAMS)) for k, t in enumerate(trials)], "param int, " + ", ".join(f"{x} double" for x in _PARAMS))
-    rows = trial_scores(stats, g, truths).select("param", score).collect()
-    found = max(rows, key=lambda r: (r[score] if r[score] is not None else -1.0, -r["param"]))
-    return trials[found["param"]], found[score] or 0.0
+    scores = bootstrap_trials(stats, g, truths, n_boot, seed) if n_boot else trial_scores(stats, g, truths)
+    found = {r["param"]: r[score] for r in scores.select("param", score).collect()}
+    return [-1.0 if found.get(k) is None else found[k] for k in range(len(trials))]
 
 
-def joint_search(stats: DataFrame, truths: int, axes: dict[str, list[float]], start: dict[str, float], score: str = "f1") -> tuple[dict[str, float], float]:
+def joint_search(stats: DataFrame, truths: int | DataFrame, axes: dict[str, list[float]], start: dict[str, float], score: str = "f1", lazy: bool = False, n_boot: int = 0, seed: int = 1) -> tuple[dict[str, float], float]:
     """Best parameters by three rounds: each axis from ``start``, each pair of axes from these, all mixtures of what was best.
 
-    Every round's trials are one job, whatever the number of axes.
+    Every round's trials are one job, whatever the number of axes.  ``lazy`` tries
+    each axis once more from the first round's best instead of pairs and mixtures.
+    With ``n_boot``, scores are means over so many resamples of the examples, and
+    truths is a table (example, truths); else it is the number of true objects.
     """
-    by_axis = [{**start, k: v} for k, values in axes.items() for v in values]
-    g = stats.sparkSession.createDataFrame([(k, *(float(t[x]) for x in _PARAMS)) for k, t in enumerate(by_axis)], "param int, " + ", ".join(f"{x} double" for x in _PARAMS))
-    value = {r["param"]: r[score] if r[score] is not None else -1.0 for r in trial_scores(stats, g, truths).select("param", score).collect()}
-    found, at = {}, 0
-    for k, values in axes.items():
-        found[k] = values[max(range(len(values)), key=lambda i: (value[at + i], -i))]
-        at += len(values)
-    base, kept = {**start, **found}, {k: [v] for k, v in found.items()}
-    pairs = [(a, b, x, y) for a, b in itertools.combinations(axes, 2) for x in axes[a] for y in axes[b]]
-    g = stats.sparkSession.createDataFrame([(k, *(float({**base, a: x, b: y}[n]) for n in _PARAMS)) for k, (a, b, x, y) in enumerate(pairs)], "param int, " + ", ".join(f"{x} double" for x in _PARAMS))
-    value = {r["param"]: r[score] if r[score] is not None else -1.0 for r in trial_scores(stats, g, truths).select("param", score).collect()}
-    for names, group in itertools.groupby(range(len(pairs)), key=lambda i: pairs[i][:2]):
-        top = max(group, key=lambda i: (value[i], -i))
-        for name, v in zip(names, pairs[top][2:], strict=True):
+
+    def value(trials: list[dict[str, float]]) -> list[float]:
+        return _values(stats, trials, truths, score, n_boot, seed)
+
+    def by_axis(base: dict[str, float]) -> dict[str, float]:
+        trials = [(k, v) for k, values in axes.items() for v in values]
+        got = value([{**base, k: v} for k, v in trials])
+        best = {}
+        for k, group in itertools.groupby(range(len(trials)), key=lambda i: trials[i][0]):
+            best[k] = trials[max(group, key=lambda i: (got[i], -i))][1]
+        return {**base, **best}
+
+    base = by_axis(start)
+    if lazy:
+        base = by_axis(base)
+        return base, max(value([base])[0], 0.0)
+    kept = {k: [base[k]] for k in axes}
+    pairs = [((a, b), (x, y)) for a, b in itertools.combinations(axes, 2) for x in axes[a] for y in axes[b]]
+    got = value([{**base, **dict(zip(names, v, strict=True))} for names, v in pairs])
+    for names, group in itertools.groupby(range(len(pairs)), key=lambda i: pairs[i][0]):
+        for name, v in zip(names, pairs[max(group, key=lambda i: (got[i], -i))][1], strict=True):
             if v not in kept[name]:
                 kept[name].append(v)
-    return _scored(stats, [{**base, **dict(zip(kept, v, strict=True))} for v in itertools.product(*kept.values())], truths, score)
+    trials = [{**base, **dict(zip(kept, v, strict=True))} for v in itertools.product(*kept.values())]
+    got = value(trials)
+    top = max(range(len(trials)), key=lambda i: (got[i], -i))
+    return trials[top], max(got[top], 0.0)
 
 
 def segment_sets(preds: DataFrame, sets: Sequence[segment.GroupParams], h: int, w: int) -> DataFrame:

@@ -544,6 +544,21 @@ def best_trial(spark, d):
     return evaluate.best_params(evaluate.trial_scores(_stats(spark, d), _grid(spark), 1000)).select("param", r6("f1").alias("f1"))
 
 
+_BOOT = f"""ex AS (SELECT frame_id AS example, count(DISTINCT cell) AS truths FROM qd GROUP BY 1), bu AS (SELECT ex.*, b AS boot, ('0x' || substr(md5('5:' || b || ':' || example), 1, 7))::BIGINT AS u FROM ex, range(1, 7) y(b)),
+bd AS (SELECT example, truths, boot, copies FROM (SELECT *, {" + ".join(f"(u >= {cut})::INT" for cut in sample.poisson_cuts(0.9, 1 << 28))} AS copies FROM bu) WHERE copies > 0), ow AS (SELECT boot, sum(copies * truths) AS owed FROM bd GROUP BY 1),
+fe AS (SELECT param, example, count(*) AS n FROM f GROUP BY 1, 2), he AS (SELECT param, example, count(*) AS tp, sum(best) AS iou FROM h GROUP BY 1, 2),
+gt AS (SELECT param, boot, sum(copies * n) AS n, coalesce(sum(copies * tp), 0) AS tp, sum(copies * iou) AS iou FROM fe LEFT JOIN he USING (param, example) JOIN bd USING (example) GROUP BY 1, 2),
+sc AS (SELECT g.param::INT AS param, coalesce(tp / nullif(n, 0), 0) AS pr, coalesce(tp, 0) / owed AS re, iou / nullif(tp, 0) AS mi FROM g CROSS JOIN ow LEFT JOIN gt ON gt.param = g.param AND gt.boot = ow.boot), sf AS (SELECT *, coalesce(2 * pr * re / nullif(pr + re, 0), 0) AS f1 FROM sc)"""
+
+
+@query(f"{with_views('qd')}, {_STAT}, {_BOOT} SELECT param, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(f1), 6) AS f1, round(avg(mi), 6) AS mean_iou, round(stddev_pop(f1) / sqrt(count(*)), 6) AS f1_se FROM sf GROUP BY 1")
+def bootstrap_trials(spark, d):
+    """Filter trials over resamples of the frames."""
+    truths = views.quadrants(spark, d).groupBy(F.col("frame_id").alias("example")).agg(F.countDistinct("cell").alias("truths"))
+    s = evaluate.bootstrap_trials(_stats(spark, d), _grid(spark), truths, 6, 5)
+    return s.select("param", *[r6(x).alias(x) for x in ("precision", "recall", "f1", "mean_iou", "f1_se")])
+
+
 @query()
 def coord_search(spark, d):
     stats = _stats(spark, d)

@@ -133,7 +133,13 @@ def perimeter(spark, d):
     return objects.perimeters(views.quadrants(spark, d), H, W).select("frame_id", "cell", r6("perimeter").alias("perimeter"))
 
 
-@query()
+# doubled places are whole numbers; a hull's sides run between corners at most 10 apart in each axis
+@query(f"""{with_views('qd')}, di AS (SELECT x.k AS dy, y.k AS dx FROM (SELECT unnest(range(-10, 11))::INT AS k) x, (SELECT unnest(range(-10, 11))::INT AS k) y WHERE gcd(x.k, y.k) = 1),
+su AS (SELECT frame_id, cell, dy, dx, max(2 * r * dy + 2 * c * dx) + greatest(abs(dy), abs(dx)) AS far FROM qd, di GROUP BY frame_id, cell, dy, dx),
+bo AS (SELECT frame_id, cell, count(*) AS area, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM qd GROUP BY 1, 2),
+ca AS (SELECT frame_id, cell, area, x.k AS r, y.k AS c FROM bo JOIN (SELECT unnest(range(0, 8))::INT AS k) x ON x.k BETWEEN r0 AND r1 JOIN (SELECT unnest(range(0, 8))::INT AS k) y ON y.k BETWEEN c0 AND c1),
+ou AS (SELECT DISTINCT frame_id, cell, r, c FROM ca JOIN su USING (frame_id, cell) WHERE 2 * r * dy + 2 * c * dx > far)
+SELECT ca.frame_id, ca.cell, area, count(*) - count(ou.r) AS convex_area, round(area / (count(*) - count(ou.r)), 6) AS solidity FROM ca LEFT JOIN ou ON ou.frame_id = ca.frame_id AND ou.cell = ca.cell AND ou.r = ca.r AND ou.c = ca.c GROUP BY 1, 2, 3""")
 def convexity(spark, d):
     return objects.convexity(views.quadrants(spark, d)).select("frame_id", "cell", "area", "convex_area", r6("solidity").alias("solidity"))
 
@@ -437,6 +443,14 @@ def augment_pad(spark, d):
     return augment.pad(views.pixels(spark, d), 12, 12, 2, 2).select("frame_id", "r", "c", r6("v").alias("v"))
 
 
+@query(f"""{with_views('px', 'qd')}, m AS (SELECT frame_id, quantile_cont(v, 0.5) AS m FROM px GROUP BY 1), g AS (SELECT x.k AS r, y.k AS c FROM (SELECT unnest(range(0, 6))::INT AS k) x, (SELECT unnest(range(0, 9))::INT AS k) y)
+SELECT 'image' AS kind, m.frame_id, 0 AS cell, g.r, g.c, round(coalesce(v, m), 6) AS v FROM m CROSS JOIN g LEFT JOIN px ON px.frame_id = m.frame_id AND px.r - 1 = g.r AND px.c + 1 = g.c UNION ALL SELECT 'label', frame_id, cell, r - 1, c + 1, 1.0 FROM qd WHERE r BETWEEN 1 AND 6""")
+def augment_rough_crop(spark, d):
+    """Room for 3 by 5 places: 6 rows of the frame's 8, 9 columns of which the first is padded."""
+    image, labels = augment.rough_crop(views.pixels(spark, d), views.quadrants(spark, d), H, W, 3, 5)
+    return image.select(F.lit("image").alias("kind"), "frame_id", F.lit(0).alias("cell"), "r", "c", r6("v").alias("v")).union(labels.select(F.lit("label"), "frame_id", "cell", "r", "c", F.lit(1.0)))
+
+
 def _stack(spark, d):
     px = views.pixels(spark, d)
     return px.withColumn("z", F.explode(F.array(*[F.lit(k) for k in range(3)]))).select("frame_id", "z", "r", "c", (F.col("v") * (F.col("z") + 1)).alias("v"))
@@ -474,14 +488,28 @@ def augment_rotate(spark, d):
     return got.select("frame_id", "r", "c", r6("v").alias("v"))
 
 
-@query(f"""{with_views('qd')}, b AS (SELECT frame_id, 4 - (min(r) + max(r) + 1) // 2 AS dr, 4 - (min(c) + max(c) + 1) // 2 AS dc FROM qd WHERE cell = 1 GROUP BY 1)
+@query(f"""{with_views('px')}, t AS (SELECT x.k AS r, y.k AS c, (x.k - 3.5) * cos(pi() / 6) - (y.k - 3.5) * sin(pi() / 6) + 3.5 AS sy, (x.k - 3.5) * sin(pi() / 6) + (y.k - 3.5) * cos(pi() / 6) + 3.5 AS sx FROM (SELECT unnest(range(0, 8))::INT AS k) x, (SELECT unnest(range(0, 8))::INT AS k) y),
+k AS (SELECT r, c, (floor(sy)::INT + a + 16) % 16 AS ny, (floor(sx)::INT + b + 16) % 16 AS nx, abs(1 - a - (sy - floor(sy))) * abs(1 - b - (sx - floor(sx))) AS w FROM t, (VALUES (0), (1)) p(a), (VALUES (0), (1)) q(b)),
+n AS (SELECT r, c, w, least(ny, 15 - ny) AS sr, least(nx, 15 - nx) AS sc FROM k)
+SELECT frame_id, n.r, n.c, round(sum(v * w), 6) AS v FROM n JOIN px ON px.r = sr AND px.c = sc GROUP BY ALL""")
+def augment_turn(spark, d):
+    """A turn by 30 degrees, between places and beyond the border."""
+    return augment.rotate(views.pixels(spark, d).select("frame_id", "r", "c", "v"), 30.0, H, W).select("frame_id", "r", "c", r6("v").alias("v"))
+
+
+@query(f"""{with_views('qd')}, b AS (SELECT frame_id, 4 -(min(r) + max(r) + 1) // 2 AS dr, 4 - (min(c) + max(c) + 1) // 2 AS dc FROM qd WHERE cell = 1 GROUP BY 1)
 SELECT frame_id, (r + coalesce(dr, 0))::INT AS r, (c + coalesce(dc, 0))::INT AS c, round(v, 6) AS v FROM px LEFT JOIN b USING (frame_id) WHERE r + coalesce(dr, 0) BETWEEN 0 AND 7 AND c + coalesce(dc, 0) BETWEEN 0 AND 7""")
 def augment_cell_shift(spark, d):
     boxes = objects.shape_features(views.quadrants(spark, d).filter("cell = 1")).select("frame_id", "r0", "c0", "r1", "c1")
     return augment.cell_shift(views.pixels(spark, d).select("frame_id", "r", "c", "v"), boxes, H, W).select("frame_id", "r", "c", r6("v").alias("v"))
 
 
-@query()
+def _fires(step: str, chance: float) -> str:
+    return f"('0x' || substr(md5('11:{step}:' || frame_id || ':' || draw), 1, 12))::BIGINT / 281474976710656.0::DOUBLE < {chance!r}::DOUBLE"
+
+
+@query(f"""{with_views('px')}, f AS (SELECT frame_id, draw, {_fires('vflip', 0.5)} AS a, {_fires('hflip', 1 - 0.15**0.5)} AS b, {_fires('shift', 1 - 0.15**0.5)} AS s FROM (SELECT DISTINCT frame_id FROM px), (VALUES (1), (2)) v(draw))
+SELECT frame_id, draw, concat_ws(',', CASE WHEN a THEN 'vflip' END, CASE WHEN b THEN 'hflip' END, CASE WHEN s THEN 'shift' END) AS steps, count(*) AS n, round(sum(v), 6) AS total FROM f JOIN px USING (frame_id) WHERE NOT s OR CASE WHEN a THEN 7 - r ELSE r END < 7 GROUP BY 1, 2, 3""")
 def augment_frames(spark, d):
     """Two versions of each frame through three steps."""
     steps = [("vflip", 0.5, lambda p: augment.flip(p, H, W, True)), ("hflip", None, lambda p: augment.flip(p, H, W, False)), ("shift", None, lambda p: augment.shift(p, 1, 0, H, W))]

@@ -129,8 +129,8 @@ def link_rows(spark, d):
 def objects_per_split(spark, d):
     """Lines of a document as its labels, sources as splits, and one split without any."""
     docs = views.table(spark, d, "documents").filter("text is not null").select(F.col("source").alias("split"), F.split("text", "\n", -1).alias("labels"))
-    names = [r[0] for r in views.table(spark, d, "documents").select("source").distinct().filter("source is not null").collect()]
-    return evaluate.objects_per_split(docs, [*names, "none"])
+    names = views.table(spark, d, "documents").select(F.col("source").alias("split")).filter("split is not null")
+    return evaluate.objects_per_split(docs, names.union(spark.createDataFrame([("none",)], "split string")))
 
 
 @query("""WITH j AS (SELECT lang AS split, quality = 1 AS t, n_chars > 2000 AS p FROM documents JOIN labels USING (doc_id)), c AS (SELECT split, count(*) FILTER (t AND p) AS tp, count(*) FILTER (NOT t AND p) AS fp, count(*) FILTER (t AND NOT p) AS fn, count(*) FILTER (NOT t AND NOT p) AS tn FROM j GROUP BY 1),

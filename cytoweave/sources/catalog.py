@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import numbered
+
 #: Names of the splits in pair lists, with the names that older lists use.
 SPLITS = {"train": "train_data", "val": "val_data", "test": "test_data"}
 
@@ -24,13 +26,18 @@ def read_pairs(spark: SparkSession, path: str, base_dir: str = "") -> DataFrame:
     return out.select("split", place("image").alias("image"), place("label").alias("label"))
 
 
-def write_pairs(pairs: DataFrame, path: str, base_dir: str = "") -> None:
-    """One JSON object with a sorted list of pairs for each split; paths under ``base_dir`` become relative."""
+def write_pairs(pairs: DataFrame, path: str, base_dir: str = "", per_file: int = 100_000) -> None:
+    """JSON objects with a sorted list of pairs for each split; paths under ``base_dir`` become relative.
+
+    A file holds one object of at most ``per_file`` pairs, so lists of up to that
+    size are one file; ``read_pairs`` takes all files of the folder together.
+    """
     prefix = base_dir.rstrip("/") + "/" if base_dir else ""
     short = lambda c: F.when(F.col(c).startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 20)).otherwise(F.col(c))
-    rows = pairs.select("split", F.array(short("image"), short("label")).alias("p"))
-    lists = [F.array_sort(F.collect_list(F.when(F.col("split") == s, F.col("p")))).alias(s) for s in SPLITS]
-    rows.agg(*lists).coalesce(1).write.mode("overwrite").json(path)
+    rows = numbered(pairs.select("split", short("image").alias("image"), short("label").alias("label")), "split", "image", "label", name="_k")
+    part = F.floor((F.col("_k") - 1) / per_file)
+    lists = [F.array_sort(F.collect_list(F.when(F.col("split") == s, F.array("image", "label")))).alias(s) for s in SPLITS]
+    rows.groupBy(part.alias("_part")).agg(*lists).drop("_part").write.mode("overwrite").option("maxRecordsPerFile", 1).json(path)
 
 
 def joined_metadata(splits: dict[str, DataFrame], order=("experiment", "position", "trap", "tp")) -> DataFrame:
@@ -48,7 +55,8 @@ def section_table(files: DataFrame, folder: str = r"[zZ]_?([0-9]+)") -> DataFram
     name = F.element_at(parts, -1)
     z = F.regexp_extract(F.element_at(parts, -2), folder, 1)
     kept = files.select("path", z.alias("_z"), name.alias("_name")).filter("_z <> ''")
-    return kept.select("path", F.col("_z").cast("int").alias("z"), F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("_name")).alias("tp"))
+    order = numbered(kept.select("_name").distinct(), "_name", name="_tp")
+    return kept.join(order, "_name").select("path", F.col("_z").cast("int").alias("z"), F.col("_tp").cast("int").alias("tp"))
 
 
 def size_probe(meta: DataFrame) -> DataFrame:

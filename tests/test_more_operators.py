@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoweave.operators import augment, buds, evaluate, fold, growth, match, morph, norm, objects, outlines, sample, segment, sets, track, tune
+from cytoweave.operators import augment, buds, evaluate, fold, growth, match, morph, norm, objects, outlines, sample, segment, sets, tables, track, tune
 from cytoweave.sources import catalog, images
 
 MASK = "frame_id long, cell int, r int, c int"
@@ -202,6 +202,11 @@ def test_catalogues(spark, tmp_path):
     assert {tuple(x) for x in p.collect()} == {("train", "/data/a_i.png", "/data/a_l.png"), ("val", "/x/b_i.png", "/data/b_l.png")}
     catalog.write_pairs(p, str(tmp_path / "again"), "/data")
     assert {tuple(x) for x in catalog.read_pairs(spark, str(tmp_path / "again"), "/data").collect()} == {tuple(x) for x in p.collect()}
+    many = spark.createDataFrame([(k, f"/data/{i}.png", f"/y/{i}.png") for i in range(25) for k in ("train", "test")], "split string, image string, label string")
+    catalog.write_pairs(many, str(tmp_path / "parts"), "/data", per_file=7)
+    objects_written = [json.loads(f.read_text()) for f in (tmp_path / "parts").glob("*.json") if f.stat().st_size]
+    assert sorted(sum(map(len, x.values())) for x in objects_written) == [1] + [7] * 7
+    assert {tuple(x) for x in catalog.read_pairs(spark, str(tmp_path / "parts"), "/data").collect()} == {tuple(x) for x in many.collect()}
     for csv in (False, True):
         assert catalog.cached(p, str(tmp_path / f"c{csv}"), csv).count() == 2
     v = spark.createDataFrame([(1, t, 3.0 + t) for t in range(5)], "series long, tp int, vol double")
@@ -256,3 +261,32 @@ def test_small_table_operators(spark):
     assert best.sigma == 1.0
     base = tune.best_per_base(spark.createDataFrame([(0, 1, 0.3), (0, 0, 0.3), (1, 5, 0.9)], "grp int, base int, f1 double"))
     assert {(x.grp, x.base) for x in base.collect()} == {(0, 0), (1, 5)}
+
+
+def test_numbers_along_an_order(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), (F.col("id") % 3).alias("g")).repartition(5)
+    got = tables.numbered(rows, "g", "k").collect()
+    assert [(x.g, x.k) for x in sorted(got, key=lambda x: x.place)] == sorted((x.g, x.k) for x in got)
+    assert sorted(x.place for x in got) == list(range(1, 1001))
+    assert tables.numbered(rows.filter("k < 0"), "k").count() == 0
+    same = tables.numbered(spark.range(50).select(F.lit("a").alias("k"), F.lit(None).cast("int").alias("n")), "n", "k", name="no")
+    assert sorted(x.no for x in same.collect()) == list(range(1, 51))
+    files = spark.createDataFrame([(f"/d/Z{z}/img{t:03d}.png",) for z in (1, 2) for t in range(40)] + [("/d/other/x.png",)], "path string")
+    assert {(x.z, x.tp, x.path[-7:-4]) for x in catalog.section_table(files).collect()} == {(z, t + 1, f"{t:03d}") for z in (1, 2) for t in range(40)}
+
+
+def test_rough_crop_pads_and_drops_objects(spark):
+    px = spark.createDataFrame([(0, r, c, float(10 * r + c)) for r in range(5) for c in range(10)], "frame_id long, r int, c int, v double")
+    labels = mask(spark, [(1, 2, 5), (1, 2, 0), (2, 4, 9)])
+    image, left = augment.rough_crop(px, labels, 5, 10, 4, 3, margin=2.0)
+    got = {(x.r, x.c): x.v for x in image.collect()}
+    assert set(got) == {(r, c) for r in range(8) for c in range(6)}  # rows padded by 2 above and 1 below, columns from 2 on
+    assert got[(2, 0)] == 2.0 and got[(6, 5)] == 47.0 and got[(0, 0)] == got[(7, 3)] == float(np.median([10 * r + c for r in range(5) for c in range(10)]))
+    assert pixels(left) == {(0, 1, 4, 3)}
+    full, both = augment.rough_crop(px, labels, 5, 10, 5, 10, scaling=2.0, margin=2.0)
+    assert {(x.r, x.c, x.v) for x in full.collect()} == {(x.r, x.c, x.v) for x in px.collect()} and pixels(both) == pixels(labels)
+
+
+def test_units_of_volumes(spark):
+    one = spark.createDataFrame([(1, 8.0, 4.0, 2.0)], "id int, volume double, area double, major double")
+    assert norm.unit_norm(one, 2.0).first()[1:] == (1.0, 1.0, 1.0)

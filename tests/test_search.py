@@ -5,7 +5,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
-from cytoweave.operators import evaluate, segment, smooth, tune
+from cytoweave.operators import evaluate, sample, segment, smooth, tune
 
 
 def disc(y, x, q, size=40):
@@ -76,3 +76,30 @@ def test_transformations_by_hand():
     assert (quarter == m.T).all() and smooth.rim(m).sum() == 2 * 9 + 2 * 3
     assert abs((smooth.scaled(m.astype(float), 0.5) > 0.5).sum() - m.sum() / 4) < 8
     assert np.isclose(smooth.blurred(m, 1.0).sum(), m.sum(), rtol=1e-3)
+
+
+def test_bootstrap_trials_equal_gathered_resamples(spark):
+    rng = np.random.default_rng(9)
+    stats = spark.createDataFrame([(e, c, int(rng.integers(1, 20)), float(rng.random()), float(rng.random()), int(rng.integers(0, 3)), float(rng.random())) for e in range(15) for c in range(e % 5)], "example int, cell int, area int, p_edge double, containment double, assignment int, iou double")
+    truths = spark.createDataFrame([(e, 1 + e % 4) for e in range(15)], "example int, truths int")
+    g = tune.grid(spark, lower=[1, 8], upper=[15, 50], p_edge_min=[0.0, 2.0], max_containment=[0.7])
+    got = {x.param: x for x in evaluate.bootstrap_trials(stats, g, truths, 4, 3).collect()}
+    drawn = sample.draws(sample.bootstrap(truths, 4, 3, "example")).cache()
+    want = {}
+    for b in range(1, 5):
+        here = drawn.filter(F.col("boot") == b)
+        again = stats.join(here.select("example", "draw"), "example").withColumn("example", F.col("example") * 100 + F.col("draw"))
+        for x in evaluate.trial_scores(again, g, here.agg(F.sum("truths")).first()[0]).collect():
+            want.setdefault(x.param, []).append((x.precision or 0, x.recall, x.f1 or 0, x.mean_iou))
+    assert set(got) == set(want) == set(range(8))
+    for k, rows in want.items():
+        assert np.allclose([got[k].precision, got[k].recall, got[k].f1], np.mean([r[:3] for r in rows], axis=0))
+        assert np.isclose(got[k].f1_se, np.std([r[2] for r in rows]) / 2)
+        seen = [r[3] for r in rows if r[3] is not None]
+        assert (got[k].mean_iou is None) if not seen else np.isclose(got[k].mean_iou, np.mean(seen))
+    axes, start = {"lower": [1, 8], "p_edge_min": [0.0, 0.5, 2.0]}, {"lower": 1.0, "upper": 50.0, "p_edge_min": 0.0, "max_containment": 0.7}
+    for lazy in (False, True):
+        best, top = tune.joint_search(stats, truths, axes, start, lazy=lazy, n_boot=4, seed=3)
+        one = tune.grid(spark, **{k: [best[k]] for k in ("lower", "upper", "p_edge_min", "max_containment")})
+        assert np.isclose(evaluate.bootstrap_trials(stats, one, truths, 4, 3).first().f1, top)
+    assert best["p_edge_min"] < 2.0
