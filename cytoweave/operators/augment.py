@@ -6,10 +6,10 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import fold, morph
+from . import fold, morph, norm
 from .sample import draw
 from .tables import stored
 
@@ -188,3 +188,35 @@ def smooth_labels(outlines: DataFrame, h: int, w: int, a: float, b: float, c: fl
     filled = fold.in_groups(outlines.select("frame_id", "cell", "r", "c"), ["frame_id", "cell"], [], lambda pdf: morph.by_object(pdf, h, w, change), "frame_id long, cell int, r int, c int")
     filled = stored(filled)
     return filled.join(morph.edges(filled, h, w).withColumn("_e", F.lit(1)), ["frame_id", "cell", "r", "c"], "left").select("frame_id", "cell", "r", "c", F.coalesce("_e", F.lit(0)).alias("v"))
+
+
+def _uniform(seed: int, tag: str, *keys: str) -> Column:
+    """A number in (0, 1] told by a hash."""
+    return (F.conv(F.substring(draw(f"{seed}:{tag}", *[F.col(k) for k in keys]), 1, 12), 16, 10).cast("double") + 1) / float(1 << 48)
+
+
+def hist_scale(px: DataFrame, seed: int, offset: float = 0.25, sigma: float = 0.4) -> DataFrame:
+    """(v + offset) * scale, drawn for each frame.
+
+    The offset is even within ``offset`` times the range of the frame's middle 96 %
+    on either side; the scale is log-normal, held within a half and 2.
+    """
+    level = px.groupBy("frame_id").agg(F.percentile("v", F.array(F.lit(0.02), F.lit(0.98))).alias("_q"))
+    u = lambda tag: _uniform(seed, tag, "frame_id")
+    normal = F.sqrt(-2 * F.log(u("scale_a"))) * F.cos(2 * math.pi * u("scale_b"))
+    scale = F.least(F.greatest(F.exp(sigma * normal), F.lit(0.5)), F.lit(2.0))
+    move = (2 * u("offset") - 1) * offset * (F.col("_q")[1] - F.col("_q")[0])
+    return px.join(level, "frame_id").withColumn("v", (F.col("v") + move) * scale).drop("_q")
+
+
+def to_pixel_size(px: DataFrame, labels: DataFrame, h: int, w: int, px_size: float, target: float, seed: int, share: float = 0.05, chance: float = 0.5) -> tuple[DataFrame, DataFrame]:
+    """(image, labels) resized so that a pixel is ``target`` long instead of ``px_size``.
+
+    With probability ``chance`` a frame's factor is off by up to ``share`` of itself,
+    told by a hash of seed and frame, so frames come in several sizes.  labels:
+    (frame_id, cell, r, c), by nearest places.
+    """
+    off = share * (2 * _uniform(seed, "size", "frame_id") - 1)
+    factor = px_size / target * (1 + F.when(_uniform(seed, "resize", "frame_id") <= chance, off).otherwise(0.0))
+    size = lambda n: F.greatest(F.rint(n * factor), F.lit(1.0)).cast("int")
+    return norm.resize(px, h, w, size(h), size(w)), norm.resize_masks(labels, h, w, size(h), size(w))

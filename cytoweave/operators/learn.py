@@ -10,7 +10,7 @@ from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, CrossValidatorModel, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evaluate import confusion_counts, rates
@@ -64,3 +64,31 @@ def performance(scored: DataFrame, label: str, split: str = "split", threshold:
 
 def importances(model: PipelineModel, features: Sequence[str]) -> list[tuple[str, float]]:
     return sorted(zip(features, model.stages[-1].featureImportances.toArray().tolist(), strict=True), key=lambda x: -x[1])
+
+
+def grid_summary(model: CrossValidatorModel, rows: DataFrame) -> DataFrame:
+    """(params, score, sd, rank) of each point of a cross-validated grid, the best first; params: name to value.
+
+    rows: any table of the session that is to hold the summary.
+    """
+    scores = model.avgMetrics
+    sd = model.stdMetrics or [None] * len(scores)
+    order = sorted(range(len(scores)), key=lambda k: (-scores[k], k))
+    listed = [({p.name: str(v) for p, v in model.getEstimatorParamMaps()[k].items()}, float(scores[k]), None if sd[k] is None else float(sd[k]), n) for n, k in enumerate(order, 1)]
+    return rows.sparkSession.createDataFrame(listed, "params map<string,string>, score double, sd double, rank int")
+
+
+def precision_recall_curve(scored: DataFrame, label: str, keys: Sequence[str] = (), digits: int = 4) -> DataFrame:
+    """(keys, threshold, tp, n, precision, recall) of p >= threshold at every p that occurs, cut to ``digits`` decimals.
+
+    Rows are counted by threshold first, so a window holds at most 10^digits + 1
+    rows of a key.  Recall is null without any true row.  Rows with a null p are
+    never taken, but are owed if true.
+    """
+    at = F.floor(F.col("p") * 10**digits) / 10**digits
+    counts = scored.groupBy(*keys, at.alias("threshold")).agg(F.count("*").alias("_n"), F.sum((F.coalesce(F.col(label).cast("double"), F.lit(0.0)) == 1).cast("long")).alias("_t"))
+    down = Window.partitionBy(*keys).orderBy(F.desc_nulls_last("threshold")).rowsBetween(Window.unboundedPreceding, 0)
+    tp, n = F.sum("_t").over(down), F.sum("_n").over(down)
+    owed = F.sum("_t").over(Window.partitionBy(*keys))
+    curve = counts.select(*keys, "threshold", tp.alias("tp"), n.alias("n"), (tp / n).alias("precision"), F.try_divide(tp, owed).alias("recall"))
+    return curve.filter(F.col("threshold").isNotNull())

@@ -141,3 +141,42 @@ def resample(px: DataFrame, height: int, width: int, factor: float) -> DataFrame
     return src.join(F.broadcast(taps), ["sr", "sc"]).groupBy("frame_id", "r", "c").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
 
 
+Size = int | Column
+
+
+def _taps(place: str, n: int, size: Column) -> Column:
+    """Target places in whose bilinear value a place of ``n`` weighs, and how much."""
+    scale, p = size / F.lit(float(n)), F.col(place)
+    first = F.greatest(F.floor((p - 0.5) * scale - 0.5), F.lit(0)).cast("int")
+    last = F.least(F.ceil((p + 1.5) * scale - 0.5), size - 1).cast("int")
+    weight = lambda k: 1 - F.abs(F.least(F.greatest((k + 0.5) / scale - 0.5, F.lit(0.0)), F.lit(float(n - 1))) - p)
+    return F.filter(F.transform(F.sequence(first, last), lambda k: F.struct(k.alias("at"), weight(k).alias("k"))), lambda t: t["k"] > 0)
+
+
+def resize(px: DataFrame, h: int, w: int, height: Size, width: Size) -> DataFrame:
+    """(frame_id, r, c, v): frames of h by w places with ``height`` by ``width``, by bilinear weights of places' middles.
+
+    The new size may be a column, so each frame has its own.  A pixel is dealt to
+    the target places that it weighs in, so nothing is joined.
+    """
+    to = px.withColumns({"_h": F.lit(height) if isinstance(height, int) else height, "_w": F.lit(width) if isinstance(width, int) else width})
+    rows = to.withColumn("_r", F.explode(_taps("r", h, F.col("_h")))).withColumn("_c", F.explode(_taps("c", w, F.col("_w"))))
+    return rows.groupBy("frame_id", F.col("_r.at").alias("r"), F.col("_c.at").alias("c")).agg(F.sum(F.col("v") * F.col("_r.k") * F.col("_c.k")).alias("v"))
+
+
+def _readers(place: str, n: int, size: Column) -> Column:
+    """Target places whose middle falls into a place of ``n``; null without any."""
+    first, end = (F.ceil((F.col(place) + k) * size / F.lit(float(n)) - 0.5) for k in (0, 1))
+    return F.when(end > first, F.sequence(first.cast("int"), (end - 1).cast("int")))
+
+
+def resize_masks(mask: DataFrame, h: int, w: int, height: Size, width: Size) -> DataFrame:
+    """Masks of h by w places with ``height`` by ``width`` (numbers or columns): each target place is that which holds its middle."""
+    to = mask.withColumns({"_h": F.lit(height) if isinstance(height, int) else height, "_w": F.lit(width) if isinstance(width, int) else width})
+    rows = to.withColumn("_r", F.explode(_readers("r", h, F.col("_h")))).withColumn("_c", F.explode(_readers("c", w, F.col("_w"))))
+    return rows.withColumn("r", F.col("_r")).withColumn("c", F.col("_c")).drop("_h", "_w", "_r", "_c")
+
+
+def to_units(table: DataFrame, powers: dict[str, int], px_size: float) -> DataFrame:
+    """Columns measured in pixels to the power given, in units of which a pixel is ``px_size`` long."""
+    return table.withColumns({name: F.col(name) * px_size**k for name, k in powers.items()})

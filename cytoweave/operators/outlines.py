@@ -296,3 +296,13 @@ def ellipse(features: DataFrame, points: int = 64) -> DataFrame:
     r = F.rint(F.col("centroid_r") + a * F.cos("orientation") - b * F.sin("orientation"))
     c = F.rint(F.col("centroid_c") + a * F.sin("orientation") + b * F.cos("orientation"))
     return features.withColumn("_t", t).select("frame_id", "cell", r.cast("int").alias("r"), c.cast("int").alias("c")).distinct()
+
+
+def redraw(outlines: DataFrame, factor: float, h: int, w: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, masks) of outlines in a frame ``factor`` times as large, h by w: drawn anew and filled.
+
+    outlines: (frame_id, cell, centre_r, centre_c, radii, angles).
+    """
+    large = outlines.withColumns({"centre_r": F.col("centre_r") * factor, "centre_c": F.col("centre_c") * factor, "radii": F.transform("radii", lambda x: x * factor)})
+    drawn = rasterise(large, h, w).select("frame_id", "cell", "r", "c")
+    return drawn, morph.fill_holes(drawn, h, w)

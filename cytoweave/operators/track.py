@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import fold
+from . import fold, morph, objects
 from .match import assign
 from .tables import stored
 
@@ -134,6 +134,16 @@ def track(objects: DataFrame, features: Sequence[str] = ("x", "y"), scale: Seque
     return fold.deal(rows, ["series"], ["tp", "cell"]).mapInPandas(step, "series long, tp int, cell int, label int")
 
 
+def label_masks(masks: DataFrame, frames: DataFrame, h: int, w: int, features: Sequence[str] = ("area", "centroid_r", "centroid_c"), scale: Sequence[float] = (10.0, 3.0, 3.0), depth: int = 3, threshold: float = 0.5) -> DataFrame:
+    """(series, tp, cell, label) of stored masks: holes filled, shapes measured, series tracked.
+
+    masks: (frame_id, cell, r, c); frames: (frame_id, series, tp).  Features are
+    columns of ``objects.shape_features``.
+    """
+    shapes = objects.shape_features(morph.fill_holes(masks, h, w))
+    return track(shapes.join(frames.select("frame_id", "series", "tp"), "frame_id"), features, scale, depth, threshold)
+
+
 def balance(prev: Sequence[float], now: Sequence[float], growth: float = 0.1, tolerance: float = 20.0) -> list[tuple[int, int, int, int]]:
     """Runs of ``prev`` and ``now`` (start, end, start, end) whose totals balance after growth, in order.
 

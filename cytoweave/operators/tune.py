@@ -7,7 +7,7 @@ import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import match, morph, norm, objects, segment
@@ -236,7 +236,7 @@ def best_split(costs: DataFrame) -> DataFrame:
     return costs.agg(F.min(F.struct("cost", "t")).alias("b")).select("b.t", "b.cost")
 
 
-def best_level(sizes: DataFrame, smallest: int = 1, median_share: float = 0.0) -> DataFrame:
+def best_level(sizes: DataFrame, smallest: float = 1, median_share: float = 0.0) -> DataFrame:
     """(level): the deepest erosion at which every object keeps ``smallest`` pixels and the median ``median_share`` of its first value; 0 if none.
 
     sizes: (cell, e, n) for the levels e = 0, 1, ...
@@ -282,7 +282,69 @@ def overlap_threshold(pairs: DataFrame, thresholds: DataFrame, padding: float) -
     return pairs.crossJoin(t).groupBy("t").agg(F.round(F.sum(F.when(same, F.col("frac")).otherwise(0.0)), 6).alias("cost"))
 
 
-def erosion_level(sizes: DataFrame, smallest: int = 1) -> DataFrame:
+def erosion_level(sizes: DataFrame, smallest: float = 1) -> DataFrame:
     """(e, least, median, keeps) of each erosion level: whether every object keeps ``smallest`` pixels; sizes: (cell, e, n)."""
     ok = sizes.groupBy("e").agg(F.min("n").alias("least"), F.percentile("n", 0.5).alias("median"))
     return ok.withColumn("keeps", F.col("least") >= smallest)
+
+
+def size_groups(pairs: DataFrame, sizes: DataFrame, bins: int = 30, least: float = 10, median_share: float = 0.0, padding: float = 0.03, root: bool = False, bud_limit: int | None = None) -> DataFrame:
+    """(grp, lower, upper, erosions, budonly): three groups by size, cut where objects of a group overlap least.
+
+    pairs: (e, area_lo, area_hi, frac), overlapping pairs at erosion levels e = 0, 1,
+    ...; sizes: (cell, e, n).  A first cut of ``bins`` - 2 trials over all sizes, then
+    one of ``bins`` trials within the side that overlaps more.  Each looks at the
+    deepest erosion at which every object keeps ``least`` pixels and the median
+    ``median_share`` of its first value.  Groups reach beyond a cut by ``padding``
+    times the largest size, or by ``least``.  ``erosions`` is the deepest level that
+    leaves each object of the group ``least`` pixels.  ``root`` looks at roots of
+    areas; ``bud_limit`` adds a group of buds up to that size.  Of equal trials the
+    first counts; a null bound is none.
+    """
+    if not 0 <= padding <= 0.25:
+        raise ValueError("padding must be between 0 and 0.25")
+    measure = F.sqrt if root else lambda c: F.col(c).cast("double")
+    least = math.sqrt(least) if root else float(least)
+    pairs = stored(pairs.select("e", measure("area_lo").alias("area_lo"), measure("area_hi").alias("area_hi"), "frac"))
+    whole = F.max(F.when(F.col("e") == 0, F.col("n"))).over(Window.partitionBy("cell"))
+    sizes = stored(sizes.select("cell", "e", measure("n").alias("n")).withColumn("n0", whole))
+    top = pairs.filter("e = 0").agg(F.max("area_hi")).first()[0]
+    if top is None:
+        raise ValueError("no objects overlap")
+    pad, spark = max(padding * top, least), pairs.sparkSession
+
+    def below(t: float, c: str) -> Column:
+        return F.col(c) < t + pad
+
+    def above(t: float, c: str) -> Column:
+        return F.col(c) >= t - pad
+
+    def at_depth(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
+        return pairs.filter(F.col("e") == best_level(sizes, least, median_share).first()[0])
+
+    def cut(pairs: DataFrame, trials: np.ndarray) -> tuple[float, float, float]:
+        """Trial of the least sum of overlaps on both sides, and the two sums."""
+        t = spark.createDataFrame([(k, float(x)) for k, x in enumerate(trials)], "k int, t double")
+        side = lambda on: F.round(F.coalesce(F.sum(F.when(on, F.col("frac"))), F.lit(0.0)), 9)
+        low, high = side(F.col("area_hi") < F.col("t") + pad), side(F.col("area_lo") >= F.col("t") - pad)
+        sums = F.broadcast(t).join(pairs, how="left").groupBy("k", "t").agg(low.alias("low"), high.alias("high"))
+        best = sums.agg(F.min(F.struct(F.round(F.col("low") + F.col("high"), 9), "k", "t", "low", "high")).alias("b")).first()["b"]
+        return best["t"], best["low"], best["high"]
+
+    first, low, high = cut(at_depth(pairs, sizes), np.linspace(pad, top - pad, bins)[1:-1])
+    sides = [at_depth(pairs.filter(below(first, "area_hi")), sizes.filter(below(first, "n0"))), at_depth(pairs.filter(above(first, "area_lo")), sizes.filter(above(first, "n0")))]
+    held = [round(x.agg(F.sum("frac")).first()[0] or 0.0, 9) for x in sides]
+    if held[0] == held[1]:
+        held = [low, high]
+    trials = np.linspace(pad, first - pad, bins) if held[0] > held[1] else np.linspace(first + pad, top, bins)
+    one, two = sorted([first, cut(sides[0] if held[0] > held[1] else sides[1], trials)[0]])
+    area = lambda x: round(x * x if root else x)
+    level = lambda on: best_level(sizes.filter(on), least).first()[0]
+    groups = [
+        ("small", None, area(one + pad), level(below(one, "n0")), False),
+        ("medium", area(one - pad), area(two + pad), level(above(one, "n0") & below(two, "n0")), False),
+        ("large", area(two - pad), None, level(above(one, "n0") & above(two, "n0")), False),
+    ]
+    if bud_limit is not None:
+        groups.append(("buds", None, bud_limit, 0, True))
+    return spark.createDataFrame(groups, "grp string, lower int, upper int, erosions int, budonly boolean")

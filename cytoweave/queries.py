@@ -618,7 +618,7 @@ def link_classifier(spark, d):
     return learn.performance(learn.probabilities(model, rows, names), "same").select("split", "tp", "fp", "fn", "tn", r6("balanced").alias("balanced"))
 
 
-from . import queries_cells, queries_sql, queries_tables  # noqa: E402, F401  (they register their own)
+from . import queries_cells, queries_scale, queries_sql, queries_tables  # noqa: E402, F401  (they register their own)
 
 
 def queries() -> dict[str, Query]:

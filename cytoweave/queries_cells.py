@@ -517,6 +517,11 @@ def augment_frames(spark, d):
     return done.groupBy("frame_id", "draw", F.array_join("steps", ",").alias("steps")).agg(F.count("*").alias("n"), r6(F.sum("v")).alias("total"))
 
 
-@query()
+@query(f"""{with_views('qd')}, {_GRID}, ed AS ({_edges('qd')}), o AS (SELECT frame_id, cell, ln(greatest((count(*) - 1) / 2, 1)) / 1.5 AS s FROM ed GROUP BY 1, 2), bg AS (SELECT frame_id, cell, r, c FROM o, gr EXCEPT SELECT frame_id, cell, r, c FROM ed),
+fl AS (SELECT frame_id, cell, r, c FROM bg WHERE r IN (0, 7) OR c IN (0, 7) UNION SELECT bg.frame_id, bg.cell, bg.r, bg.c FROM fl JOIN bg ON bg.frame_id = fl.frame_id AND bg.cell = fl.cell AND abs(bg.r - fl.r) + abs(bg.c - fl.c) = 1),
+fi AS (SELECT frame_id, cell, r, c, s FROM o, gr ANTI JOIN fl ON fl.frame_id = o.frame_id AND fl.cell = o.cell AND fl.r = gr.r AND fl.c = gr.c),
+sm AS (SELECT frame_id, cell, gr.r, gr.c, sum(CASE WHEN s > 0 THEN exp(-0.5 * ((gr.r - fi.r) ** 2 + (gr.c - fi.c) ** 2) / s ** 2) ELSE (gr.r = fi.r AND gr.c = fi.c)::INT END) AS v FROM fi, gr GROUP BY ALL),
+ne AS MATERIALIZED (SELECT frame_id, cell, r, c FROM sm QUALIFY v > 0.5 * max(v) OVER (PARTITION BY frame_id, cell)), nd AS ({_edges('ne')})
+SELECT ne.*, (nd.r IS NOT NULL)::INT AS v FROM ne LEFT JOIN nd USING (frame_id, cell, r, c)""")
 def smooth_labels(spark, d):
     return augment.smooth_labels(morph.edges(views.quadrants(spark, d), H, W), H, W, 2.0, 1.5, 1.0)
