@@ -559,7 +559,24 @@ def bootstrap_trials(spark, d):
     return s.select("param", *[r6(x).alias(x) for x in ("precision", "recall", "f1", "mean_iou", "f1_se")])
 
 
-@query()
+def _walk(axes: list[tuple[str, str]]) -> str:
+    """Steps w0, w1, ... of a search by one axis after the other, each from the best so far."""
+    names, out = ("lower", "upper", "p_edge_min", "max_containment"), []
+    for k, (axis, values) in enumerate(axes):
+        trial = ", ".join("v AS " + x if x == axis else x for x in names)
+        out.append(f"a{k} AS (SELECT i, {trial} FROM w{k}, (VALUES {values}) x(i, v))")
+        out.append(f"n{k} AS (SELECT i, {', '.join('a.' + x for x in names)}, count(t.cell) AS n, count(DISTINCT CASE WHEN iou >= 0.5 THEN {{'e': example, 'a': assignment}} END) AS tp FROM a{k} a LEFT JOIN t ON area BETWEEN lower AND upper AND t.p_edge >= p_edge_min AND t.containment <= max_containment GROUP BY ALL)")
+        out.append(f"m{k} AS (SELECT *, coalesce(2 * (tp / n) * (tp / 1000) / nullif(tp / n + tp / 1000, 0), -1) AS f FROM n{k} ORDER BY f DESC, i LIMIT 1)")
+        out.append(f"w{k + 1} AS (SELECT {', '.join(f'CASE WHEN f > top THEN m.{x} ELSE w.{x} END AS {x}' for x in names)}, greatest(f, top) AS top FROM w{k} w, m{k} m)")
+    return ", ".join(out)
+
+
+_AXES = [("lower", "(0, 1.0), (1, 3.0), (2, 6.0), (3, 9.0)"), ("p_edge_min", "(0, 0.0), (1, 0.08), (2, 0.1)"), ("max_containment", "(0, 0.2), (1, 0.5), (2, 1.0)")]
+_OBJECTS = _STAT[: _STAT.index(",\ng AS")].replace("t AS (SELECT s.frame_id", "t AS MATERIALIZED (SELECT s.frame_id")
+
+
+@query(f"""{with_views('qd')}, {_OBJECTS}, w0 AS (SELECT 1.0::DOUBLE AS lower, 25.0::DOUBLE AS upper, 0.0::DOUBLE AS p_edge_min, 1.0::DOUBLE AS max_containment, -1.0::DOUBLE AS top), {_walk(_AXES * 2)}
+SELECT lower, upper, p_edge_min, max_containment, round(top, 6) AS f1 FROM w6""")
 def coord_search(spark, d):
     stats = _stats(spark, d)
     best, top = tune.coordinate_search(stats, 1000, {"lower": [1, 3, 6, 9], "p_edge_min": [0.0, 0.08, 0.1], "max_containment": [0.2, 0.5, 1.0]}, {"lower": 1.0, "upper": 25.0, "p_edge_min": 0.0, "max_containment": 1.0}, rounds=2)
