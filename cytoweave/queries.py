@@ -566,7 +566,7 @@ def _walk(axes: list[tuple[str, str]]) -> str:
         trial = ", ".join("v AS " + x if x == axis else x for x in names)
         out.append(f"a{k} AS (SELECT i, {trial} FROM w{k}, (VALUES {values}) x(i, v))")
         out.append(f"n{k} AS (SELECT i, {', '.join('a.' + x for x in names)}, count(t.cell) AS n, count(DISTINCT CASE WHEN iou >= 0.5 THEN {{'e': example, 'a': assignment}} END) AS tp FROM a{k} a LEFT JOIN t ON area BETWEEN lower AND upper AND t.p_edge >= p_edge_min AND t.containment <= max_containment GROUP BY ALL)")
-        out.append(f"m{k} AS (SELECT *, coalesce(2 * (tp / n) * (tp / 1000) / nullif(tp / n + tp / 1000, 0), -1) AS f FROM n{k} ORDER BY f DESC, i LIMIT 1)")
+        out.append(f"m{k} AS (SELECT *, coalesce(2 * (tp / nullif(n, 0)) * (tp / 1000) / nullif(tp / nullif(n, 0) + tp / 1000, 0), -1) AS f FROM n{k} ORDER BY f DESC, i LIMIT 1)")
         out.append(f"w{k + 1} AS (SELECT {', '.join(f'CASE WHEN f > top THEN m.{x} ELSE w.{x} END AS {x}' for x in names)}, greatest(f, top) AS top FROM w{k} w, m{k} m)")
     return ", ".join(out)
 
