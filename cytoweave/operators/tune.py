@@ -217,6 +217,27 @@ def best_per_base(scores: DataFrame, score: str = "f1") -> DataFrame:
     return scores.groupBy("grp").agg(F.max_by("base", F.struct(F.col(score), -F.col("base"))).alias("base"))
 
 
+def size_overlaps(rows: DataFrame, place: Sequence[str]) -> DataFrame:
+    """(area_lo, area_hi, frac): overlaps of all pairs of objects by their sizes; rows (cell, place), each once.
+
+    A pair's overlap by its smaller size is a sum over the places that it shares, so
+    for sums of it no pair is counted: a place tells how many of its objects have
+    each size, and each two sizes of a place make a row.
+    """
+    sizes = rows.groupBy("cell").agg(F.count("*").alias("_a"))
+    here = rows.dropna(subset=list(place)).join(sizes, "cell").groupBy(*place, "_a").agg(F.count("*").alias("_k"))
+    small, large = here.withColumnsRenamed({"_a": "area_lo", "_k": "_l"}), here.withColumnsRenamed({"_a": "area_hi", "_k": "_h"})
+    met = small.join(large, list(place)).filter("area_lo <= area_hi")
+    n = F.when(F.col("area_lo") < F.col("area_hi"), F.col("_l") * F.col("_h")).otherwise(F.col("_l") * (F.col("_l") - 1) / 2)
+    return met.select("area_lo", "area_hi", (n / F.col("area_lo")).alias("frac"))
+
+
+def _by_size(pairs: DataFrame, thresholds: DataFrame, padding: float) -> DataFrame:
+    """Pairs summed by the smaller size and by the thresholds that the larger one lies below, before these are tried."""
+    below = sum((F.coalesce(F.col("area_hi") < float(x["t"]) + padding, F.lit(False)).cast("int") for x in thresholds.dropna().select("t").distinct().collect()), F.lit(0))
+    return pairs.groupBy("area_lo", below.alias("_below")).agg(F.min("area_hi").alias("area_hi"), F.sum("frac").alias("frac"))
+
+
 def two_cuts(pairs: DataFrame, thresholds: DataFrame, padding: float) -> DataFrame:
     """(lower_cut, upper_cut, cost): the two size thresholds that leave least overlap within three groups.
 
@@ -279,7 +300,7 @@ def overlap_threshold(pairs: DataFrame, thresholds: DataFrame, padding: float) -
     """
     t = F.broadcast(thresholds)
     same = (F.col("area_hi") < F.col("t") + padding) | (F.col("area_lo") >= F.col("t") - padding)
-    return pairs.crossJoin(t).groupBy("t").agg(F.round(F.sum(F.when(same, F.col("frac")).otherwise(0.0)), 6).alias("cost"))
+    return _by_size(pairs, thresholds, padding).crossJoin(t).groupBy("t").agg(F.round(F.sum(F.when(same, F.col("frac")).otherwise(0.0)), 6).alias("cost"))
 
 
 def erosion_level(sizes: DataFrame, smallest: float = 1) -> DataFrame:

@@ -226,9 +226,7 @@ _SPLIT = f"{with_views('st')}, n AS (SELECT a.obj AS ta, b.obj AS tb, count(*) A
 
 def _overlaps(spark, d):
     s = views.sets(spark, d).select(F.col("obj").alias("cell"), "px")
-    p = match.intersections(s, s, ["px"], (), ordered=True)
-    lo = F.least("area_a", "area_b")
-    return p.select(lo.alias("area_lo"), F.greatest("area_a", "area_b").alias("area_hi"), (F.col("n") / lo).alias("frac"))
+    return tune.size_overlaps(s, ["px"])
 
 
 def _thresholds(spark, low: int, high: int, step: int):

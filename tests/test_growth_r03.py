@@ -5,8 +5,9 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from cytoweave.operators import match
+from cytoweave.operators import match, tune
 
 
 def shared(rows):
@@ -36,3 +37,18 @@ def test_pairs_of_a_table_with_itself(spark, monkeypatch, block, meetings):
     area = collections.Counter(c for c, _ in rows)
     assert got == {(a, b): (n, area[a], area[b]) for (a, b), n in shared(rows).items()}
     assert not match.intersections(df.limit(0), df.limit(0), ["px"], (), ordered=True).collect()
+
+
+def test_overlaps_by_size_need_no_pairs(spark):
+    rows = sets(spark)
+    area = collections.Counter(c for c, _ in rows)
+    want = collections.Counter()
+    for (a, b), n in shared(rows).items():
+        want[min(area[a], area[b]), max(area[a], area[b])] += n / min(area[a], area[b])
+    by_size = tune.size_overlaps(spark.createDataFrame(rows, "cell int, px int"), ["px"])
+    got = {(x.area_lo, x.area_hi): x.frac for x in by_size.groupBy("area_lo", "area_hi").agg(F.sum("frac").alias("frac")).collect() if x.frac}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    t = [3.0, 5.0, 6.0, 9.0]
+    cost = {x: round(sum(f for (lo, hi), f in want.items() if hi < x + 1 or lo >= x - 1), 6) for x in t}
+    tried = tune.overlap_threshold(by_size, spark.createDataFrame([(x,) for x in t], "t double"), 1)
+    assert {x.t: x.cost for x in tried.collect()} == pytest.approx(cost, abs=2e-6)
