@@ -248,7 +248,7 @@ def two_cuts(pairs: DataFrame, thresholds: DataFrame, padding: float) -> DataFra
     t = thresholds.alias("a").join(thresholds.alias("b"), F.col("a.t") < F.col("b.t")).select(F.col("a.t").alias("lower_cut"), F.col("b.t").alias("upper_cut"))
     lo, hi, a, b = F.col("area_lo"), F.col("area_hi"), F.col("lower_cut"), F.col("upper_cut")
     times = (hi < a + padding).cast("int") + ((lo >= a - padding) & (hi < b + padding)).cast("int") + (lo >= b - padding).cast("int")
-    cost = pairs.crossJoin(F.broadcast(t)).groupBy("lower_cut", "upper_cut").agg(F.round(F.sum(F.col("frac") * times), 6).alias("cost"))
+    cost = _by_size(pairs, thresholds, padding).crossJoin(F.broadcast(t)).groupBy("lower_cut", "upper_cut").agg(F.round(F.sum(F.col("frac") * times), 6).alias("cost"))
     return cost.agg(F.min(F.struct("cost", "lower_cut", "upper_cut")).alias("b")).select("b.lower_cut", "b.upper_cut", "b.cost")
 
 
