@@ -588,10 +588,7 @@ p AS (SELECT least(x.area, y.area) AS lo, greatest(x.area, y.area) AS hi, n / le
 SELECT t::DOUBLE AS t, round(sum(CASE WHEN hi < t + 5 OR lo >= t - 5 THEN frac ELSE 0 END), 6) AS cost FROM p, range(400, 800, 20) g(t) GROUP BY 1""")
 def threshold_split_search(spark, d):
     s = views.sets(spark, d).select(F.col("obj").alias("cell"), "px")
-    p = match.intersections(s, s, ["px"], (), ordered=True)
-    lo = F.least("area_a", "area_b")
-    pairs = p.select(lo.alias("area_lo"), F.greatest("area_a", "area_b").alias("area_hi"), (F.col("n") / lo).alias("frac"))
-    return tune.overlap_threshold(pairs, spark.range(400, 800, 20).select(F.col("id").cast("double").alias("t")), 5)
+    return tune.overlap_threshold(tune.size_overlaps(s, ["px"]), spark.range(400, 800, 20).select(F.col("id").cast("double").alias("t")), 5)
 
 
 @query(f"""{with_views('mk')}, e1 AS ({_ERODE.format('mk')}), e2 AS ({_ERODE.format('e1')}), f AS (SELECT DISTINCT frame_id FROM mk),
