@@ -19,11 +19,9 @@ from .track import candidate_pairs
 
 def link_rows(objects: DataFrame, features: Sequence[str] = ("x", "y"), truth: str = "label") -> DataFrame:
     """Pairs of objects of consecutive frames: differences of features and whether they are one object."""
-    pairs = candidate_pairs(objects, features, 1)
-    now = objects.select("series", "tp", "cell", F.col(truth).alias("_now"))
-    before = objects.select("series", F.col("tp").alias("prev_tp"), F.col("cell").alias("prev_cell"), F.col(truth).alias("_before"))
-    met = pairs.join(now, ["series", "tp", "cell"]).join(before, ["series", "prev_tp", "prev_cell"])
-    return met.withColumn("same", (F.col("_now") == F.col("_before")).cast("double")).drop("_now", "_before")
+    told = objects.withColumn("_truth", F.col(truth)).dropna(subset=["tp", "cell"])
+    met = candidate_pairs(told, features, 1, ["_truth"])
+    return met.withColumn("same", (F.col("_truth") == F.col("prev__truth")).cast("double")).drop("_truth", "prev__truth")
 
 
 def with_balance(rows: DataFrame, label: str) -> DataFrame:

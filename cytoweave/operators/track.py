@@ -20,17 +20,19 @@ def with_steps(objects: DataFrame) -> DataFrame:
     return objects.withColumn("step", F.dense_rank().over(Window.partitionBy("series").orderBy("tp")))
 
 
-def candidate_pairs(objects: DataFrame, features: Sequence[str] = ("x", "y"), depth: int = 3) -> DataFrame:
+def candidate_pairs(objects: DataFrame, features: Sequence[str] = ("x", "y"), depth: int = 3, carry: Sequence[str] = ()) -> DataFrame:
     """Every object with every object of the ``depth`` steps before: differences of features.
 
+    Columns to ``carry`` come along from both, those of the earlier object as prev_*.
+
     An object is sent to the steps ahead that look back at it, so the join is an
     equality on (series, step) and needs no range condition.
     """
     o = with_steps(objects)
-    ahead = o.select("series", F.col("step").alias("_s"), F.col("tp").alias("prev_tp"), F.col("cell").alias("prev_cell"), *[F.col(f).alias(f"_{f}") for f in features], F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("back"))
+    ahead = o.select("series", F.col("step").alias("_s"), F.col("tp").alias("prev_tp"), F.col("cell").alias("prev_cell"), *[F.col(f).alias(f"_{f}") for f in features], *[F.col(c).alias(f"prev_{c}") for c in carry], F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("back"))
     ahead = ahead.withColumn("step", F.col("_s") + F.col("back"))
     diff = [(F.col(f"_{f}") - F.col(f)).alias(f"d_{f}") for f in features]
-    return o.join(ahead, ["series", "step"]).select("series", "tp", "step", "cell", "back", "prev_tp", "prev_cell", *diff)
+    return o.join(ahead, ["series", "step"]).select("series", "tp", "step", "cell", "back", "prev_tp", "prev_cell", *diff, *[x for c in carry for x in (c, f"prev_{c}")])
 
 
 def pair_distance(dx: str = "d_x", dy: str = "d_y") -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .operators import augment, evaluate, growth, learn, match, morph, norm, objects, outlines, sample, segment, tiles, track, tune
+from .operators.tables import stored
 from .registry import QUERIES, SQL, Query, query, r6
 from .sources import images, views
 from .sources.views import with_views
@@ -627,7 +628,8 @@ def _link_rows(spark, d):
 
 @query()
 def link_classifier(spark, d):
-    rows, names = _link_rows(spark, d), ["d_x", "d_y", "gap"]
+    names = ["d_x", "d_y", "gap"]
+    rows = stored(_link_rows(spark, d).select("split", "same", *names))  # the fit reads them many times
     model = learn.forest(names, "same", 10, 4).fit(learn.with_balance(rows.filter("split = 'train'"), "same"))
     return learn.performance(learn.probabilities(model, rows, names), "same").select("split", "tp", "fp", "fn", "tn", r6("balanced").alias("balanced"))
 

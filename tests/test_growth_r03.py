@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cytoweave.operators import match, tune
+from cytoweave.operators import learn, match, tune
 
 
 def shared(rows):
@@ -52,3 +52,22 @@ def test_overlaps_by_size_need_no_pairs(spark):
     cost = {x: round(sum(f for (lo, hi), f in want.items() if hi < x + 1 or lo >= x - 1), 6) for x in t}
     tried = tune.overlap_threshold(by_size, spark.createDataFrame([(x,) for x in t], "t double"), 1)
     assert {x.t: x.cost for x in tried.collect()} == pytest.approx(cost, abs=2e-6)
+
+
+def counted(spark, df):
+    """``df`` and a counter of how often one of its rows is made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    return df.mapInPandas(run, df.schema), made
+
+
+def test_links_need_one_join(spark):
+    rows = [(1, t, c, float(c), 0.0, (t + c) % 2) for t in range(3) for c in range(2)] + [(1, 3, None, 0.0, 0.0, 1)]
+    found = learn.link_rows(spark.createDataFrame(rows, "series long, tp int, cell int, x double, y double, label int"))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    assert sorted((x.tp, x.cell, x.prev_tp, x.prev_cell, x.same) for x in found.collect()) == [(t, c, t - 1, p, float((t + c) % 2 == (t - 1 + p) % 2)) for t in (1, 2) for c in (0, 1) for p in (0, 1)]
