@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import learn, objects, track
+from .tables import stored
 
 FEATURES = ("p_bud", "size_ratio", "neck_mean", "neck_ratio", "adjacency")
 
@@ -102,8 +103,8 @@ def frame_step(cells: DataFrame, pairs: DataFrame, features: Sequence[str] = ("x
     cells: (series, tp, cell, features); pairs: (series, tp, mother, bud, p) by
     cell of the frame.  0: no mother yet.
     """
-    labelled = track.track(cells, features, scale, depth, threshold)
+    labelled = stored(track.track(cells, features, scale, depth, threshold))
     name = lambda c: labelled.select("series", "tp", F.col("cell").alias(c), F.col("label").alias(f"_{c}"))
-    by_label = pairs.join(name("mother"), ["series", "tp", "mother"]).join(name("bud"), ["series", "tp", "bud"]).select("series", "tp", F.col("_mother").alias("mother"), F.col("_bud").alias("bud"), "p")
+    by_label = stored(pairs.join(name("mother"), ["series", "tp", "mother"]).join(name("bud"), ["series", "tp", "bud"]).select("series", "tp", F.col("_mother").alias("mother"), F.col("_bud").alias("bud"), "p"))
     mothers = track.assign_mothers(by_label, labelled.select("series", "tp", "label").distinct(), min_budness, min_lifetime)
     return labelled.join(mothers, ["series", "tp", "label"]).select("series", "tp", "cell", "label", "mother")
