@@ -71,3 +71,11 @@ def test_links_need_one_join(spark):
     found = learn.link_rows(spark.createDataFrame(rows, "series long, tp int, cell int, x double, y double, label int"))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
     assert sorted((x.tp, x.cell, x.prev_tp, x.prev_cell, x.same) for x in found.collect()) == [(t, c, t - 1, p, float((t + c) % 2 == (t - 1 + p) % 2)) for t in (1, 2) for c in (0, 1) for p in (0, 1)]
+
+
+def test_search_makes_its_table_once(spark):
+    rows = [(e, c, float(3 + 2 * c), 0.1 * c, 0.0, c, 0.4 + 0.1 * c) for e in range(5) for c in range(4)]
+    stats, made = counted(spark, spark.createDataFrame(rows, "example int, cell int, area double, p_edge double, containment double, assignment int, iou double"))
+    best, top = tune.coordinate_search(stats, 10, {"lower": [1, 6], "p_edge_min": [0.0, 0.2]}, {"lower": 1.0, "upper": 50.0, "p_edge_min": 0.0, "max_containment": 1.0})
+    assert made.value == len(rows)
+    assert (best["lower"], best["p_edge_min"]) == (1.0, 0.0) and abs(top - 1.0) < 1e-12  # 15 hits of 20 objects, 10 owed
