@@ -7,6 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from .operators import augment, buds, evaluate, learn, match, morph, norm, objects, outlines, segment
+from .operators.tables import stored
 from .registry import query, r6
 from .sources import views
 from .sources.views import with_views
@@ -421,6 +422,7 @@ def bud_classifier(spark, d):
     """Forest on pair features; frames are dealt to splits by number."""
     rows = buds.bud_table(_pair_features(spark, d), buds.truth_pairs(_labelled(spark, d)))
     rows = rows.withColumn("split", F.when(F.col("frame_id") % 5 < 3, "train").when(F.col("frame_id") % 5 == 3, "validation").otherwise("test"))
+    rows = stored(rows.select("split", "is_pair", *buds.FEATURES))  # the fit reads them many times
     model = learn.forest(buds.FEATURES, "is_pair", 20, 5).fit(learn.with_balance(rows.filter("split = 'validation'"), "is_pair"))
     scored = learn.probabilities(model, rows, buds.FEATURES)
     return evaluate.metrics(scored, F.col("is_pair") == 1, F.col("p") > 0.5).select("split", *[r6(x).alias(x) for x in ("accuracy", "balanced", "precision", "recall", "f1", "f05", "f2")])
