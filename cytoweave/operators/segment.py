@@ -49,6 +49,7 @@ def segment_group(preds: DataFrame, p: GroupParams, h: int, w: int) -> DataFrame
         cells = morph.open_(cells, h, w, p.opening)
     if p.grow:
         cells = morph.dilate(cells, h, w, p.grow)
+    cells = stored(cells)
     kept = objects.area_filter(objects.areas(cells), p.lower, p.upper).select("frame_id", "cell")
     if edge is not None and p.edge_min is not None:
         scores = objects.edge_scores(morph.edges(cells, h, w), edge, h, w)
@@ -62,7 +63,7 @@ def segment(preds: DataFrame, groups: Sequence[GroupParams], h: int, w: int, con
     masks = parts[0]
     for part in parts[1:]:
         masks = masks.union(part)
-    return remove_duplicates(masks, containment)
+    return remove_duplicates(stored(masks), containment)
 
 
 def padded_size(n: int, least: int = 64, step: int = 16) -> int:
@@ -120,13 +121,14 @@ def segment_full(preds: DataFrame, groups: Sequence[GroupParams], h: int, w: int
     masks = stored(found.select("frame_id", "grp", number.alias("_n"), "r", "c").withColumnRenamed("_n", "cell"))
     shown = outlines.knots(masks, h, w)
     if refine_outlines:
+        shown = stored(shown)
         edge_of = preds.sparkSession.createDataFrame([(k, p.edge) for k, p in enumerate(groups) if p.edge], "grp int, target string")
         edge_px = preds.join(F.broadcast(edge_of), "target").select("frame_id", "grp", "r", "c", "p")
         group = masks.select("frame_id", "cell", "grp").distinct()
         shown = outlines.refine(edge_px, shown.join(group, ["frame_id", "cell"])).select(*shown.columns)
     shown = stored(shown)
     edges = stored(outlines.rasterise(shown, h, w))
-    filled = morph.fill_holes(edges, h, w) if refine_outlines else masks.select("frame_id", "cell", "r", "c")
+    filled = stored(morph.fill_holes(edges, h, w)) if refine_outlines else masks.select("frame_id", "cell", "r", "c")
     return Segmented(filled, shown, edges, objects.conical_volume(filled, h, w) if return_volume else None)
 
 
