@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import morph, objects
+from .tables import stored
 
 
 def to_polar(px: DataFrame, centres: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def ray_objects(mask: DataFrame) -> DataFrame:
 def knots(mask: DataFrame, h: int, w: int) -> DataFrame:
     """(frame_id, cell, centre_r, centre_c, radii, angles): outlines of objects through ray hits."""
     edge = morph.edges(mask, h, w).union(mask.filter(morph.border(h, w)).select("frame_id", "cell", "r", "c")).distinct()
-    f = ray_objects(mask)
+    f = stored(ray_objects(mask))
     radii = cast_rays(edge, f, h, w).groupBy("frame_id", "cell").agg(F.transform(F.array_sort(F.collect_list(F.struct("ray", "radius"))), lambda x: x["radius"]).alias("radii"))
     return f.join(radii, ["frame_id", "cell"]).select("frame_id", "cell", "centre_r", "centre_c", "radii", "angles")
 
@@ -132,8 +133,10 @@ def rasterise(outlines: DataFrame, h: int, w: int, per_unit: float = 2.5) -> Dat
                 rho = spline_basis(angles, phi) @ radii
                 r = np.clip(np.rint(o.centre_r + rho * np.cos(phi)), 0, h - 1).astype(np.int32)
                 c = np.clip(np.rint(o.centre_c + rho * np.sin(phi)), 0, w - 1).astype(np.int32)
-                parts.append(pd.DataFrame({"frame_id": o.frame_id, "cell": o.cell, "r": r, "c": c}).drop_duplicates())
-            yield pd.concat(parts) if parts else pd.DataFrame({"frame_id": [], "cell": [], "r": [], "c": []})
+                parts.append(np.unique(r.astype(np.int64) << 32 | c))
+            sizes = [len(p) for p in parts]
+            at = np.concatenate(parts) if parts else np.zeros(0, np.int64)
+            yield pd.DataFrame({"frame_id": np.repeat(batch["frame_id"].to_numpy(), sizes), "cell": np.repeat(batch["cell"].to_numpy(), sizes), "r": (at >> 32).astype(np.int32), "c": (at & 0xFFFFFFFF).astype(np.int32)})
 
     return outlines.mapInPandas(draw, "frame_id long, cell int, r int, c int")
 
@@ -304,5 +307,5 @@ def redraw(outlines: DataFrame, factor: float, h: int, w: int) -> tuple[DataFram
     outlines: (frame_id, cell, centre_r, centre_c, radii, angles).
     """
     large = outlines.withColumns({"centre_r": F.col("centre_r") * factor, "centre_c": F.col("centre_c") * factor, "radii": F.transform("radii", lambda x: x * factor)})
-    drawn = rasterise(large, h, w).select("frame_id", "cell", "r", "c")
+    drawn = stored(rasterise(large, h, w).select("frame_id", "cell", "r", "c"))
     return drawn, morph.fill_holes(drawn, h, w)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .operators import augment, learn, match, morph, norm, objects, outlines, track, tune
 from .queries_cells import _u
+from .operators.tables import stored
 from .registry import query, r6
 from .sources import views
 from .sources.views import with_views
@@ -79,7 +80,7 @@ def size_group_cuts(spark, d):
 @query()
 def redraw_outlines(spark, d):
     """Outlines drawn anew and filled in frames of twice the size: how many pixels each object then has."""
-    drawn, masks = outlines.redraw(outlines.knots(views.quadrants(spark, d), H, W), 2.0, 2 * H, 2 * W)
+    drawn, masks = outlines.redraw(outlines.knots(stored(views.quadrants(spark, d)), H, W), 2.0, 2 * H, 2 * W)
     count = lambda df, name: df.groupBy("frame_id", "cell").agg(F.count("*").alias(name))
     return count(drawn, "edge").join(count(masks, "area"), ["frame_id", "cell"])
 
