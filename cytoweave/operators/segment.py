@@ -195,7 +195,7 @@ def threshold_segmentation(interior: DataFrame, h: int, w: int, bud: DataFrame |
 
 def radial_regions(px: DataFrame, threshold: float, h: int, w: int) -> DataFrame:
     """(frame_id, cell, r, c): drawn spline outlines of the components above the threshold."""
-    return outlines.rasterise(outlines.knots(morph.components(px.filter(F.col("v") > threshold)), h, w), h, w)
+    return outlines.rasterise(outlines.knots(stored(morph.components(px.filter(F.col("v") > threshold))), h, w), h, w)
 
 
 def remove_duplicates(masks: DataFrame, threshold: float) -> DataFrame:
