@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -10,8 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import fold
-from .tables import stored
+from . import fold, meetings
+
+#: Objects of a place that stand in one list, and meetings that one task counts.
+BLOCK, MEETINGS = 1024, 4_000_000
 
 
 def intersections(a: DataFrame, b: DataFrame, place: Sequence[str], key: Sequence[str] = ("frame_id",), ordered: bool = False) -> DataFrame:
@@ -19,45 +20,20 @@ def intersections(a: DataFrame, b: DataFrame, place: Sequence[str], key: Sequenc
 
     Only objects that meet in a place make a row; the join is on the place, so no
     pair is enumerated that doesn't share one.  ``ordered`` gives ta < tb only, for
-    a table with itself; its pairs are counted by ``_counted``.
+    a table with itself; pairs of objects told by whole numbers are counted by
+    ``meetings.counted``.
     """
+    if ordered and meetings.countable(a, key):
+        return meetings.counted(a, place, key, BLOCK, MEETINGS)
     on = [*key, *place]
     left, right = a.select(*on, F.col("cell").alias("ta")), b.select(*on, F.col("cell").alias("tb"))
-    n = _counted(a, place, key) if ordered else left.join(right, on).groupBy(*key, "ta", "tb").agg(F.count("*").alias("n"))
+    met = left.join(right, on)
+    n = (met.filter("ta < tb") if ordered else met).groupBy(*key, "ta", "tb").agg(F.count("*").alias("n"))
     # areas are what a join keeps at hand, never the pairs
     area = lambda df, cell, name: df.groupBy(*key, cell).agg(F.count("*").alias(name)).hint("shuffle_hash")
     return n.join(area(left, "ta", "area_a"), [*key, "ta"]).join(area(right, "tb", "area_b"), [*key, "tb"])
 
 
-#: Objects of a place that stand in one list, and meetings that one task counts.
-BLOCK, MEETINGS = 1024, 4_000_000
-
-
-def _counted(rows: DataFrame, place: Sequence[str], key: Sequence[str]) -> DataFrame:
-    """(key, ta, tb, n) of a table with itself, ta < tb.
-
-    The objects of a place are sorted lists of at most BLOCK.  Each object goes with
-    the rest of its list, and with each later list of its place, to the one task that
-    counts its pairs, so meetings are shuffled as packed lists and counted once.
-    There are as many tasks as the meetings ask for.
-    """
-    on = [*key, *place]
-    number = F.row_number().over(Window.partitionBy(*on).orderBy("cell"))
-    ranked = rows.select(*on, "cell").dropna().withColumn("_block", F.floor((number - 1) / BLOCK).cast("int"))
-    lists = stored(ranked.groupBy(*on, "_block").agg(F.sort_array(F.collect_list("cell")).alias("_high")))
-    size = F.size("_high").cast("long")
-    told = lists.agg(F.sum(size * (size - 1) / 2 + size * F.col("_block") * BLOCK).alias("meetings"), F.max("_block").alias("last")).first()
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, math.ceil((told["meetings"] or 0) / MEETINGS))
-    rest = F.expr("slice(_high, _at + 2, size(_high))")
-    sent = lists.select(*key, "_high", F.posexplode("_high").alias("_at", "ta")).select(*key, "ta", rest.alias("_with"))
-    if told["last"]:  # places of several lists
-        later = lists.filter("_block > 0").withColumn("_i", F.explode(F.expr("sequence(0, _block - 1)"))).drop("_block")
-        met = later.join(lists.select(*on, F.col("_block").alias("_i"), F.col("_high").alias("_low")), [*on, "_i"])
-        sent = sent.union(met.select(*key, F.explode("_low").alias("ta"), F.col("_high").alias("_with")))
-    dealt = sent.filter(F.size("_with") > 0).repartition(tasks, *key, "ta")
-    return dealt.select(*key, "ta", F.explode("_with").alias("tb")).filter("ta < tb").groupBy(*key, "ta", "tb").agg(F.count("*").alias("n"))
-
-
 def iou() -> Column:
     return F.col("n") / (F.col("area_a") + F.col("area_b") - F.col("n"))
 

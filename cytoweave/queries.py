@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import augment, evaluate, growth, learn, match, morph, norm, objects, outlines, sample, segment, tiles, track, tune
 from .operators.tables import stored
-from .registry import QUERIES, SQL, Query, query, r6
+from .registry import QUERIES, SQL, Query, query, r6, r6_share
 from .sources import images, views
 from .sources.views import with_views
 from .streaming import live
@@ -224,7 +224,8 @@ SELECT ta, tb, n, round(n / (x.area + y.area - n), 6) AS iou, round(greatest(n /
 def iou_matrix(spark, d):
     s = views.sets(spark, d).select(F.col("obj").alias("cell"), "px")
     p = match.intersections(s, s, ["px"], (), ordered=True)
-    return p.select("ta", "tb", "n", r6(match.iou()).alias("iou"), r6(match.containment()).alias("containment"))
+    n, a, b = F.col("n"), F.col("area_a"), F.col("area_b")
+    return p.select("ta", "tb", "n", r6_share(n, a + b - n).alias("iou"), r6_share(n, F.least(a, b)).alias("containment"))
 
 
 _QP = "p AS (SELECT a.frame_id, a.cell AS ta, b.cell AS tb, count(*) AS n FROM qd a JOIN qd b ON a.frame_id = b.frame_id AND a.r = b.r AND a.c = b.c GROUP BY 1, 2, 3), s AS (SELECT frame_id, cell, count(*) AS area FROM qd GROUP BY 1, 2), j AS (SELECT p.*, x.area AS area_a, y.area AS area_b FROM p JOIN s x ON x.frame_id = p.frame_id AND x.cell = ta JOIN s y ON y.frame_id = p.frame_id AND y.cell = tb)"

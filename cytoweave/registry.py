@@ -26,3 +26,8 @@ def query(sql: str | None = None):
 
 def r6(c: Column | str) -> Column:
     return F.round(F.col(c) if isinstance(c, str) else c, 6)
+
+
+def r6_share(a: Column, b: Column) -> Column:
+    """a / b of whole numbers (b > 0, below 10^8) rounded to 6 places: what ``r6`` of it gives, without decimals for each row."""
+    return F.call_function("div", a * 2_000_000 + b, b * 2) / 1e6
