@@ -81,10 +81,15 @@ def truth_pairs(frames: DataFrame) -> DataFrame:
     return mothers.join(one.select("frame_id", F.col("place").alias("bud"), F.col("labels").alias("label")), ["frame_id", "label"]).select("frame_id", "mother", "bud")
 
 
-def bud_table(features: DataFrame, truth: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
-    """Training rows: pairs with all features and whether they are mother and bud (``is_pair``)."""
+def marked_pairs(features: DataFrame, truth: DataFrame) -> DataFrame:
+    """All pairs and whether they are mother and bud (``is_pair``)."""
     marked = features.join(truth.select("frame_id", "mother", "bud").distinct().withColumn("_t", F.lit(1.0)), ["frame_id", "mother", "bud"], "left")
-    return marked.withColumn("is_pair", F.coalesce("_t", F.lit(0.0))).drop("_t").dropna(subset=list(names))
+    return marked.withColumn("is_pair", F.coalesce("_t", F.lit(0.0))).drop("_t")
+
+
+def bud_table(features: DataFrame, truth: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:
+    """Training rows: marked pairs with all features."""
+    return marked_pairs(features, truth).dropna(subset=list(names))
 
 
 def lost_pairs(features: DataFrame, truth: DataFrame, names: Sequence[str] = FEATURES) -> DataFrame:

@@ -419,11 +419,17 @@ def mother_bud_table(spark, d):
 
 @query()
 def bud_classifier(spark, d):
-    """Forest on pair features; frames are dealt to splits by number."""
-    rows = buds.bud_table(_pair_features(spark, d), buds.truth_pairs(_labelled(spark, d)))
+    """Forest on pair features; frames are dealt to splits by number.
+
+    As in the trainer that it rebuilds, it learns from validation frames, and all
+    splits are scored.  Pairs with a missing feature can't be learned from, but are
+    scored: they have probability 0, so a true one is missed.
+    """
+    rows = buds.marked_pairs(_pair_features(spark, d), buds.truth_pairs(_labelled(spark, d)))
     rows = rows.withColumn("split", F.when(F.col("frame_id") % 5 < 3, "train").when(F.col("frame_id") % 5 == 3, "validation").otherwise("test"))
     rows = stored(rows.select("split", "is_pair", *buds.FEATURES))  # the fit reads them many times
-    model = learn.forest(buds.FEATURES, "is_pair", 20, 5).fit(learn.with_balance(rows.filter("split = 'validation'"), "is_pair"))
+    learned = rows.filter("split = 'validation'").dropna(subset=list(buds.FEATURES))
+    model = learn.forest(buds.FEATURES, "is_pair", 20, 5).fit(learn.with_balance(learned, "is_pair"))
     scored = learn.probabilities(model, rows, buds.FEATURES)
     return evaluate.metrics(scored, F.col("is_pair") == 1, F.col("p") > 0.5).select("split", *[r6(x).alias(x) for x in ("accuracy", "balanced", "precision", "recall", "f1", "f05", "f2")])
 
