@@ -103,37 +103,45 @@ def _pairs(kept: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
     sizes = np.cumsum([0, *(len(count) for _, count, _ in kept)])
     first = np.concatenate([np.pad(f, (0, len(c) - len(f))) + s for (f, c, _), s in zip(kept, sizes, strict=False)])
     n = np.concatenate([c for _, c, _ in kept])
-    into = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    return np.repeat(np.arange(len(n)), n), np.repeat(first, n) + into, [np.concatenate(x) for x in zip(*(t for _, _, t in kept), strict=True)]
+    other = np.arange(int(n.sum()))
+    other += np.repeat(first - np.cumsum(n) + n, n)
+    return np.repeat(np.arange(len(n)), n), other, [np.concatenate(x) for x in zip(*(t for _, _, t in kept), strict=True)]
 
 
 def _runs(one: np.ndarray, other: np.ndarray, table: list[np.ndarray], tasks: int) -> pa.RecordBatch:
     """(bucket, run) of each bucket with pairs: different pairs in order, with counts."""
     order = np.lexsort(table[-2::-1])
     begins = starts(*(c[order] for c in table[:-1]))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+    rank, size = np.empty(len(order), np.int64), len(begins)
+    rank[order] = np.repeat(np.arange(size), np.diff(np.append(begins, len(order))))
     objects = [c[order[begins]] for c in table]
-    mixed = np.zeros(len(begins), np.uint64)
+    mixed = np.zeros(size, np.uint64)
     for c in objects[:-1]:
         mixed = (mixed ^ c.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
         mixed ^= mixed >> np.uint64(29)
     bucket = (mixed % np.uint64(tasks)).astype(np.int64)
     dealt = np.argsort(bucket, kind="stable")
-    place = np.empty(len(dealt), np.int64)
-    place[dealt] = np.arange(len(dealt))
-    a, b = rank[one], rank[other]
-    code = np.sort((place[a] * len(begins) + b)[a != b])
-    if not len(code):
-        return pa.RecordBatch.from_arrays([pa.array([], pa.int32()), pa.array([], pa.binary())], names=["bucket", "run"])
+    place = np.empty(size, np.int64)
+    place[dealt] = np.arange(size)
+    code, other = place[rank[one]], rank[other]  # first objects by bucket
+    apart = dealt[code] != other
+    if not apart.all():  # an object twice in a place
+        code, other = code[apart], other[apart]
+    code *= size
+    code += other
+    del one, other, apart
+    code.sort()
     fresh = starts(code)
     n, code = np.diff(np.append(fresh, len(code))), code[fresh]
-    a, b = dealt[code // len(begins)], code % len(begins)
-    cuts = starts(bucket[a])
-    columns = [*(c[a] for c in objects[:-1]), objects[-2][b], n, objects[-1][a], objects[-1][b]]
-    codec = pa.Codec("zstd", compression_level=1)
-    packed = [pack([c[i:j] for c in columns], len(table), codec) for i, j in zip(cuts, [*cuts[1:], len(code)], strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array(bucket[a[cuts]], pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "run"])
+    to, codec = starts(bucket[dealt]), pa.Codec("zstd", compression_level=1)
+    cuts = np.searchsorted(code, np.append(to, size) * size)
+    found, packed = [], []
+    for k, i, j in zip(bucket[dealt[to]], cuts, cuts[1:], strict=False):
+        if i < j:
+            a, b = dealt[code[i:j] // size], code[i:j] % size
+            found.append(k)
+            packed.append(pack([*(c[a] for c in objects[:-1]), objects[-2][b], n[i:j], objects[-1][a], objects[-1][b]], len(table), codec))
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names=["bucket", "run"])
 
 
 def pack(columns: list[np.ndarray], steps: int, codec: pa.Codec) -> bytes:
@@ -163,19 +171,23 @@ def unpack(run: bytes, columns: int, steps: int, codec: pa.Codec) -> list[np.nda
 
 
 def _summed(parts: list[list[np.ndarray]], steps: int) -> list[np.ndarray]:
-    """Different pairs in order, with the sum of their counts."""
-    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    """Different pairs in order, with the sum of their counts; the parts are used up."""
+    columns = []
+    for _ in range(len(parts[0])):
+        columns.append(np.concatenate([x.pop(0) for x in parts]))
     code, room = np.zeros(len(columns[0]), np.int64), 1
     for c in columns[:steps]:
         low, wide = int(c.min()), int(c.max()) - int(c.min()) + 1
         room *= wide
         if room < 1 << 62:
-            code = code * wide + (c - low)
+            code *= wide
+            code += c - low
     order = np.argsort(code) if room < 1 << 62 else np.lexsort(columns[:steps][::-1])
-    told = [c[order] for c in columns[:steps]]
-    fresh = starts(*told)
-    n = np.add.reduceat(columns[steps][order], fresh)
-    return [c[fresh] for c in told] + [n] + [c[order[fresh]] for c in columns[steps + 1 :]]
+    del code
+    for k in range(len(columns)):
+        columns[k] = columns[k][order]
+    fresh = starts(*columns[:steps])
+    return [np.add.reduceat(c, fresh) if k == steps else c[fresh] for k, c in enumerate(columns)]
 
 
 def _count_runs(keys: int, chunk: int):
